@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, suffix, toxicity
+import corpus_pipeline
+
+from . import decontaminate, packing, simhash, suffix, toxicity
 from .common import table
 
 
@@ -27,10 +29,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {}
