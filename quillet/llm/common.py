@@ -36,6 +36,8 @@ def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    # the shuffles behind the table are garbage now: let the context cleaner take their files before the next step writes its own
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,9 +6,10 @@ digit, drops groups of one, and settles a block whose whole hull occurs again: a
 What is left (blocks at the edge of a repeat) is cut into finer blocks for the next, less significant pass, down to
 single suffixes, whose groups of equal windows are exactly the repeats. Widths of the passes: 96, 8, 1 starts.
 
-Digits are 64-bit fingerprints, two of them (121 bits) wherever equality counts. Equal texts are folded before the
-passes, so a text with thousands of copies is sorted once, with weight two. Counts are combined before each
-shuffle and joined back, so a hot passage does not have to fit one task. Everything is one lazy plan.
+Digits are 64-bit fingerprints, two of them (121 bits) wherever equality counts; a text is known by 96 bits of two
+hash families, and the blocks of its copies are folded as soon as they meet. Counts are combined before each
+shuffle and joined back, so a hot passage does not have to fit one task. The surviving blocks of each pass, a small
+part of all, are written to the shared folder.
 
 Defined cases: a null text counts as empty; texts shorter than the window lose nothing; a row of a repeated doc_id is
 a document of its own; a null doc_id gets its row; other columns are ignored (remove_repeats keeps them); an empty
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._windows import U, blocks
+from .common import stash
 
 WINDOW, WIDTHS = 200, (96, 8, 1)
-_RANGES = "array<struct<s:int,n:int,w:int>>"
 
 
 def _parts(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +53,14 @@ def _ranges(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, n
     return (np.repeat(np.arange(len(col)), sizes), *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)))
 
 
-def _rows(texts: DataFrame, todo: DataFrame | None, window: int, width: int) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("k1"), F.hash(text).cast("long").alias("k2"), text.alias("text"))
+
+
+def _rows(docs: DataFrame, todo: DataFrame | None, window: int, width: int) -> DataFrame:
     """The blocks of one pass: core, hull with the number of starts in its low 7 bits, text key, start and weight."""
+    texts = keyed(docs)
     whole = todo is None
     if not whole:
         texts = texts.join(todo, ["k1", "k2"])
@@ -61,11 +68,11 @@ def _rows(texts: DataFrame, todo: DataFrame | None, window: int, width: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, bounds = _parts(b, "text")
-            k1, k2 = _column(b, "k1"), _column(b, "k2").astype(np.int64)
+            k1, k2 = _column(b, "k1"), _column(b, "k2")
             cut = np.zeros(len(data) + 1, bool)
             cut[bounds] = True
             if whole:
-                weight = np.repeat(_column(b, "w").astype(np.int8), np.diff(bounds))
+                weight = np.ones(len(data), np.int8)
             else:
                 row, s, n, w = _ranges(b, "todo")
                 s = s + bounds[row]
@@ -99,26 +106,13 @@ def _spot(w) -> list:
     ]
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(k1, k2, text, w): each text once, w 2 if it occurs again; the key is 96 bits of two hash families."""
-    return (
-        keyed(docs).groupBy("k1", "k2")
-        .agg(F.first("text").alias("text"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("w"))
-    )
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("k1"), F.hash(text).cast("long").alias("k2"), text.alias("text"))
-
-
-def repeated_ranges(texts: DataFrame, window: int = WINDOW, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(k1, k2, ranges): starts of windows that also start elsewhere, for the texts that have any."""
     todo, settled = None, None
     for width in widths:
-        rows = _rows(texts, todo, window, width)
+        rows = _rows(docs, todo, window, width)
         again = rows.groupBy("core").agg(F.sum("w").alias("c")).where("c > 1").select("core")
-        alive = rows.join(again, "core")
+        alive = stash(rows.join(again, "core").groupBy("core", "hull", "k1", "place").agg(F.sum("w").alias("w")))
         hulls = alive.groupBy("core", "hull").agg(F.sum("w").alias("c"), F.min(F.struct("k1", "place")).alias("one"))
         twice = hulls.where("c > 1")
         done = alive.join(twice.select("core", "hull"), ["core", "hull"], "left_semi").select(*_spot(F.lit(1)))
@@ -128,66 +122,67 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, widths: tuple[int, .
         single = hulls.where("c = 1")
         edge = twice.join(single.select("core").distinct(), "core", "left_semi")
         spots = single.unionByName(edge).select("hull", "one.k1", "one.place", "c")
-        todo = (
+        todo = stash(
             spots.select(*_spot(F.least("c", F.lit(2)))).groupBy("k1", "k2").agg(F.collect_list("r").alias("todo"))
         )
-    return settled.groupBy("k1", "k2").agg(F.collect_list("r").alias("ranges"))
+    return settled.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
 
 
-def _apply(texts: DataFrame, ranges: DataFrame, window: int, with_text: bool) -> DataFrame:
-    joined = texts.join(ranges, ["k1", "k2"], "left").select(
-        "k1", "k2", "text", "w", F.coalesce("ranges", F.lit(None).cast(_RANGES)).alias("ranges")
-    )
+def _covered(docs: DataFrame, window: int, spec: str, make) -> DataFrame:
+    """docs with make(batch, kept bytes, removed, spans) in the place of each batch."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ranges = repeated_ranges(docs, window).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("ranges").alias("_ranges"))
+    same = (F.xxhash64(text) == F.col("_k1")) & (F.hash(text).cast("long") == F.col("_k2"))
+    joined = docs.withColumn("_whole", text).join(ranges, same, "left").drop("_k1", "_k2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, bounds = _parts(b, "text")
-            row, s, n, _ = _ranges(b, "ranges")
-            order = np.argsort(row, kind="stable")
-            row, s, n = row[order], s[order], n[order]
+            data, bounds = _parts(b, "_whole")
+            row, s, n, _ = _ranges(b, "_ranges")
             lo = np.searchsorted(row, np.arange(b.num_rows + 1))
-            twice = _column(b, "w") > 1
-            out: list[list] = [[], [], [], [], []]
+            kept, removed, spans = [], [], []
             for i in range(b.num_rows):
-                text = data[bounds[i] : bounds[i + 1]]
-                gone = np.zeros(len(text) + 1, bool)
-                if twice[i] and len(text) >= window:
-                    gone[:-1] = True
-                elif lo[i] < lo[i + 1]:
-                    change = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(change, s[lo[i] : lo[i + 1]], 1)
-                    np.add.at(change, s[lo[i] : lo[i + 1]] + n[lo[i] : lo[i + 1]] - 1 + window, -1)
-                    gone = np.cumsum(change) > 0
-                kept = text[~gone[:-1]].tobytes()
-                out[0].append(len(text))
-                out[1].append(len(text) - len(kept))
-                out[2].append(int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]))
-                out[3].append(hashlib.sha256(kept).hexdigest())
-                out[4].append(kept.decode("utf-8", "ignore") if with_text else None)
-            arrays = [b.column(b.schema.get_field_index(k)) for k in ("k1", "k2")]
-            arrays += [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.mapInArrow(run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+                text, own = data[bounds[i] : bounds[i + 1]], slice(lo[i], lo[i + 1])
+                if lo[i] == lo[i + 1]:
+                    kept.append(text.tobytes())
+                    removed.append(0)
+                    spans.append(0)
+                    continue
+                change = np.zeros(len(text) + 1, np.int32)
+                np.add.at(change, s[own], 1)
+                np.add.at(change, s[own] + n[own] - 1 + window, -1)
+                gone = np.cumsum(change)[:-1] > 0
+                kept.append(text[~gone].tobytes())
+                removed.append(len(text) - len(kept[-1]))
+                spans.append(int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]))
+            yield make(b, kept, removed, spans)
+
+    return joined.mapInArrow(run, spec)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs(doc_id, text)."""
-    texts = distinct_texts(docs)
-    found = _apply(texts, repeated_ranges(texts, window), window, with_text=False).drop("kept")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ids = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("k1"), F.hash(text).cast("long").alias("k2"))
-    return ids.join(found, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+    def make(b: pa.RecordBatch, kept: list[bytes], removed: list[int], spans: list[int]) -> pa.RecordBatch:
+        size = [len(k) + r for k, r in zip(kept, removed, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [b.column(b.schema.get_field_index("doc_id")), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        )
+
+    lean = docs.select(F.col("doc_id").cast("long"), "text")
+    return _covered(lean, window, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", make)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with all repeated strings taken out of text, and n_chars to match where docs has it."""
-    texts = distinct_texts(docs)
-    kept = _apply(texts, repeated_ranges(texts, window), window, with_text=True).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_kept")
-    )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rest = docs.withColumn("_a", F.xxhash64(text)).withColumn("_b", F.hash(text).cast("long")).drop("text")
-    joined = rest.join(kept, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")))
-    cols = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return joined.select(*(cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns))
+    names = docs.columns
+
+    def make(b: pa.RecordBatch, kept: list[bytes], removed: list[int], spans: list[int]) -> pa.RecordBatch:
+        texts = [k.decode("utf-8", "ignore") for k in kept]
+        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+        return pa.RecordBatch.from_arrays([new[c] if c in new else b.column(b.schema.get_field_index(c)) for c in names], names)
+
+    if "n_chars" in names:
+        docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
+    return _covered(docs, window, docs.schema, make)
