@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html, neighbours, packing, simhash, suffix, toxicity
+from . import decontaminate, html, neighbours, packing, simhash, suffix, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_best_fit_packing": op7_best_fit_packing,
