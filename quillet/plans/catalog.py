@@ -1,10 +1,504 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries of the document engine over the supplied tables, and the DuckDB SQL that checks each.
+
+Each query applies the operators of this library to a whole table. Where a table has no LaTeX, the text is made of its
+integer columns by one expression that both engines build alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as T
+from ..functions.rules import Rules
+from ..operators import bibliography, exchange, orders, references, render, structure
+from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- structure -------------------------------------------------------------------------------------------------------
+
+@query("""
+WITH s AS (SELECT *, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS sec FROM conversations),
+u AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, sec ORDER BY turn) AS sub FROM s)
+SELECT conv_id, turn, CAST(sec AS BIGINT) AS section_no, CAST(sub AS BIGINT) AS sub_no,
+  coalesce(last_value(CASE role WHEN 'system' THEN CAST(sec AS VARCHAR) WHEN 'user' THEN sec || '.' || sub END IGNORE NULLS)
+    OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '0') AS heading
+FROM u""")
+def heading_carry_forward(spark, sf_dir):
+    """Sections, subsections since the last section, and the inherited heading."""
+    df = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return structure.carry_forward(df, ["conv_id"], ["turn"], F.col("role") == "system", F.col("role") == "user").drop("role")
+
+
+@query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS seq FROM events")
+def env_sequence(spark, sf_dir):
+    """Running number of each category in a document."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.row_number().over(w).cast("long").alias("seq"))
+
+
+@query("""
+WITH x AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END AS d FROM events),
+s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM x),
+m AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY event_id)) AS depth FROM s)
+SELECT event_id, user_id, CAST(coalesce(sum(CASE WHEN depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS grp FROM m""")
+def env_depth_merge(spark, sf_dir):
+    """Rows belong together while the running depth is above zero."""
+    depth = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0)
+    df = structure.merge_open(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["user_id"], "event_id", depth)
+    return df.select("event_id", "user_id", F.col("grp").cast("long").alias("grp"))
+
+
+@query("""
+WITH g AS (SELECT *, sum(CASE WHEN role = 'system' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM conversations)
+SELECT conv_id, CAST(grp AS BIGINT) AS grp, min(turn) AS turn, string_agg(role || ':' || length(text), chr(10) ORDER BY turn) AS body FROM g GROUP BY conv_id, grp""")
+def leading_label_merge(spark, sf_dir):
+    """Leading labels go with what is before them."""
+    df = read(spark, sf_dir, "conversations").withColumn("body", F.concat("role", F.lit(":"), F.length("text").cast("string")))
+    df = structure.attach_leading(df, ["conv_id"], "turn", F.col("role") == "system")
+    return structure.join_groups(df, ["conv_id"], "turn", "body", "\n").select("conv_id", F.col("grp").cast("long").alias("grp"), "turn", "body")
+
+
+@query(r"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS id, body FROM (
+  SELECT doc_id, generate_subscripts(a, 1) AS pos, trim(unnest(a), ' ' || chr(9)) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))
+WHERE body <> ''""")
+def paragraph_chunk(spark, sf_dir):
+    """Non-empty parts of a text, numbered."""
+    df = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
+    df = df.withColumn("body", F.trim("body", F.lit(" \t"))).where("body <> ''")
+    return df.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long").alias("id"), "body")
+
+
+# ---- labels and references -------------------------------------------------------------------------------------------
+
+_TEX = "concat('text ', doc_id, ' \\label{k', doc_id % 97, '} and \\tag{t', doc_id % 13, '}', chr(10), '\\hypertarget{h', doc_id % 7, '}{shown} end')"
+
+
+def _tex(df: DataFrame) -> DataFrame:
+    s = lambda x: F.lit(x)
+    m = lambda n: (F.col("doc_id") % n).cast("string")
+    t = F.concat(s("text "), F.col("doc_id").cast("string"), s(" \\label{k"), m(97), s("} and \\tag{t"), m(13), s("}\n\\hypertarget{h"), m(7), s("}{shown} end"))
+    return df.withColumn("t", t)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_TEX} AS t FROM documents),
+k AS (
+  SELECT doc_id, 'label' AS category, 0 AS cat_rank, unnest(regexp_extract_all(t, '\\\\label(?:\\[[^\\]]*\\])?\\{{([^}}]+)\\}}', 1)) AS key FROM d
+  UNION ALL SELECT doc_id, 'hypertarget', 2, unnest(regexp_extract_all(t, '\\\\hypertarget\\{{([^}}]+)\\}}', 1)) FROM d
+  UNION ALL SELECT doc_id, 'tag', 3, unnest(regexp_extract_all(t, '\\\\tag\\*?\\{{([^}}]+)\\}}', 1)) FROM d)
+SELECT doc_id, category, cat_rank, key FROM k""")
+def label_extract(spark, sf_dir):
+    """keys of all label-like commands by category."""
+    df = _tex(read(spark, sf_dir, "documents").select("doc_id"))
+    return df.select("doc_id", F.explode(T.label_keys(F.col("t"))).alias("k")).select("doc_id", "k.category", "k.cat_rank", "k.key")
+
+
+@query(f"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_TEX},
+  '\\n?[ \\t]*\\\\hypertarget\\{{[^}}]+\\}}\\{{([^}}]*)\\}}[ \\t]*\\n?', '\\1', 'g'), '\\n?[ \\t]*\\\\label(?:\\[[^\\]]*\\])?\\{{[^}}]+\\}}[ \\t]*\\n?', '', 'g'),
+  '\\n?[ \\t]*\\\\tag\\*?\\{{[^}}]+\\}}[ \\t]*\\n?', '', 'g') AS body FROM documents""")
+def label_strip(spark, sf_dir):
+    """text without label commands; anchors leave their text."""
+    return _tex(read(spark, sf_dir, "documents").select("doc_id")).select("doc_id", T.strip_labels(F.col("t")).alias("body"))
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        "event_id", "ts", (F.col("user_id") % 10).cast("string").alias("chapter"), F.regexp_extract("props", "([0-9]+)", 1).alias("key"),
+        F.concat("event_type", F.lit("-"), (F.col("event_id") % 50).cast("string")).alias("env_label"),
+    )
+
+
+@query("""
+SELECT CAST(user_id % 10 AS VARCHAR) AS chapter, regexp_extract(props, '([0-9]+)', 1) AS key,
+  arg_max(event_type || '-' || (event_id % 50), (ts, event_id)) AS env_label FROM events GROUP BY ALL""")
+def refmap_last_wins(spark, sf_dir):
+    """The last label of each key of a chapter."""
+    return references.last_wins(_keyed(spark, sf_dir), ["chapter", "key"], "env_label", ["ts", "event_id"])
+
+
+@query("""
+SELECT event_id, chapter, key, previous, env_label FROM (
+  SELECT event_id, CAST(user_id % 10 AS VARCHAR) AS chapter, regexp_extract(props, '([0-9]+)', 1) AS key, event_type || '-' || (event_id % 50) AS env_label,
+    lag(event_type || '-' || (event_id % 50)) OVER (PARTITION BY user_id % 10, regexp_extract(props, '([0-9]+)', 1) ORDER BY ts, event_id) AS previous FROM events)
+WHERE previous <> env_label""")
+def label_collisions(spark, sf_dir):
+    """A key that is given again with another label."""
+    return references.collisions(_keyed(spark, sf_dir), ["chapter", "key"], "env_label", ["ts", "event_id"]).select("event_id", "chapter", "key", "previous", "env_label")
+
+
+@query("""
+WITH own AS (SELECT CAST(s_nationkey % 5 AS VARCHAR) AS chapter, CAST(s_suppkey % 60 AS VARCHAR) AS key, max(s_name) AS env_label FROM supplier GROUP BY ALL),
+any_ AS (SELECT key, arg_min(env_label, chapter) AS env_label FROM own GROUP BY key)
+SELECT c_custkey, chapter, key, coalesce(o.env_label, a.env_label, '[?]') AS env_label, coalesce(o.env_label, a.env_label) IS NOT NULL AS found
+FROM (SELECT c_custkey, CAST(c_nationkey % 5 AS VARCHAR) AS chapter, CAST(c_custkey % 120 AS VARCHAR) AS key FROM customer)
+LEFT JOIN own o USING (chapter, key) LEFT JOIN any_ a USING (key)""")
+def ref_two_tier(spark, sf_dir):
+    """A label in the own chapter, else in the chapter that sorts first, else a placeholder."""
+    s = read(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") % 5).cast("string").alias("chapter"), (F.col("s_suppkey") % 60).cast("string").alias("key")).agg(F.max("s_name").alias("env_label"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 5).cast("string").alias("chapter"), (F.col("c_custkey") % 120).cast("string").alias("key"))
+    return references.two_tier(c, s, "key", "chapter", "env_label", "[?]").select("c_custkey", "chapter", "key", "env_label", "found")
+
+
+def _cites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = lambda c: F.col(c).cast("string")
+    o = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("see~\\cite{p"), (F.col("o_orderkey") % 700).cast("string"), F.lit(", p"), (F.col("o_custkey") % 900).cast("string"), F.lit("} and \\citep[a]{p"), (F.col("o_orderkey") % 33).cast("string"), F.lit("}")).alias("text")
+    )
+    p = read(spark, sf_dir, "part").where("p_partkey < 800").select(F.concat(F.lit("p"), s("p_partkey")).alias("key"), (F.col("p_partkey") + 1).alias("id"))
+    return o, p
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, CAST(p_partkey + 1 AS VARCHAR) AS id FROM part WHERE p_partkey < 800)
+SELECT o_orderkey, '\\textsuperscript{[' || coalesce(a.id, '[?]') || ',' || coalesce(b.id, '[?]') || ']}' || '|' || '\\textsuperscript{[' || coalesce(c.id, '[?]') || ']}' AS cites
+FROM orders LEFT JOIN p a ON a.k = o_orderkey % 700 LEFT JOIN p b ON b.k = o_custkey % 900 LEFT JOIN p c ON c.k = o_orderkey % 33""")
+def cite_resolve(spark, sf_dir):
+    """Citation commands to numbers, order and missing keys kept."""
+    o, p = _cites(spark, sf_dir)
+    return references.resolve_citations(o, p, ["o_orderkey"], "[?]").select("o_orderkey", F.array_join("cites", "|").alias("cites"))
+
+
+@query("""
+WITH u AS (SELECT o_orderkey % 4 AS doc, o_orderkey % 700 AS k FROM orders UNION ALL SELECT o_orderkey % 4, o_custkey % 900 FROM orders UNION ALL SELECT o_orderkey % 4, o_orderkey % 33 FROM orders)
+SELECT doc, 'p' || k AS key, count(*) AS n FROM u WHERE k NOT IN (SELECT p_partkey FROM part WHERE p_partkey < 800) GROUP BY ALL""")
+def missing_keys(spark, sf_dir):
+    """How often each unknown key occurs in each document."""
+    o, p = _cites(spark, sf_dir)
+    used = references.cite_keys(o.withColumn("doc", F.col("o_orderkey") % 4), ["o_orderkey", "doc"])
+    return references.missing(used, p, ["doc"])
+
+
+@query("""
+SELECT event_id, chapter, '（' || chapter || '.1、[?]）' || ' 见图' || (event_id % 9) || '-' || (event_id % 4) || '。' AS body
+FROM (SELECT event_id, CAST(user_id % 10 AS VARCHAR) AS chapter FROM events)""")
+def reference_rewrite(spark, sf_dir):
+    """reference commands in place, several keys, doubled prefixes and blanks tidied."""
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).cast("string").alias("chapter"))
+    t = F.concat(F.lit("\\eqref{a, b}"), F.lit(" 见图 图"), (F.col("event_id") % 9).cast("string"), F.lit("-"), (F.col("event_id") % 4).cast("string"), F.lit(" 。"))
+    found = lambda k: F.when(k == "a", F.concat(F.col("chapter"), F.lit(".1"))).otherwise("[?]")
+
+    def refer(match):
+        whole = F.array_join(F.transform(T.keys_of(F.regexp_extract(match, T.REF_COMMAND, 2)), found), "、")
+        return F.concat(F.lit("（"), whole, F.lit("）"))
+
+    return e.select("event_id", "chapter", T.clean_cross_references(T.rewrite(t, T.REF, refer, group=0)).alias("body"))
+
+
+# ---- bibliography ----------------------------------------------------------------------------------------------------
+
+@query("""
+SELECT lower(trim(text)) AS norm, min(doc_id) AS doc_id, list_aggregate(list_sort(list(DISTINCT doc_id)), 'string_agg', ',') AS aliases FROM documents GROUP BY 1""")
+def dedup_aliases(spark, sf_dir):
+    """The first of equal normalised titles, with the keys of all."""
+    df = read(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("text")).alias("norm"))
+    d = bibliography.dedup(df, F.col("norm"), "doc_id", "doc_id")
+    return d.select("norm", "doc_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("""
+SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 7 = 0 THEN -1 ELSE 1900 + p_size END DESC, p_name, p_partkey) + 100 AS id FROM part""")
+def citation_numbering(spark, sf_dir):
+    """Global citation numbers, newest first, unknown years last; numbered by sorted ranges."""
+    df = read(spark, sf_dir, "part").withColumn("year", F.when(F.col("p_size") % 7 == 0, "n.d.").otherwise((F.col("p_size") + 1900).cast("string")))
+    order = bibliography.order_columns("year", "year", "p_name", "p_partkey")
+    return structure.number_by_range(df, order, "id", 101).select("p_partkey", "id")
+
+
+@query("""
+SELECT p_partkey, coalesce(p_brand || '. ', '') || p_name || '[J]. Journal of ' || p_type || ', ' || (1950 + p_size) || ', ' || p_size || '(' || (p_partkey % 9) || '): 1-' || p_size || '.'
+  || CASE WHEN p_partkey % 2 = 0 THEN ' DOI: 10.1/' || p_partkey || '.' ELSE '' END AS citation FROM part""")
+def citation_format(spark, sf_dir):
+    """A formatted citation from fields."""
+    s = lambda c: c.cast("string")
+    p = read(spark, sf_dir, "part")
+    entries = F.map_from_arrays(
+        F.array(*(F.lit(k) for k in ("author", "title", "journal", "year", "volume", "number", "pages", "doi"))),
+        F.array(
+            F.concat(F.lit("{"), F.col("p_brand"), F.lit("}")), F.col("p_name"), F.concat(F.lit("Journal  of "), F.col("p_type")), s(F.col("p_size") + 1950), s(F.col("p_size")), s(F.col("p_partkey") % 9),
+            F.concat(F.lit("1--"), s(F.col("p_size"))), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("10.1/"), s(F.col("p_partkey")))),
+        ),
+    )
+    return p.select("p_partkey", bibliography.citation(F.lit("Article"), entries).alias("citation"))
+
+
+@query("""
+WITH e AS (SELECT p_partkey AS id, p_name AS citation, unnest([p_name, p_brand]) AS key FROM part)
+SELECT key, CAST(max(id) AS BIGINT) AS id, arg_max(citation, id) AS citation FROM e GROUP BY key""")
+def citation_lookup(spark, sf_dir):
+    """Every alias to its number; of several entries the later wins."""
+    df = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("citation"), F.array("p_name", "p_brand").alias("aliases"))
+    return bibliography.lookup(df, "citation")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, 'x \bibitem[a]{r' || doc_id || '} Body ' || (doc_id % 5) || ' \bibitem{s' || doc_id || '} Next' AS t FROM documents)
+SELECT doc_id, i - 1 AS pos, keys[i] AS key, trim(bodies[i + 1]) AS body FROM (
+  SELECT doc_id, regexp_extract_all(t, '\\bibitem(?:\[[^\]]*\])?\{([^}]+)\}', 1) AS keys, string_split_regex(t, '\\bibitem(?:\[[^\]]*\])?\{([^}]+)\}') AS bodies, unnest([1, 2]) AS i FROM d)""")
+def bibitem_split(spark, sf_dir):
+    """Items of a bibliography text; each body runs to the next item."""
+    s = F.col("doc_id").cast("string")
+    t = F.concat(F.lit("x \\bibitem[a]{r"), s, F.lit("} Body "), (F.col("doc_id") % 5).cast("string"), F.lit(" \\bibitem{s"), s, F.lit("} Next"))
+    items = bibliography.split_items(read(spark, sf_dir, "documents").select(s.alias("path"), t.alias("content")))
+    return items.select(F.col("path").cast("long").alias("doc_id"), "pos", "key", "body")
+
+
+# ---- exchange --------------------------------------------------------------------------------------------------------
+
+@query("""
+WITH RECURSIVE o AS (SELECT source, doc_id, greatest(1, length(text) // 4) AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+r AS (
+  SELECT source, doc_id, w, rn, w AS tot, 0 AS b FROM o WHERE rn = 1
+  UNION ALL SELECT o.source, o.doc_id, o.w, o.rn, CASE WHEN r.tot + o.w > 1500 THEN o.w ELSE r.tot + o.w END, CASE WHEN r.tot + o.w > 1500 THEN r.b + 1 ELSE r.b END
+  FROM r JOIN o ON o.source = r.source AND o.rn = r.rn + 1)
+SELECT source, doc_id, CAST(w AS BIGINT) AS tokens, b AS batch_no FROM r""")
+def greedy_batches(spark, sf_dir):
+    """Token-bounded batches in order."""
+    df = read(spark, sf_dir, "documents").select("source", "doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+    return exchange.greedy_batches(df, ["source"], ["doc_id"], "tokens", 1500)
+
+
+@query("""
+SELECT d.doc_id, coalesce(t.translation, '') AS translation FROM documents d
+LEFT JOIN (SELECT doc_id, 'done ' || quality AS translation FROM labels) t USING (doc_id)""")
+def resume_restore(spark, sf_dir):
+    """All rows with what a checkpoint has for them."""
+    done = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("done "), F.col("quality").cast("string")).alias("translation"))
+    return exchange.restore(read(spark, sf_dir, "documents").select("doc_id"), done, ["doc_id"], "translation")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti_join(spark, sf_dir):
+    """Rows that a checkpoint does not have."""
+    return exchange.still_to_do(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""
+SELECT p_partkey, CASE p_name WHEN 'red widget' THEN '甲' WHEN 'small ring' THEN '乙' END AS cached FROM part""")
+def cache_shortcircuit(spark, sf_dir):
+    """Titles with a standing translation."""
+    rules = Rules(titles={"red widget": "甲", "small ring": "乙"})
+    return exchange.cached_titles(read(spark, sf_dir, "part"), F.col("p_name"), rules).select("p_partkey", "cached")
+
+
+@query("""
+WITH t AS (SELECT n_regionkey AS chapter, string_agg(n_name || '=' || n_nationkey, ';' ORDER BY n_name) AS terms FROM nation GROUP BY 1)
+SELECT doc_id, coalesce(terms, '') AS terms FROM (SELECT doc_id, doc_id % 7 AS chapter FROM documents) LEFT JOIN t USING (chapter)""")
+def glossary_join(spark, sf_dir):
+    """The terms of a row's chapter."""
+    terms = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("chapter"), F.col("n_name").alias("term"), F.col("n_nationkey").cast("string").alias("translation"))
+    df = exchange.with_terms(read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("chapter")), terms)
+    return df.select("doc_id", F.array_join(F.transform(F.map_entries("terms"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("terms"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, '\ref{a' || doc_id || '} \cite{b} \label{c}' AS x, CASE doc_id % 3 WHEN 0 THEN '\cite{ b } \label{c}' WHEN 1 THEN '\ref{a' || doc_id || '} \cite{b} \label{c}' ELSE '' END AS y FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '\ref{a' || doc_id || '}' WHEN 1 THEN '' ELSE '\cite{b};\ref{a' || doc_id || '};\label{c}' END AS lost, doc_id % 3 <> 1 AS syntax_error FROM d""")
+def syntax_integrity(spark, sf_dir):
+    """Markup that a transformation lost; blanks do not count."""
+    s = F.col("doc_id").cast("string")
+    x = F.concat(F.lit("\\ref{a"), s, F.lit("} \\cite{b} \\label{c}"))
+    y = F.when(F.col("doc_id") % 3 == 0, "\\cite{ b } \\label{c}").when(F.col("doc_id") % 3 == 1, x).otherwise("")
+    df = exchange.integrity(read(spark, sf_dir, "documents").select("doc_id", x.alias("x"), y.alias("y")), "x", "y")
+    return df.select("doc_id", F.array_join("syntax_error_tokens", ";").alias("lost"), "syntax_error")
+
+
+@query(r"""
+SELECT doc_id, regexp_replace('a \% b ' || doc_id || ' % cut' || chr(10) || '% all' || chr(10) || 'kept', '(^|[^\\])%[^' || chr(10) || ']*', '\1', 'g') AS body FROM documents""")
+def comment_strip(spark, sf_dir):
+    """Lines cut at the first percent sign without a backslash."""
+    t = F.concat(F.lit("a \\% b "), F.col("doc_id").cast("string"), F.lit(" % cut\n% all\nkept"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.strip_comments(t).alias("body"))
+
+
+# ---- orders and jobs -------------------------------------------------------------------------------------------------
+
+_CATALOG = [("a", "small", 1.7, 1.08, 2.0, 8.0, 2.2, 2.0), ("a", "large", 1.7, 1.15, 4.0, 16.0, 2.0, 3.0), ("b", "small", 1.75, 1.08, 4.0, 21.0, 1.8, 3.0)]
+
+
+@query(f"""
+WITH c(provider, model, cpt, ratio, ip, op, markup, least) AS (VALUES {", ".join(f"('{r[0]}', '{r[1]}', {', '.join(f'{x}::DOUBLE' for x in r[2:])})" for r in _CATALOG)}),
+q AS (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS provider, CASE doc_id % 3 WHEN 0 THEN 'large' ELSE 'small' END AS model, length(text) * 1000 AS chars FROM documents),
+t AS (SELECT *, greatest(1, CAST(floor(chars / cpt + 0.9999) AS BIGINT)) AS i, greatest(1, CAST(floor(chars * ratio / cpt + 0.9999) AS BIGINT)) AS o FROM q JOIN c USING (provider, model))
+SELECT doc_id, i AS estimated_input_tokens, o AS estimated_output_tokens, round(i / 1000000.0::DOUBLE * ip + o / 1000000.0::DOUBLE * op, 6) AS raw_cost,
+  round(greatest(least, (i / 1000000.0::DOUBLE * ip + o / 1000000.0::DOUBLE * op) * markup), 2) AS amount FROM t""")
+def quote_pricing(spark, sf_dir):
+    """Tokens and price from a catalog."""
+    catalog = spark.createDataFrame(_CATALOG, "provider string, model string, chars_per_token double, default_output_ratio double, input_price_per_mtok double, output_price_per_mtok double, markup_multiplier double, minimum_price double")
+    r = read(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("provider"), F.when(F.col("doc_id") % 3 == 0, "large").otherwise("small").alias("model"), (F.length("text") * 1000).alias("estimated_chars")
+    )
+    return orders.quote(r, catalog).select("doc_id", "estimated_input_tokens", "estimated_output_tokens", "raw_cost", "amount")
+
+
+@query("""
+SELECT source, CAST(round(sum(CASE doc_id % 3 WHEN 0 THEN n_chars WHEN 1 THEN round(n_chars * 0.45::DOUBLE) ELSE 0 END) * 0.92::DOUBLE) AS BIGINT) AS estimated_chars FROM documents GROUP BY source""")
+def estimate_chars(spark, sf_dir):
+    """The size that a set of files is priced by."""
+    ext = F.element_at(F.array(F.lit("tex"), F.lit("bib"), F.lit("png")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return orders.estimated_chars(read(spark, sf_dir, "documents").select("source", F.col("n_chars").alias("size"), ext.alias("ext")), ["source"])
+
+
+@query("""
+SELECT o_orderkey, abs(o_totalprice - o_totalprice * (1 + (o_orderkey % 5 - 2) * 0.05)) <= greatest(800, floor(o_totalprice * 0.08::DOUBLE)) AS ok FROM orders""")
+def paid_guard(spark, sf_dir):
+    """Whether an estimate is near enough to what was paid for."""
+    new = F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 5 - 2) * F.lit(0.05))
+    return read(spark, sf_dir, "orders").select("o_orderkey", orders.still_paid(F.col("o_totalprice"), new).alias("ok"))
+
+
+@query("SELECT o_orderkey AS job_id, c_custkey AS user_id FROM orders JOIN customer ON o_custkey = c_custkey")
+def job_owner_join(spark, sf_dir):
+    """The owner of each job."""
+    j = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("order_id"))
+    return orders.owners(j, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("user_id")))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def recent_jobs_top50(spark, sf_dir):
+    """The 50 latest."""
+    return orders.recent(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.asc("o_orderkey")])
+
+
+@query("""
+SELECT id, version, state FROM (
+  SELECT o_orderkey AS id, 0 AS version, o_orderstatus AS state FROM orders
+  UNION ALL SELECT o_orderkey, 1, 'X' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey + 10000000, 1, 'N' FROM orders WHERE o_orderkey % 1000 = 0)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1""")
+def order_upsert(spark, sf_dir):
+    """A table after changes."""
+    o = read(spark, sf_dir, "orders")
+    base = o.select(F.col("o_orderkey").alias("id"), F.lit(0).alias("version"), F.col("o_orderstatus").alias("state"))
+    changed = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("version"), F.lit("X").alias("state"))
+    new = o.where("o_orderkey % 1000 = 0").select((F.col("o_orderkey") + 10000000).alias("id"), F.lit(1).alias("version"), F.lit("N").alias("state"))
+    return orders.upsert(base, changed.unionByName(new), ["id"], "version")
+
+
+@query("""
+SELECT user_id, arg_max(event_type, event_id) AS state, arg_max(value, event_id) AS percent, max(event_id) AS "offset", count(*) AS n_events FROM events GROUP BY user_id""")
+def job_status_latest(spark, sf_dir):
+    """The latest event of each job."""
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("offset"), F.col("event_type").alias("state"), F.col("value").alias("percent"))
+    return jobs.status(e, "user_id", "offset", ("state", "percent"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id >= 1500")
+def event_tail(spark, sf_dir):
+    """A log from an offset on."""
+    return jobs.tail(read(spark, sf_dir, "events").select("event_id", "event_type"), 1500, "event_id")
+
+
+@query("""
+SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'processing' WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status FROM events""")
+def order_status_map(spark, sf_dir):
+    """The status of an order by its job's state."""
+    state = F.when(F.col("event_type") == "click", "completed").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    return read(spark, sf_dir, "events").select("user_id", "event_id", orders.order_status(state).alias("status"))
+
+
+@query("""
+WITH b AS (SELECT source, doc_id % 8 AS batch, count(*) AS size FROM documents GROUP BY ALL)
+SELECT source, batch, CAST(size AS BIGINT) AS size, CAST(sum(size) OVER (PARTITION BY source ORDER BY batch) AS BIGINT) AS done, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS total FROM b""")
+def progress_running(spark, sf_dir):
+    """Rows done and in all after each batch."""
+    b = read(spark, sf_dir, "documents").groupBy("source", (F.col("doc_id") % 8).alias("batch")).agg(F.count(F.lit(1)).alias("size"))
+    return jobs.progress(b, ["source"], ["batch"], "size")
+
+
+# ---- summaries, guards, tables ---------------------------------------------------------------------------------------
+
+@query("""
+SELECT lang, source, count(*) AS n, CAST(sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source""")
+def summary_counts(spark, sf_dir):
+    """Counts by category, conditional counts, totals."""
+    return read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 2000).alias("n_long"), F.sum("n_chars").alias("chars"))
+
+
+@query("""
+WITH e AS (SELECT CAST(page_id % 40 AS VARCHAR) AS archive, 'root' || (page_id % 2 * (page_id % 40 % 3)) || '/f' || page_id || CASE page_id % 9 WHEN 0 THEN '.tex' ELSE '.png' END AS name, length(html) AS size FROM pages)
+SELECT archive, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, bool_or(name LIKE '%.tex') AS has_tex,
+  CASE WHEN count(DISTINCT split_part(name, '/', 1)) = 1 THEN min(split_part(name, '/', 1)) END AS common_root,
+  CASE WHEN count(*) > 60 THEN 'too many entries' WHEN sum(size) > 40000 THEN 'too large' WHEN NOT bool_or(name LIKE '%.tex') THEN 'no tex file' END AS issue
+FROM e GROUP BY archive""")
+def archive_guards(spark, sf_dir):
+    """Counts, common root and guards of archives."""
+    i = F.col("page_id")
+    name = F.concat(F.lit("root"), (i % 2 * (i % 40 % 3)).cast("string"), F.lit("/f"), i.cast("string"), F.when(i % 9 == 0, ".tex").otherwise(".png"))
+    e = read(spark, sf_dir, "pages").select((i % 40).cast("string").alias("archive"), name.alias("name"), F.length("html").cast("long").alias("size"), F.lit(False).alias("is_dir"))
+    return orders.archive_report(e, 60, 40000).select("archive", "n", "bytes", "has_tex", "common_root", "issue")
+
+
+@query("""
+WITH m AS (SELECT p_brand, p_size % 4 AS col, greatest(1, max(length(p_name))) AS longest FROM part GROUP BY ALL),
+w AS (SELECT *, greatest(longest / sum(longest) OVER b * 16.0::DOUBLE, 16.0::DOUBLE / (10 * count(*) OVER b)) AS w FROM m WINDOW b AS (PARTITION BY p_brand)),
+o AS (SELECT *, greatest(0.0::DOUBLE, sum(w) OVER b - 16) AS over_, row_number() OVER (PARTITION BY p_brand ORDER BY w DESC, col) AS rn FROM w WINDOW b AS (PARTITION BY p_brand))
+SELECT p_brand, col, CAST(longest AS INTEGER) AS longest, round(w - CASE WHEN rn = 1 THEN over_ ELSE 0 END, 6) AS width FROM o""")
+def column_width(spark, sf_dir):
+    """Column widths in proportion to the longest text."""
+    c = read(spark, sf_dir, "part").select("p_brand", (F.col("p_size") % 4).alias("col"), "p_name")
+    return orders.column_widths(c, ["p_brand"], "col", "p_name", 16.0)
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'heading1' WHEN 1 THEN 'equation' WHEN 2 THEN 'figure' WHEN 3 THEN 'list' ELSE 'paragraph' END AS kind FROM part""")
+def render_classes(spark, sf_dir):
+    """How a paragraph is rendered."""
+    k = F.col("p_size") % 5
+    text = F.when(k == 0, "\\section{A}").when(k == 3, "\\begin{itemize} x").otherwise(F.col("p_name"))
+    label = F.when(k == 1, "式1-2").when(k == 2, "图1-1").otherwise("1.1节")
+    return read(spark, sf_dir, "part").select("p_partkey", render.render_class(text, label).alias("kind"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'section' WHEN 1 THEN 'subsection' WHEN 2 THEN 'figure' WHEN 3 THEN 'math' WHEN 4 THEN 'abstract' WHEN 5 THEN 'code' ELSE 'text' END AS category FROM part""")
+def paragraph_categories(spark, sf_dir):
+    """The category of a paragraph."""
+    k = F.col("p_partkey") % 7
+    t = (
+        F.when(k == 0, "x \\Section*{A}").when(k == 1, "\\paragraph{b} c").when(k == 2, " \\begin{figure*}[t] a").when(k == 3, "\\begin{table} \\begin{align} x \\end{align} \\end{table}")
+        .when(k == 4, "\\section{ Abstract }").when(k == 5, "\\begin{lstlisting}").otherwise(F.col("p_name"))
+    )
+    return read(spark, sf_dir, "part").select("p_partkey", structure.categorize(t).alias("category"))
+
+
+@query("""
+SELECT c_custkey, substr(regexp_replace(c_name || ' /é?' || c_mktsegment, '[^\\p{L}\\p{Nd}._-]', '_', 'g'), 1, 120) AS safe, right(c_name, 5) AS tail,
+  CASE WHEN length(c_name) > 10 THEN left(c_name, 10) || '…' ELSE c_name END AS preview,
+  CASE c_nationkey WHEN 1 THEN '一' WHEN 2 THEN '二' WHEN 10 THEN '十' ELSE CASE WHEN c_nationkey BETWEEN 3 AND 9 THEN substr('三四五六七八九', c_nationkey - 2, 1) ELSE CAST(c_nationkey AS VARCHAR) END END AS numeral
+FROM customer""")
+def text_scalars(spark, sf_dir):
+    """Names, tails, previews, numerals."""
+    c = read(spark, sf_dir, "customer")
+    return c.select(
+        "c_custkey", T.safe_name(F.concat("c_name", F.lit(" /é?"), "c_mktsegment")).alias("safe"), F.right("c_name", F.lit(5)).alias("tail"), T.preview(F.col("c_name"), 10).alias("preview"), T.chinese_number(F.col("c_nationkey")).alias("numeral")
+    )
+
+
+@query()
+def chapter_assignment(spark, sf_dir):
+    """Wanted chapters first, then the smallest free numbers in order of upload."""
+    n = read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") % 10 + 1).cast("int").alias("wanted"))
+    return orders.assign_chapters(n, "n_regionkey", "n_nationkey", "wanted")
