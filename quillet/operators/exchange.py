@@ -152,7 +152,7 @@ def exchange(rows: DataFrame, make_client: Callable[[], Callable[[str, str], str
     spread = rows.repartition(concurrency, "doc_idx", "batch_no") if concurrency else rows.repartition("doc_idx", "batch_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client, held, last = make_client(), [], None
+        client, held, last, kind = make_client(), [], None, None
 
         def send() -> pa.RecordBatch:
             routed = [route(r["text"], rules) for r in held]
@@ -164,9 +164,10 @@ def exchange(rows: DataFrame, make_client: Callable[[], Callable[[str, str], str
             for r, (mode, ts) in zip(held, routed, strict=True):
                 out.append(put_back(r["text"] or "", mode, done[at : at + len(ts)]))
                 at += len(ts)
-            return pa.RecordBatch.from_arrays([pa.array([r["doc_idx"] for r in held]), pa.array([r["id"] for r in held], pa.int32()), pa.array(out, pa.string())], ["doc_idx", "id", "translation"])
+            return pa.RecordBatch.from_arrays([pa.array([r["doc_idx"] for r in held], kind), pa.array([r["id"] for r in held], pa.int32()), pa.array(out, pa.string())], ["doc_idx", "id", "translation"])
 
         for b in batches:
+            kind = b.schema.field("doc_idx").type
             for r in b.to_pylist():
                 key = (r["doc_idx"], r["batch_no"])
                 if held and key != last:

@@ -94,7 +94,7 @@ def replace_references(paragraphs: DataFrame, refs: DataFrame, citations: DataFr
 
         def refer(match):
             command = F.regexp_extract(match, T.REF_COMMAND, 1)
-            whole = F.array_join(F.transform(T.keys_of(F.regexp_extract(match, T.REF_COMMAND, 2)), look), "、")
+            whole = F.array_join(F.transform(T.keys_of(F.regexp_extract(match, T.REF_COMMAND, 2)), lambda k: look(k)), "、")
             return F.when((command == "eqref") & ~whole.rlike(r"[（(【\[]"), F.concat(F.lit("（"), whole, F.lit("）"))).otherwise(whole)
 
         t = T.rewrite(t, T.HYPERREF, lambda k: look(F.trim(k)))
