@@ -143,3 +143,33 @@ def number_by_range(df: DataFrame, order: list[Column], name: str, start: int =
     if not offsets:
         return df.withColumn(name, F.lit(None).cast("long")).where("false")
     return local.withColumn(name, (F.col("_n") + F.create_map(*offsets)[F.col("_part")]).cast("long")).drop("_part", "_n")
+
+
+def merge_runs(df: DataFrame, keys: list[str], order: str, style: str, text: str) -> DataFrame:
+    """Neighbouring rows of equal style as one, their text joined; empty rows go first (gaps and islands)."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    full = df.where(F.col(text) != "").withColumn("_new", F.coalesce((F.lag(style).over(w) != F.col(style)).cast("int"), F.lit(1)))
+    full = full.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    parts = F.array_sort(F.collect_list(F.struct(order, text)))
+    return full.groupBy(*keys, "run").agg(F.first(style).alias(style), F.array_join(F.transform(parts, lambda p: p[text]), "").alias(text))
+
+
+def suffix_repeats(df: DataFrame, keys: list[str], name: str, order: str) -> DataFrame:
+    """Names made unique: the second of a name gets .1, the third .2."""
+    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(order)) - 1
+    return df.withColumn(name, F.when(n > 0, F.concat_ws(".", name, n.cast("string"))).otherwise(F.col(name)))
+
+
+def renumber(local: DataFrame, keys: list[str], old: str, start: int = 1) -> DataFrame:
+    """Ids of each key's own as ids over all: keys in order, old ids in order, `start` first. Counts of keys move, not rows."""
+    per = local.groupBy(*keys).agg(F.countDistinct(old).alias("_n"))
+    # one row for each document: the running offset is a window over those
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(old))
+    return local.withColumn("_r", rank).join(per.withColumn("_at", offset), keys).withColumn("new_id", (F.col("_at") + F.col("_r") + (start - 1)).cast("long")).drop("_r", "_n", "_at")
+
+
+def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], order_left: str, order_right: str) -> DataFrame:
+    """Rows of two tables side by side by their place in each key; unequal numbers leave nulls, which the caller refuses."""
+    number = lambda df, o: df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(o)))
+    return number(left, order_left).join(number(right, order_right), [*keys, "pos"], "full")

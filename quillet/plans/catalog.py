@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fragments
 from ..functions import text as T
 from ..functions.rules import Rules
 from ..operators import bibliography, exchange, orders, references, render, structure
@@ -502,3 +503,133 @@ def chapter_assignment(spark, sf_dir):
     """Wanted chapters first, then the smallest free numbers in order of upload."""
     n = read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") % 10 + 1).cast("int").alias("wanted"))
     return orders.assign_chapters(n, "n_regionkey", "n_nationkey", "wanted")
+
+
+# ---- the rest of the inventory ---------------------------------------------------------------------------------------
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, CAST(event_id % 10 AS VARCHAR) AS t FROM events),
+n AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM n)
+SELECT user_id, run, any_value(event_type) AS event_type, string_agg(t, '' ORDER BY event_id) AS t FROM r GROUP BY user_id, run""")
+def style_runs(spark, sf_dir):
+    """Neighbouring rows of one style as one."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.col("event_id") % 10).cast("string").alias("t"))
+    return structure.merge_runs(e, ["user_id"], "event_id", "event_type", "t")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN n = 1 THEN p_name ELSE p_name || '.' || (n - 1) END AS p_name FROM (
+  SELECT p_partkey, p_brand, p_name, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part)""")
+def collision_suffix(spark, sf_dir):
+    """Names made unique in their folder."""
+    return structure.suffix_repeats(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), ["p_brand"], "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+@query("""SELECT conv_id, turn, dense_rank() OVER (ORDER BY conv_id, turn) + 99 AS new_id FROM conversations""")
+def footnote_renumber(spark, sf_dir):
+    """Ids of each document as ids over all, from the greatest so far on."""
+    return structure.renumber(read(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], "turn", 100)
+
+
+@query("""
+WITH f AS (SELECT doc_id % 50 AS folder, doc_id AS name, CASE doc_id % 3 WHEN 0 THEN 'bib' WHEN 1 THEN 'bbl' ELSE 'tex' END AS ext FROM documents WHERE doc_id % 50 <> 7 OR doc_id % 3 <> 0),
+k AS (SELECT folder, CASE WHEN bool_or(ext = 'bib') THEN 'bib' ELSE 'bbl' END AS ext FROM f WHERE ext <> 'tex' GROUP BY folder)
+SELECT folder, ext, name FROM f JOIN k USING (folder, ext)""")
+def reference_file_kind(spark, sf_dir):
+    """The one kind of bibliography file of each folder."""
+    from ..sources import files
+
+    i = F.col("doc_id")
+    f = read(spark, sf_dir, "documents").select(
+        (i % 50).alias("folder"), i.alias("name"), F.when(i % 3 == 0, "bib").when(i % 3 == 1, "bbl").otherwise("tex").alias("ext"), F.lit(1).alias("depth")
+    ).where("folder <> 7 OR ext <> 'bib'")
+    return files.reference_files(f).select("folder", "ext", "name")
+
+
+@query("""
+SELECT p_partkey, '图' || p_size || '说明(a).' || 'b x' AS spaced, 'A ' || p_name AS title, 'cap ' || p_brand AS caption, 'x_' || p_size || '\\end{align}' AS math, p_name || '  z' AS fragment FROM part""")
+def fragment_scalars(spark, sf_dir):
+    """Spaces, titles, captions and fragments at render time."""
+    p = read(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    return p.select(
+        "p_partkey",
+        fragments.clean_spaces(F.concat(F.lit("图 "), size, F.lit(" 说明(a). b   x"))).alias("spaced"),
+        fragments.clean_title(F.concat(F.lit("\\textbf{A}\\\\\\emph{"), F.col("p_name"), F.lit("}\\thanks % no"))).alias("title"),
+        fragments.caption(F.concat(F.lit("x \\caption{ cap "), F.col("p_brand"), F.lit("} y"))).alias("caption"),
+        fragments.strip_trailing_punctuation(F.concat(F.lit("x_"), size, F.lit(", \\end{align}"))).alias("math"),
+        fragments.sanitize(F.concat(F.lit("\\begin{em}\\caption{"), F.col("p_name"), F.lit("}\\end{em} \\toprule \\bf z"))).alias("fragment"),
+    )
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'h1=' || greatest(6, least(72, c_custkey % 100)) END AS sizes,
+  CASE WHEN c_nationkey % 2 = 0 THEN 'code_bg=AB12' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') ELSE '' END AS colors FROM customer""")
+def settings_clamp(spark, sf_dir):
+    """Settings of a request, whitelisted and clamped."""
+    c = read(spark, sf_dir, "customer")
+    size = F.when(F.col("c_custkey") % 4 == 0, "x").otherwise((F.col("c_custkey") % 100).cast("string"))
+    color = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit(" #ab12"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))).otherwise("red")
+    show = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return c.select(
+        "c_custkey", show(fragments.rendering_settings("sizes", F.create_map(F.lit("h1"), size, F.lit("h9"), F.lit("8")))).alias("sizes"),
+        show(fragments.rendering_settings("colors", F.create_map(F.lit("code_bg"), color))).alias("colors"),
+    )
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'click' THEN 25 + 58 * (event_id % 7)::DOUBLE / 7 ELSE greatest(0, least(100, value)) END AS percent FROM events""")
+def progress_percent(spark, sf_dir):
+    """Percentage of a job, clamped."""
+    e = read(spark, sf_dir, "events")
+    stage = F.when(F.col("event_type") == "click", "translate").otherwise("other")
+    current = F.when(F.col("event_type") == "click", (F.col("event_id") % 7).cast("double")).otherwise(F.col("value"))
+    return e.select("event_id", T.fraction_done(stage, current, F.lit(7)).alias("percent"))
+
+
+@query("""
+SELECT u.c_custkey AS user_id, o.o_orderkey AS session, strftime(o.o_orderdate + INTERVAL 14 DAY, '%Y-%m-%dT%H:%M:%S.%fZ') AS expires_at
+FROM orders o JOIN customer u ON u.c_custkey = o.o_custkey WHERE o.o_orderdate + INTERVAL 14 DAY > TIMESTAMP '1998-01-01'""")
+def live_sessions(spark, sf_dir):
+    """Sessions that have not expired, with their users."""
+    s = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("session"), F.col("o_custkey").alias("user_id"), fragments.iso_utc(F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 14 DAYS")).alias("expires_at")
+    )
+    u = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"))
+    return orders.live_sessions(s, u, F.lit("1998-01-01").cast("timestamp")).select("user_id", "session", "expires_at")
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, '{"state":"' || role || '","percent":' || turn || CASE WHEN turn % 3 = 2 THEN '' ELSE '}' END AS line FROM conversations)
+SELECT conv_id, turn, json_extract_string(line, '$.state') AS state, CAST(json_extract_string(line, '$.percent') AS DOUBLE) AS percent FROM l WHERE json_valid(line)""")
+def event_parse(spark, sf_dir):
+    """Lines of an event log; broken ones go, places stay."""
+    c = read(spark, sf_dir, "conversations")
+    line = F.concat(F.lit('{"state":"'), "role", F.lit('","percent":'), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 2, "").otherwise("}"))
+    from ..sources import events
+
+    return events._parsed(c.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("offset"), line.alias("line"))).select(F.col("job_id").alias("conv_id"), F.col("offset").alias("turn"), "state", "percent")
+
+
+@query("""
+WITH t AS (SELECT n_regionkey AS chapter, n_name AS term, CAST(n_nationkey AS VARCHAR) AS translation FROM nation) SELECT chapter, term, translation FROM t""")
+def glossary_parse(spark, sf_dir):
+    """Glossary JSON to rows."""
+    n = read(spark, sf_dir, "nation")
+    one = F.to_json(F.map_from_arrays(F.array(F.col("n_regionkey").cast("string")), F.array(F.map_from_arrays(F.array("n_name"), F.array(F.col("n_nationkey").cast("string"))))))
+    return exchange.glossary(n.select(one.alias("value")))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(p_partkey AS INTEGER) AS src, CAST(p_partkey * 3 + k AS INTEGER) AS dst, k AS pos FROM part, (VALUES (1), (2), (3)) v(k) WHERE p_partkey * 3 + k < 120),
+w AS (SELECT 0 AS name, 0 AS depth UNION ALL SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.name)
+SELECT CAST(name AS VARCHAR) AS name, depth FROM w""")
+def include_walk(spark, sf_dir):
+    """Files reached from the main file, by depth."""
+    from ..operators import includes
+
+    p = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("pos")).withColumn("dst", F.col("p_partkey") * 3 + F.col("pos")).where("dst < 120")
+    edges = p.select(F.lit("f").alias("folder"), F.col("p_partkey").cast("string").alias("src"), "pos", F.col("dst").cast("string").alias("dst"))
+    root = spark.range(1).select(F.lit("f").alias("folder"), F.col("id").cast("string").alias("name"))
+    return includes.expand_order(root, edges).select("name", F.size("path").alias("depth"))
