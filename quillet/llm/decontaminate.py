@@ -45,7 +45,7 @@ _BASE = 0x9E3779B97F4A7C15
 class Coder:
     """Text to codes of template tokens; a token outside the vocabulary has code -1.
 
-    White-space words are taken apart once and kept; the rest is array arithmetic over their numbers.
+    White-space words are taken apart once and kept; the rest is array arithmetic over the numbers of their kinds.
     """
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
@@ -55,23 +55,37 @@ class Coder:
 
     def _clear(self) -> None:
         self.words: dict[str, int] = {}
-        # by word: first token, tokens, end of sentence; by token: code, capital, number, unit
+        self.alike: dict[tuple, int] = {}
+        # by kind of word: first token, tokens, end of sentence; by token: code, capital, number, unit
         self.of_word = [array("i"), array("i"), array("b")]
         self.of_token = [array("i"), array("b"), array("b"), array("b")]
-        self._add("\x01", True)  # a line's end
-
-    def _add(self, word: str, ends: bool | None = None) -> int:
-        parts = _TOKEN.findall(word)
-        for v, x in zip(self.of_word, (len(self.of_token[0]), len(parts), bool(_ENDS.search(word)) if ends is None else ends), strict=True):
-            v.append(x)
-        for t in parts:
-            low = t.lower()
-            capital = t[0].isupper() and (len(t) == 1 or t[1:].islower())
-            for v, x in zip(self.of_token, (self.vocabulary.get(low, -1), capital, low[0].isdigit(), low in UNITS), strict=True):
+        self.words["\x01"] = self._kind((), True)  # a line's end
+
+    def _token(self, t: str) -> tuple[int, bool, bool, bool]:
+        low = t.lower()
+        return self.vocabulary.get(low, -1), t[0].isupper() and (len(t) == 1 or t[1:].islower()), low[0].isdigit(), low in UNITS
+
+    def _kind(self, tokens: tuple, ends: bool) -> int:
+        """The number that words of equal tokens share."""
+        n = self.alike.get((tokens, ends))
+        if n is None:
+            n = self.alike[tokens, ends] = len(self.of_word[0])
+            for v, x in zip(self.of_word, (len(self.of_token[0]), len(tokens), ends), strict=True):
                 v.append(x)
-        n = self.words[word] = len(self.words)
+            for t in tokens:
+                for v, x in zip(self.of_token, t, strict=True):
+                    v.append(x)
         return n
 
+    def _add(self, word: str) -> None:
+        if word.isalnum():
+            n = self._kind((self._token(word),), False)
+        elif word[:-1].isalnum():
+            n = self._kind((self._token(word[:-1]),), word[-1] in ".!?:;")
+        else:
+            n = self._kind(tuple(map(self._token, _TOKEN.findall(word))), bool(_ENDS.search(word)))
+        self.words[word] = n
+
     def _segment(self, text: str, start: bool) -> tuple[np.ndarray, bool]:
         words = text.replace("\n", " \x01 ").split()
         if not words:
@@ -79,7 +93,7 @@ class Coder:
         if len(self.words) > _WORDS:
             self._clear()
         known = self.words
-        for w in {*words} - known.keys():
+        for w in {w for w in words if w not in known}:
             self._add(w)
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         first, size, ends = (np.frombuffer(v, t)[at] for v, t in zip(self.of_word, ("i4", "i4", "i1"), strict=True))
