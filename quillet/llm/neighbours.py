@@ -7,7 +7,7 @@ takes the `share` of the block with the least footrule (all ties of the last inc
 exact measure. The best of all blocks are merged. A share, not a number, of each block is reranked, so recall does not
 fall as the table grows.
 
-Pivots are the distinct vectors among the `sample` rows of the smallest id hashes, `pivots` at most: a bounded sample.
+Pivots come from the `sample` rows of the smallest id hashes, distinct and well apart, `pivots` at most: a bounded sample.
 Every row is indexed. Nearness is the inner product in double precision.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another size than most
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIVOTS, PREFIX, SHARE, BLOCK, SAMPLE = 256, 128, 0.2, 8192, 1024
+PIVOTS, PREFIX, SHARE, BLOCK, SAMPLE = 256, 255, 0.2, 8192, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -52,9 +52,24 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.uint8)
 
 
+def spread(rows: np.ndarray, most: int, near: float = 0.8) -> np.ndarray:
+    """Up to `most` distinct rows, in order, first those whose cosine with all taken before is at most `near`:
+    a vector that many rows share, exactly or nearly, is no more than one of them while others are left."""
+    rows = np.array(list(dict.fromkeys(map(tuple, rows))), float)
+    if not len(rows):
+        return rows
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    taken: list[int] = []
+    for i in range(len(rows)):
+        if len(taken) < most and (not taken or (unit[taken] @ unit[i]).max() <= near):
+            taken.append(i)
+    rest = [i for i in range(len(rows)) if i not in set(taken)]
+    return rows[(taken + rest)[:most]]
+
+
 def _pivots(base: DataFrame, pivots: int, sample: int) -> np.ndarray:
     rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    return np.array(list(dict.fromkeys(tuple(r.v) for r in rows))[:pivots], float)
+    return spread(np.array([r.v for r in rows], float), pivots)
 
 
 def _search(
@@ -88,8 +103,8 @@ def search(
     block: int = BLOCK, sample: int = SAMPLE,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds, over all rows but its own."""
-    if pivots > 256:
-        raise ValueError("pivots are numbered by one byte: 256 at most")
+    if pivots > 256 or prefix > 255:
+        raise ValueError("pivots and ranks are single bytes: 256 pivots and a prefix of 255 at most")
     base = usable(vectors)
     points = _pivots(base, pivots, sample)
     prefix = min(prefix, len(points))
