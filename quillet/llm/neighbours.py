@@ -77,21 +77,29 @@ def _search(
     pivots: int, share: float, k: int,
 ) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of each query, the places of the best of one block and their scores."""
-    prefix = near.shape[1]
-    posted = np.full((pivots, len(ids)), prefix, np.uint8)
-    posted[near.T, np.arange(len(ids))] = np.arange(prefix, dtype=np.uint8)[:, None]
-    rank = np.arange(prefix, dtype=np.uint8)[:, None]
-    take = max(int(np.ceil(share * len(ids))), min(len(ids), k + 1))
+    prefix, n, width = near.shape[1], len(ids), 1024
+    # the inverted file in strips of columns that a cache holds: rank of each pivot with each vector, `prefix` if it has none
+    at, blocks = np.arange(n), -(-n // width)
+    posted = np.full((blocks, pivots, width), prefix, np.uint8)
+    posted[(at // width)[:, None], near, (at % width)[:, None]] = np.arange(prefix, dtype=np.uint8)
+    larger, total = np.empty((pivots, width), np.uint8), np.empty(blocks * width, np.uint16)
+    take = max(int(np.ceil(share * n)), min(n, k + 1))
     places, scores = [], []
     for i in range(len(query_ids)):
-        there = posted[query_near[i]]
-        footrule = np.add.reduce(np.maximum(there, rank) - np.minimum(there, rank), axis=0, dtype=np.uint16)
+        rank = np.full((pivots, 1), prefix, np.uint8)
+        rank[query_near[i], 0] = np.arange(prefix, dtype=np.uint8)
+        for j in range(blocks):
+            np.maximum(posted[j], rank, out=larger)
+            np.add.reduce(larger, axis=0, dtype=np.uint16, out=total[j * width : (j + 1) * width])
+        # sum |a - b| = 2 sum max(a, b) - sum a - sum b, and the last two are the same for all: total orders as the footrule does
+        footrule = total[:n]
         some = np.flatnonzero(footrule <= np.partition(footrule, take - 1)[take - 1])
         some = some[ids[some] != query_ids[i]]
-        s = (x[some] * q[i]).sum(axis=1)
-        if len(s) > k:
-            good = s >= np.partition(s, len(s) - k)[len(s) - k]
-            some, s = some[good], s[good]
+        rough = x[some] @ q[i]
+        if len(rough) > k:
+            last = np.partition(rough, len(rough) - k)[len(rough) - k]
+            some = some[rough >= last - 1e-9 * (1 + abs(last))]
+        s = (x[some] * q[i]).sum(axis=1)  # the same sum for equal vectors, so ties are ties
         best = np.lexsort((ids[some], -s))[:k]
         places.append(some[best])
         scores.append(s[best])
