@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner take the shuffle files of finished steps before the next one writes its own."""
+    time.sleep(0.3)  # the listeners still hold the step that has just ended
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is cut, and a lost executor costs a reread.
 
@@ -36,8 +45,6 @@ def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    # the shuffles behind the table are garbage now: let the context cleaner take their files before the next step writes its own
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

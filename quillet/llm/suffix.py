@@ -7,9 +7,9 @@ What is left (blocks at the edge of a repeat) is cut into finer blocks for the n
 single suffixes, whose groups of equal windows are exactly the repeats. Widths of the passes: 96, 8, 1 starts.
 
 Digits are 64-bit fingerprints, two of them (121 bits) wherever equality counts; a text is known by 96 bits of two
-hash families, and the blocks of its copies are folded as soon as they meet. Counts are combined before each
-shuffle and joined back, so a hot passage does not have to fit one task. The surviving blocks of each pass, a small
-part of all, are written to the shared folder.
+hash families, so its copies share their ranges. Counts are combined before each
+shuffle and joined back, so a hot passage does not have to fit one task. The counts and the surviving blocks of each
+pass, a small part of all, are written to the shared folder.
 
 Defined cases: a null text counts as empty; texts shorter than the window lose nothing; a row of a repeated doc_id is
 a document of its own; a null doc_id gets its row; other columns are ignored (remove_repeats keeps them); an empty
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._windows import U, blocks
-from .common import stash
+from .common import release, stash
 
 WINDOW, WIDTHS = 200, (96, 8, 1)
 
@@ -111,9 +111,12 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, widths: tuple[int, ..
     todo, settled = None, None
     for width in widths:
         rows = _rows(docs, todo, window, width)
-        again = rows.groupBy("core").agg(F.sum("w").alias("c")).where("c > 1").select("core")
-        alive = stash(rows.join(again, "core").groupBy("core", "hull", "k1", "place").agg(F.sum("w").alias("w")))
-        hulls = alive.groupBy("core", "hull").agg(F.sum("w").alias("c"), F.min(F.struct("k1", "place")).alias("one"))
+        # counts are tables of their own: a join right above its aggregation could not be split where a key is hot
+        again = stash(rows.groupBy("core").agg(F.sum("w").alias("c")).where("c > 1").select("core"))
+        release(docs.sparkSession)
+        alive = stash(rows.join(again, "core"))
+        release(docs.sparkSession)
+        hulls = stash(alive.groupBy("core", "hull").agg(F.sum("w").alias("c"), F.min(F.struct("k1", "place")).alias("one")))
         twice = hulls.where("c > 1")
         done = alive.join(twice.select("core", "hull"), ["core", "hull"], "left_semi").select(*_spot(F.lit(1)))
         settled = done if settled is None else settled.unionByName(done)
@@ -125,6 +128,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, widths: tuple[int, ..
         todo = stash(
             spots.select(*_spot(F.least("c", F.lit(2)))).groupBy("k1", "k2").agg(F.collect_list("r").alias("todo"))
         )
+        release(docs.sparkSession)
     return settled.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
 
 
