@@ -66,17 +66,16 @@ class Node:
 
 def hint_of(attrs: Iterable[tuple[str, str | None]]) -> str:
     """The part of a page that an element's attributes name, or none."""
-    best = "none"
+    roles = set()
     for key, value in attrs:
         value = (value or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return "hidden"
         if key in ("class", "id", "role"):
-            for w in _PARTS.split(value):
-                r = _ROLE.get(w) or _ROLE.get(w.rstrip("s"))
-                if r and (best == "none" or _RANK[r] < _RANK[best]):
-                    best = r
-    return best
+            roles.update(r for w in _PARTS.split(value) if (r := _ROLE.get(w) or _ROLE.get(w.rstrip("s"))))
+    if roles == {"head", "content"}:  # the head of an article, not of the page
+        return "none"
+    return min(roles, key=_RANK.__getitem__, default="none")
 
 
 class Page(HTMLParser):
