@@ -63,56 +63,64 @@ def _list(glue: str, *cs: Column) -> Column:
     return F.array_join(F.filter(F.array(*cs), lambda x: x != ""), glue)
 
 
+def _doi_or(doi: Column, other: Column) -> Column:
+    return F.when(doi != "", F.concat(F.lit(" DOI: "), doi, F.lit("."))).otherwise(other)
+
+
 def citation(entrytype: Column, fields: Column) -> Column:
-    """A GB/T 7714 style citation by type of entry."""
+    """A GB/T 7714 style citation by type of entry.
+
+    The cleaned fields are made once, as one struct; the wording is an expression over that struct, so it stays small
+    however often it mentions a field.
+    """
     f = lambda *names: field(fields, *names)
-    kind = F.lower(F.coalesce(entrytype, F.lit("")))
-    title, year, doi = f("title"), year_of(fields), f("doi")
     explicit = f("url")
-    url = F.when(explicit != "", explicit).otherwise(
-        F.coalesce(F.nullif(url_in(F.try_element_at(fields, F.lit("howpublished"))), F.lit("")), url_in(F.try_element_at(fields, F.lit("note"))))
-    )
-    pages = F.regexp_replace(f("pages"), "--|–", "-")
-    place = f("address", "location")
-    by = authors(f("author"))
-    lead = _if(by, by, ". ")
-    available = _if(url, " Available: ", url, ".")
-
-    journal, volume, number = f("journal", "journaltitle"), f("volume"), f("number", "issue")
-    online = F.lower(journal).rlike("arxiv|preprint")
-    tag = F.when(online, "[EB/OL]").otherwise("[J]")
-    where = _list(", ", journal, year, _if(volume, volume, _if(number, "(", number, ")")))
+    how = F.try_element_at(fields, F.lit("howpublished"))
+    url = F.when(explicit != "", explicit).otherwise(F.coalesce(F.nullif(url_in(how), F.lit("")), url_in(F.try_element_at(fields, F.lit("note")))))
+    parts = {
+        "kind": F.lower(F.coalesce(entrytype, F.lit(""))), "title": f("title"), "year": year_of(fields), "doi": f("doi"), "url": url,
+        "pages": F.regexp_replace(f("pages"), "--|–", "-"), "place": f("address", "location"), "journal": f("journal", "journaltitle"),
+        "volume": f("volume"), "number": f("number", "issue"), "report": f("number"), "book_title": f("booktitle"), "organization": f("organization"),
+        "publisher": f("publisher"), "edition": f("edition"), "type": f("type"), "institution": f("institution"), "school": f("school"),
+        "how": F.when(url_in(how) == "", plain(how)).otherwise(F.lit("")), "note": f("note"),
+        "by": authors(f("author")), "all_by": authors(f("author"), 99), "maker": authors(f("author", "editor")),
+    }
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in parts.items()))), _wording), 0)
+
+
+def _wording(s: Column) -> Column:
+    title, year, place, doi = s["title"], s["year"], s["place"], s["doi"]
+    lead, available = _if(s["by"], s["by"], ". "), _if(s["url"], " Available: ", s["url"], ".")
+
+    online = F.lower(s["journal"]).rlike("arxiv|preprint")
+    where = _list(", ", s["journal"], year, _if(s["volume"], s["volume"], _if(s["number"], "(", s["number"], ")")))
     article = F.concat(
-        lead, title, tag, F.lit(". "), _if(where, where, _if(pages, ": ", pages), "."),
-        F.when(doi != "", F.concat(F.lit(" DOI: "), doi, F.lit("."))).when(online, available).otherwise(F.lit("")),
+        lead, title, F.when(online, "[EB/OL]").otherwise("[J]"), F.lit(". "), _if(where, where, _if(s["pages"], ": ", s["pages"]), "."),
+        _doi_or(doi, F.when(online, available).otherwise(F.lit(""))),
     )
-    book_title, organization = f("booktitle"), f("organization")
     talk = F.concat(
-        lead, title, F.lit("[C]//"), _if(book_title, book_title, ". "), _if(place, place, ": "), _if(organization, organization, ", "), year, _if(pages, ": ", pages)
+        lead, title, F.lit("[C]//"), _if(s["book_title"], s["book_title"], ". "), _if(place, place, ": "), _if(s["organization"], s["organization"], ", "), year, _if(s["pages"], ": ", s["pages"])
     )
-    talk = F.concat(F.regexp_replace(talk, "[, ]+$", ""), F.lit("."), F.when(doi != "", F.concat(F.lit(" DOI: "), doi, F.lit("."))).otherwise(available))
+    talk = F.concat(F.regexp_replace(talk, "[, ]+$", ""), F.lit("."), _doi_or(doi, available))
 
     def published(tag: str, lead_: Column, holder: Column, *rest: Column) -> Column:
         pub = _list(": ", place, holder)
         return F.concat(lead_, title, F.lit(f"{tag}. "), F.when(pub != "", F.concat(pub, _if(year, ", ", year), F.lit("."))).otherwise(_if(year, year, ".")), *rest, available)
 
-    maker = authors(f("author", "editor"))
-    edition, kind_of, report_no = f("edition"), f("type"), f("number")
-    book = published("[M]", _if(maker, maker, ". "), f("publisher"), _if(edition, " ", edition, "."))
-    report = published("[R]", lead, f("institution"), _if(kind_of, " ", kind_of, "."), _if(report_no, " No.", report_no, "."))
-    school, all_by = f("school"), authors(f("author"), 99)
+    kind_of = _if(s["type"], " ", s["type"], ".")
+    book = published("[M]", _if(s["maker"], s["maker"], ". "), s["publisher"], _if(s["edition"], " ", s["edition"], "."))
+    report = published("[R]", lead, s["institution"], kind_of, _if(s["report"], " No.", s["report"], "."))
     thesis = F.concat(
-        _if(all_by, all_by, ". "), title, F.lit("[D]. "), _if(school, _if(place, place, ": "), school), _if(year, ", ", year), F.lit("."), _if(kind_of, " ", kind_of, "."), available
+        _if(s["all_by"], s["all_by"], ". "), title, F.lit("[D]. "), _if(s["school"], _if(place, place, ": "), s["school"]), _if(year, ", ", year), F.lit("."), kind_of, available
     )
-    how, note = plain(F.try_element_at(fields, F.lit("howpublished"))), f("note")
-    rest = _list(", ", F.when(url_in(how) == "", how).otherwise(F.lit("")), year)
-    other = F.concat(lead, title, F.when(url != "", "[EB/OL]").otherwise("[M]"), F.lit(". "), _if(rest, rest, "."), _if(note, " ", note, "."), available)
+    rest = _list(", ", s["how"], year)
+    other = F.concat(lead, title, F.when(s["url"] != "", "[EB/OL]").otherwise("[M]"), F.lit(". "), _if(rest, rest, "."), _if(s["note"], " ", s["note"], "."), available)
     return squeeze(
-        F.when(kind == "article", article)
-        .when(kind.isin("inproceedings", "conference", "proceedings"), talk)
-        .when(kind.isin("book", "inbook"), book)
-        .when(kind.isin("phdthesis", "mastersthesis", "thesis"), thesis)
-        .when(kind.isin("techreport", "report"), report)
+        F.when(s["kind"] == "article", article)
+        .when(s["kind"].isin("inproceedings", "conference", "proceedings"), talk)
+        .when(s["kind"].isin("book", "inbook"), book)
+        .when(s["kind"].isin("phdthesis", "mastersthesis", "thesis"), thesis)
+        .when(s["kind"].isin("techreport", "report"), report)
         .otherwise(other)
     )
 
