@@ -17,16 +17,29 @@ BLOCK_ENVS = tuple(
     "abstract figure figure* table table* equation equation* align align* aligned gather gather* multline multline* flalign flalign* eqnarray eqnarray* itemize enumerate description quote quotation verse center flushleft flushright algorithm algorithm* algorithmic lstlisting verbatim thebibliography".split()
 )
 # Environments that are not translated, but for their captions.
-SKIP_ENVS = tuple("equation equation* align align* gather gather* multline multline* eqnarray eqnarray* figure figure* table table* tabular algorithm algorithmic lstlisting verbatim minted tikzpicture".split())
+SKIP_ENVS = tuple(
+    "equation equation* align align* aligned alignat alignat* gather gather* gathered multline multline* flalign flalign* split cases cases* dcases dcases* rcases rcases* math displaymath subequations "
+    "figure figure* subfigure subfloat wrapfigure SCfigure minipage center tikzpicture picture pspicture floatrow ffigbox "
+    "table table* tabular tabular* tabularx tabulary tabularray longtable supertabular xtab array tabbing sidewaystable subtable "
+    "verbatim verbatim* alltt lstlisting minted tcolorbox mdframed algorithm algorithm* algorithmic algorithmicx algorithm2e algpseudocode".split()
+)
 # Section titles with a standing translation.
-TITLES = {"abstract": "摘要", "introduction": "引言", "related work": "相关工作", "background": "背景", "method": "方法", "methods": "方法", "experiments": "实验", "results": "结果", "discussion": "讨论", "conclusion": "结论", "conclusions": "结论", "acknowledgments": "致谢", "references": "参考文献", "appendix": "附录"}
+TITLES = {
+    "abstract": "摘要", "introduction": "引言", "background": "背景", "related work": "相关工作", "related works": "相关工作", "preliminaries": "预备知识",
+    "problem formulation": "问题建模", "problem statement": "问题描述", "methodology": "方法论", "method": "方法", "methods": "方法", "approach": "方法",
+    "proposed method": "所提方法", "model": "模型", "framework": "框架", "architecture": "架构", "experiment": "实验", "experiments": "实验",
+    "experimental setup": "实验设置", "experimental results": "实验结果", "evaluation": "评估", "results": "结果", "results and discussion": "结果与讨论",
+    "analysis": "分析", "ablation study": "消融实验", "discussion": "讨论", "conclusion": "结论", "conclusions": "结论", "conclusion and future work": "结论与展望",
+    "future work": "未来工作", "limitations": "局限性", "acknowledgement": "致谢", "acknowledgements": "致谢", "acknowledgment": "致谢", "acknowledgments": "致谢",
+    "references": "参考文献", "appendix": "附录", "supplementary material": "补充材料", "supplementary": "补充材料", "notation": "符号说明", "overview": "概述",
+}
 # Markup that has to survive a transformation, by category.
 SYNTAX = {
-    "cite": r"\\cite[a-zA-Z*]*(?:\s*\[[^\]]*\])*\s*\{[^}]+\}",
-    "inline_math": r"(?<!\\)(?<!\$)\$(?!\$)(?:[^$\\]|\\.)+\$(?!\$)",
-    "display_math": r"(?s)\\\[.*?\\\]",
-    "math_env": r"(?s)\\begin\{(?:equation|align|gather|multline|eqnarray)\*?\}.*?\\end\{(?:equation|align|gather|multline|eqnarray)\*?\}",
-    "ref": r"\\(?:ref|eqref|autoref|cref|Cref|pageref)\*?\s*\{[^}]+\}",
+    "cite": r"\\cite[a-zA-Z]*\*?\{[^}]+\}",
+    "inline_math": r"(?s)\$\$?.+?\$\$?",
+    "display_math": r"(?s)\\\[.+?\\\]",
+    "math_env": r"(?s)\\begin\{(?:equation|align|gather|multline|flalign|alignat)\*?\}.*?\\end\{(?:equation|align|gather|multline|flalign|alignat)\*?\}",
+    "ref": r"\\(?:ref|eqref|autoref|cref|Cref|hyperref|pageref)\*?\{[^}]+\}",
     "label": r"\\label\{[^}]+\}",
     "footnote": r"\\footnote\{",
 }

@@ -151,10 +151,10 @@ def clean_cross_references(t: Column) -> Column:
 
 
 def strip_cjk_spaces(t: Column) -> Column:
-    """No blanks between Chinese characters and Latin ones or each other."""
-    cjk, any_ = r"\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}", r"[ \t]+"
-    t = F.regexp_replace(t, rf"(?<=[{cjk}]){any_}(?=[{cjk}A-Za-z0-9\\$])", "")
-    return F.regexp_replace(t, rf"(?<=[A-Za-z0-9}}$]){any_}(?=[{cjk}])", "")
+    """No blanks between Chinese characters and Latin letters or digits."""
+    cjk = r"[\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]"
+    t = F.regexp_replace(t, rf"(?U)(?<={cjk})\s+(?=[A-Za-z0-9])", "")
+    return F.regexp_replace(t, rf"(?U)(?<=[A-Za-z0-9])\s+(?={cjk})", "")
 
 
 def estimate_tokens(t: Column) -> Column:
@@ -167,12 +167,12 @@ def syntax_tokens(t: Column, rules: Rules) -> Column:
 
 
 def _lost(had: Column, has: Column) -> Column:
-    norm = lambda x: F.regexp_replace(x, r"\s+", "")
-    return F.filter(had, lambda k: ~F.array_contains(F.transform(has, norm), norm(k)))
+    norm = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.filter(F.array_distinct(had), lambda k: ~F.array_contains(F.transform(has, norm), norm(k)))
 
 
 def lost_tokens(before: Column, after: Column, rules: Rules) -> Column:
-    """Tokens of before that after no longer has, by their text without white space; as they were written."""
+    """Tokens of before that after no longer has, runs of white space counting as one blank; as they were written."""
     every = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
     return F.flatten(F.array(*(_lost(every(before, p), every(after, p)) for p in rules.syntax.values())))
 

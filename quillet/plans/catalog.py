@@ -316,13 +316,12 @@ def glossary_join(spark, sf_dir):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, '\ref{a' || doc_id || '} \cite{b} \label{c}' AS x, CASE doc_id % 3 WHEN 0 THEN '\cite{ b } \label{c}' WHEN 1 THEN '\ref{a' || doc_id || '} \cite{b} \label{c}' ELSE '' END AS y FROM documents)
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '\ref{a' || doc_id || '}' WHEN 1 THEN '' ELSE '\cite{b};\ref{a' || doc_id || '};\label{c}' END AS lost, doc_id % 3 <> 1 AS syntax_error FROM d""")
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '\ref{a' || doc_id || '}' WHEN 1 THEN '' ELSE '\cite{b c};\ref{a' || doc_id || '};\label{c}' END AS lost, doc_id % 3 <> 1 AS syntax_error FROM documents""")
 def syntax_integrity(spark, sf_dir):
-    """Markup that a transformation lost; blanks do not count."""
+    """Markup that a transformation lost; the width of blanks does not count."""
     s = F.col("doc_id").cast("string")
-    x = F.concat(F.lit("\\ref{a"), s, F.lit("} \\cite{b} \\label{c}"))
-    y = F.when(F.col("doc_id") % 3 == 0, "\\cite{ b } \\label{c}").when(F.col("doc_id") % 3 == 1, x).otherwise("")
+    x = F.concat(F.lit("\\ref{a"), s, F.lit("} \\cite{b c} \\label{c} \\label{c}"))
+    y = F.when(F.col("doc_id") % 3 == 0, "\\cite{b \n c} \\label{c}").when(F.col("doc_id") % 3 == 1, x).otherwise("")
     df = exchange.integrity(read(spark, sf_dir, "documents").select("doc_id", x.alias("x"), y.alias("y")), "x", "y")
     return df.select("doc_id", F.array_join("syntax_error_tokens", ";").alias("lost"), "syntax_error")
 
