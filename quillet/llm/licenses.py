@@ -24,6 +24,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 THRESHOLD = 0.6
 # Licence statements as headers and files word them.
 TEMPLATES = (
@@ -145,7 +147,8 @@ def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFra
     licensed = counted.groupBy("dir").agg(first.alias("m")).select(F.col("dir").alias("above"), F.col("m.own").alias("given"))
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    inherited = (
+    # a table of its own: a join right above its aggregation could not be split where a directory holds a third of all rows
+    inherited = stash(
         rows.select("dir").distinct().select("dir", F.posexplode(ancestors).alias("depth", "above"))
         .join(licensed, "above")
         .groupBy("dir").agg(F.max_by(F.struct("given", "above"), "depth").alias("from"))
