@@ -193,6 +193,36 @@ def missing_keys(spark, sf_dir):
     return references.missing(used, p, ["doc"])
 
 
+def _whole_cites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Keys of all orders and customers against all parts; those beyond the last part do not exist."""
+    s = lambda c: F.col(c).cast("string")
+    o = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("see~\\cite{p"), s("o_orderkey"), F.lit(", p"), s("o_custkey"), F.lit("} and \\citep[a]{p"), (F.col("o_orderkey") % 33).cast("string"), F.lit("}")).alias("text")
+    )
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), s("p_partkey")).alias("key"), (F.col("p_partkey") + 1).alias("id"))
+    return o, p
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, CAST(p_partkey + 1 AS VARCHAR) AS id FROM part)
+SELECT o_orderkey, '\\textsuperscript{[' || coalesce(a.id, '[?]') || ',' || coalesce(b.id, '[?]') || ']}' || '|' || '\\textsuperscript{[' || coalesce(c.id, '[?]') || ']}' AS cites
+FROM orders LEFT JOIN p a ON a.k = o_orderkey LEFT JOIN p b ON b.k = o_custkey LEFT JOIN p c ON c.k = o_orderkey % 33""")
+def cite_resolve_whole(spark, sf_dir):
+    """Citation commands to numbers over the whole table of parts."""
+    o, p = _whole_cites(spark, sf_dir)
+    return references.resolve_citations(o, p, ["o_orderkey"], "[?]").select("o_orderkey", F.array_join("cites", "|").alias("cites"))
+
+
+@query("""
+WITH u AS (SELECT o_orderkey % 4 AS doc, o_orderkey AS k FROM orders UNION ALL SELECT o_orderkey % 4, o_custkey FROM orders UNION ALL SELECT o_orderkey % 4, o_orderkey % 33 FROM orders)
+SELECT doc, 'p' || k AS key, count(*) AS n FROM u WHERE k NOT IN (SELECT p_partkey FROM part) GROUP BY ALL""")
+def missing_keys_whole(spark, sf_dir):
+    """Unknown keys over the whole table of parts."""
+    o, p = _whole_cites(spark, sf_dir)
+    used = references.cite_keys(o.withColumn("doc", F.col("o_orderkey") % 4), ["o_orderkey", "doc"])
+    return references.missing(used, p, ["doc"])
+
+
 @query("""
 SELECT event_id, chapter, '（' || chapter || '.1、[?]）' || ' 见图' || (event_id % 9) || '-' || (event_id % 4) || '。' AS body
 FROM (SELECT event_id, CAST(user_id % 10 AS VARCHAR) AS chapter FROM events)""")
@@ -632,3 +662,17 @@ def include_walk(spark, sf_dir):
     edges = p.select(F.lit("f").alias("folder"), F.col("p_partkey").cast("string").alias("src"), "pos", F.col("dst").cast("string").alias("dst"))
     root = spark.range(1).select(F.lit("f").alias("folder"), F.col("id").cast("string").alias("name"))
     return includes.expand_order(root, edges).select("name", F.size("path").alias("depth"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(p_partkey AS INTEGER) AS src, CAST(p_partkey * 3 + k AS INTEGER) AS dst FROM part, (VALUES (1), (2), (3)) v(k)),
+w AS (SELECT 0 AS name, 0 AS depth UNION ALL SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.name)
+SELECT CAST(name AS VARCHAR) AS name, depth FROM w""")
+def include_walk_whole(spark, sf_dir):
+    """Files reached from the main file, by depth, over the edges of all parts."""
+    from ..operators import includes
+
+    p = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("pos"))
+    edges = p.select(F.lit("f").alias("folder"), F.col("p_partkey").cast("string").alias("src"), "pos", (F.col("p_partkey") * 3 + F.col("pos")).cast("string").alias("dst"))
+    root = spark.range(1).select(F.lit("f").alias("folder"), F.col("id").cast("string").alias("name"))
+    return includes.expand_order(root, edges).select("name", F.size("path").alias("depth"))
