@@ -27,19 +27,73 @@ from pyspark.sql import functions as F
 from .common import stash
 
 THRESHOLD = 0.6
-# Licence statements as headers and files word them.
+# Licence statements as headers and files word them, and the first words of licence bodies.
+# A GNU licence without a version is its family; reserved rights have the name that sorts last, so an equal grant wins.
 TEMPLATES = (
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("GPL", "This work is licensed under the GNU General Public License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL", "This work is licensed under the GNU Lesser General Public License."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("Proprietary", "All rights reserved."),
 )
 # Words that say nothing about a licence.
 STOP = ("a", "and", "by", "form", "in", "is", "of", "or", "the", "this", "to", "under", "v", "work", "for", "with")
@@ -54,6 +108,15 @@ def _terms(text: str) -> list[str]:
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in _terms(text)})
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of all words by common beginnings, so that a place is tried once for each letter and not for each word."""
+    heads: dict[str, list[str]] = {}
+    for w in filter(None, words):
+        heads.setdefault(w[0], []).append(w[1:])
+    some = "|".join(re.escape(c) + _any_of(rest) for c, rest in heads.items())
+    return f"(?:{some})" + ("?" if "" in words else "") if some else ""
+
+
 def _array(values, kind: str) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")
 
@@ -75,7 +138,7 @@ def weights(docs: DataFrame) -> tuple[list[float], float]:
 
 def best_statement(text: Column, idf: list[float], unseen: float) -> Column:
     """struct(score, license, n_terms) of the best statement of a text, null if no statement holds a template's term."""
-    some = r"(?:^|[^a-z0-9.-])(?:" + "|".join(re.escape(t) for t in VOCABULARY) + r")(?:[^a-z0-9]|$)"
+    some = r"(?:^|[^a-z0-9.-])" + _any_of(VOCABULARY) + r"(?:[^a-z0-9]|$)"
     statements = F.filter(F.split(text, BREAK, -1), lambda s: F.lower(s).rlike(some))
     idf_array = _array(idf, "double")
     templates = []
@@ -83,7 +146,7 @@ def best_statement(text: Column, idf: list[float], unseen: float) -> Column:
         own = _terms(t)
         w = [own.count(v) * idf[i] for i, v in enumerate(VOCABULARY)]
         norm = sum(x * x for x in w) ** 0.5
-        templates.append((name, [x / norm for x in w]))
+        templates.append((name, {i: x / norm for i, x in enumerate(w) if x}))
 
     # one transform for each step: an expression inside a lambda is computed anew wherever it is written
     listed = F.transform(statements, _tokens)
@@ -105,8 +168,8 @@ def best_statement(text: Column, idf: list[float], unseen: float) -> Column:
     )
 
     def compare(s: Column) -> Column:
-        def dot(w: list[float]) -> Column:
-            both = F.aggregate(F.zip_with(s["line"], _array(w, "double"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        def dot(w: dict[int, float]) -> Column:
+            both = sum((F.get(s["line"], F.lit(i)) * F.lit(x) for i, x in w.items()), F.lit(0.0))
             return F.round(F.when(s["norm"] > 0, both / s["norm"]).otherwise(F.lit(0.0)), 6)
 
         return F.array(*(F.struct(dot(w).alias("score"), F.lit(name).alias("license"), s["n"].alias("n_terms")) for name, w in templates))

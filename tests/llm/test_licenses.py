@@ -88,3 +88,31 @@ def test_plan_is_native(spark):
 
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, p string, text string"), F.col("p")).count() == 0
+
+
+def test_families_and_bodies(spark):
+    says = {
+        "All rights reserved.": "Proprietary",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
+        "Copyright X. All rights reserved.\nPermission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
+        "Permission to use, copy, modify, and/or distribute this software for any": "ISC",
+        "Redistribution and use in source and binary forms, with or without": "BSD-2-Clause",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under CC0 1.0.": "CC0-1.0",
+        "Licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "GNU GENERAL PUBLIC LICENSE": "GPL",
+        "GNU Affero General Public License, version 3": "AGPL-3.0",
+        "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+    }
+    rows = [(i, f"{i}/LICENSE", t) for i, t in enumerate(says)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(says.values())
+
+
+def test_any_of_holds_the_words():
+    pattern = re.compile(licenses._any_of(licenses.VOCABULARY))
+    assert all(pattern.fullmatch(v) for v in licenses.VOCABULARY)
+    assert not any(pattern.fullmatch(v + "q") or pattern.fullmatch(v[:-1]) and v[:-1] not in licenses.VOCABULARY for v in licenses.VOCABULARY)
