@@ -2,9 +2,10 @@
 
 Documents and benchmark items become the same token stream: lower-cased words, with numbers, names (capitalised words
 inside a sentence) and units (a unit word after a number) replaced by typed placeholders. Windows of `window` template
-tokens are joined on their hash. The windows of a pair are then laid over each other: those on one diagonal form an
+tokens are joined on their hash. A number with points or commas in it and a run of names are one token each. The windows
+of a pair are then laid over each other: those on one diagonal, or in order on diagonals at most a window apart, form an
 alignment, and its slots must be consistent - equal values in the item stand for equal values in the document and the
-other way round. A document holds an item if a consistent alignment covers at least `cover` of the item's windows, so
+other way round. Of an inconsistent alignment only the windows count whose values are the item's. A document holds an item if a consistent alignment covers at least `cover` of the item's windows, so
 a question asked again with other numbers and names is found as well as a verbatim copy.
 
 The benchmark side is broadcast in blocks of at most `block_bytes` of text, each block checked against that bound; all
@@ -37,7 +38,7 @@ UNITS = frozenset(
     "percent usd eur dollar dollars euro euros cent cents degree degrees kmh mph w kw mw v hz khz mhz ghz byte bytes kb mb gb tb".split()
 )
 NUMBER, NAME, UNIT = "\x00num", "\x00name", "\x00unit"
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)+[^\W_]*|[^\W_]+")
 _ENDS = re.compile(r"[.!?:;][^\w]*$")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -114,6 +115,18 @@ class Coder:
         return np.where(num, self.number, out).astype(np.int64), bool(ends[-1])
 
     def codes(self, text: str) -> np.ndarray:
+        return self.parse(text)[0]
+
+    def parse(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Codes with a run of names as one token, and the first word token of each."""
+        raw = self._raw(text)
+        first = np.ones(len(raw), bool)
+        if self.name >= 0:
+            first[1:] = (raw[1:] != self.name) | (raw[:-1] != self.name)
+        starts = np.flatnonzero(first)
+        return raw[starts], starts
+
+    def _raw(self, text: str) -> np.ndarray:
         if len(text) <= _SEGMENT:
             return self._segment(text, True)[0]
         out, at, start = [], 0, True
@@ -131,6 +144,12 @@ def _values(text: str) -> list[str]:
     return [t.lower() for w in text.split() for t in _TOKEN.findall(w)]
 
 
+def _slots(text: str, starts: np.ndarray) -> list[str]:
+    """The values of the tokens that start at starts."""
+    raw = _values(text)
+    return [" ".join(raw[a:b]) for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+
+
 def _hashes(codes: np.ndarray, window: int) -> np.ndarray:
     n = len(codes) - window + 1
     if n <= 0:
@@ -155,7 +174,7 @@ class Index:
         self.items, self.codes, self.values, self.windows = [], [], [], []
         keys, owner, place = [], [], []
         for item, text in items:
-            codes = coder.codes(text)
+            codes, starts = coder.parse(text)
             if len(codes) < window:
                 continue
             literal = np.convolve(codes > 3, np.ones(window, int), "valid")
@@ -167,7 +186,7 @@ class Index:
             place.append(good)
             self.items.append(item)
             self.codes.append(codes)
-            self.values.append(_values(text))
+            self.values.append(_slots(text, starts))
             self.windows.append(len(good))
         self.keys, self.owner, self.place = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (owner, int), (place, int)))
         order = np.argsort(self.keys, kind="stable")
@@ -178,7 +197,7 @@ class Index:
         w = self.window
         if not text or not len(self.keys):
             return []
-        codes = coder.codes(text)
+        codes, first = coder.parse(text)
         if len(codes) < w:
             return []
         bad = np.cumsum(np.r_[0, codes < 0])
@@ -193,30 +212,66 @@ class Index:
         if not len(starts):
             return []
         hits = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))
-        owner, shift = self.owner[hits], np.repeat(starts, hi - lo) - self.place[hits]
-        lines, inverse, count = np.unique(np.stack([owner, shift], 1), axis=0, return_inverse=True, return_counts=True)
-        values, best = None, {}
+        owner, place, at = self.owner[hits], self.place[hits], np.repeat(starts, hi - lo)
+        pairs = np.unique(np.stack([owner, place], 1), axis=0)
+        some, count = np.unique(pairs[:, 0], return_counts=True)
+        values, best = None, []
+        for i in some[count >= self.cover * np.array(self.windows)[some]]:
+            mine = owner == i
+            values = values or _slots(text, first)
+            found = self._align(int(i), place[mine], at[mine], codes, values)
+            if found:
+                best.append((self.items[i], found[0], self.windows[i], found[1]))
+        return best
+
+    def _align(self, i: int, place: np.ndarray, at: np.ndarray, codes: np.ndarray, values: list[str]) -> tuple[int, bool] | None:
+        """Matched windows and whether all values are the item's, of the first alignment that covers the item: the
+        fullest diagonals by themselves, then neighbouring ones joined in order."""
+        need, shift = self.cover * self.windows[i], at - place
+        lines, inverse, count = np.unique(shift, return_inverse=True, return_counts=True)
         for k in np.argsort(-count, kind="stable"):
-            i, d = map(int, lines[k])
-            if count[k] < self.cover * self.windows[i] or i in best:
+            if count[k] < need:
+                break
+            found = self._consistent(i, place[inverse == k], at[inverse == k], codes, values)
+            if found:
+                return found
+        group = np.cumsum(np.r_[0, np.diff(lines) > self.window])
+        for g in range(group[-1] + 1):
+            members = np.flatnonzero(group == g)
+            if len(members) == 1 or len(np.unique(place[np.isin(inverse, members)])) < need:
                 continue
-            values = values or _values(text)
-            touched = np.zeros(len(self.codes[i]), bool)
-            for p in self.place[hits[inverse.reshape(-1) == k]]:
-                touched[p : p + w] = True
-            there: dict[str, str] = {}
-            back: dict[str, str] = {}
-            consistent = same = True
-            for p in np.flatnonzero(touched):
-                a, b = self.values[i][p], values[p + d]
-                if self.codes[i][p] != codes[p + d]:
-                    consistent = False  # two windows of one hash
-                if self.codes[i][p] <= 3:
-                    same &= a == b
-                    consistent &= there.setdefault(a, b) == b and back.setdefault(b, a) == a
-            if consistent:
-                best[i] = (self.items[i], int(count[k]), self.windows[i], same)
-        return list(best.values())
+            taken = np.full(len(self.codes[i]), -1)
+            for k in members[np.argsort(-count[members], kind="stable")]:
+                p = place[inverse == k]
+                before = np.maximum.accumulate(taken)
+                after = np.minimum.accumulate(np.where(taken < 0, len(codes), taken)[::-1])[::-1]
+                p = p[(taken[p] < 0) & (before[p] < p + lines[k]) & (p + lines[k] < after[p])]
+                taken[p] = p + lines[k]
+            p = np.flatnonzero(taken >= 0)
+            found = self._consistent(i, p, taken[p], codes, values) if len(p) >= need else None
+            if found:
+                return found
+        return None
+
+    def _consistent(self, i: int, place: np.ndarray, at: np.ndarray, codes: np.ndarray, values: list[str]) -> tuple[int, bool] | None:
+        """All windows if their slots agree, else those whose values are the item's."""
+        need, steps = self.cover * self.windows[i], np.arange(self.window)
+        inner, outer = place[:, None] + steps, at[:, None] + steps
+        whole = (self.codes[i][inner] == codes[outer]).all(axis=1)  # or two windows of one hash
+        inner, outer = inner[whole], outer[whole]
+        slots = self.codes[i][inner] <= 3
+        there: dict[str, str] = {}
+        back: dict[str, str] = {}
+        consistent, other = True, set()
+        for p, q in set(zip(inner[slots].tolist(), outer[slots].tolist(), strict=True)):
+            a, b = self.values[i][p], values[q]
+            if a != b:
+                other.add((p, q))
+            consistent &= there.setdefault(a, b) == b and back.setdefault(b, a) == a
+        if consistent:
+            return (len(inner), not other) if len(inner) >= need else None
+        n = sum(not other.intersection(zip(x, y, strict=True)) for x, y in zip(inner.tolist(), outer.tolist(), strict=True))
+        return (n, False) if n >= need else None
 
 
 def _indexes(benchmark: DataFrame, window: int, cover: float, block_bytes: int) -> Iterator[Index]:

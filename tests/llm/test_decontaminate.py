@@ -80,3 +80,21 @@ def test_empty_tables(spark):
     assert d.contaminated(docs.where("false"), bench).count() == 0
     assert d.contaminated(docs, bench.where("false")).count() == 0
     assert d.drop_contaminated(docs, bench.where("false")).count() == 1
+
+
+def holds(item, text):
+    index = d.Index([(1, item)], d.WINDOW, d.COVER)
+    return [m[0] for m in index.matches(d.Coder(index.vocabulary), text)] == [1]
+
+
+def test_alignments_with_gaps_other_widths_and_edits():
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59))
+    split = item.split()
+    assert len(split) == 59 and holds(item, item)
+    assert holds(item, " ".join([*split[:29], "inserted", *split[29:]]))
+    assert holds(item, " ".join([*split[:29], *split[30:]]))
+    assert not holds(item, " ".join(split[30:] + split[:15][::-1]))
+    story = "the shop sold 12 pears to Ann before noon and then it sold 40 plums to Bert until the evening came at last"
+    assert holds(story, "the shop sold 3.5 pears to Mary Ann before noon and then it sold 1,000 plums to Carl until the evening came at last")
+    equal = "we put 5 red balls in the first old box and we put 5 blue balls in the second new box and close both lids well today"
+    assert holds(equal, equal.replace("5 blue", "6 blue"))
