@@ -10,11 +10,11 @@ a question asked again with other numbers and names is found as well as a verbat
 
 The benchmark side is broadcast in blocks of at most `block_bytes` of text, each block checked against that bound; all
 blocks are joined against all documents. Windows with fewer literal than placeholder tokens say too little and are left
-out, and so are items without any window. Only windows whose tokens all occur in the block reach the join, and only
+out; an item without any window is looked for as a whole, word by word with its own values. Only windows whose tokens all occur in the block reach the join, and only
 matches leave a task.
 
 Defined cases: null and empty texts match nothing; repeated documents and items (the same id) each count by their
-distinct (doc_id, item_id) pair, the best alignment winning; a null doc_id is reported with a null id; other columns are
+distinct (doc_id, item_id) pair, the best alignment winning; a null id of either is reported as null; other columns are
 ignored (drop_contaminated keeps them); an empty table on either side gives an empty result.
 """
 
@@ -172,14 +172,19 @@ class Index:
                 self.vocabulary.setdefault(t, len(self.vocabulary) + 1)
         coder = Coder(self.vocabulary)
         self.items, self.codes, self.values, self.windows = [], [], [], []
+        # items without a window, by the number of words that they are looked up by
+        self.exact: dict[int, dict[tuple, list[tuple[int, tuple]]]] = {}
         keys, owner, place = [], [], []
         for item, text in items:
             codes, starts = coder.parse(text)
-            if len(codes) < window:
-                continue
-            literal = np.convolve(codes > 3, np.ones(window, int), "valid")
-            good = np.flatnonzero(2 * literal >= window)
+            good = np.empty(0, int)
+            if len(codes) >= window:
+                good = np.flatnonzero(2 * np.convolve(codes > 3, np.ones(window, int), "valid") >= window)
             if not len(good):
+                words = tuple(_values(text))
+                if words:
+                    head = words[:window]
+                    self.exact.setdefault(len(head), {}).setdefault(head, []).append((item, words))
                 continue
             keys.append(_hashes(codes, window)[good])
             owner.append(np.full(len(good), len(self.items)))
@@ -192,10 +197,28 @@ class Index:
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owner, self.place = self.keys[order], self.owner[order], self.place[order]
 
+    def _exactly(self, text: str) -> list[tuple[int, int, int, bool]]:
+        """Items without a window that the text holds word by word."""
+        words, found = _values(text), {}
+        codes = np.array([self.vocabulary.get(w, -1) for w in words], np.int64)
+        for size, heads in self.exact.items():
+            keys = np.concatenate([_hashes(np.array([self.vocabulary[w] for w in h]), size) for h in heads])
+            for at in np.flatnonzero(np.isin(_hashes(codes, size), keys)):
+                for item, whole in heads.get(tuple(words[at : at + size]), ()):
+                    if tuple(words[at : at + len(whole)]) == whole:
+                        found[item] = (item, 1, 1, True)
+        return list(found.values())
+
     def matches(self, coder: Coder, text: str | None) -> list[tuple[int, int, int, bool]]:
-        """(item, matched windows, windows of the item, whether all slot values are the item's) of each item the text holds."""
+        """(item, matched windows, windows of the item, whether all slot values are the item's) of each item the text
+        holds; an item without a window is its own window."""
+        if not text:
+            return []
+        return (self._exactly(text) if self.exact else []) + self._windowed(coder, text)
+
+    def _windowed(self, coder: Coder, text: str) -> list[tuple[int, int, int, bool]]:
         w = self.window
-        if not text or not len(self.keys):
+        if not len(self.keys):
             return []
         codes, first = coder.parse(text)
         if len(codes) < w:
@@ -276,7 +299,7 @@ class Index:
 
 def _indexes(benchmark: DataFrame, window: int, cover: float, block_bytes: int) -> Iterator[Index]:
     """The benchmark in blocks of a checked size."""
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
     total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     blocks = -(-total // block_bytes)
     for k in range(blocks):

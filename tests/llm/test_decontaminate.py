@@ -98,3 +98,12 @@ def test_alignments_with_gaps_other_widths_and_edits():
     assert holds(story, "the shop sold 3.5 pears to Mary Ann before noon and then it sold 1,000 plums to Carl until the evening came at last")
     equal = "we put 5 red balls in the first old box and we put 5 blue balls in the second new box and close both lids well today"
     assert holds(equal, equal.replace("5 blue", "6 blue"))
+
+
+def test_items_without_windows_or_ids(spark):
+    items = [(1, "What is 17 + 25?"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (None, ITEMS[1][1]), (4, "!?")]
+    rows = [(1, "So: what is 17 + 25? It is 42."), (2, "what is 17 + 26"), (3, "count 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12!"), (4, "1 2 3 4 5 6 7 8 9 10 11 13"), (5, ITEMS[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()} == {(1, 1), (3, 2), (5, None)}
+    assert sorted(r.doc_id for r in d.drop_contaminated(docs, bench).collect()) == [2, 4]
