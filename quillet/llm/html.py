@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select option textarea button meta link".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "thead": ("tr", "td", "th")}
@@ -122,6 +123,8 @@ class Page(HTMLParser):
         return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop()
         if tag in CLOSES_P:
             self._close(("p",), ("button", "td", "th", "table"))
         if tag in SIBLINGS:
@@ -144,6 +147,12 @@ class Page(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in ("svg", "math"):  # a slash ends these alone
+            self._pop()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A declaration in brackets is a comment to the next >."""
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
@@ -157,6 +166,8 @@ class Page(HTMLParser):
                 return  # the block that held it ended already
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][0] == "head" and data.strip():
+            self._pop()
         if self.silent:
             return
         block = self.open[-1][1]

@@ -80,3 +80,14 @@ def test_odd_pages(spark):
     assert by[(None, "u")].text == "plain text & more"
     assert by[(3, "u")].n_chars == 330000 - 1
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_the_rest_of_the_page_stays():
+    text = lambda page: " ".join("".join(r) for _, r in html.Page(page).runs)
+    assert text("<p>One.</p><![foo bar]><p>Two.</p><![><p>Three.</p>") == "One. Two. Three."
+    assert text("<p>One.</p><![foo") == "One."
+    assert text("<html><head><title>T</title><meta charset=u><body><p>One.</p></body></html>") == "One."
+    assert text("<head><title>T</title><link rel=x><p>One.</p>") == "One."
+    assert text("<head><style>p{}</style>One.") == "One."
+    assert text("<article><p>One.</p><svg class=i /><p>Two.</p><math/>Three.</article>") == "One. Two. Three."
+    assert text("<svg><path d=x /><text>no</text></svg><p>One.</p>") == "One."
