@@ -3,8 +3,8 @@
 A vector is represented by its nearest pivots in order. The vectors are dealt into blocks; a block's inverted file posts,
 under each pivot, the rank that the pivot has with every vector of the block. A query adds up, over its own nearest
 pivots, the distance of ranks (Spearman's footrule; a vector that does not have the pivot counts as rank `prefix`),
-takes the `share` of the block with the least footrule (all ties of the last included) and ranks these anew by the
-exact measure. The best of all blocks are merged. A share, not a number, of each block is reranked, so recall does not
+takes the `share` of the block with the greatest length times the cosine that the footrule may stand for (all ties of the
+last included; with equal lengths these are the least footrules) and ranks these anew by the exact measure. The best of all blocks are merged. A share, not a number, of each block is reranked, so recall does not
 fall as the table grows.
 
 Pivots come from the `sample` rows of the smallest id hashes, distinct and well apart, `pivots` at most: a bounded sample.
@@ -69,7 +69,8 @@ def spread(rows: np.ndarray, most: int, near: float = 0.8) -> np.ndarray:
 
 def _pivots(base: DataFrame, pivots: int, sample: int) -> np.ndarray:
     rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    return spread(np.array([r.v for r in rows], float), pivots)
+    points = spread(np.array([r.v for r in rows], float), pivots)
+    return points / np.linalg.norm(points, axis=1, keepdims=True) if len(points) else points
 
 
 def _search(
@@ -83,6 +84,12 @@ def _search(
     posted = np.full((blocks, pivots, width), prefix, np.uint8)
     posted[(at // width)[:, None], near, (at % width)[:, None]] = np.arange(prefix, dtype=np.uint8)
     larger, total = np.empty((pivots, width), np.uint8), np.empty(blocks * width, np.uint16)
+    # the footrule of unrelated orders stands for a cosine of 0, none for 1
+    ranks = np.minimum(np.arange(pivots), prefix)
+    far = np.abs(ranks[:, None] - ranks).sum() / pivots or 1
+    blur = 2 / pivots**0.5  # how far such a cosine may be off: a long vector just below 0 by it may be near
+    length = np.linalg.norm(x, axis=1)
+    length = np.round(length / length.max(), 6)  # equal but for rounding is equal
     take = max(int(np.ceil(share * n)), min(n, k + 1))
     places, scores = [], []
     for i in range(len(query_ids)):
@@ -92,8 +99,9 @@ def _search(
             np.maximum(posted[j], rank, out=larger)
             np.add.reduce(larger, axis=0, dtype=np.uint16, out=total[j * width : (j + 1) * width])
         # sum |a - b| = 2 sum max(a, b) - sum a - sum b, and the last two are the same for all: total orders as the footrule does
-        footrule = total[:n]
-        some = np.flatnonzero(footrule <= np.partition(footrule, take - 1)[take - 1])
+        footrule = 2.0 * (total[:n] - float(ranks.sum()))
+        likely = length * (1 - footrule / far + blur)
+        some = np.flatnonzero(likely >= np.partition(likely, n - take)[n - take])
         some = some[ids[some] != query_ids[i]]
         rough = x[some] @ q[i]
         if len(rough) > k:

@@ -61,3 +61,17 @@ def test_rows_that_take_no_part(spark):
     assert {q: [v for v, _ in m] for q, m in got.items()} == {0: [1, 20], 20: [1, 0]}
     assert run(spark, rows[:0]) == {}
     assert run(spark, [(1, [1.0])]) == {}
+
+
+def test_recall_with_unequal_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tenfold = np.where(np.arange(4000) % 100 == 7, 10.0, 1.0)
+    for lengths in (rng.lognormal(sigma=0.5, size=4000), tenfold):
+        y = (x * lengths[:, None]).astype(np.float32)
+        got = run(spark, [(i, v.tolist()) for i, v in enumerate(y)])
+        want = brute(np.arange(len(y)), y.astype(float))
+        hit = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+        print("recall", hit / (20 * len(want)))
+        assert hit / (20 * len(want)) >= 0.95
