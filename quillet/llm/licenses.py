@@ -136,10 +136,8 @@ def weights(docs: DataFrame) -> tuple[list[float], float]:
     return [math.log((row.n + 1) / (c + 1)) + 1 for c in row.df], math.log(row.n + 1) + 1
 
 
-def best_statement(text: Column, idf: list[float], unseen: float) -> Column:
-    """struct(score, license, n_terms) of the best statement of a text, null if no statement holds a template's term."""
-    some = r"(?:^|[^a-z0-9.-])" + _any_of(VOCABULARY) + r"(?:[^a-z0-9]|$)"
-    statements = F.filter(F.split(text, BREAK, -1), lambda s: F.lower(s).rlike(some))
+def best_statement(text: Column, idf: list[float], unseen: float, threshold: float = THRESHOLD) -> Column:
+    """struct(score, license, n_terms) of the best statement of a text, null if no statement can reach threshold."""
     idf_array = _array(idf, "double")
     templates = []
     for name, t in TEMPLATES:
@@ -148,6 +146,15 @@ def best_statement(text: Column, idf: list[float], unseen: float) -> Column:
         norm = sum(x * x for x in w) ** 0.5
         templates.append((name, {i: x / norm for i, x in enumerate(w) if x}))
 
+    # the most common terms by which alone no template reaches the threshold: a statement of no other need not be compared
+    weak: set[int] = set()
+    for i in sorted(range(len(idf)), key=idf.__getitem__):
+        if any(sum(w.get(j, 0.0) ** 2 for j in weak | {i}) >= (threshold - 0.001) ** 2 for _, w in templates) or threshold <= 0.001:
+            break
+        weak.add(i)
+    some = r"(?:^|[^a-z0-9.-])" + _any_of([v for i, v in enumerate(VOCABULARY) if i not in weak]) + r"(?:[^a-z0-9]|$)"
+    statements = F.filter(F.split(text, BREAK, -1), lambda s: F.lower(s).rlike(some))
+
     # one transform for each step: an expression inside a lambda is computed anew wherever it is written
     listed = F.transform(statements, _tokens)
     counted = F.transform(
@@ -193,7 +200,7 @@ def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFra
     idf, unseen = weights(docs)
     clean = F.regexp_replace(F.coalesce(path.cast("string"), F.lit("")), "^/+|/+$", "")
     found = docs.select(
-        F.col("doc_id").cast("long"), clean.alias("path"), best_statement(F.col("text"), idf, unseen).alias("b"),
+        F.col("doc_id").cast("long"), clean.alias("path"), best_statement(F.col("text"), idf, unseen, threshold).alias("b"),
         "text",
     )
     own = F.col("b.score") >= threshold
