@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,35 +19,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where the session names none, a temporary
+    folder under a local master (tests) and the warehouse elsewhere."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
+    if not where and spark.sparkContext.master.startswith("local"):
         where = _UNSET.setdefault("dir", "") or _UNSET.update(dir=tempfile.mkdtemp(prefix="quillet-")) or _UNSET["dir"]
-    return where.rstrip("/")
+    return (where or f"{spark.conf.get('spark.sql.warehouse.dir')}/quillet").rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner take the shuffle files of finished steps before the next one writes its own."""
-    time.sleep(0.3)  # the listeners still hold the step that has just ended
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is cut, and a lost executor costs a reread.
 
     The table outlives the call because the returned frame is lazy; the folder belongs to the
-    cluster's own expiry of spark.checkpoint.dir.
+    cluster's own expiry of spark.checkpoint.dir. `drop` removes one that is no longer read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*stashes: DataFrame) -> None:
+    """Delete the files of stashes that nothing will read again."""
+    for df in stashes:
+        for name in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs as a table in the shared folder, its columns renamed c0, c1, ..., with a row id `rid`, and the number of its buckets.
+
+    Rows stay where they were read: buckets are those of `part`, the number of the task that read a row, so writing the
+    table moves nothing, and a table of (part, rid) dealt to the same buckets joins it without moving a text (see in_place).
+    """
+    spark = docs.sparkSession
+    name, buckets = f"quillet_{uuid.uuid4().hex}", min(4 * docs.rdd.getNumPartitions() or 1, 65_536)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("rid", F.monotonically_increasing_id())
+    rows = rows.withColumn("part", F.shiftright("rid", 33).cast("int"))
+    out = rows.write.bucketBy(buckets, "part").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
+    out.saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalog alone: the files stay, and found knows them
+    return found, buckets
+
+
+@contextmanager
+def in_place(spark: SparkSession) -> Iterator[None]:
+    """While a plan is made inside, a join on (part, rid) may use the buckets of `part` as they lie; the session's own
+    setting comes back afterwards. What is planned outside moves both sides, with the same result."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """df(rid, ...) with its rid's part, dealt as a placed table is."""
+    return df.withColumn("part", F.shiftright("rid", 33).cast("int")).repartition(buckets, "part").hint("shuffle_hash")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long) as (node, root), root the smallest node; nodes without edge are absent.
 

@@ -6,10 +6,10 @@ digit, drops groups of one, and settles a block whose whole hull occurs again: a
 What is left (blocks at the edge of a repeat) is cut into finer blocks for the next, less significant pass, down to
 single suffixes, whose groups of equal windows are exactly the repeats. Widths of the passes: 96, 8, 1 starts.
 
-Digits are 64-bit fingerprints, two of them (121 bits) wherever equality counts; a text is known by 96 bits of two
-hash families, so its copies share their ranges. Counts are combined before each
+Digits are 64-bit fingerprints, two of them (121 bits) wherever equality counts. The texts are written once, where they
+were read (common.placed): passes and the cut join them by row without moving a text. Counts are combined before each
 shuffle and joined back, so a hot passage does not have to fit one task. The counts and the surviving blocks of each
-pass, a small part of all, are written to the shared folder.
+pass, a small part of all, are written to the shared folder and deleted once used.
 
 Defined cases: a null text counts as empty; texts shorter than the window lose nothing; a row of a repeated doc_id is
 a document of its own; a null doc_id gets its row; other columns are ignored (remove_repeats keeps them); an empty
@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._windows import U, blocks
-from .common import release, stash
+from .common import dealt, drop, in_place, placed, stash
 
 WINDOW, WIDTHS = 200, (96, 8, 1)
 
@@ -53,22 +53,15 @@ def _ranges(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, n
     return (np.repeat(np.arange(len(col)), sizes), *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("k1"), F.hash(text).cast("long").alias("k2"), text.alias("text"))
-
-
-def _rows(docs: DataFrame, todo: DataFrame | None, window: int, width: int) -> DataFrame:
-    """The blocks of one pass: core, hull with the number of starts in its low 7 bits, text key, start and weight."""
-    texts = keyed(docs)
+def _rows(texts: DataFrame, todo: DataFrame | None, window: int, width: int) -> DataFrame:
+    """The blocks of one pass over texts(rid, text): core, hull with the number of starts in its low 7 bits, row, start and weight."""
     whole = todo is None
-    if not whole:
-        texts = texts.join(todo, ["k1", "k2"])
+    texts = texts.select("rid", "text") if whole else texts.join(todo, ["part", "rid"]).select("rid", "text", "todo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, bounds = _parts(b, "text")
-            k1, k2 = _column(b, "k1"), _column(b, "k2")
+            rid = _column(b, "rid")
             cut = np.zeros(len(data) + 1, bool)
             cut[bounds] = True
             if whole:
@@ -84,65 +77,54 @@ def _rows(docs: DataFrame, todo: DataFrame | None, window: int, width: int) -> D
             for first, count, core, hull in blocks(data, bounds[1:], weight, cut[:-1], window, width):
                 doc = np.searchsorted(bounds, first, side="right") - 1
                 hull = (hull & ~U(127)) | count.astype(U)
-                place = ((first - bounds[doc]) << 32) | (k2[doc] & 0xFFFFFFFF)
+                start = (first - bounds[doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(k1[doc]), pa.array(place), pa.array(weight[first].astype(np.int32))],
-                    ["core", "hull", "k1", "place", "w"],
+                    [pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(rid[doc]), pa.array(start), pa.array(weight[first].astype(np.int8))],
+                    ["core", "hull", "rid", "s", "w"],
                 )
 
-    return texts.mapInArrow(run, "core long, hull long, k1 long, place long, w int")
+    return texts.mapInArrow(run, "core long, hull long, rid long, s int, w byte")
 
 
-def _spot(w) -> list:
-    """Text key and range from a block row."""
-    return [
-        F.col("k1"),
-        F.shiftright(F.shiftleft("place", 32), 32).alias("k2"),
-        F.struct(
-            F.shiftrightunsigned("place", 32).cast("int").alias("s"),
-            F.col("hull").bitwiseAND(F.lit(127)).cast("int").alias("n"),
-            w.cast("int").alias("w"),
-        ).alias("r"),
-    ]
+def _range(w) -> Column:
+    """The range of a block row."""
+    return F.struct("s", F.col("hull").bitwiseAND(F.lit(127)).cast("int").alias("n"), w.cast("int").alias("w")).alias("r")
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(k1, k2, ranges): starts of windows that also start elsewhere, for the texts that have any."""
+def repeated_ranges(texts: DataFrame, buckets: int, window: int = WINDOW, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(rid, ranges): starts of windows that also start elsewhere, for the rows of a placed texts(rid, part, text) that have any."""
     todo, settled = None, None
     for width in widths:
-        rows = _rows(docs, todo, window, width)
+        rows = _rows(texts, todo if todo is None else dealt(todo, buckets), window, width)
         # counts are tables of their own: a join right above its aggregation could not be split where a key is hot
         again = stash(rows.groupBy("core").agg(F.sum("w").alias("c")).where("c > 1").select("core"))
-        release(docs.sparkSession)
         alive = stash(rows.join(again, "core"))
-        release(docs.sparkSession)
-        hulls = stash(alive.groupBy("core", "hull").agg(F.sum("w").alias("c"), F.min(F.struct("k1", "place")).alias("one")))
+        drop(again)
+        hulls = stash(alive.groupBy("core", "hull").agg(F.sum("w").alias("c"), F.min(F.struct("rid", "s")).alias("one")))
         twice = hulls.where("c > 1")
-        done = alive.join(twice.select("core", "hull"), ["core", "hull"], "left_semi").select(*_spot(F.lit(1)))
+        done = stash(alive.join(twice.select("core", "hull"), ["core", "hull"], "left_semi").select("rid", _range(F.lit(1))))
         settled = done if settled is None else settled.unionByName(done)
         if width == widths[-1]:
+            drop(alive, hulls)
             break
         single = hulls.where("c = 1")
         edge = twice.join(single.select("core").distinct(), "core", "left_semi")
-        spots = single.unionByName(edge).select("hull", "one.k1", "one.place", "c")
-        todo = stash(
-            spots.select(*_spot(F.least("c", F.lit(2)))).groupBy("k1", "k2").agg(F.collect_list("r").alias("todo"))
-        )
-        release(docs.sparkSession)
-    return settled.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
+        spots = single.unionByName(edge).select("hull", "one.rid", "one.s", "c")
+        todo = stash(spots.select("rid", _range(F.least("c", F.lit(2)))).groupBy("rid").agg(F.collect_list("r").alias("todo")))
+        drop(alive, hulls)
+    return settled.groupBy("rid").agg(F.collect_list("r").alias("ranges"))
 
 
 def _covered(docs: DataFrame, window: int, spec: str, make) -> DataFrame:
-    """docs with make(batch, kept bytes, removed, spans) in the place of each batch."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ranges = repeated_ranges(docs, window).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("ranges").alias("_ranges"))
-    same = (F.xxhash64(text) == F.col("_k1")) & (F.hash(text).cast("long") == F.col("_k2"))
-    joined = docs.withColumn("_whole", text).join(ranges, same, "left").drop("_k1", "_k2", "text")
+    """make(batch, kept bytes, removed, spans) in the place of each batch of docs, whose columns are c0, c1, ... there."""
+    rows, buckets = placed(docs)
+    text = F.coalesce(F.col(f"c{docs.columns.index('text')}"), F.lit("")).alias("text")
+    others = [c for c, name in zip(rows.columns, docs.columns) if name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, bounds = _parts(b, "_whole")
-            row, s, n, _ = _ranges(b, "_ranges")
+            data, bounds = _parts(b, "text")
+            row, s, n, _ = _ranges(b, "ranges")
             lo = np.searchsorted(row, np.arange(b.num_rows + 1))
             kept, removed, spans = [], [], []
             for i in range(b.num_rows):
@@ -161,7 +143,12 @@ def _covered(docs: DataFrame, window: int, spec: str, make) -> DataFrame:
                 spans.append(int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]))
             yield make(b, kept, removed, spans)
 
-    return joined.mapInArrow(run, spec)
+    with in_place(docs.sparkSession):
+        ranges = repeated_ranges(rows.select("rid", "part", text), buckets, window)
+        joined = rows.select("rid", "part", text, *others).join(dealt(ranges, buckets), ["part", "rid"], "left")
+        out = stash(joined.select("text", "ranges", *others).mapInArrow(run, spec))
+    drop(rows)
+    return out
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -170,7 +157,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def make(b: pa.RecordBatch, kept: list[bytes], removed: list[int], spans: list[int]) -> pa.RecordBatch:
         size = [len(k) + r for k, r in zip(kept, removed, strict=True)]
         return pa.RecordBatch.from_arrays(
-            [b.column(b.schema.get_field_index("doc_id")), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+            [b.column(b.schema.get_field_index("c0")), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
@@ -185,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def make(b: pa.RecordBatch, kept: list[bytes], removed: list[int], spans: list[int]) -> pa.RecordBatch:
         texts = [k.decode("utf-8", "ignore") for k in kept]
         new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-        return pa.RecordBatch.from_arrays([new[c] if c in new else b.column(b.schema.get_field_index(c)) for c in names], names)
+        return pa.RecordBatch.from_arrays([new[c] if c in new else b.column(b.schema.get_field_index(f"c{i}")) for i, c in enumerate(names)], names)
 
     if "n_chars" in names:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
