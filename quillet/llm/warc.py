@@ -5,8 +5,9 @@ each other. Records are grouped into frames that decompress on their own; a bund
 frame with the record index (record id, frame, offset inside the frame's plain bytes, length), then the seek table
 of the Zstandard seekable format as its footer. `record_at` reads one record by its id: footer, index, one frame.
 
-Equal payloads are told by their SHA-1, computed in the scan; only digests that occur twice are joined back to the
-pages, so a payload that a third of all pages share is combined before it moves. Bundles are rows of a table in the
+Equal payloads are told by their SHA-1, computed in the scan. Digests are counted before they move, those that occur
+twice are joined back to the digests, and what a page refers to is joined to it where it lies (common.placed): payloads
+are never shuffled, so one that a third of all pages share is spread like any other. Bundles are rows of a table in the
 shared folder (written under Spark's commit protocol, so a lost executor leaves no half bundle); `export` turns a row
 into a file.
 
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import dealt, drop, in_place, placed, stash
 
 FRAME, BUNDLE, LEVEL = 1 << 18, 16 << 20, 3
 # Magic numbers of the Zstandard seekable format and of a skippable frame of our own for the record index.
@@ -172,15 +173,12 @@ class Reader:
 
 def write(pages: DataFrame, frame: int = FRAME, bundle: int = BUNDLE) -> DataFrame:
     """Bundles (bundle_id, n_records, content) of all pages(page_id, url, html), written to the shared folder."""
-    html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), html.alias("payload")).withColumn("sha", F.sha1("payload"))
-    twice = (
-        rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first_id")).where("n > 1").select("sha", "first_id")
-    )
-    typed = rows.join(twice, "sha", "left").select(
-        "page_id", "url", "payload", "first_id",
-        (F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))).alias("first"),
-    )
+    rows, buckets = placed(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")))
+    payload = F.encode(F.coalesce(F.col("c2"), F.lit("")), "UTF-8").alias("payload")
+    digests = rows.select("rid", F.col("c0").alias("page_id"), F.sha1(payload).alias("sha"))
+    # a table of its own: a join right above its aggregation could not be split where a payload is hot
+    twice = stash(digests.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first_id")).where("n > 1").select("sha", "first_id"))
+    named = digests.join(twice, "sha").select("rid", "first_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -206,7 +204,12 @@ def write(pages: DataFrame, frame: int = FRAME, bundle: int = BUNDLE) -> DataFra
         if writer.index:
             yield out()
 
-    return stash(typed.mapInArrow(run, "bundle_id string, n_records long, content binary"))
+    with in_place(pages.sparkSession):
+        typed = rows.select("part", "rid", F.col("c0").alias("page_id"), F.col("c1").alias("url"), payload).join(dealt(named, buckets), ["part", "rid"], "left")
+        first = F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
+        out = stash(typed.select("page_id", "url", "payload", "first_id", first.alias("first")).mapInArrow(run, "bundle_id string, n_records long, content binary"))
+    drop(rows, twice)
+    return out
 
 
 def read(bundles: DataFrame) -> DataFrame:
