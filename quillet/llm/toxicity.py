@@ -6,13 +6,13 @@ beginnings (and whole short words) whose smoothed log-odds between toxic and cle
 word takes the weight of its longest entry, and nothing if an exception phrase covers it. The summed weight per word
 and its logarithm pass a logistic curve fitted on the same labelled rows, which gives the score.
 
-The lexicon is fitted on a bounded sample of labelled rows: those of the `max_labelled` smallest hashes of doc_id.
-Labels, language, source and doc_id are never inputs of a score.
+The lexicon is fitted on a bounded sample of labelled rows: those of the `max_labelled` smallest hashes of doc_id, which
+one scan of the documents gathers. Word beginnings have `shortest` to `longest` letters before they are grown to the
+beginning that bears their evidence. Labels, language, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts get the score of a text without a match; a null doc_id counts as held out only if
 the remainder of its (null) hash is 0, which it never is; it gets its row; rows without labels are scored like all
-others; without labels of both classes the score is 0 for a text without a match of the built-in entries and tends to
-1 with them; repeated rows and labels are each used; other columns are ignored; an empty table gives an empty result.
+others; without labels of both classes there is no lexicon and all texts score the same, under 0.5; repeated rows and labels are each used; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop, stash
+
 FOLDS = 5
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏкмтвнɡαοενυικρτχ", "aeopcyxijsdhlkmtbhgaoevuikptx", strict=True))
@@ -94,15 +96,22 @@ class Model:
             return 0.0, 0.0
         line = " " + " ".join(own) + " "
         best: dict[int, tuple[int, float]] = {}
-        safe: list[tuple[int, int]] = []
+        safe: dict[int, int] = {}  # end of the exception phrase that starts at a place
         for end, (size, w) in automaton.iter(line):
             if size < 0:
-                safe.append((end + size - 1, end))
+                safe[end + size - 1] = max(end, safe.get(end + size - 1, 0))
             else:
                 start = end - size
                 if start not in best or best[start][0] < size:
                     best[start] = (size, w)
-        total = sum(w for s, (_, w) in best.items() if not any(a <= s < b for a, b in safe))
+        total, until, phrases = 0.0, 0, iter(sorted(safe.items()))
+        at, end = next(phrases, (len(line), 0))
+        for start in sorted(best):
+            while at <= start:
+                until = max(until, end)
+                at, end = next(phrases, (len(line), 0))
+            if start >= until:
+                total += best[start][1]
         return math.log1p(100 * total / (len(own) + 10)), math.log1p(total)
 
     def score(self, evidence: tuple[float, float]) -> float:
@@ -114,23 +123,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def _entries(text: str | None) -> set[str]:
+def _entries(text: str | None, shortest: int = SHORTEST, longest: int = LONGEST) -> set[str]:
     out = set()
     for w in set(words(text)):
-        out.update(w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
+        out.update(w[:n] for n in range(shortest, min(len(w), longest) + 1))
         out.add(w + " ")
     return out
 
 
-def choose(found: dict[str, tuple[float, int]]) -> dict[str, float]:
+def choose(found: dict[str, tuple[float, int]], shortest: int = SHORTEST) -> dict[str, float]:
     """Entries without those that a shorter, as telling one covers; each grown to the beginning that bears its evidence."""
     by_start: dict[str, list[str]] = {}
     for e in found:
-        for n in range(SHORTEST, len(e)):
+        for n in range(shortest, len(e)):
             by_start.setdefault(e[:n], []).append(e)
     out = {}
     for e, (v, _) in found.items():
-        if any(found.get(e[:n], (-math.inf,))[0] >= v - 0.35 for n in range(SHORTEST, len(e))):
+        if any(found.get(e[:n], (-math.inf,))[0] >= v - 0.35 for n in range(shortest, len(e))):
             continue
         whole = e
         while longer := [x for x in by_start.get(whole, ()) if not x.endswith(" ") and found[x][1] >= 0.9 * found[whole][1]]:
@@ -140,9 +149,10 @@ def choose(found: dict[str, tuple[float, int]]) -> dict[str, float]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, least: int = 6, odds: float = 2.0
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, least: int = 6, odds: float = 2.0,
+    shortest: int = SHORTEST, longest: int = LONGEST,
 ) -> Model:
-    """Learn entries and curve from labelled rows that are not held out."""
+    """Learn entries and curve from labelled rows that are not held out: at most max_labelled labels, one scan of docs."""
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
@@ -150,7 +160,7 @@ def fit(
         .limit(max_labelled)
     )
     # at most max_labelled rows of two numbers: small enough to broadcast at any size of the corpus
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_toxic", "text")
+    rows = stash(docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_toxic", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -165,27 +175,26 @@ def fit(
 
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen.setdefault("", [0, 0])[toxic] += 1  # the number of documents
-                for e in _entries(text.as_py()):
+                for e in _entries(text.as_py(), shortest, longest):
                     seen.setdefault(e, [0, 0])[toxic] += 1
             if len(seen) > 400_000:
                 yield out()
         if seen:
             yield out()
 
-    counted = (
-        rows.mapInArrow(count, "entry string, clean long, toxic long")
-        .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    )
-    total = counted.where("entry = ''").first()
+    total = {r._toxic: r["count"] for r in rows.groupBy("_toxic").count().collect()}
+    clean, toxic = total.get(0, 0), total.get(1, 0)
     model = Model()
-    if not total or not total.clean or not total.toxic:
+    if not clean or not toxic:
+        drop(rows)
         return model
-    # an entry is kept if frequent in toxic documents and rare in others; a few hundred are, whatever the corpus
-    least = max(least, math.ceil(0.01 * total.toxic))
-    value = F.log((F.col("toxic") + 0.5) / (total.toxic + 1)) - F.log((F.col("clean") + 0.5) / (total.clean + 1))
-    kept = counted.where((F.col("entry") != "") & (F.col("toxic") >= least)).withColumn("value", value).where(F.col("value") > odds)
-    model.weights = choose({r.entry: (r.value, r.toxic) for r in kept.orderBy(F.desc("value"), "entry").limit(20_000).collect()})
+    # an entry is kept if frequent in toxic documents and rare in others; the sample bounds how many are
+    least = max(least, math.ceil(0.01 * toxic))
+    value = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    counted = rows.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    telling = counted.where(F.col("toxic") >= least).withColumn("value", value).where(F.col("value") > odds).collect()
+    telling.sort(key=lambda r: (-r.value, r.entry))
+    model.weights = choose({r.entry: (r.value, r.toxic) for r in telling}, shortest)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.automaton()
@@ -193,21 +202,22 @@ def fit(
             e = np.array([model.evidence(t.as_py(), own) for t in b.column(1)], float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(e[:, 0]), pa.array(e[:, 1])], ["toxic", "a", "b"])
 
-    points = np.array(
-        [tuple(r) for r in rows.mapInArrow(gather, "toxic int, a double, b double").limit(2 * max_labelled).collect()], float
-    )
-    model.curve = _logistic(points[:, 1:], points[:, 0])
+    # equal points as one with their number, in order: the curve does not depend on how rows are dealt
+    points = rows.mapInArrow(gather, "toxic int, a double, b double").groupBy("toxic", "a", "b").count().orderBy("toxic", "a", "b").collect()
+    points = np.array([tuple(r) for r in points], float)
+    model.curve = _logistic(points[:, 1:3], points[:, 0], points[:, 3])
+    drop(rows)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Coefficients by Newton's method, with classes weighted as they come."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
+    """Coefficients by Newton's method over points that occur n times."""
     x = np.c_[np.ones(len(x)), x]
     beta = np.zeros(x.shape[1])
     penalty = np.diag([1e-6, ridge, ridge])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (n * (y - p)) - penalty @ beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break

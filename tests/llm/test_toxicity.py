@@ -1,6 +1,9 @@
+import math
 import random
+import time
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillet.llm import toxicity
@@ -33,6 +36,38 @@ def test_exceptions_and_longest_entry():
     assert m.evidence("", a) == m.evidence(None, a) == (0.0, 0.0)
 
 
+def brute(model, text):
+    """Every entry and phrase tried at every word of the text."""
+    own = toxicity.words(text)
+    line, at, total = " " + " ".join(own) + " ", 0, 0.0
+    covered = set()
+    for phrase in model.exceptions:
+        for i in range(len(line)):
+            if line.startswith(f" {phrase} ", i):
+                covered.update(range(i, i + len(phrase) + 1))
+    for w in own:
+        fits = [e for e in model.weights if (w + " ").startswith(e)]
+        if fits and at not in covered:
+            total += model.weights[max(fits, key=len)]
+        at += len(w) + 1
+    return (math.log1p(100 * total / (len(own) + 10)), math.log1p(total)) if own else (0.0, 0.0)
+
+
+def test_against_brute_force():
+    m = toxicity.Model({"trash": 5.0, "tra": 1.0, "can ": 2.0, "idio": 3.0, "loser": 2.5}, ("trash can", "can of", "sore loser bracket"))
+    a, rng = m.automaton(), random.Random(1)
+    for _ in range(300):
+        text = " ".join(rng.choice("trash can of idiot train canned tr4sh sore loser bracket the a".split()) for _ in range(rng.randint(0, 30)))
+        assert m.evidence(text, a) == pytest.approx(brute(m, text))
+
+
+def test_many_exceptions_take_linear_time():
+    m = toxicity.Model({"trash": 5.0})
+    began = time.perf_counter()
+    assert m.evidence("trash can " * 100_000 + "trash", m.automaton())[1] == pytest.approx(math.log1p(5))
+    assert time.perf_counter() - began < 5
+
+
 def test_held_out_accuracy(spark):
     rows, labels = corpus()
     rows += [(9000, None), (9001, ""), (None, "blorgh blorgh"), (9002, "bl0rgh vexf0p " * 5000), (9003, "fine " * 50000), (5, rows[5][1])]
