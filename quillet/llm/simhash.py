@@ -219,9 +219,11 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
         .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
         .distinct()
     )
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.withColumn("_text_key", key).withColumn("_row_key", F.xxhash64("doc_id", "_text_key"))
-    first = first.withColumn("_hash", F.xxhash64("_id", "_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    kept = keyed.join(first, (F.col("_row_key") == F.col("_hash")) & same, "left_semi")
-    return kept.dropDuplicates(["_row_key", "doc_id", "_text_key"]).select(*docs.columns)
+    # two hashes name a row by id and text: the join and the choice of one row share their shuffle
+    name = lambda i, t: (F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2"))
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of their own, whatever those of docs
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    keyed = rows.select("*", *name(at["doc_id"].cast("long"), F.xxhash64(F.coalesce(at["text"], F.lit("")))))
+    first = first.select(*name(F.col("_id"), F.col("_key")))
+    kept = keyed.join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.select(*rows.columns).toDF(*docs.columns)

@@ -91,3 +91,10 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in got if r.fingerprint != "0" * 16) == [(False, 1), (False, 1), (True, 1)]
     assert simhash.keep_first(df).count() == 2
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_internal_names_stay_the_callers(spark):
+    rows = [(1, "a b c d", "x", 7, "k"), (2, "a b c d", "y", 8, "l"), (2, "a b c d", "y", 8, "l"), (3, None, "z", 9, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row_key string, _text_key long, k1 string")
+    got = sorted(simhash.keep_first(df).collect())
+    assert [tuple(r) for r in got] == [rows[0], rows[3]]

@@ -74,3 +74,10 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert suffix.repeats(df.where("false")).count() == 0
     out = suffix.remove_repeats(df.withColumn("lang", F.lit("x")).withColumn("n_chars", F.lit(1).cast("long")))
     assert out.columns == ["doc_id", "text", "lang", "n_chars"] and out.where("n_chars > 0").count() == 0
+
+
+def test_internal_names_stay_the_callers(spark):
+    same = "abc def " * 40
+    df = spark.createDataFrame([("w", "k", 5, 1, same), ("v", None, 6, 2, "z" + same)], "_whole string, _k1 string, rid long, doc_id long, text string")
+    got = [tuple(r) for r in suffix.remove_repeats(df).orderBy("doc_id").collect()]
+    assert got == [("w", "k", 5, 1, ""), ("v", None, 6, 2, "z")]
