@@ -7,10 +7,12 @@ exact marginal; the text directly inside nodes with a marginal of 0.5 or more is
 counts over labelled pages. `training_pages` makes those pages, from a fixed seed, in the layouts that publishing
 systems use; pages of one's own can be given to `train` in their place.
 
-A page never leaves its row: no shuffle, and memory is bounded by the longest page of a batch.
+A page never leaves its row: no shuffle, memory is bounded by the longest page of a batch, and time is linear in it.
 
 Defined cases: null or empty html gives an empty text; broken markup is closed as browsers do (a new paragraph ends the
-open one, unclosed inline tags end with their block); text without any element is content; a null page_id or url is
+open one, unclosed inline tags end with their block), but loses less: what no end tag ends - a comment, a quote, a
+title, a text area, a button - is over at the next tag or block, not at the end of the page, scripts and styles alone
+excepted; text without any element is content; a null page_id or url is
 kept; repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -19,10 +21,11 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,14 +35,16 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
-SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select option textarea button meta link".split())
+SILENT = frozenset("script style noscript template head title iframe noembed noframes object svg math canvas audio video select option textarea button meta link".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th body html".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "thead": ("tr", "td", "th")}
 HOLDERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "tbody": ("table",), "thead": ("table",)}
 # Words in class, id and role that name a part of a page, by order of precedence.
 HINTS = (
     ("hidden", ("hidden", "visually-hidden", "sr-only")),
-    ("comment", ("comment", "reply", "replies", "disqus", "discussion", "respond")),
+    ("comment", ("comment", "reply", "replies", "disqus", "discussion", "respond", "response", "feedback", "talkback", "reaction", "thread", "guestbook", "remark")),
     ("notice", ("cookie", "consent", "gdpr", "notice", "alert", "banner", "popup", "modal", "paywall", "toast")),
     ("ad", ("ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "adbox", "dfp")),
     ("form", ("form", "search", "newsletter", "subscribe", "subscription", "signup", "login")),
@@ -54,6 +59,8 @@ HINTS = (
 _ROLE = {w: name for name, ws in reversed(HINTS) for w in ws}
 _RANK = {name: i for i, (name, _) in enumerate(HINTS)}
 _PARTS = re.compile(r"[^a-z]+")
+_NAME, _GAP = re.compile(r"[^\s/>]+"), re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
 
 
 class Node:
@@ -79,21 +86,25 @@ def hint_of(attrs: Iterable[tuple[str, str | None]]) -> str:
     return min(roles, key=_RANK.__getitem__, default="none")
 
 
-class Page(HTMLParser):
-    """Block nodes in page order, and the runs of text directly inside them."""
+class Page:
+    """Block nodes in page order, and the runs of text directly inside them.
+
+    One pass from left to right: open elements are a stack with the places of each tag in it, so ending elements costs
+    what it ends, and whether an end tag is ahead is known from one search for each tag. Time grows with the length of
+    the page, however deep or broken it is.
+    """
 
     def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
+        self.html = html
         self.nodes = [Node("#root", "none", 0, None)]
         self.open: list[tuple[str, int]] = [("#root", 0)]  # tag and block node of the open elements
-        self.silent = self.anchors = 0
+        self.where: dict[str, list[int]] = defaultdict(list)  # places in open of each tag
+        self.blocks, self.loose = [0], []  # places of those that are no inline elements, of silent ones without an end
+        self.silent = 0
         self.runs: list[tuple[int, list[str]]] = []
         self.fresh = True
-        try:
-            self.feed(html)
-            self.close()
-        except AssertionError:  # the standard parser gives up on some declarations; what came before stands
-            pass
+        self.marks: dict[str, tuple[list[int], list[int]]] = {}
+        self._read()
         for n in reversed(self.nodes[1:]):
             n.total += n.own
             n.link_total += n.links
@@ -102,34 +113,105 @@ class Page(HTMLParser):
             up.link_total += n.link_total
         self.nodes[0].total += self.nodes[0].own
 
-    def _pop(self) -> None:
-        tag, _ = self.open.pop()
-        if tag in SILENT:
-            self.silent -= 1
-        if tag == "a":
-            self.anchors -= 1
+    def _read(self) -> None:
+        html, at, seek, last = self.html, 0, 0, self.html.rfind(">")
+        open_comment = False
+        while (lt := html.find("<", seek)) >= 0 and lt < last:
+            c, end = html[lt + 1], 0
+            if c == "/" and html[lt + 2].isascii() and html[lt + 2].isalpha():
+                name, end = _NAME.match(html, lt + 2)[0].lower(), html.index(">", lt) + 1
+                self._text(html[at:lt])
+                self._end(name)
+            elif c.isascii() and c.isalpha():
+                self._text(html[at:lt])
+                name = _NAME.match(html, lt + 1)[0].lower()
+                attrs, end, slash = self._attributes(lt + 1 + len(name))
+                end = self._start(name, attrs, end, slash)
+            elif c in "!?/":
+                self._text(html[at:lt])
+                if html.startswith("<!--", lt) and not html.startswith(("<!-->", "<!--->"), lt) and not open_comment:
+                    end = html.find("-->", lt + 4) + 3
+                    open_comment = end == 2  # none ends from here on: such a comment goes to the next >, as others do
+                if end < 3:
+                    end = html.index(">", lt) + 1
+            else:  # no markup
+                seek = lt + 1
+                continue
+            at = seek = end
+        rest = html[at:]  # without a >: text, but for a declaration
+        self._text(rest[: m.start()] if (m := re.search("<[!?]", rest)) else rest)
+
+    def _attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """The attributes from a place behind a tag's name, the place behind the tag, and whether a slash ends it."""
+        html, attrs, begin = self.html, [], at
+        while True:
+            gap = _GAP.match(html, at).end()
+            if gap == len(html):  # a quote that nothing ends
+                return [], html.index(">", begin) + 1, False
+            if html[gap] == ">":
+                return attrs, gap + 1, html[gap - 1] == "/"
+            m = _ATTRIBUTE.match(html, gap)
+            attrs.append((m[1].lower(), unescape((m[2] or "").strip("\"'"))))
+            at = m.end()
+
+    def _marks(self, tag: str) -> tuple[list[int], list[int]]:
+        """The places of the start and the end tags of one name."""
+        if tag not in self.marks:
+            found = [(m.start(), m[1]) for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", self.html, re.I)]
+            self.marks[tag] = ([p for p, s in found if not s], [p for p, s in found if s])
+        return self.marks[tag]
+
+    def _ahead(self, tag: str, at: int) -> int:
+        """The place of the end tag that ends an element begun before a place: the next, if no other such element begins first."""
+        starts, ends = self._marks(tag)
+        i, j = bisect_left(starts, at), bisect_left(ends, at)
+        return ends[j] if j < len(ends) and (i == len(starts) or ends[j] < starts[i] or tag in RAW) else -1
+
+    def _push(self, tag: str, block: int) -> None:
+        place = len(self.open)
+        self.open.append((tag, block))
+        self.where[tag].append(place)
+        self.silent += tag in SILENT
         if tag not in INLINE:
-            self.fresh = True
+            self.blocks.append(place)
+
+    def _pop(self, to: int) -> None:
+        """End the open elements from a place on."""
+        while len(self.open) > to:
+            tag, _ = self.open.pop()
+            self.where[tag].pop()
+            self.silent -= tag in SILENT
+            if tag not in INLINE:
+                self.fresh = True
+                self.blocks.pop()
+        while self.loose and self.loose[-1] >= to:
+            self.loose.pop()
+
+    def _place(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of some tags."""
+        return max((w[-1] for t in tags if (w := self.where.get(t))), default=0)
 
     def _close(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-        """End the open elements down to the lowest of tags above the nearest of stop."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                while len(self.open) > i:
-                    self._pop()
-                return self._close(tags, stop) if len(tags) > 1 else None
-            if self.open[i][0] in stop:
-                return None
-        return None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """End the open elements down to the outermost of tags inside the innermost of stop."""
+        floor, lowest = self._place(stop), len(self.open)
+        for t in tags:
+            own = self.where.get(t, ())
+            k = bisect_right(own, floor)
+            if k < len(own):
+                lowest = min(lowest, own[k])
+        self._pop(lowest)
+
+    def _start(self, tag: str, attrs: list[tuple[str, str]], end: int, slash: bool) -> int:
+        """Begin an element whose start tag ends at a place; the place to read on from."""
         if self.open[-1][0] == "head" and tag not in IN_HEAD:
-            self._pop()
+            self._pop(len(self.open) - 1)
         if tag in CLOSES_P:
+            if self.loose:
+                self._pop(self.loose[0])
             self._close(("p",), ("button", "td", "th", "table"))
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], HOLDERS[tag])
-        if tag == "a" and self.anchors:
+        if tag == "a" and self.where["a"]:
             self._close(("a",), ("td", "table"))
         hint = hint_of(attrs) if attrs else "none"
         block = self.open[-1][1]
@@ -140,36 +222,34 @@ class Page(HTMLParser):
             self.fresh = True
         elif tag in ("br", "img", "wbr") and self.runs and not self.silent:
             self.runs[-1][1].append(" ")
-        if tag not in VOID:
-            self.open.append((tag, block))
-            self.silent += tag in SILENT
-            self.anchors += tag == "a"
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag in ("svg", "math"):  # a slash ends these alone
-            self._pop()
-
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """A declaration in brackets is a comment to the next >."""
-        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in VOID:
+        if tag in VOID or (slash and tag in ("svg", "math")):  # a slash ends these alone
+            return end
+        if tag in RAW:
+            stop = self._ahead(tag, end)
+            if stop < 0:  # an unended script or style goes on to the end of the page, others are empty
+                return len(self.html) if tag in ("script", "style") else end
+            return self.html.find(">", stop) + 1 or len(self.html)
+        if tag in SILENT and tag not in ("head", "body") and self._ahead(tag, end) < 0:
+            self.loose.append(len(self.open))  # what has no end is over where the next block begins
+        self._push(tag, block)
+        return end
+
+    def _end(self, tag: str) -> None:
+        own = self.where.get(tag)
+        if not own or (tag in INLINE and self.blocks[-1] > own[-1]):  # the block that held it ended already
+            return
+        if tag not in TABLE_PARTS and self._place(("table", "td", "th")) > own[-1]:  # a cell's content ends nothing around its table
+            return
+        self._pop(own[-1])
+
+    def _text(self, data: str) -> None:
+        if not data:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return  # the block that held it ended already
-
-    def handle_data(self, data: str) -> None:
         if self.open[-1][0] == "head" and data.strip():
-            self._pop()
+            self._pop(len(self.open) - 1)
         if self.silent:
             return
+        data = unescape(data)
         block = self.open[-1][1]
         if self.fresh or not self.runs or self.runs[-1][0] != block:
             self.runs.append((block, []))
@@ -180,7 +260,7 @@ class Page(HTMLParser):
             n = self.nodes[block]
             n.own += size
             n.last = data
-            if self.anchors:
+            if self.where["a"]:
                 n.links += size
 
 

@@ -1,3 +1,4 @@
+import time
 import html as stdlib
 import re
 
@@ -91,3 +92,36 @@ def test_the_rest_of_the_page_stays():
     assert text("<head><style>p{}</style>One.") == "One."
     assert text("<article><p>One.</p><svg class=i /><p>Two.</p><math/>Three.</article>") == "One. Two. Three."
     assert text("<svg><path d=x /><text>no</text></svg><p>One.</p>") == "One."
+
+
+def test_broken_pages_lose_no_text():
+    text = html.default_model().text
+    both = "One is here. And two, after it."
+    for broken in (
+        "<html><head><title>T</title><meta><body><article><p>One is here.</p><p>And two, after it.</p></article>",
+        "<article><p>One is here.</p><![foo[x]]><p>And two, after it.</p></article>",
+        "<article><p>One is here.</p><button>Go<p>And two, after it.</p></article>",
+        "<article><p>One is here.</p><select><option>Go<p>And two, after it.</p></article>",
+        "<article><p>One is here.</p><p title=\"open>And two, after it.</p></article>",
+        "<article><p>One is here.</p></td></li><p>And two, after it.</p></article>",
+        "<article><p>One is here.</p><svg/><p>And two, after it.</p></article>",
+    ):
+        assert text(broken) == both, broken
+    assert text("<title>T<article><p>One is here.</p><p>And two, after it.</p></article>").endswith(both)
+    assert text("<article><p>One is here.</p><textarea>T<p>And two, after it.</p></article>").endswith("And two, after it.")
+    assert text("<article><p>One is here.</p><!-- open <p>And two, after it.</p></article>").endswith("And two, after it.")
+    assert [text(x) for x in ("<", "</", "<a", "a < b <c", "x</p", "<p>x</p><")] == ["<", "</", "<a", "a < b <c", "x</p", "x <"]
+
+
+def test_comments_of_readers_by_other_names():
+    page = "<article><p>The body of the article. It goes on and on.</p></article><div class='{}'><p>What I think of it, says one who read it.</p></div>"
+    for name in ("reader-responses", "user_feedback", "talkback", "comments-area"):
+        assert html.default_model().text(page.format(name)) == "The body of the article. It goes on and on."
+
+
+def test_time_is_linear_in_hostile_pages():
+    model = html.default_model()
+    for unit, close in (("<div>", "</div>"), ("<div>", "</p>"), ("<!--", ""), ("<p><b><i>", ""), ("<textarea>", ""), ("<button><svg>", ""), ("<a b='", ">"), ("<title>", ""), ("</x", ">")):
+        began = time.perf_counter()
+        model.text(unit * 16_000 + "<p>x</p>" + close * 16_000)
+        assert time.perf_counter() - began < 5, unit  # quadratic ways take minutes
