@@ -58,7 +58,7 @@ def test_share_of_one_is_exact(spark):
 def test_rows_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, [1.0]), (1, [1.0, 1.0])]
     got = run(spark, rows)
-    assert {q: [v for v, _ in m] for q, m in got.items()} == {0: [1, 20], 20: [1, 0]}
+    assert {q: [v for v, _ in m] for q, m in got.items()} == {0: [1, 1, 20], 20: [1, 1, 0]}  # every row but the query's own
     assert run(spark, rows[:0]) == {}
     assert run(spark, [(1, [1.0])]) == {}
 
@@ -75,3 +75,35 @@ def test_recall_with_unequal_lengths(spark):
         hit = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
         print("recall", hit / (20 * len(want)))
         assert hit / (20 * len(want)) >= 0.95
+
+
+def test_repeated_ids_and_other_sizes(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 1.0, 1.0]), (20, [1.0, 2.0, 0.0]), (20, [0.5, 0.0]), (3, [4.0, 1.0])]
+    got = run(spark, rows)
+    assert got[0] == [(3, 4.0), (1, 3.0), (1, 2.0), (20, 0.5)]
+    assert sorted(got[20]) == sorted([(2, 3.0), (3, 2.0), (1, 1.5), (1, 1.0), (0, 0.5)])  # two queries of one id
+
+
+def test_lists_hold_what_the_footrule_needs():
+    rng = np.random.default_rng(2)
+    orders = np.array([rng.permutation(16) for _ in range(50)]).astype(np.uint8)
+    index = neighbours.Postings(orders[:, :6], 16)
+    assert sum(len(p) for p, _ in index.lists) == 50 * 6
+    for q in orders[:5]:
+        asked = q[:4]
+        want = [sum(abs(r - (list(o[:6]).index(p) if p in o[:6] else 6)) for r, p in enumerate(asked)) for o in orders]
+        assert index.footrule(asked).tolist() == want
+
+
+def test_recall_over_the_tables(spark):
+    for sf in ("0.01", "0.1"):
+        table = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+        rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding]
+        ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+        want = brute(ids, x)
+        got = {}
+        for r in neighbours.search(table, F.col("vec_id") % 20 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hit = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
+        print("recall", sf, hit / (20 * len(want)))
+        assert hit / (20 * len(want)) >= 0.95
