@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillet.llm import decontaminate as d
@@ -67,8 +69,8 @@ def test_finds_verbatim_and_reparameterised(spark):
     bench = spark.createDataFrame([*ITEMS, (2, ITEMS[1][1]), (None, "x"), (9, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.verbatim for r in d.contaminated(docs, bench).collect()}
     assert got == {(1, 1): True, (2, 1): False, (7, 2): True, (None, 2): True}
-    blocks = {(r.doc_id, r.item_id): r.verbatim for r in d.contaminated(docs, bench, block_bytes=100).collect()}
-    assert blocks == got
+    for bits in (15, 20):  # a sieve that lets others through changes nothing
+        assert {(r.doc_id, r.item_id): r.verbatim for r in d.contaminated(docs, bench, sieve_bits=bits).collect()} == got
     kept = d.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 8]
@@ -83,8 +85,90 @@ def test_empty_tables(spark):
 
 
 def holds(item, text):
-    index = d.Index([(1, item)], d.WINDOW, d.COVER)
-    return [m[0] for m in index.matches(d.Coder(index.vocabulary), text)] == [1]
+    coder = d.Coder()
+    windows, size = d.item_windows(coder, item)
+    every = d.text_windows(coder, text, d.WINDOW, [size] if size else [], lambda h: np.ones(len(h)))
+    shared = [(p, q, t, v, f) for h, p, t, v in windows for g, q, u, f in every if (h, t) == (g, u)]
+    return bool(shared and d.Overlay(shared, len(windows), size > 0, d.WINDOW, d.COVER).best())
+
+
+def plain(text):
+    """Template tokens and values, by the plain form: names in a run are one."""
+    out = []
+    flat = [t.lower() for w in text.split() for t in d._TOKEN.findall(w)]
+    for kind, value in zip(tokens(text), flat, strict=True):
+        if kind == d.NAME and out and out[-1][0] == d.NAME:
+            out[-1] = (d.NAME, out[-1][1] + " " + value)
+        else:
+            out.append((kind, value))
+    return out
+
+
+def tokens(text):
+    """As templates, with whole numbers as tokens."""
+    out = []
+    for line in text.split("\n"):
+        start = True
+        for word in line.split():
+            for k, t in enumerate(d._TOKEN.findall(word)):
+                low = t.lower()
+                if low[0].isdigit():
+                    out.append(d.NUMBER)
+                elif low in d.UNITS and out and out[-1] == d.NUMBER:
+                    out.append(d.UNIT)
+                else:
+                    out.append(d.NAME if t[0].isupper() and (len(t) == 1 or t[1:].islower()) and not (start and k == 0) else low)
+            start = bool(re.search(r"[.!?:;][^\w]*$", word))
+    return out
+
+
+def brute(item, text, window=d.WINDOW, cover=d.COVER):
+    """Whether one diagonal of the text covers the item: all pairs of places tried."""
+    a, b = plain(item), plain(text)
+    good = [i for i in range(len(a) - window + 1) if 2 * sum(not k.startswith("\x00") for k, _ in a[i : i + window]) >= window]
+    if not good:
+        own, there = ([v for w in x.split() for v in map(str.lower, d._TOKEN.findall(w))] for x in (item, text))
+        return bool(own) and any(there[i : i + len(own)] == own for i in range(len(there)))
+    for shift in range(-len(a), len(b)):
+        hit = [i for i in good if 0 <= i + shift <= len(b) - window and [k for k, _ in a[i : i + window]] == [k for k, _ in b[i + shift : i + shift + window]]]
+        slots = {(j, j + shift) for i in hit for j in range(i, i + window) if a[j][0].startswith("\x00")}
+        pairs = {(a[i][1], b[j][1]) for i, j in slots}
+        if not (len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})):
+            hit = [i for i in hit if all(a[j][1] == b[j + shift][1] for j in range(i, i + window))]
+        if hit and len(hit) >= cover * len(good):
+            return True
+    return False
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = "the a of sold gave red blue box pears Anna Bert Carl 3 12 4.5 km min apples then and home. to".split()
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, text(rng.choice([1, 3, 7, 8, 9, 14, 25]))) for i in range(40)]
+    rows = []
+    for i in range(150):
+        parts = [text(rng.randint(0, 12))]
+        words = rng.choice(items)[1].split()
+        for k in range(len(words)):  # other values in the same slots, or in one of them
+            if rng.random() < rng.choice([0, 0, 0.3]):
+                words[k] = {"3": "12", "12": "7", "Anna": "Dora", "km": "kg", "red": "green"}.get(words[k], words[k])
+        rows.append((i, " ".join([*parts, *words, text(rng.randint(0, 12))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, j) for i, t in rows for j, q in items if brute(q, t)}
+    assert want <= got  # neighbouring diagonals may add to a single one
+    assert all(holds(dict(items)[j], dict(rows)[i]) for i, j in got - want)
+    assert len(want) > 100
+
+
+def test_sieve_is_a_bitmap_of_leading_bits(spark):
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(1 << 63), (1 << 63) - 1, 3000, dtype=np.int64)
+    sieve = d.Sieve(d._bitmap(spark.createDataFrame([(int(x),) for x in h], "h long"), 20))
+    other = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    assert sieve(h.view(np.uint64)).all()
+    leading = set((h.view(np.uint64) >> np.uint64(44)).tolist())
+    assert sieve(other).tolist() == [int(int(x) >> 44 in leading) for x in other]
 
 
 def test_alignments_with_gaps_other_widths_and_edits():
