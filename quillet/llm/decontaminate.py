@@ -14,7 +14,8 @@ by windows of its plain words (of its own length, if it is shorter than `window`
 
 Both sides of the join are tables of windows, and neither is collected. A document's windows pass a sieve first: a bitmap
 of 2^`sieve_bits` bits (8 MB) of the item windows' hashes, so as long as the benchmark has far fewer windows than bits only
-matches and few others leave a task; with more windows more rows are joined, with the same result. drop_contaminated
+matches and few others leave a task; with more windows more rows are joined, with the same result. A bitmap of the items'
+words (1 MB) spares the scan all others. drop_contaminated
 writes the documents once, where they were read, and takes the found ones out in place (common.placed).
 
 Defined cases: null and empty texts match nothing; repeated documents and items (the same id) each count by their
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import dealt, drop, in_place, placed, stash
 
-WINDOW, COVER, SIEVE_BITS = 8, 0.5, 26
+WINDOW, COVER, SIEVE_BITS, WORD_BITS = 8, 0.5, 26, 23
 _SEGMENT, _WORDS = 1 << 20, 500_000
 # Unit words and signs, read as units only after a number.
 UNITS = frozenset(
@@ -51,18 +52,18 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def word_code(word: str) -> int:
-    """The code of a literal token: a 63-bit hash above those of the placeholders, 1 to 3."""
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) >> 1 | 4
+    """The code of a literal token: a 63-bit hash (as Spark's xxhash64 has it) above those of the placeholders, 1 to 3."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) >> 1 | 4
 
 
 class Coder:
-    """Text to codes of template tokens: hashes, or the numbers of a vocabulary (-1 for a token that it does not hold).
+    """Text to codes of template tokens: hashes, or the numbers that a vocabulary or `code` gives (-1 for one unknown).
 
     White-space words are taken apart once and kept; the rest is array arithmetic over the numbers of their kinds.
     """
 
-    def __init__(self, vocabulary: dict[str, int] | None = None) -> None:
-        self.code = word_code if vocabulary is None else lambda w: vocabulary.get(w, -1)
+    def __init__(self, vocabulary: dict[str, int] | None = None, code: Callable[[str], int] = word_code) -> None:
+        self.code = code if vocabulary is None else lambda w: vocabulary.get(w, -1)
         self.number, self.name, self.unit = (1, 2, 3) if vocabulary is None else (vocabulary.get(k, -1) for k in (NUMBER, NAME, UNIT))
         self._clear()
 
@@ -328,24 +329,37 @@ def _items(benchmark: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "item_id long, item_key long, n_windows int, size int, h long, place int, template string, words string")
 
 
-def _bitmap(items: DataFrame, bits: int) -> bytes:
-    """The sieve's bitmap, made of pieces of 4 KB that are put together before they move: 2^bits / 8 bytes in all."""
+def _bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """The bitmap of the leading bits of column h, made of pieces of 4 KB that are put together before they move: 2^bits / 8 bytes in all."""
     spot = F.shiftrightunsigned("h", 64 - bits) + 1
-    pieces = items.select(spot.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
+    pieces = hashes.select(spot.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
     out = bytearray(max(1, (1 << bits) >> 3))
     for r in pieces.collect():
         out[(r.piece - 1) * 4096 : r.piece * 4096] = r.bits[: len(out)]
     return bytes(out)
 
 
+def _known(bitmap: bytes) -> Callable[[str], int]:
+    """word_code for words whose bit is set, -1 for all others: no item holds them."""
+    shift = 64 - (len(bitmap) * 8).bit_length()
+
+    def code(word: str) -> int:
+        c = word_code(word)
+        bit = c >> shift
+        return c if bitmap[bit >> 3] >> (bit & 7) & 1 else -1
+
+    return code
+
+
 def _pairs(rows: DataFrame, items: DataFrame, window: int, cover: float, sieve_bits: int) -> DataFrame:
     """(doc, key, item_id, n_matched, n_windows, verbatim) of rows(doc, key, text) and the items that they hold."""
     sc = rows.sparkSession.sparkContext
-    bitmap = sc.broadcast(_bitmap(items, sieve_bits))
+    words = items.select(F.explode(F.split("template", _CUT)).alias("word")).select(F.xxhash64("word").alias("h"))
+    bitmap, known = sc.broadcast(_bitmap(items, sieve_bits)), sc.broadcast(_bitmap(words, WORD_BITS))
     sizes = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sieve = Coder(), Sieve(bitmap.value)
+        coder, sieve = Coder(code=_known(known.value)), Sieve(bitmap.value)
         for b in batches:
             row, out = [], []
             for i, text in enumerate(b.column(2)):

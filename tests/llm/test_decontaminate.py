@@ -191,3 +191,11 @@ def test_items_without_windows_or_ids(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()} == {(1, 1), (3, 2), (5, None)}
     assert sorted(r.doc_id for r in d.drop_contaminated(docs, bench).collect()) == [2, 4]
+
+
+def test_words_of_no_item_are_told(spark):
+    words = ["pears", "été", "12", "\x00num"]
+    bits = d._bitmap(spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")), d.WORD_BITS)
+    known = d._known(bits)
+    assert [known(w) for w in words] == [d.word_code(w) for w in words]
+    assert sum(known(f"other{i}") >= 0 for i in range(1000)) < 5
