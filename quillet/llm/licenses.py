@@ -1,15 +1,19 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory. SQL only.
 
-A text is cut into statements (at line and sentence ends). A statement that holds any term of the templates is compared
-with every template: terms are weighted by term frequency times inverse document frequency, the latter counted over
-all documents for the templates' terms; a term of no template is a dimension of its own with the weight of a term of no
-document. The statement of the highest cosine, if it reaches `threshold`, licenses the document. A document whose
-licensing statement holds at least half of its terms is a licence file: it licenses its directory (most files win, then
-the name). A document without a statement of its own takes the licence of the nearest ancestor directory that has one:
-directories, not documents, are joined with their ancestors' paths.
+A text is cut into statements (at line and sentence ends); its first two lines together are a statement, too, as the
+titles of licences run over two. A statement that holds any term of the templates is compared with every template: terms
+are weighted by term frequency times inverse document frequency, the latter counted over all documents for the templates'
+terms; a term of no template is a dimension of its own with the weight of a term of no document. A text that holds the
+grant that a licence body begins with is compared as a whole with the bodies in the same way: if the best reaches
+`threshold`, the text is that licence's file. Else the statement of the highest cosine, if it reaches `threshold`,
+licenses the document; the document is a licence file if that statement, or all statements that reach the threshold
+together, hold at least half of its terms, or if its name is that of one (LICENSE, COPYING, ...). A licence file licenses
+its directory (most files win, then the name). A document without a licence of its own takes that of the nearest ancestor
+directory that has one: directories, not documents, are joined with their ancestors' paths.
 
 All of it is DataFrame expressions. Template and weight arrays have as many entries as the templates have terms, whatever
-the corpus; statements never leave their row; the joins are over directories, counted before they move.
+the corpus; statements never leave their row, texts are scored once; the joins are over directories, counted before
+they move.
 
 Defined cases: null and empty texts have no statement and may inherit; a null path is the root's; equal cosines go to
 the template name that sorts first; repeated rows count each; a null doc_id gets its row; other columns are ignored; an
@@ -93,8 +97,54 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives 4.0 International"),
+    ("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("CC-BY-ND-4.0", "Attribution-NoDerivatives 4.0 International"),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("ISC", "ISC License"),
     ("Proprietary", "All rights reserved."),
 )
+# Public licence texts that are short enough to be compared as a whole.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution. """
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission. """
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BODIES = (
+    ("BSD-2-Clause", _BSD + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_DISCLAIMER),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject
+to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+)
+# The words that a body's grant begins with, whatever stands between them; names of licence files.
+GRANT = "(?:permission[^a-z0-9]+(?:is[^a-z0-9]+hereby[^a-z0-9]+granted|to[^a-z0-9]+use)|redistribution[^a-z0-9]+and[^a-z0-9]+use)"
+FILE_NAME = "^(?:licen[cs]e|unlicense|copying|copyright)(?:[.-][^/]*)?$"
+TITLE = "^[ \t\r\n]*[^\n]*[^ \t\r\n][^\n]*\n[ \t\r\n]*[^\n]+"
 # Words that say nothing about a licence.
 STOP = ("a", "and", "by", "form", "in", "is", "of", "or", "the", "this", "to", "under", "v", "work", "for", "with")
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -105,7 +155,8 @@ def _terms(text: str) -> list[str]:
     return [t for t in re.findall(TOKEN, text.lower()) if t not in STOP]
 
 
-VOCABULARY = sorted({t for _, text in TEMPLATES for t in _terms(text)})
+SAID = {t for _, text in TEMPLATES for t in _terms(text)}
+VOCABULARY = sorted(SAID.union(t for _, text in BODIES for t in _terms(text)))
 
 
 def _any_of(words: list[str]) -> str:
@@ -118,7 +169,7 @@ def _any_of(words: list[str]) -> str:
 
 
 def _array(values, kind: str) -> Column:
-    return F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")
+    return F.expr("array(" + ", ".join(f"'{v}'" if kind == "string" else f"{v!r}D" for v in values) + ")")
 
 
 def _tokens(text: Column) -> Column:
@@ -128,45 +179,61 @@ def _tokens(text: Column) -> Column:
 def weights(docs: DataFrame) -> tuple[list[float], float]:
     """Inverse document frequency of each vocabulary term over all documents, and that of a term of no document."""
     own = F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), _array(VOCABULARY, "string"))
-    flags = docs.select(own.alias("own")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count_if(F.array_contains("own", t)).alias(f"t{i}") for i, t in enumerate(VOCABULARY)),
-    )
-    row = flags.select("n", F.array(*(f"t{i}" for i in range(len(VOCABULARY)))).alias("df")).first()
-    return [math.log((row.n + 1) / (c + 1)) + 1 for c in row.df], math.log(row.n + 1) + 1
+    held = {r.term: r["count"] for r in docs.select(F.explode(own).alias("term")).groupBy("term").count().collect()}
+    n = docs.count()
+    return [math.log((n + 1) / (held.get(t, 0) + 1)) + 1 for t in VOCABULARY], math.log(n + 1) + 1
 
 
-def best_statement(text: Column, idf: list[float], unseen: float, threshold: float = THRESHOLD) -> Column:
-    """struct(score, license, n_terms) of the best statement of a text, null if no statement can reach threshold."""
-    idf_array = _array(idf, "double")
-    templates = []
-    for name, t in TEMPLATES:
+def _weighed(texts, idf: list[float]) -> list[tuple[str, dict[int, float]]]:
+    """Templates as unit vectors over the vocabulary."""
+    out = []
+    for name, t in texts:
         own = _terms(t)
         w = [own.count(v) * idf[i] for i, v in enumerate(VOCABULARY)]
         norm = sum(x * x for x in w) ** 0.5
-        templates.append((name, {i: x / norm for i, x in enumerate(w) if x}))
+        out.append((name, {i: x / norm for i, x in enumerate(w) if x}))
+    return out
+
 
-    # the most common terms by which alone no template reaches the threshold: a statement of no other need not be compared
+def strong(idf: list[float], threshold: float = THRESHOLD) -> list[str]:
+    """The terms of statements without the most common ones, by which alone no template reaches the threshold: a
+    statement of no other term need not be compared."""
+    templates = _weighed(TEMPLATES, idf)
     weak: set[int] = set()
     for i in sorted(range(len(idf)), key=idf.__getitem__):
         if any(sum(w.get(j, 0.0) ** 2 for j in weak | {i}) >= (threshold - 0.001) ** 2 for _, w in templates) or threshold <= 0.001:
             break
         weak.add(i)
-    some = r"(?:^|[^a-z0-9.-])" + _any_of([v for i, v in enumerate(VOCABULARY) if i not in weak]) + r"(?:[^a-z0-9]|$)"
-    statements = F.filter(F.split(text, BREAK, -1), lambda s: F.lower(s).rlike(some))
+    return [v for i, v in enumerate(VOCABULARY) if v in SAID and i not in weak]
+
+
+def best(text: Column, idf: list[float], unseen: float, threshold: float = THRESHOLD) -> Column:
+    """struct(score, license, n_terms, said, whole) of a text, null if it holds nothing that can reach threshold: the
+    best statement, the terms of all statements that reach it, and whether it is the text as a whole instead."""
+    idf_array = _array(idf, "double")
+    names = sorted({name for name, _ in (*TEMPLATES, *BODIES)})
+    templates, bodies = _weighed(TEMPLATES, idf), _weighed(BODIES, idf)
+    some = r"(?:^|[^a-z0-9.-])" + _any_of(strong(idf, threshold)) + r"(?:[^a-z0-9]|$)"
+    # kinds: 0 a line's statement, 1 the title, 2 the whole text
+    lines = F.transform(F.filter(F.split(text, BREAK, -1), lambda s: F.lower(s).rlike(some)), lambda s: F.struct(s.alias("s"), F.lit(0).alias("kind")))
+    title = F.regexp_replace(F.regexp_extract(text, TITLE, 0), "[ \t\r\n]+", " ")
+    others = F.array(
+        F.struct(title.alias("s"), F.lit(1).alias("kind")), F.struct(F.when(F.lower(text).rlike(GRANT), text).otherwise(F.lit("")).alias("s"), F.lit(2).alias("kind"))
+    )
+    statements = F.concat(lines, F.filter(others, lambda x: F.lower(x["s"]).rlike(some)))
 
     # one transform for each step: an expression inside a lambda is computed anew wherever it is written
-    listed = F.transform(statements, _tokens)
+    listed = F.transform(statements, lambda x: F.struct(_tokens(x["s"]).alias("t"), x["kind"].alias("kind")))
     counted = F.transform(
         listed,
-        lambda t: F.struct(
-            F.transform(_array(VOCABULARY, "string"), lambda v: F.size(F.filter(t, lambda x: x == v))).alias("tf"), F.size(t).alias("n")
+        lambda x: F.struct(
+            F.transform(_array(VOCABULARY, "string"), lambda v: F.size(F.filter(x["t"], lambda w: w == v))).alias("tf"), F.size(x["t"]).alias("n"), x["kind"].alias("kind")
         ),
     )
-    weighed = F.transform(
+    normed = F.transform(
         counted,
         lambda c: F.struct(
-            F.zip_with(c["tf"], idf_array, lambda a, b: a * b).alias("line"), c["n"].alias("n"),
+            F.zip_with(c["tf"], idf_array, lambda a, b: a * b).alias("line"), c["n"].alias("n"), c["kind"].alias("kind"),
             F.sqrt(
                 F.aggregate(F.zip_with(c["tf"], idf_array, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b * b)
                 + (c["n"] - F.aggregate(c["tf"], F.lit(0), lambda a, b: a + b)) * F.lit(unseen * unseen)
@@ -174,21 +241,48 @@ def best_statement(text: Column, idf: list[float], unseen: float, threshold: flo
         ),
     )
 
-    def compare(s: Column) -> Column:
+    def highest(s: Column, of: list[tuple[str, dict[int, float]]]) -> Column:
         def dot(w: dict[int, float]) -> Column:
-            both = sum((F.get(s["line"], F.lit(i)) * F.lit(x) for i, x in w.items()), F.lit(0.0))
+            if len(w) > 30:
+                dense = _array([float(w.get(i, 0.0)) for i in range(len(VOCABULARY))], "double")
+                both = F.aggregate(F.zip_with(s["line"], dense, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+            else:
+                both = sum((F.get(s["line"], F.lit(i)) * F.lit(x) for i, x in w.items()), F.lit(0.0))
             return F.round(F.when(s["norm"] > 0, both / s["norm"]).otherwise(F.lit(0.0)), 6)
 
-        return F.array(*(F.struct(dot(w).alias("score"), F.lit(name).alias("license"), s["n"].alias("n_terms")) for name, w in templates))
+        return F.array_max(F.array(*(F.struct(dot(w).alias("score"), F.lit(-names.index(name)).alias("name")) for name, w in of)))
 
-    every = F.flatten(F.transform(weighed, compare))
-    ordered = F.array_sort(
-        every,
-        lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1))
-        .when(a["license"] != b["license"], F.when(a["license"] < b["license"], -1).otherwise(1))
-        .otherwise(b["n_terms"] - a["n_terms"]),
+    scored = F.transform(
+        normed, lambda s: F.struct(F.when(s["kind"] == 2, highest(s, bodies)).otherwise(highest(s, templates)).alias("b"), s["n"].alias("n"), s["kind"].alias("kind"))
+    )
+    ranked = F.transform(
+        scored,
+        # a whole text that reaches the threshold comes before all statements, one that does not counts for nothing
+        lambda x: F.struct(
+            F.when((x["kind"] < 2) | (x["b"]["score"] >= threshold), F.when(x["kind"] == 2, 1).otherwise(0)).otherwise(-1).alias("first"),
+            x["b"]["score"].alias("score"), x["b"]["name"].alias("name"), x["n"].alias("n"), x["kind"].alias("kind"),
+        ),
+    )
+    top = F.transform(
+        F.array(ranked),
+        lambda every: F.struct(
+            F.array_max(every).alias("m"),
+            F.aggregate(F.filter(every, lambda x: (x["kind"] == 0) & (x["score"] >= threshold)), F.lit(0), lambda a, x: a + x["n"]).alias("said"),
+        ),
+    )
+    return F.when(
+        F.size(statements) > 0,
+        F.get(
+            F.transform(
+                top,
+                lambda t: F.struct(
+                    t["m"]["score"].alias("score"), F.get(_array(names, "string"), -t["m"]["name"]).alias("license"), t["m"]["n"].alias("n_terms"),
+                    t["said"].alias("said"), (t["m"]["first"] == 1).alias("whole"),
+                ),
+            ),
+            0,
+        ),
     )
-    return F.when(F.size(statements) > 0, F.get(ordered, 0))
 
 
 def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFrame:
@@ -199,18 +293,21 @@ def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFra
     """
     idf, unseen = weights(docs)
     clean = F.regexp_replace(F.coalesce(path.cast("string"), F.lit("")), "^/+|/+$", "")
-    found = docs.select(
-        F.col("doc_id").cast("long"), clean.alias("path"), best_statement(F.col("text"), idf, unseen, threshold).alias("b"),
-        "text",
-    )
-    own = F.col("b.score") >= threshold
-    rows = found.select(
+    # most texts hold no term that counts: telling that from their terms at once is cheaper than trying a pattern on every statement
+    told = F.arrays_overlap(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), _array(strong(idf, threshold), "string"))
+    some = docs.select(F.col("doc_id").cast("long"), clean.alias("path"), F.when(told, F.col("text")).alias("hit"))
+    found = some.select("doc_id", "path", "hit", best(F.col("hit"), idf, unseen, threshold).alias("b"))
+    own = F.coalesce(F.col("b.score") >= threshold, F.lit(False))
+    half = 2 * F.greatest("b.n_terms", "b.said") >= F.size(_tokens(F.col("hit")))
+    named = F.lower(F.regexp_extract("path", "[^/]*$", 0)).rlike(FILE_NAME)
+    # a table of its own, without the texts: they are scored once
+    rows = stash(found.select(
         "doc_id", "path",
         F.regexp_replace("path", "/?[^/]*$", "").alias("dir"),
         F.when(own, F.col("b.license")).alias("own"),
         F.when(own, F.col("b.score")).alias("score"),
-        F.coalesce(own & (2 * F.col("b.n_terms") >= F.size(_tokens(F.col("text")))), F.lit(False)).alias("is_file"),
-    )
+        F.coalesce(own & (F.col("b.whole") | half | named), F.lit(False)).alias("is_file"),
+    ))
     counted = rows.where("is_file").groupBy("dir", "own").agg(F.count(F.lit(1)).alias("n"))
     # most files, then the name that sorts first
     first = F.min(F.struct((-F.col("n")).alias("less"), "own"))
@@ -233,15 +330,17 @@ def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFra
 
 
 def oracle() -> str:
-    """The same over documents in DuckDB, with the path that the query gives them."""
+    """The same over documents in DuckDB, with the path that the query gives them (none ends in a licence file's name)."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     stop = ", ".join(map(q, STOP))
-    templates = ", ".join(f"({i}, {q(n)}, {q(t)})" for i, (n, t) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({i}, {q(n)}, {q(t)}, {i >= len(TEMPLATES)})" for i, (n, t) in enumerate((*TEMPLATES, *BODIES)))
     brk = q(BREAK).replace("\n", "' || chr(10) || '")
+    title = q(TITLE).replace("\t", "' || chr(9) || '").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
+    blank = "'[ ' || chr(9) || chr(13) || chr(10) || ']+'"
     return f"""
-WITH templates(k, name, body) AS (VALUES {templates}),
+WITH templates(k, name, body, whole) AS (VALUES {templates}),
 template_terms AS (
-  SELECT k, name, term, count(*) AS tf FROM (SELECT k, name, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS term FROM templates)
+  SELECT k, name, whole, term, count(*) AS tf FROM (SELECT k, name, whole, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS term FROM templates)
   WHERE term NOT IN ({stop}) GROUP BY ALL),
 vocabulary AS (SELECT DISTINCT term FROM template_terms),
 n AS (SELECT count(*) AS n FROM documents),
@@ -252,7 +351,9 @@ idf AS (
   FROM vocabulary v LEFT JOIN doc_terms d USING (term) GROUP BY v.term),
 unseen AS (SELECT ln(n + 1) + 1 AS w FROM n),
 statements AS (
-  SELECT doc_id, unnest(string_split_regex(text, {brk})) AS s, generate_subscripts(string_split_regex(text, {brk}), 1) AS pos FROM documents),
+  SELECT doc_id, unnest(string_split_regex(text, {brk})) AS s, generate_subscripts(string_split_regex(text, {brk}), 1) AS pos FROM documents
+  UNION ALL SELECT doc_id, regexp_replace(regexp_extract(text, {title}, 0), {blank}, ' ', 'g'), 0 FROM documents
+  UNION ALL SELECT doc_id, text, -1 FROM documents WHERE regexp_matches(lower(text), '{GRANT}')),
 terms AS (
   SELECT doc_id, pos, unnest(list_filter(regexp_extract_all(lower(s), '{TOKEN}'), lambda t: t NOT IN ({stop}))) AS term FROM statements),
 line_tf AS (SELECT doc_id, pos, term, count(*) AS tf FROM terms GROUP BY ALL),
@@ -263,16 +364,18 @@ template_norm AS (SELECT k, sqrt(sum(tf * tf * w * w)) AS norm FROM template_ter
 scores AS (
   SELECT l.doc_id, l.pos, t.k, t.name, round(sum(l.tf * i.w * t.tf * i.w) / any_value(x.norm) / any_value(m.norm), 6) AS score, any_value(x.n_terms) AS n_terms
   FROM line_tf l JOIN template_terms t USING (term) JOIN idf i USING (term)
-  JOIN line x ON x.doc_id = l.doc_id AND x.pos = l.pos JOIN template_norm m ON m.k = t.k GROUP BY ALL),
+  JOIN line x ON x.doc_id = l.doc_id AND x.pos = l.pos JOIN template_norm m ON m.k = t.k WHERE t.whole = (l.pos = -1) GROUP BY ALL),
 best AS (
-  SELECT doc_id, name, score, n_terms FROM scores
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name, n_terms DESC) = 1),
-sized AS (SELECT doc_id, count(*) AS all_terms FROM terms GROUP BY doc_id),
+  SELECT doc_id, name, score, n_terms, pos = -1 AS whole FROM scores WHERE pos >= 0 OR score >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos = -1 DESC, score DESC, name, n_terms DESC) = 1),
+said AS (
+  SELECT doc_id, sum(n) AS said FROM (SELECT doc_id, pos, any_value(n_terms) AS n FROM scores WHERE pos > 0 AND score >= {THRESHOLD} GROUP BY ALL) GROUP BY doc_id),
+sized AS (SELECT doc_id, count(*) AS all_terms FROM terms WHERE pos > 0 GROUP BY doc_id),
 found AS (
   SELECT d.doc_id, concat_ws('/', d.source, d.lang, d.doc_id) AS path, concat_ws('/', d.source, d.lang) AS dir, d.source AS top,
     CASE WHEN b.score >= {THRESHOLD} THEN b.name END AS own, CASE WHEN b.score >= {THRESHOLD} THEN b.score END AS score,
-    coalesce(b.score >= {THRESHOLD} AND 2 * b.n_terms >= s.all_terms, false) AS is_file
-  FROM documents d LEFT JOIN best b USING (doc_id) LEFT JOIN sized s USING (doc_id)),
+    coalesce(b.score >= {THRESHOLD} AND (b.whole OR 2 * greatest(b.n_terms, coalesce(w.said, 0)) >= s.all_terms), false) AS is_file
+  FROM documents d LEFT JOIN best b USING (doc_id) LEFT JOIN said w USING (doc_id) LEFT JOIN sized s USING (doc_id)),
 licensed AS (
   SELECT dir, own AS given FROM (SELECT dir, own, count(*) AS n FROM found WHERE is_file GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, own) = 1)

@@ -116,3 +116,94 @@ def test_any_of_holds_the_words():
     pattern = re.compile(licenses._any_of(licenses.VOCABULARY))
     assert all(pattern.fullmatch(v) for v in licenses.VOCABULARY)
     assert not any(pattern.fullmatch(v + "q") or pattern.fullmatch(v[:-1]) and v[:-1] not in licenses.VOCABULARY for v in licenses.VOCABULARY)
+
+
+WRAPPED = {  # as the files of repositories have them
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody Else
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+""",
+    "LGPL-2.1": """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+
+ Everyone is permitted to copy and distribute verbatim copies
+""",
+    "AGPL-3.0": """                    GNU AFFERO GENERAL PUBLIC LICENSE
+                       Version 3, 19 November 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+""",
+    "MPL-2.0": """Mozilla Public License Version 2.0
+==================================
+
+1. Definitions
+--------------
+
+1.1. "Contributor"
+    means each individual or legal entity that creates, contributes to
+    the creation of, or owns Covered Software.
+""",
+    "CC-BY-SA-4.0": """Attribution-ShareAlike 4.0 International
+
+=======================================================================
+
+Creative Commons Corporation ("Creative Commons") is not a law firm and
+does not provide legal services or legal advice.
+""",
+}
+
+
+def test_licence_files_as_repositories_have_them(spark):
+    import textwrap
+
+    texts = {**WRAPPED, **{name: f"Copyright (c) 1999, X\n\n{textwrap.fill(body, 78)}\n" for name, body in licenses.BODIES if name != "MIT"}}
+    filler = [(1000 + i, f"{i}/prose", "Some words of no licence at all\nand some more of them") for i in range(300)]
+    rows = [(i, f"r{i}/LICENSE", t) for i, t in enumerate(texts.values())] + [(100 + i, f"r{i}/src/a.txt", "no words of licences") for i in range(len(texts))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([*rows, *filler], "doc_id long, p string, text string"), F.col("p")).collect()}
+    assert [(got[i].license, got[i].scope) for i in range(len(texts))] == [(name, "file") for name in texts]
+    assert [(got[100 + i].license, got[100 + i].scope) for i in range(len(texts))] == [(name, "inherited") for name in texts]
+    assert all(got[i].scope == "none" for i, _, _ in filler)
+
+
+def test_short_bodies_are_files_under_any_name(spark):
+    body = dict(licenses.BODIES)
+    rows = [(1, "a/x", body["BSD-3-Clause"]), (2, "b/x", body["BSD-2-Clause"]), (3, "c/x", WRAPPED["MIT"]), (4, "d/x", "prose " * 900 + body["ISC"]), (5, "a/y", "prose")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()}
+    assert [(got[i].license, got[i].scope) for i in (1, 2, 3, 5)] == [("BSD-3-Clause", "file"), ("BSD-2-Clause", "file"), ("MIT", "file"), ("BSD-3-Clause", "inherited")]
+    assert got[4].scope != "file"
