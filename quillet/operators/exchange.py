@@ -114,14 +114,15 @@ def system_prompt(base: str, terms: dict[str, str]) -> str:
 
 
 def parse_answer(answer: str, expected: int) -> list[str]:
-    """The parts of an answer: by separators, else by blank lines if their number fits, else padded or cut."""
+    """The parts of an answer in the order of their separators' numbers (the last of equal numbers counts); if that is not
+    the number expected, its blocks between blank lines, padded or cut."""
     if expected == 1:
         return [answer.strip()]
-    parts = [p.strip() for p in re.split(r"%%SEP_\d+%%", answer)[1:]]
-    if len(parts) != expected:
-        loose = [p.strip() for p in re.split(r"\n\s*\n", answer.strip()) if p.strip()]
-        parts = loose if not parts and len(loose) == expected else parts
-    return (parts + [""] * expected)[:expected]
+    numbered = {int(m[1]): m[2].strip() for m in re.finditer(r"%%SEP_(\d+)%%(.*?)(?=%%SEP_\d+%%|\Z)", answer, re.S)}
+    if len(numbered) == expected:
+        return [part for _, part in sorted(numbered.items())]
+    blocks = [b.strip() for b in re.split(r"\n\s*\n|%%SEP_\d+%%", answer)]
+    return ([b for b in blocks if b] + [""] * expected)[:expected]
 
 
 _RETRY = re.compile(r"\b(429|500|502|503|504|529)\b")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 INCLUDE = r"\\(?:input|include|subfile|import|subimport)\s*(?:\{([^}]*)\}\s*)?\{([^}]+)\}"
 
 
@@ -22,30 +24,35 @@ def include_edges(files: DataFrame) -> DataFrame:
     return found.select("folder", "src", "pos", target.alias("wanted")).join(best, ["folder", "src", "pos"], "left")
 
 
-def expand_order(roots: DataFrame, edges: DataFrame, max_depth: int = 32) -> DataFrame:
+def expand_order(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(folder, root, name, path, cycle): files reached from each root, depth first by path; a repeat on the way is a cycle.
 
-    One join for each level of nesting; the frontier empties at the depth of the deepest include.
+    One join for each level of nesting, each level a table of its own, so none is computed twice; the walk ends with the
+    deepest include, as no path goes beyond a repeat. An include below max_depth, where that is given, is an error.
     """
     level = roots.select("folder", F.col("name").alias("root"), "name", F.array().cast("array<int>").alias("path"), F.array("name").alias("seen"), F.lit(False).alias("cycle"))
     out = level
-    live = edges.where("dst IS NOT NULL").select("folder", F.col("src").alias("name"), "pos", "dst")
-    for _ in range(max_depth):
-        nxt = level.where("NOT cycle").join(live, ["folder", "name"]).select(
+    live = materialize(edges.where("dst IS NOT NULL").select("folder", F.col("src").alias("name"), "pos", "dst"))
+    depth = 0
+    while True:
+        level = materialize(level.where("NOT cycle").join(live, ["folder", "name"]).select(
             "folder", "root", F.col("dst").alias("name"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"),
             F.concat("seen", F.array("dst")).alias("seen"), F.array_contains("seen", F.col("dst")).alias("cycle"),
-        )
-        if nxt.isEmpty():
-            break
-        out, level = out.unionByName(nxt), nxt
-    return out.drop("seen")
+        ))
+        if level.isEmpty():
+            return out.drop("seen")
+        depth += 1
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"includes are nested more than {max_depth} deep")
+        out = out.unionByName(level)
 
 
 def reachable_sql(edges_view: str, roots_view: str) -> str:
     """The same as a recursive query, for engines and sessions that prefer it."""
-    return f"""WITH RECURSIVE walk(folder, root, name, depth) AS (
-  SELECT folder, name, name, 0 FROM {roots_view}
-  UNION ALL SELECT e.folder, w.root, e.dst, w.depth + 1 FROM walk w JOIN {edges_view} e ON e.folder = w.folder AND e.src = w.name WHERE e.dst IS NOT NULL AND w.depth < 32)
+    return f"""WITH RECURSIVE walk(folder, root, name, seen) AS (
+  SELECT folder, name, name, array(name) FROM {roots_view}
+  UNION ALL SELECT e.folder, w.root, e.dst, concat(w.seen, array(e.dst)) FROM walk w JOIN {edges_view} e ON e.folder = w.folder AND e.src = w.name
+  WHERE e.dst IS NOT NULL AND NOT array_contains(w.seen, e.dst))
 SELECT DISTINCT folder, root, name FROM walk"""
 
 

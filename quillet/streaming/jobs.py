@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 TERMINAL = ("completed", "failed", "cancelled")  # fixed values
 
 
@@ -51,11 +53,24 @@ def progress(batches: DataFrame, keys: list[str], order: list[str], size: str) -
     return batches.withColumn("done", F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum(size).over(w))
 
 
-def follow(events: DataFrame, checkpoint: str, path: str, available_now: bool = True):
-    """Keep the status table of a stream of events: each micro-batch replaces the rows of the jobs that it touches."""
+def follow(events: DataFrame, checkpoint: str, path: str, available_now: bool = True, key: str = "job_id", order: str = "offset", buckets: int = 64):
+    """Keep the status table of a stream of events, one row for each job, in `buckets` folders by a hash of the job.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    A micro-batch reads the folders of the jobs that it touches, takes the latest row of each job and replaces those
+    folders; a repeated micro-batch changes nothing.
+    """
 
-    writer = status(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        here = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here):
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` at most
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched) if touched else F.lit(False))
+            new = old.unionByName(new)
+        last = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
+        # a table of its own before it takes the place of what it was made from
+        materialize(last).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    writer = status(events, key, order).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
