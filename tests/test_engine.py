@@ -293,3 +293,55 @@ def test_render(spark, labelled, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.docx") as z:
         xml = z.read("word/document.xml").decode()
     assert n == plan.count() + 1 and "3.1 Intro" in xml and "[1] A citation" in xml
+
+
+def test_answers_in_any_order():
+    assert exchange.parse_answer("%%SEP_2%% y %%SEP_1%% x", 2) == ["x", "y"]
+    assert exchange.parse_answer("%%SEP_1%%a%%SEP_1%%b%%SEP_2%%c", 2) == ["b", "c"]
+    assert exchange.parse_answer("a\n\nb\n\nc", 2) == ["a", "b"] and exchange.parse_answer("", 2) == ["", ""]
+
+
+def test_status_table_over_two_batches(spark, tmp_path):
+    folder = tmp_path / "ev"
+    folder.mkdir()
+    for name, lines in (("j1", ['{"state":"running"}']), ("j2", ['{"state":"queued"}'])):
+        (folder / f"{name}.ndjson").write_text("\n".join(lines))
+    table = lambda: {r.job_id: r.state for r in spark.read.parquet(str(tmp_path / "st")).collect()}
+    follow = lambda: jobs.follow(events.stream(spark, str(folder)), str(tmp_path / "cp"), str(tmp_path / "st")).awaitTermination(90)
+    follow()
+    assert table() == {"j1": "running", "j2": "queued"}
+    (folder / "j1_more.ndjson").write_text('{"state":"other"}')
+    (folder / "j3.ndjson").write_text('{"state":"failed"}')
+    follow()
+    rows = spark.read.parquet(str(tmp_path / "st")).collect()
+    assert len(rows) == len({r.job_id for r in rows}) == 4
+    assert table()["j2"] == "queued" and table()["j3"] == "failed"
+
+
+def test_deep_includes_and_cycles(spark):
+    edges = spark.createDataFrame([("f", f"n{i}", 0, f"n{i + 1}") for i in range(20)] + [("f", "n20", 0, "n3")], "folder string, src string, pos int, dst string")
+    roots = spark.createDataFrame([("f", "n0")], "folder string, name string")
+    got = includes.expand_order(roots, edges).collect()
+    assert len(got) == 22 and [r.name for r in got if r.cycle] == ["n3"]
+    with pytest.raises(ValueError):
+        includes.expand_order(roots, edges, max_depth=5)
+
+
+def test_fragments_by_their_parts(spark):
+    from quillet.functions import fragments as G
+
+    rows = [
+        r"A \textbf{big \emph{old}} % note",
+        r"\raisebox{-2pt}[1pt]{\includegraphics[width=1cm]{a.png}} Title\\of {Things}\label{x} 5\%",
+        r"\section*[short]{Long {kept} one}",
+    ]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r.x for r in df.select(G.clean_title(F.col("t")).alias("x")).collect()] == ["A big old", r"Title of {Things}x 5\%", "Long {kept} one"]
+    t = r"before \begin{proof}[of it] inside \end{proof} after"
+    one = spark.createDataFrame([(t,)], "t string").select(
+        G.environment(F.col("t"), "proof").alias("e"), G.around_environment(F.col("t"), "proof").alias("a"), G.around_environment(F.lit(r"x \begin{em} y"), "em").alias("o"),
+        G.environment(F.col("t"), "em").alias("n"), G.caption(F.lit(r"\caption{a {b} c} \caption{d}")).alias("c"), G.caption(F.lit("none")).alias("z"),
+        G.sanitize(F.lit("\\begin{tabular}{cc}a \\toprule b\\end{tabular} \\bf c \\begin{proof}[x]d\\end{proof}  \n\n\n\ne\\caption{f}")).alias("s"),
+    ).first()
+    assert tuple(one.e) == ("of it", "inside") and tuple(one.a) == ("before", "inside", "after") and tuple(one.o) == ("x", "y", "")
+    assert tuple(one.n) == ("", t) and one.c == "a {b} c" and one.z == "" and one.s == "a  b c d\n\nef"
