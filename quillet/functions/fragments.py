@@ -116,7 +116,7 @@ def sanitize(t: Column, keep_proofs: bool = False) -> Column:
     shells = {n: k for n, k in SHELLS.items() if not (keep_proofs and n == "proof")}
     begins = [rf"begin\{{{re.escape(n)}\}}" + (rf"(?:\[[^\]]*\])?(?:\{{[^}}]*\}}){{0,{k}}}" if k else r"(?:\[[^\]]*\])?") for n, k in shells.items()]
     ends = rf"end\{{(?:{'|'.join(map(re.escape, shells))})\}}"
-    switches = rf"(?:{'|'.join(SWITCHES)})(?![a-zA-Z])"
+    switches = rf"(?:{'|'.join(SWITCHES)})(?U:(?!\w))"
     t = F.regexp_replace(t, rf"\\(?:{'|'.join(begins)}|{ends})|\\{switches}(?:(?<=bf)\s*)?", "")
     t = F.regexp_replace(t, rf"\\caption\{{({_balanced(1)})\}}", "$1")
     return _stripped(F.regexp_replace(t, r"[ \t]+(?=\n)|(?<=\n\n)\n+", ""))
