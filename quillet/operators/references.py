@@ -102,3 +102,15 @@ def replace_references(paragraphs: DataFrame, refs: DataFrame, citations: DataFr
         t = T.rewrite(t, T.CITE, lambda raw: F.concat(F.lit("\\textsuperscript{["), F.array_join(F.transform(T.keys_of(raw), lambda k: look(k, "_cites")), ","), F.lit("]}")))
         df = df.withColumn(c, F.when(F.col(c).isNotNull(), T.clean_cross_references(t))).drop("_refs", "_cites")
     return df.drop("_scope")
+
+
+def missing_report(missing_: DataFrame, by: list[str], key: str = "key", n: str = "n") -> DataFrame:
+    """One line for each document: its unknown keys in order, each with how often it occurs."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, n))), lambda x: F.concat(x[key], F.lit(" ("), x[n].cast("string"), F.lit(")"))), ", ")
+    return missing_.groupBy(*by).agg(line.alias("report"), F.sum(n).alias("total"))
+
+
+def first_collisions(collisions: DataFrame, by: list[str], key: str = "key", most: int = 5) -> DataFrame:
+    """The first collisions of each document by key, as a report shows them, and how many there are."""
+    keys = F.array_sort(F.collect_set(key))
+    return collisions.groupBy(*by).agg(F.slice(keys, 1, most).alias("shown"), F.size(keys).alias("total"))

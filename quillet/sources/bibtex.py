@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bibliography import brace_months
+from ..operators.bibliography import brace_months, parse_item, split_items
 from .files import decoded
 
 
@@ -97,3 +97,21 @@ def entries(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["path", "pos", "entrytype", "id", "fields"])
 
     return files.select("path", brace_months(decoded(F.col("content"))).alias("t")).mapInArrow(run, "path string, pos int, entrytype string, id string, fields map<string,string>")
+
+
+def gathered(files: DataFrame) -> DataFrame:
+    """(path, kind, pos, key, entrytype, fields, body) of all entries of files(path, ext, content): those of bib files, the
+    items of bbl files and of the thebibliography blocks of tex files, in this order of kinds. bib entries have fields,
+    items a body and the fields that can be read from it."""
+    decoded_files = files.select("path", "ext", decoded(F.col("content")).alias("content"))
+    own = entries(files.where(F.col("ext") == "bib")).select(
+        "path", F.lit(0).alias("kind"), "pos", F.col("id").alias("key"), "entrytype", "fields", F.lit(None).cast("string").alias("body")
+    )
+
+    def items(ext: str, kind: int) -> DataFrame:
+        parsed = split_items(decoded_files.where(F.col("ext") == ext), blocks=ext == "tex").withColumn("p", parse_item(F.col("body")))
+        names = ("authors", "title", "venue", "volume", "number", "pages", "year", "doi", "url")
+        fields = F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), F.col(f"p.{n}")))), lambda k, v: v.isNotNull() & (v != ""))
+        return parsed.select("path", F.lit(kind).alias("kind"), "pos", "key", F.col("p.entrytype").alias("entrytype"), fields.alias("fields"), "body")
+
+    return own.unionByName(items("bbl", 1)).unionByName(items("tex", 2))

@@ -345,3 +345,33 @@ def test_fragments_by_their_parts(spark):
     ).first()
     assert tuple(one.e) == ("of it", "inside") and tuple(one.a) == ("before", "inside", "after") and tuple(one.o) == ("x", "y", "")
     assert tuple(one.n) == ("", t) and one.c == "a {b} c" and one.z == "" and one.s == "a  b c d\n\nef"
+
+
+def test_bibliographies_of_all_kinds_gather(spark):
+    bbl = rb"\begin{thebibliography}{9}\bibitem{k2} A. Author.\newblock A title.\newblock \emph{Journal}, 3(1):1--2, 2001.\end{thebibliography}"
+    rows = [("a/x.bib", "bib", b"@article{k1, title={One}, year={2000}}"), ("a/x.bbl", "bbl", bbl), ("a/m.tex", "tex", b"text " + bbl.replace(b"k2", b"k3")), ("a/n.txt", "txt", b"@article{k9,}")]
+    got = bibtex.gathered(spark.createDataFrame(rows, "path string, ext string, content binary")).orderBy("kind", "pos").collect()
+    assert [(r.kind, r.key, r.fields["title"]) for r in got] == [(0, "k1", "One"), (1, "k2", "A title"), (2, "k3", "A title")]
+    assert got[1].fields["year"] == "2001" and got[1].entrytype == "article"
+
+
+def test_checkpoint_store(spark, tmp_path):
+    from quillet.sources import checkpoints
+
+    at = str(tmp_path / "done")
+    assert checkpoints.load(spark, at).count() == 0
+    checkpoints.save(spark.createDataFrame([(0, 1, "a"), (0, 2, "b")], "doc_idx int, id int, translation string"), at)
+    checkpoints.save(spark.createDataFrame([(0, 2, "c")], "doc_idx int, id int, translation string"), at, run=1)
+    assert sorted(map(tuple, checkpoints.load(spark, at).collect())) == [(0, 1, "a"), (0, 2, "c")]
+    todo = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "doc_idx int, id int")
+    assert [tuple(r) for r in exchange.still_to_do(todo, checkpoints.load(spark, at), ["doc_idx", "id"]).collect()] == [(0, 3)]
+    checkpoints.remove(spark, at)
+    assert checkpoints.load(spark, at).count() == 0
+
+
+def test_reports(spark):
+    m = spark.createDataFrame([(1, "z", 1), (1, "a", 3), (2, "b", 1)], "doc int, key string, n int")
+    assert [(r.doc, r.report, r.total) for r in references.missing_report(m, ["doc"]).orderBy("doc").collect()] == [(1, "a (3), z (1)", 4), (2, "b (1)", 1)]
+    c = spark.createDataFrame([(1, f"k{i}") for i in range(8)], "doc int, key string")
+    r = references.first_collisions(c, ["doc"]).first()
+    assert r.shown == ["k0", "k1", "k2", "k3", "k4"] and r.total == 8
