@@ -9,21 +9,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .structure import categorize, formula_float
+
+
+# What a label's beginning says of a paragraph, in two groups, between which a formula in a float is told;
+# environments that are drawn as statements and as lists.
+BY_LABEL = ({"摘要": "abstract", "式": "equation"}, {"图": "figure", "表": "table", "代码": "code", "算法": "code"})
+STATEMENTS = ("definition", "lemma", "theorem", "corollary", "proposition", "remark", "claim", "example", "fact")
+LISTS = ("itemize", "enumerate", "description")
 
 
 def render_class(text: Column, env_label: Column) -> Column:
-    """How a paragraph is rendered: by its label's prefix, then by its text."""
+    """How a paragraph is rendered: by its label, then by the command or the environment that it begins with."""
     s = F.regexp_replace(text, r"^\s+", "")
     command = F.lower(F.regexp_extract(s, r"^(?:\\label\{[^}]*\}\s*)*\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\s*\{", 1))
+    env = F.regexp_replace(F.lower(F.regexp_extract(s, r"(?i)^\\begin\{([^}]*)\}", 1)), r"\*$", "")
     label = F.coalesce(env_label, F.lit(""))
+    kind = F.when(F.lit(False), "")
+    for group in BY_LABEL:
+        for prefix, name in group.items():
+            kind = kind.when((label == prefix) if name == "abstract" else label.startswith(prefix), name)
+        kind = kind.when(formula_float(s), "equation") if group is BY_LABEL[0] else kind
+    category = categorize(text)
     return (
-        F.when((label == "摘要") & s.rlike(r"(?i)^\\begin\{abstract\}"), "abstract")
+        kind.when(env == "abstract", "abstract")
         .when(command.isin("part", "chapter", "section"), "heading1").when(command == "subsection", "heading2").when(command == "subsubsection", "heading3")
-        .when(command.isin("paragraph", "subparagraph"), "inline_heading")
-        .when(label.rlike("^式"), "equation").when(label.rlike("^图"), "figure").when(label.rlike("^表"), "table").when(label.rlike("^代码"), "code").when(label.rlike("^算法"), "algorithm")
-        .when(s.rlike(r"^\\begin\{proof\}"), "proof")
-        .when(s.rlike(r"^\\begin\{(?:theorem|lemma|definition|corollary|proposition|remark)\*?\}"), "theorem")
-        .when(s.rlike(r"^\\begin\{(?:itemize|enumerate|description)\}"), "list")
+        .when(category == "math", "equation").when(category.isin("figure", "table", "code"), category).when(category == "algorithm", "code")
+        .when(env.isin(*STATEMENTS), "mathenv").when(F.lower(text).contains("\\begin{proof}"), "proof")
+        .when(command.isin("paragraph", "subparagraph"), "inline_heading").when(env.isin(*LISTS), "list")
         .otherwise("paragraph")
     )
 
@@ -40,7 +53,7 @@ def render_plan(paragraphs: DataFrame) -> DataFrame:
     caption = F.regexp_extract(body, r"(?s)\\caption\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", 1)
     shown = F.when(heading | (F.col("kind") == "inline_heading"), inner).when(F.col("kind").isin("figure", "table"), caption).otherwise(body)
     level = F.when(heading, F.substring("kind", 8, 1).cast("int")).otherwise(0)
-    prefix = F.when(heading, F.regexp_extract("env_label", r"^[\d.]+", 0)).when(F.col("kind").isin("figure", "table", "equation", "code", "algorithm"), F.col("env_label")).otherwise("")
+    prefix = F.when(heading, F.regexp_extract("env_label", r"^[\d.]+", 0)).when(F.col("kind").isin("figure", "table", "equation", "code"), F.col("env_label")).otherwise("")
     return df.select("doc_idx", "id", "kind", level.alias("level"), prefix.alias("prefix"), F.trim(T.clean_cross_references(shown)).alias("body"))
 
 

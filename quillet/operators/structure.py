@@ -83,23 +83,26 @@ def chunk(docs: DataFrame, rules: Rules = Rules(), keep_commands: bool = True, s
 SEEN_IN_FLOATS = ("tabular", "tabularx", "tabulary", "tabularray", "tblr", "longtable", "tikzpicture", "picture", "subfigure", "subfloat", "minipage")
 
 
-def categorize(text: Column, rules: Rules = Rules()) -> Column:
-    """abstract, section, subsection, a category of environments, or text."""
-    s = F.regexp_replace(text, r"^\s+", "")
-    command = F.lower(F.regexp_extract(s, T.SECTION, 1))
-    title = F.lower(F.trim(F.regexp_extract(s, T.SECTION + r"([^}]*)\}", 2)))
-    env = F.trim(F.regexp_extract(s, r"^\\begin\{([^}]+)\}", 1))
+def formula_float(s: Column, rules: Rules = Rules()) -> Column:
+    """Whether a text is a float with a formula and nothing to be seen but formulas: told by the names of the environments in it."""
     math = next(e for c, _, e in rules.categories if c == "math")
-    # a float with a formula and nothing to be seen but formulas: told by the names of the environments in it
     names = F.transform(F.regexp_extract_all(s, F.lit(r"(?i)\\(?:begin|end)\{([^}]+)\}"), F.lit(1)), lambda n: F.lower(n))
     plain = F.transform(names, lambda n: F.regexp_replace(n, r"\*$", ""))
-    math_float = F.coalesce(
+    return F.coalesce(
         (F.size(names) > 3) & F.lower(s).rlike(r"^\\begin\{(?:figure|table)") & F.get(plain, 0).isin("figure", "table")
         & F.element_at(plain, -1).isin("figure", "table") & s.rlike(r"\}\s*$") & F.lower(s).rlike(r"\\end\{(?:figure|table)\*?\}\s*$")
         & F.arrays_overlap(names, F.array(*(F.lit(m.lower()) for m in sorted(math))))
         & ~F.arrays_overlap(plain, F.array(*map(F.lit, SEEN_IN_FLOATS))) & ~F.lower(s).contains("\\includegraphics"),
         F.lit(False),
     )
+
+
+def categorize(text: Column, rules: Rules = Rules()) -> Column:
+    """abstract, section, subsection, a category of environments, or text."""
+    s = F.regexp_replace(text, r"^\s+", "")
+    command = F.lower(F.regexp_extract(s, T.SECTION, 1))
+    title = F.lower(F.trim(F.regexp_extract(s, T.SECTION + r"([^}]*)\}", 2)))
+    env = F.trim(F.regexp_extract(s, r"^\\begin\{([^}]+)\}", 1))
     by_env = F.lit(None).cast("string")
     for c, _, envs in reversed(rules.categories):
         by_env = F.when(env.isin(*sorted(envs)), F.lit(c)).otherwise(by_env)
@@ -107,7 +110,7 @@ def categorize(text: Column, rules: Rules = Rules()) -> Column:
         F.when(s.rlike(r"(?i)^\\begin\{abstract\}") | (title == "abstract"), "abstract")
         .when(command.isin("part", "chapter", "section"), "section")
         .when(command != "", "subsection")
-        .when(s.rlike(r"^\\\[") | math_float, "math")
+        .when(s.rlike(r"^\\\[") | formula_float(s, rules), "math")
         .otherwise(F.coalesce(by_env, F.lit("text")))
     )
 

@@ -375,3 +375,14 @@ def test_reports(spark):
     c = spark.createDataFrame([(1, f"k{i}") for i in range(8)], "doc int, key string")
     r = references.first_collisions(c, ["doc"]).first()
     assert r.shown == ["k0", "k1", "k2", "k3", "k4"] and r.total == 8
+
+
+def test_render_classes_by_label_then_text(spark):
+    rows = [
+        ("\\section{A}", "式1-1", "equation"), ("any words", "摘要", "abstract"), ("x", "算法1-1", "code"), ("x", "代码2-1", "code"),
+        ("\\begin{table}\n\\begin{equation}a\\end{equation}\n\\end{table}", "表1-1", "equation"),
+        ("\\begin{table}\\begin{tabular}{c}a\\end{tabular}\\end{table}", "表1-1", "table"),
+        ("\\begin{Theorem*} a", "1.1节", "mathenv"), ("see \\begin{proof} b", "", "proof"), ("\\paragraph{P} c", None, "inline_heading"), ("\\begin{abstract} d", "", "abstract"), ("plain", None, "paragraph"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "text string, label string")
+    assert [r.k for r in df.select(render.render_class(F.col("text"), F.col("label")).alias("k")).collect()] == [k for _, _, k in rows]
