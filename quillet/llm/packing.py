@@ -4,7 +4,7 @@ Every document becomes its token ids and an end id; documents longer than a sequ
 rest. A bin has three capacities - tokens, pieces and attention cost (the sum of squared lengths) - and a piece goes to
 the open bin that, under every constraint, leaves the least weighted norm of what remains free; pieces come longest
 first. Only piece lengths are packed: ids never leave the task that made them. Pieces are dealt evenly by a hash of
-their key and packed in each partition on its own, so a partition costs one unfilled bin at most; pieces of a whole
+their key and packed on their own in runs of 50,000 or what is left of a partition, so a run costs a few unfilled bins at most; pieces of a whole
 sequence are sequences already.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id packs like any other; repeated rows are packed
