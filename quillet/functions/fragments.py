@@ -22,7 +22,7 @@ BOXES = {"raisebox": 2, "includegraphics": 1}
 
 def _balanced(depth: int) -> str:
     """What braces hold that are nested at most `depth` deep."""
-    return r"[^{}]*" if depth == 0 else rf"(?:[^{{}}]|\{{{_balanced(depth - 1)}\}})*"
+    return r"[^{}]*" if depth == 0 else rf"(?:[^{{}}]++|\{{{_balanced(depth - 1)}\}})*+"
 
 
 def _stripped(t: Column) -> Column:

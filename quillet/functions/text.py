@@ -39,8 +39,9 @@ def strip_comments(t: Column) -> Column:
 
 def comment_start(line: Column) -> Column:
     """1-based place of the first percent sign after an even number of backslashes; 0 if none."""
-    before = F.regexp_extract(line, r"^((?:[^%\\]|\\.)*)%", 1)
-    return F.when(line.rlike(r"^(?:[^%\\]|\\.)*%"), F.length(before) + 1).otherwise(F.lit(0))
+    sign = F.lit(r"(?<!\\)(?:\\\\)*%")
+    at = F.regexp_instr(line, sign)
+    return F.when(at > 0, at + F.length(F.regexp_substr(line, sign)) - 1).otherwise(F.lit(0))
 
 
 def document_body(t: Column) -> Column:

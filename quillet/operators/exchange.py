@@ -51,10 +51,17 @@ def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.join(by, "chapter", "left").withColumn("terms", F.coalesce("terms", F.create_map().cast("map<string,string>")))
 
 
-def cached_titles(rows: DataFrame, title: str, rules: Rules = Rules()) -> DataFrame:
-    """rows with the standing translation of their title, null where the exchange has to supply it."""
-    known = rows.sparkSession.createDataFrame(sorted(rules.titles.items()), "_t string, cached string")
-    return rows.withColumn("_t", F.lower(F.trim(title))).join(F.broadcast(known), "_t", "left").drop("_t")
+HEADING = r"(?is)^(\\(?:part|chapter|section|subsection|subsubsection)\*?)\{([^}]+)\}(\s*\\label\{[^}]*\})?$"
+
+
+def cached_titles(rows: DataFrame, text: Column, rules: Rules = Rules()) -> DataFrame:
+    """rows with `cached`: a heading with the standing translation of its title, command and label as they were; null for
+    other texts and titles, which the exchange has to supply."""
+    known = rows.sparkSession.createDataFrame(sorted(rules.titles.items()), "_t string, _new string")
+    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
+    part = lambda n: F.regexp_extract("_whole", HEADING, n)
+    found = rows.withColumn("_whole", whole).withColumn("_t", F.lower(F.regexp_replace(part(2), r"^\s+|\s+$", ""))).join(F.broadcast(known), "_t", "left")
+    return found.withColumn("cached", F.when(F.col("_new").isNotNull(), F.concat(part(1), F.lit("{"), "_new", F.lit("}"), part(3)))).drop("_t", "_new", "_whole")
 
 
 def still_to_do(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

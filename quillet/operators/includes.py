@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..sources.shared import materialize
 
 INCLUDE = r"\\(?:input|include|subfile|import|subimport)\s*(?:\{([^}]*)\}\s*)?\{([^}]+)\}"
+#: A comment or an include command, whichever comes first: a command inside a comment is part of the comment.
+PIECE = rf"(?m)(?<!\\)(?:\\\\)*%.*$|{INCLUDE}"
 
 
 def include_edges(files: DataFrame) -> DataFrame:
     """(folder, src, pos, dst): include commands outside comments, targets with suffix; the first existing of the
-    including file's directory and the folder wins. files(folder, name, text), names relative to the folder."""
-    bare = F.regexp_replace("text", r"(?m)(?<!\\)((?:\\\\)*)%.*$", "$1")
-    found = files.select("folder", F.col("name").alias("src"), F.posexplode(F.arrays_zip(F.regexp_extract_all(bare, F.lit(INCLUDE), F.lit(1)).alias("dir"), F.regexp_extract_all(bare, F.lit(INCLUDE), F.lit(2)).alias("arg"))).alias("pos", "i"))
+    including file's directory and the folder wins. files(folder, name, text), names relative to the folder; pos is the
+    command's place among the comments and includes of its file."""
+    part = lambda n: F.regexp_extract_all("text", F.lit(PIECE), F.lit(n))
+    found = files.select("folder", F.col("name").alias("src"), F.posexplode(F.arrays_zip(part(1).alias("dir"), part(2).alias("arg"))).alias("pos", "i")).where("i.arg <> ''")
     arg = F.trim(F.col("i.arg"))
     target = F.concat(F.coalesce("i.dir", F.lit("")), arg, F.when(arg.endswith(".tex"), "").otherwise(".tex"))
     here = F.regexp_extract("src", r"^(.*/)?", 0)
@@ -70,7 +73,7 @@ def inlined(files: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:
         # children of p come before it: those whose path is p's and one place more, by that place
         kids = F.array_sort(F.filter(acc, lambda q: (F.size(q["path"]) == F.size(p["path"]) + 1) & (F.slice(q["path"], F.lit(1), F.size(p["path"])) == p["path"])))
         by_place = F.map_from_entries(F.transform(kids, lambda q: F.struct(F.element_at(q["path"], -1), q["text"])))
-        bits, commands = F.split(p["text"], INCLUDE, -1), F.regexp_extract_all(p["text"], F.lit(INCLUDE), F.lit(0))
+        bits, commands = F.split(p["text"], PIECE, -1), F.regexp_extract_all(p["text"], F.lit(PIECE), F.lit(0))
         done = F.array_join(F.zip_with(bits, F.transform(commands, lambda c, i: F.coalesce(F.try_element_at(by_place, i.cast("int")), c)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
         return F.concat(acc, F.array(F.struct(p["path"].alias("path"), p["name"].alias("name"), done.alias("text"))))
 

@@ -114,3 +114,11 @@ def first_collisions(collisions: DataFrame, by: list[str], key: str = "key", mos
     """The first collisions of each document by key, as a report shows them, and how many there are."""
     keys = F.array_sort(F.collect_set(key))
     return collisions.groupBy(*by).agg(F.slice(keys, 1, most).alias("shown"), F.size(keys).alias("total"))
+
+
+def replace_summary(paragraphs: DataFrame, citations: DataFrame, refs: DataFrame) -> DataFrame:
+    """One row: how many documents, paragraphs, citation keys and reference keys a run has."""
+    sizes = paragraphs.groupBy("doc_idx").agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("documents"), F.col("n").alias("paragraphs"))
+    keys = lambda df, name: df.select(F.lit(1).alias(name))
+    every = sizes.unionByName(keys(citations, "citation_keys"), True).unionByName(keys(refs, "reference_keys"), True)
+    return every.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("documents", "paragraphs", "citation_keys", "reference_keys")))

@@ -49,8 +49,8 @@ def render_plan(paragraphs: DataFrame) -> DataFrame:
         df = df.where(~F.coalesce("syntax_error", F.lit(False)))
     df = df.withColumn("kind", render_class(F.col("text"), F.col("env_label")))
     heading = F.col("kind").startswith("heading")
-    inner = F.regexp_extract(body, r"(?s)\\(?:part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\s*\{((?:[^{}]|\{[^{}]*\})*)\}", 1)
-    caption = F.regexp_extract(body, r"(?s)\\caption\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", 1)
+    inner = F.regexp_extract(body, r"(?s)\\(?:part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\s*\{((?:[^{}]++|\{[^{}]*\})*+)\}", 1)
+    caption = F.regexp_extract(body, r"(?s)\\caption\*?(?:\[[^\]]*\])?\{((?:[^{}]++|\{[^{}]*\})*+)\}", 1)
     shown = F.when(heading | (F.col("kind") == "inline_heading"), inner).when(F.col("kind").isin("figure", "table"), caption).otherwise(body)
     level = F.when(heading, F.substring("kind", 8, 1).cast("int")).otherwise(0)
     prefix = F.when(heading, F.regexp_extract("env_label", r"^[\d.]+", 0)).when(F.col("kind").isin("figure", "table", "equation", "code"), F.col("env_label")).otherwise("")

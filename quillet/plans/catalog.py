@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions.rules import Rules
 from ..operators import bibliography, exchange, orders, references, render, structure
 from ..streaming import jobs
+from . import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,11 +52,17 @@ def heading_carry_forward(spark, sf_dir):
     return structure.carry_forward(df, ["conv_id"], ["turn"], F.col("role") == "system", F.col("role") == "user").drop("role")
 
 
-@query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS seq FROM events")
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS seq FROM events)
+SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'figure' WHEN 'view' THEN 'table' WHEN 'error' THEN 'code' ELSE 'text' END AS category,
+  CASE event_type WHEN 'click' THEN '图' || (user_id % 9) || '-' || seq WHEN 'view' THEN '表' || (user_id % 9) || '-' || seq WHEN 'error' THEN '代码' || (user_id % 9) || '-' || seq
+    ELSE (user_id % 9) || '.0节' END AS env_label FROM e""")
 def env_sequence(spark, sf_dir):
-    """Running number of each category in a document."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.row_number().over(w).cast("long").alias("seq"))
+    """Environments told apart and numbered by category in a document."""
+    kind = F.col("event_type")
+    body = F.when(kind == "click", "\\begin{figure}\\end{figure}").when(kind == "view", "  \\begin{table*}[t] x").when(kind == "error", "\\begin{lstlisting}\nx").otherwise("words \\begin{figure}")
+    df = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_idx"), (F.col("user_id") % 9).alias("chapter"), F.col("event_id").alias("id"), body.alias("text"))
+    return structure.label(df).select(F.col("id").alias("event_id"), F.col("doc_idx").alias("user_id"), "category", "env_label")
 
 
 @query("""
@@ -80,26 +87,84 @@ def leading_label_merge(spark, sf_dir):
     return structure.join_groups(df, ["conv_id"], "turn", "body", "\n").select("conv_id", F.col("grp").cast("long").alias("grp"), "turn", "body")
 
 
-@query(r"""
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS id, body FROM (
-  SELECT doc_id, generate_subscripts(a, 1) AS pos, trim(unnest(a), ' ' || chr(9)) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))
-WHERE body <> ''""")
+_PAPER = r"""
+WITH d AS (SELECT doc_id, replace(translate(text, '\{}', ''), '%', '\%') AS c FROM documents),
+a AS (SELECT doc_id, string_split_regex(regexp_replace(c, '[ \t]+(\n|$)', '\1', 'g'), '\n\s*\n') AS a FROM d),
+p AS (
+  SELECT doc_id, 0 AS k, 0 AS pos, '\section{S' || doc_id || '}' AS body FROM d
+  UNION ALL SELECT doc_id, 1, generate_subscripts(a, 1), regexp_replace(unnest(a), '^\s+|\s+$', '', 'g') FROM a
+  UNION ALL SELECT doc_id, 2, 0, '\begin{equation} x_' || doc_id || chr(10) || chr(10) || '= 1 \end{equation}' || chr(10) || '\label{e' || doc_id || '}' FROM d
+  UNION ALL SELECT doc_id, 3, 0, 'after ' || doc_id FROM d
+  UNION ALL SELECT doc_id, 4, 0, '\subsection{T}' FROM d
+  UNION ALL SELECT doc_id, 5, 0, 'tail ' || doc_id FROM d
+  UNION ALL SELECT doc_id, 6, 0, '\begin{figure}' || chr(10) || '\caption{C}' || chr(10) || '\end{figure}' FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, pos) AS id FROM p WHERE body <> '')"""
+
+
+def plain_text(text: str = "text") -> Column:
+    """Whole texts without backslashes and braces, percent signs escaped: prose as a LaTeX source holds it."""
+    return F.replace(F.translate(text, "\\{}", ""), F.lit("%"), F.lit("\\%"))
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a paper: its whole text in a section, then an equation with a blank line in it, a label, a comment,
+    a subsection, layout and macro lines that say nothing, and a figure."""
+    i = F.col("doc_id").cast("string")
+    parts = (
+        "\\documentclass{article}\nnot shown\n\\begin{document}\n\\maketitle\n\\section{S", i, "}\n", plain_text(), "\n\\begin{equation} x_", i, "\n\n= 1 \\end{equation}\n\n\\label{e", i, "}\nafter ", i,
+        " % a comment\n\n\\subsection{T}\ntail ", i, "\n\n\\smallskip\n\\newcommand{\\q}{0}\n\n\\begin{figure}\n\\caption{C}\n\\end{figure}\n\\end{document}\nnot shown",
+    )
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("tex"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.label(structure.chunk(_papers(spark, sf_dir)).withColumn("chapter", F.col("doc_idx") % 9 + 1))
+
+
+@query(_PAPER + " SELECT doc_id, id, body FROM n")
 def paragraph_chunk(spark, sf_dir):
-    """Non-empty parts of a text, numbered."""
-    df = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
-    df = df.withColumn("body", F.trim("body", F.lit(" \t"))).where("body <> ''")
-    return df.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long").alias("id"), "body")
+    """The paragraphs of every document as a paper, numbered."""
+    return structure.chunk(_papers(spark, sf_dir)).select(F.col("doc_idx").alias("doc_id"), F.col("id").cast("long").alias("id"), F.col("text").alias("body"))
+
+
+@query(_PAPER + r"""
+SELECT doc_id, id, CASE k WHEN 0 THEN 'section' WHEN 2 THEN 'math' WHEN 4 THEN 'subsection' WHEN 6 THEN 'figure' ELSE 'text' END AS category,
+  CASE WHEN k = 2 THEN '式' || c || '-1' WHEN k = 6 THEN '图' || c || '-1' WHEN k < 4 THEN c || '.1节' ELSE c || '.1.1小节' END AS env_label
+FROM (SELECT *, CAST(doc_id % 9 + 1 AS VARCHAR) AS c FROM n)""")
+def paragraph_label(spark, sf_dir):
+    """Category and label of every paragraph."""
+    return _labelled(spark, sf_dir).select(F.col("doc_idx").alias("doc_id"), F.col("id").cast("long").alias("id"), "category", "env_label")
+
+
+@query(_PAPER + r"""
+SELECT CASE k WHEN 0 THEN 'section' WHEN 2 THEN 'math' WHEN 4 THEN 'subsection' WHEN 6 THEN 'figure' ELSE 'text' END AS category, count(*) AS n FROM n GROUP BY 1""")
+def category_counts(spark, sf_dir):
+    """Paragraphs of each category."""
+    return structure.label_summary(_labelled(spark, sf_dir))
+
+
+@query(r"""
+SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN trim(text, ' ' || chr(10) || chr(9)) = '' ELSE true END AS silent,
+  translate(text, '\{}', '') AS body, length(regexp_replace(text, '[%\\]', '_', 'g')) + CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS at FROM documents""")
+def noncontent_text(spark, sf_dir):
+    """Texts that only lay out, definitions of macros taken out, the place of the first comment."""
+    r, t = F.col("doc_id") % 4, F.translate("text", "\\{}", "")
+    layout = F.when(r == 0, "\\vspace{1em} \\noindent\n\\label{a}").when(r == 1, "\\begin{center}[t]\\end{center}").when(r == 2, F.concat(F.lit("\\noindent "), "text")).otherwise("\\bibliography{a}")
+    defined = F.concat(F.lit("\\newcommand{\\a}[1]{\n{ b }\n}\n"), t, F.lit("\n\\def\\x{1}"))
+    k = F.col("doc_id") % 3
+    line = F.concat(F.translate("text", "%\\\n", "___"), F.when(k == 0, "\\%a%b").when(k == 1, "\\\\%b").otherwise("%c"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.is_noncontent(layout).alias("silent"), T.strip_macro_definitions(defined).alias("body"), T.comment_start(line).cast("long").alias("at"))
 
 
 # ---- labels and references -------------------------------------------------------------------------------------------
 
-_TEX = "concat('text ', doc_id, ' \\label{k', doc_id % 97, '} and \\tag{t', doc_id % 13, '}', chr(10), '\\hypertarget{h', doc_id % 7, '}{shown} end')"
+_TEX = "concat('text ', translate(text, '\\{}', ''), doc_id, ' \\label{k', doc_id % 97, '} and \\tag{t', doc_id % 13, '}', chr(10), '\\hypertarget{h', doc_id % 7, '}{shown} end')"
 
 
 def _tex(df: DataFrame) -> DataFrame:
     s = lambda x: F.lit(x)
     m = lambda n: (F.col("doc_id") % n).cast("string")
-    t = F.concat(s("text "), F.col("doc_id").cast("string"), s(" \\label{k"), m(97), s("} and \\tag{t"), m(13), s("}\n\\hypertarget{h"), m(7), s("}{shown} end"))
+    t = F.concat(s("text "), F.translate("text", "\\{}", ""), F.col("doc_id").cast("string"), s(" \\label{k"), m(97), s("} and \\tag{t"), m(13), s("}\n\\hypertarget{h"), m(7), s("}{shown} end"))
     return df.withColumn("t", t)
 
 
@@ -112,17 +177,17 @@ k AS (
 SELECT doc_id, category, cat_rank, key FROM k""")
 def label_extract(spark, sf_dir):
     """keys of all label-like commands by category."""
-    df = _tex(read(spark, sf_dir, "documents").select("doc_id"))
+    df = _tex(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", F.explode(T.label_keys(F.col("t"))).alias("k")).select("doc_id", "k.category", "k.cat_rank", "k.key")
 
 
 @query(f"""
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_TEX},
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_TEX},
   '\\n?[ \\t]*\\\\hypertarget\\{{[^}}]+\\}}\\{{([^}}]*)\\}}[ \\t]*\\n?', '\\1', 'g'), '\\n?[ \\t]*\\\\label(?:\\[[^\\]]*\\])?\\{{[^}}]+\\}}[ \\t]*\\n?', '', 'g'),
-  '\\n?[ \\t]*\\\\tag\\*?\\{{[^}}]+\\}}[ \\t]*\\n?', '', 'g') AS body FROM documents""")
+  '\\n?[ \\t]*\\\\tag\\*?\\{{[^}}]+\\}}[ \\t]*\\n?', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS body FROM documents""")
 def label_strip(spark, sf_dir):
     """text without label commands; anchors leave their text."""
-    return _tex(read(spark, sf_dir, "documents").select("doc_id")).select("doc_id", T.strip_labels(F.col("t")).alias("body"))
+    return _tex(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.strip_labels(F.col("t")).alias("body"))
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,20 +259,26 @@ def missing_keys(spark, sf_dir):
     return references.missing(used, p, ["doc"])
 
 
-@query("""
-SELECT event_id, chapter, '（' || chapter || '.1、[?]）' || ' 见图' || (event_id % 9) || '-' || (event_id % 4) || '。' AS body
-FROM (SELECT event_id, CAST(user_id % 10 AS VARCHAR) AS chapter FROM events)""")
+@query(r"""
+WITH own AS (SELECT s_nationkey % 5 AS chapter, 'k' || (s_suppkey % 60) AS key, '图' || (s_nationkey % 5) || '-' || max(s_suppkey) AS env_label FROM supplier GROUP BY s_nationkey % 5, s_suppkey % 60),
+any_ AS (SELECT key, arg_min(env_label, chapter) AS env_label FROM own GROUP BY key),
+r AS (SELECT chapter, key, coalesce(o.env_label, a.env_label) AS found FROM (SELECT DISTINCT c_nationkey % 5 AS chapter, 'k' || (c_custkey % 120) AS key FROM customer) LEFT JOIN own o USING (chapter, key) LEFT JOIN any_ a USING (key)),
+c AS (SELECT c_custkey, c_nationkey % 5 AS chapter, 'k' || (c_custkey % 120) AS key, c_name FROM customer),
+x AS (SELECT c.*, r.found, p_partkey + 1 AS id FROM c JOIN r USING (chapter, key) LEFT JOIN part ON p_partkey = c_custkey * 2)
+SELECT c_custkey, c_name || CASE WHEN found IS NULL THEN ' 见图 [未找到] 。' ELSE ' 见' || found || '。' END || ' 由\textsuperscript{[' || coalesce(CAST(id AS VARCHAR), '[未找到]') || ',[未找到]]},'
+  || CASE WHEN found IS NULL THEN ' [未找到]、[未找到]; [未找到]!' ELSE found || '、[未找到];' || found || '!' END AS body FROM x""")
 def reference_rewrite(spark, sf_dir):
-    """reference commands in place, several keys, doubled prefixes and blanks tidied."""
-    e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).cast("string").alias("chapter"))
-    t = F.concat(F.lit("\\eqref{a, b}"), F.lit(" 见图 图"), (F.col("event_id") % 9).cast("string"), F.lit("-"), (F.col("event_id") % 4).cast("string"), F.lit(" 。"))
-    found = lambda k: F.when(k == "a", F.concat(F.col("chapter"), F.lit(".1"))).otherwise("[?]")
-
-    def refer(match):
-        whole = F.array_join(F.transform(T.keys_of(F.regexp_extract(match, T.REF_COMMAND, 2)), found), "、")
-        return F.concat(F.lit("（"), whole, F.lit("）"))
-
-    return e.select("event_id", "chapter", T.clean_cross_references(T.rewrite(t, T.REF, refer, group=0)).alias("body"))
+    """Reference, hyperlink and citation commands in place, doubled prefixes and blanks tidied."""
+    n = lambda c: F.col(c).cast("string")
+    key = F.concat(F.lit("k"), (F.col("c_custkey") % 120).cast("string"))
+    text = F.concat(
+        "c_name", F.lit(" 见图 \\ref{"), key, F.lit("} 。 由~\\cite{p"), (F.col("c_custkey") * 2).cast("string"), F.lit(", q}, \\eqref{"), key, F.lit(" , none}; \\hyperref[ "), key, F.lit("]{here}!")
+    )
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_idx"), (F.col("c_nationkey") % 5).alias("chapter"), F.lit(1).alias("id"), text.alias("text"))
+    s = read(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("string").alias("chapter"), F.concat(F.lit("k"), (F.col("s_suppkey") % 60).cast("string")).alias("key"), "s_suppkey")
+    refs = s.groupBy("chapter", "key").agg(F.concat(F.lit("图"), "chapter", F.lit("-"), F.max("s_suppkey").cast("string")).alias("env_label"))
+    cites = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), n("p_partkey")).alias("key"), (F.col("p_partkey") + 1).alias("id"))
+    return references.replace_references(rows, refs, cites).select(F.col("doc_idx").alias("c_custkey"), F.col("text").alias("body"))
 
 
 # ---- bibliography ----------------------------------------------------------------------------------------------------
@@ -257,13 +328,13 @@ def citation_lookup(spark, sf_dir):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, 'x \bibitem[a]{r' || doc_id || '} Body ' || (doc_id % 5) || ' \bibitem{s' || doc_id || '} Next' AS t FROM documents)
+WITH d AS (SELECT doc_id, 'x \bibitem[a]{r' || doc_id || '} Body ' || (doc_id % 5) || ' \bibitem{s' || doc_id || '} Next ' || translate(text, '\{}', '') AS t FROM documents)
 SELECT doc_id, i - 1 AS pos, keys[i] AS key, trim(bodies[i + 1]) AS body FROM (
   SELECT doc_id, regexp_extract_all(t, '\\bibitem(?:\[[^\]]*\])?\{([^}]+)\}', 1) AS keys, string_split_regex(t, '\\bibitem(?:\[[^\]]*\])?\{([^}]+)\}') AS bodies, unnest([1, 2]) AS i FROM d)""")
 def bibitem_split(spark, sf_dir):
     """Items of a bibliography text; each body runs to the next item."""
     s = F.col("doc_id").cast("string")
-    t = F.concat(F.lit("x \\bibitem[a]{r"), s, F.lit("} Body "), (F.col("doc_id") % 5).cast("string"), F.lit(" \\bibitem{s"), s, F.lit("} Next"))
+    t = F.concat(F.lit("x \\bibitem[a]{r"), s, F.lit("} Body "), (F.col("doc_id") % 5).cast("string"), F.lit(" \\bibitem{s"), s, F.lit("} Next "), F.translate("text", "\\{}", ""))
     items = bibliography.split_items(read(spark, sf_dir, "documents").select(s.alias("path"), t.alias("content")))
     return items.select(F.col("path").cast("long").alias("doc_id"), "pos", "key", "body")
 
@@ -298,12 +369,15 @@ def resume_anti_join(spark, sf_dir):
     return exchange.still_to_do(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""
-SELECT p_partkey, CASE p_name WHEN 'red widget' THEN '甲' WHEN 'small ring' THEN '乙' END AS cached FROM part""")
+@query(r"""
+SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN '\section' || CASE p_partkey % 3 WHEN 0 THEN '*' ELSE '' END || '{' || CASE p_name WHEN 'red widget' THEN '甲' WHEN 'small ring' THEN '乙' END
+  || '}' || CASE p_partkey % 3 WHEN 0 THEN ' \label{s' || p_partkey || '}' ELSE '' END END AS cached FROM part""")
 def cache_shortcircuit(spark, sf_dir):
-    """Titles with a standing translation."""
+    """Headings with a standing translation, command and label as they were; other texts have none."""
     rules = Rules(titles={"red widget": "甲", "small ring": "乙"})
-    return exchange.cached_titles(read(spark, sf_dir, "part"), F.col("p_name"), rules).select("p_partkey", "cached")
+    k, title = F.col("p_partkey") % 3, F.initcap("p_name")
+    text = F.when(k == 0, F.concat(F.lit(" \\section*{ "), title, F.lit("} \\label{s"), F.col("p_partkey").cast("string"), F.lit("}\n"))).when(k == 1, F.concat(F.lit("\\section{"), title, F.lit("}"))).otherwise(title)
+    return exchange.cached_titles(read(spark, sf_dir, "part"), text, rules).select("p_partkey", "cached")
 
 
 @query("""
@@ -321,17 +395,17 @@ SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '\ref{a' || doc_id || '}' WHEN 1 THEN
 def syntax_integrity(spark, sf_dir):
     """Markup that a transformation lost; the width of blanks does not count."""
     s = F.col("doc_id").cast("string")
-    x = F.concat(F.lit("\\ref{a"), s, F.lit("} \\cite{b c} \\label{c} \\label{c}"))
-    y = F.when(F.col("doc_id") % 3 == 0, "\\cite{b \n c} \\label{c}").when(F.col("doc_id") % 3 == 1, x).otherwise("")
+    x = F.concat(F.lit("\\ref{a"), s, F.lit("} \\cite{b c} \\label{c} \\label{c} "), "text")
+    y = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\\cite{b \n c} \\label{c} "), "text")).when(F.col("doc_id") % 3 == 1, x).otherwise(F.col("text"))
     df = exchange.integrity(read(spark, sf_dir, "documents").select("doc_id", x.alias("x"), y.alias("y")), "x", "y")
     return df.select("doc_id", F.array_join("syntax_error_tokens", ";").alias("lost"), "syntax_error")
 
 
 @query(r"""
-SELECT doc_id, regexp_replace('a \% b ' || doc_id || ' % cut' || chr(10) || '% all' || chr(10) || 'kept', '(^|[^\\])%[^' || chr(10) || ']*', '\1', 'g') AS body FROM documents""")
+SELECT doc_id, regexp_replace('a \% b ' || doc_id || ' % cut' || chr(10) || '% all' || chr(10) || 'kept ' || text, '(^|[^\\])%[^' || chr(10) || ']*', '\1', 'g') AS body FROM documents""")
 def comment_strip(spark, sf_dir):
     """Lines cut at the first percent sign without a backslash."""
-    t = F.concat(F.lit("a \\% b "), F.col("doc_id").cast("string"), F.lit(" % cut\n% all\nkept"))
+    t = F.concat(F.lit("a \\% b "), F.col("doc_id").cast("string"), F.lit(" % cut\n% all\nkept "), "text")
     return read(spark, sf_dir, "documents").select("doc_id", T.strip_comments(t).alias("body"))
 
 
@@ -432,10 +506,11 @@ def progress_running(spark, sf_dir):
 # ---- summaries, guards, tables ---------------------------------------------------------------------------------------
 
 @query("""
-SELECT lang, source, count(*) AS n, CAST(sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source""")
+SELECT lang, count(DISTINCT doc_id // 10) AS documents, count(*) AS paragraphs, CAST(sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS broken FROM documents GROUP BY lang""")
 def summary_counts(spark, sf_dir):
-    """Counts by category, conditional counts, totals."""
-    return read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 2000).alias("n_long"), F.sum("n_chars").alias("chars"))
+    """Documents, paragraphs, and paragraphs that lost markup."""
+    df = read(spark, sf_dir, "documents").select("lang", F.floor(F.col("doc_id") / 10).alias("doc_idx"), (F.col("n_chars") > 2000).alias("syntax_error"))
+    return documents.paragraph_totals(df, ("lang",))
 
 
 @query("""
@@ -494,7 +569,7 @@ def text_scalars(spark, sf_dir):
     """Names, tails, previews, numerals."""
     c = read(spark, sf_dir, "customer")
     return c.select(
-        "c_custkey", T.safe_name(F.concat("c_name", F.lit(" /é?"), "c_mktsegment")).alias("safe"), F.right("c_name", F.lit(5)).alias("tail"), T.preview(F.col("c_name"), 10).alias("preview"), T.chinese_number(F.col("c_nationkey")).alias("numeral")
+        "c_custkey", T.safe_name(F.concat("c_name", F.lit(" /é?"), "c_mktsegment")).alias("safe"), jobs.log_tail(F.col("c_name"), 5).alias("tail"), T.preview(F.col("c_name"), 10).alias("preview"), T.chinese_number(F.col("c_nationkey")).alias("numeral")
     )
 
 

@@ -83,6 +83,18 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.agg(F.count_if(F.col("level") == "ERROR").alias("errors"), F.count_if(F.col("level") == "WARNING").alias("warnings"))
 
 
+def demoted(issues: DataFrame, stage: str, reason: str) -> DataFrame:
+    """issues with the errors of a stage as warnings, the reason behind their messages."""
+    hit = (F.col("level") == "ERROR") & (F.col("stage") == stage)
+    return issues.withColumn("message", F.when(hit, F.concat("message", F.lit(f" ({reason})"))).otherwise(F.col("message"))).withColumn("level", F.when(hit, "WARNING").otherwise(F.col("level")))
+
+
+def paragraph_totals(paragraphs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """How many documents and paragraphs there are, and how many paragraphs lost markup."""
+    per = paragraphs.groupBy(*by, "doc_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if("syntax_error").alias("b"))
+    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("paragraphs"), F.sum("b").alias("broken"))
+
+
 def citations(entries: DataFrame, options: Options = Options()) -> DataFrame:
     """(key, id, citation) of bibliography entries(pos, id, entrytype, fields)."""
     df = entries.withColumn("citation", bibliography.citation(F.col("entrytype"), F.col("fields"))).withColumn("year", bibliography.year_of(F.col("fields")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
@@ -25,6 +25,11 @@ def tail(events: DataFrame, after: int, order: str = "offset") -> DataFrame:
     return events.where(F.col(order) >= after)
 
 
+def log_tail(log: Column, most: int = 20_000) -> Column:
+    """The last characters of a log."""
+    return F.right(log, F.lit(most))
+
+
 def admitted(requests: DataFrame, running: DataFrame, bound: int, key: str = "job_id", at: str = "time") -> DataFrame:
     """Requests that a bounded queue takes, oldest first, each job once and none that runs; `admitted` says whether it fits."""
     from pyspark.sql.window import Window

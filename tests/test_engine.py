@@ -12,6 +12,7 @@ from quillet.functions import latex as L
 from quillet.functions import text as T
 from quillet.functions.rules import Rules
 from quillet.operators import bibliography, exchange, includes, orders, references, render, structure
+from quillet.plans import documents
 from quillet.sources import archives, bibtex, events, files
 from quillet.streaming import jobs
 
@@ -327,6 +328,40 @@ def test_deep_includes_and_cycles(spark):
         includes.expand_order(roots, edges, max_depth=5)
 
 
+def test_includes_behind_comments(spark):
+    rows = [("f", "main.tex", "a % \\input{z}\nb \\\\% \\input{z}\n\\input{x} 5\\% \\input{y}"), ("f", "x.tex", "X"), ("f", "y.tex", "Y"), ("f", "z.tex", "Z")]
+    fs = spark.createDataFrame(rows, "folder string, name string, text string")
+    edges = includes.include_edges(fs)
+    order = includes.expand_order(fs.where("name = 'main.tex'"), edges)
+    assert includes.inlined(fs, edges, order).first().text == "a % \\input{z}\nb \\\\% \\input{z}\nX 5\\% Y"
+
+
+def test_long_texts_in_patterns(spark):
+    from quillet.functions import fragments as G
+
+    long = "word " * 40_000
+    got = spark.createDataFrame([(long, "\\\\" * 20_000)], "t string, b string").select(
+        T.comment_start(F.concat("t", "b", F.lit("%"))).alias("at"), G.caption(F.concat(F.lit("\\caption{a {b} "), "t", F.lit("}"))).alias("c"),
+        T.comment_start(F.concat("b", F.lit("\\%"))).alias("none"),
+    ).first()
+    assert got.at == len(long) + 40_001 and got.none == 0 and got.c == "a {b} " + long.strip()
+    rows = spark.createDataFrame([(1, 1, "\\section{" + long + "}", "1.1节")], "doc_idx int, id int, text string, env_label string")
+    assert render.render_plan(rows).first().body == long.strip()
+
+
+def test_headings_and_reports(spark):
+    df = spark.createDataFrame([("\\section*{Related Work}\\label{sec:rw}",), ("Related Work",), ("\\section{Other}",), (None,)], "t string")
+    got = exchange.cached_titles(df, F.col("t")).collect()
+    assert {r.t: r.cached for r in got} == {"\\section*{Related Work}\\label{sec:rw}": "\\section*{相关工作}\\label{sec:rw}", "Related Work": None, "\\section{Other}": None, None: None}
+    p = spark.createDataFrame([(1, True), (1, False), (2, False)], "doc_idx int, syntax_error boolean")
+    assert tuple(documents.paragraph_totals(p).first()) == (2, 3, 1)
+    keys = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert tuple(references.replace_summary(p, keys, keys.where("key = 'a'")).first()) == (2, 3, 2, 1)
+    assert tuple(references.replace_summary(p.where("false"), keys, keys).first()) == (0, 0, 2, 2)
+    i = spark.createDataFrame([("ERROR", "bib", "m"), ("ERROR", "chunk", "n")], "level string, stage string, message string")
+    assert [tuple(r) for r in documents.demoted(i, "bib", "why").collect()] == [("WARNING", "bib", "m (why)"), ("ERROR", "chunk", "n")]
+
+
 def test_fragments_by_their_parts(spark):
     from quillet.functions import fragments as G
 
