@@ -72,11 +72,11 @@ def break_environments(t: Column, rules: Rules) -> Column:
 
     First every marker gets a line of its own side: what stands before a beginning, or behind an end, goes to a line
     apart. Then lines are told by the marker that they hold: one with a beginning has a blank line before it, one with
-    an end alone has one behind it.
+    an end alone has one behind it. An end is looked for behind closing braces alone, which keeps prose cheap.
     """
     envs = _alternatives(rules.block_envs)
     begin, end = (rf"\\{m}\{{(?:{envs})\}}" for m in ("begin", "end"))
-    apart = F.regexp_replace(t, rf"(?<=\S)[ \t]*(?={begin})|(?<={_behind(rules.block_envs)})[ \t]*(?=\S)", "\n\n")
+    apart = F.regexp_replace(t, rf"(?<=\S)[ \t]*(?={begin})|(?<=\}})(?<={_behind(rules.block_envs)})[ \t]*(?=\S)", "\n\n")
     lines = F.transform(
         F.split(apart, "\n"),
         lambda x: F.when(x.rlike(begin), F.concat(F.lit("\n"), x)).when(x.rlike(end) & ~x.contains("\\begin{"), F.concat(x, F.lit("\n"))).otherwise(x),
