@@ -1,4 +1,4 @@
-"""The registered queries op1 .. op10 and the pipeline, each over its whole intended table."""
+"""The registered queries op1 .. op13 and the pipeline, each over its whole intended table."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html, licenses, neighbours, packing, quality, simhash, suffix, toxicity, warc
+from . import decontaminate, html, licenses, neighbours, packing, quality, simhash, suffix, tokens, toxicity, warc
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_token_counts": op11_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle()}
