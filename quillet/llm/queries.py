@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html, licenses, neighbours, packing, quality, simhash, suffix, tokens, toxicity, warc
+from . import decontaminate, html, interaction, layout, licenses, neighbours, packing, quality, simhash, suffix, tokens, toxicity, warc
 from .common import table
 
 
@@ -60,6 +60,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.clustered(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_token_counts": op11_token_counts,
+    "op12_filter_interaction": op12_filter_interaction,
+    "op13_clustered_layout": op13_clustered_layout,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle()}
+ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle(), "op12_filter_interaction": interaction.oracle(), "op13_clustered_layout": layout.oracle()}
