@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, ROUNDS, KEPT = 4096, 512, 400_000
+CHARACTERS = 1 << 18  # of texts, and of new pre-tokens, that a task works on at once
 BLANK = "▁"
 _NONE = np.iinfo(np.int64).max
 _PRETOKENS = re.compile(f"{BLANK}+[^{BLANK}]*").findall
@@ -70,7 +71,7 @@ class Merger:
             if len(p) == 1:
                 self.of[ord(p)] = i
         beside = {ord(a) << 32 | ord(b) for p in score for a, b in zip(p, p[1:])}
-        self.beside = np.array(sorted(beside), np.int64)
+        self.pairs, self.beside = beside, np.array(sorted(beside), np.int64)
         # blank pieces come last of all, and no piece has a blank and something else but one at its start: a long run of
         # blanks is then cut from the left, where each of the longest pieces ends
         blanks = [p for p in score if set(p) == {BLANK}]
@@ -93,13 +94,31 @@ class Merger:
         return np.where(hit, self.rank[at], _NONE), self.product[at]
 
     def counts(self, words: list[str]) -> np.ndarray:
-        """Tokens of each pre-token."""
-        lengths = np.array([len(w) for w in words], np.int64)
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        """Tokens of each pre-token; arrays hold about `CHARACTERS` at once, and whole sequences."""
         total = np.zeros(len(words), np.int64)
+        held: list[tuple[int, str]] = []
+        size = 0
+        for i, w in enumerate(words):
+            at = 0
+            while len(w) - at > CHARACTERS:  # a longer one is cut where characters are not beside each other in any piece
+                end = next((k for k in range(at + CHARACTERS, at, -1) if ord(w[k - 1]) << 32 | ord(w[k]) not in self.pairs), at)
+                end = end if end > at else next((k for k in range(at + CHARACTERS, len(w)) if ord(w[k - 1]) << 32 | ord(w[k]) not in self.pairs), len(w))
+                self._add([(i, w[at:end])], total)
+                at = end
+            held.append((i, w[at:]))
+            size += len(w) - at
+            if size > CHARACTERS:
+                self._add(held, total)
+                held, size = [], 0
+        self._add(held, total)
+        return total
+
+    def _add(self, words: list[tuple[int, str]], total: np.ndarray) -> None:
+        """Adds the tokens of each numbered string to total at its number."""
+        points = np.frombuffer("".join([w for _, w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         if not len(points):
-            return total
-        word = np.repeat(np.arange(len(words)), lengths)
+            return
+        word = np.repeat(np.array([i for i, _ in words]), np.array([len(w) for _, w in words], np.int64))
         sym = self.of[points]
         size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)  # bytes in UTF-8
         np.add.at(total, word[sym < 0], size[sym < 0])
@@ -111,10 +130,9 @@ class Merger:
         for _ in range(ROUNDS):
             sym, seq, word = self._round(sym, seq, word, total)
             if not len(sym):
-                return total
+                return
         for s in np.split(np.arange(len(sym)), np.flatnonzero(seq[1:] != seq[:-1]) + 1):
             total[word[s[0]]] += self._one_by_one(sym[s].tolist())
-        return total
 
     def _round(self, sym: np.ndarray, seq: np.ndarray, word: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One merge of its least pair in every sequence; sequences without a pair are counted and leave."""
@@ -195,7 +213,18 @@ class Merger:
             found.append(w[1:])
         return found, taken
 
-    def tokens(self, texts: list[str]) -> list[int]:
+    def tokens(self, texts: Iterable[str]) -> list[int]:
+        found: list[int] = []
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > CHARACTERS:
+                found += self._tokens(held)
+                held, size = [], 0
+        return found + self._tokens(held)
+
+    def _tokens(self, texts: list[str]) -> list[int]:
         cut = [self.pretokens(t) if t else ([], 0) for t in texts]
         known = self.known
         new = list({w for words, _ in cut for w in words if w not in known})
@@ -221,7 +250,7 @@ def count(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(model)
         for b in batches:
-            n = pa.array(merger.tokens([t.decode("utf-8", "replace") for t in b.column(2).to_pylist()]), pa.int64())
+            n = pa.array(merger.tokens(t.as_py().decode("utf-8", "replace") for t in b.column(2)), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))

@@ -69,3 +69,9 @@ def test_defined_cases(spark):
     assert sorted(got, key=str)[:2] == [(1, 0, 0, False), (2, 0, 0, False)] and got.count(got[-1]) == 2 and got[-1][3]
     assert (None, 8, 2, False) in got
     assert tokens.count(docs.limit(0)).count() == 0
+
+
+def test_small_pieces_of_work_are_still_right(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CHARACTERS", 20)
+    rng = random.Random(8)
+    agree(library, ["".join(rng.choice("abcinrteo日é ") for _ in range(n)) for n in (0, 5, 50, 500, 3000)] + ["aaaa" * 50, "x" * 100 + " " * 100 + "日本" * 60, "aZ" * 100])
