@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import rewrite
+
 # Chinese characters and marks; marks after which no blank stands.
 _CJK, _MARKS = r"\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}", "。，、；：！？…—“”‘’「」『』【】《》（）·.,;:!?"
 # Settings a request may change, by group.
@@ -26,13 +28,26 @@ def _balanced(depth: int) -> str:
 
 
 def _stripped(t: Column) -> Column:
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    return F.regexp_replace(t, r"^\s++|(?<!\s)\s++$", "")
 
 
 def clean_spaces(t: Column) -> Column:
-    """No blanks around Chinese characters and after marks; single ones between others."""
-    t = F.regexp_replace(t, rf"(?U)(?<=[{_CJK}{_MARKS}])\s+|\s+(?=[{_CJK}])", "")
-    return F.regexp_replace(t, r"(?<=[!-~]) {2,}(?=[!-~])", " ")
+    """No blanks around Chinese characters and after marks; single ones between others.
+
+    White space and what it parts are tokens; of each white space the characters beside it decide.
+    """
+    tokens = F.regexp_extract_all(t, F.lit(r"(?U)\s++|\S++"), F.lit(0))
+
+    def join(all_: Column) -> Column:
+        def token(x: Column, i: Column) -> Column:
+            left, right = F.right(F.coalesce(F.get(all_, i - 1), F.lit("")), F.lit(1)), F.left(F.coalesce(F.get(all_, i + 1), F.lit("")), F.lit(1))
+            goes = left.rlike(f"[{_CJK}{_MARKS}]") | right.rlike(f"[{_CJK}]")
+            one = left.rlike("[!-~]") & right.rlike("[!-~]") & x.rlike(r"^ {2,}\z")
+            return F.when(x.rlike(r"(?U)^\S"), x).when(goes, "").when(one, " ").otherwise(x)
+
+        return F.array_join(F.transform(all_, token), "")
+
+    return F.get(F.transform(F.array(tokens), join), 0)
 
 
 def clean_section_suffix(t: Column) -> Column:
@@ -112,19 +127,26 @@ def caption(t: Column) -> Column:
 
 
 def sanitize(t: Column, keep_proofs: bool = False) -> Column:
-    """A fragment without what makes no sense outside its environment: shells, rules, emphasis switches; captions as text."""
+    """A fragment without what makes no sense outside its environment: shells, rules, emphasis switches; captions as text.
+
+    A shell's beginning goes with its option and with as many arguments as its environment takes.
+    """
     shells = {n: k for n, k in SHELLS.items() if not (keep_proofs and n == "proof")}
-    begins = [rf"begin\{{{re.escape(n)}\}}" + (rf"(?:\[[^\]]*\])?(?:\{{[^}}]*\}}){{0,{k}}}" if k else r"(?:\[[^\]]*\])?") for n, k in shells.items()]
-    ends = rf"end\{{(?:{'|'.join(map(re.escape, shells))})\}}"
-    switches = rf"(?:{'|'.join(SWITCHES)})(?U:(?!\w))"
-    t = F.regexp_replace(t, rf"\\(?:{'|'.join(begins)}|{ends})|\\{switches}(?:(?<=bf)\s*)?", "")
-    t = F.regexp_replace(t, rf"\\caption\{{({_balanced(1)})\}}", "$1")
-    return _stripped(F.regexp_replace(t, r"[ \t]+(?=\n)|(?<=\n\n)\n+", ""))
+    named = lambda names: rf"\{{(?:{'|'.join(map(re.escape, names))})\}}"
+    gone = [r"bf(?U:(?!\w))\s*+", rf"(?:{'|'.join(s for s in SWITCHES if s != 'bf')})(?U:(?!\w))", "end" + named(shells)]
+    for n in sorted(set(shells.values())):
+        gone.append("begin" + named(s for s, k in shells.items() if k == n) + r"(?:\[[^\]]*\])?" + rf"(?:\{{[^}}]*\}}){{0,{n}}}" * (n > 0))
+    t = F.array_join(F.split(t, rf"\\(?:{'|'.join(gone)})", -1), "")
+    t = rewrite(t, rf"\\caption\{{({_balanced(1)})\}}", lambda content: content)
+    return _stripped(F.regexp_replace(t, r"(?<![ \t])[ \t]++(?=\n)|(?<=\n\n)\n+", ""))
 
 
 def strip_trailing_punctuation(t: Column) -> Column:
-    """Display math without a comma or full stop before its end."""
-    return F.regexp_replace(t, rf"[,.]\s*(?=\\end\{{(?:{'|'.join(UNMARKED_MATH)})\*?\}})", "")
+    """Display math without a comma or full stop before its end: the text is cut at these ends, and each piece before one
+    loses what it ends in."""
+    end = rf"\\end\{{(?:{'|'.join(UNMARKED_MATH)})\*?\}}"
+    pieces = F.split(t, rf"(?={end})", -1)
+    return F.array_join(F.transform(pieces, lambda x, i: F.when(i < F.size(pieces) - 1, F.regexp_replace(x, r"[,.]\s*+$", "")).otherwise(x)), "")
 
 
 def display_math(t: Column) -> Column:

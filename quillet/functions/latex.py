@@ -9,7 +9,53 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import functions as F
 
-_TOKENS = re.compile(r"\\[A-Za-z]+\*?|\\.|%[^\n]*\n?|[{}\[\]]|\s+|[^\\%{}\[\]\s]", re.S)
+#: What an expansion has to look at: commands, escaped characters and comments; all else is copied as it lies.
+_MARKUP = re.compile(r"\\[A-Za-z]+\*?|\\.|%[^\n]*\n?", re.S)
+_BRACES, _BRACKETS = re.compile(r"\\.|[{}]", re.S), re.compile(r"\\.|[\[\]]", re.S)
+
+
+def pairs(s: str, marks: re.Pattern = _BRACES) -> dict[int, int]:
+    """The place behind the end of every group of a text, by the place of its beginning; groups that never end are absent.
+    One pass, however many groups stay open."""
+    ends, held = {}, []
+    for m in marks.finditer(s):
+        c = m[0]
+        if c in "{[":
+            held.append(m.start())
+        elif c in "}]" and held:
+            ends[held.pop()] = m.end()
+    return ends
+
+
+class Source:
+    """A text with its groups, which are looked for once, when the first is asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self._ends = text, {}
+
+    def end(self, at: int, marks: re.Pattern = _BRACES) -> int:
+        """The place behind the group that opens at `at`; -1 if it never ends."""
+        if marks not in self._ends:
+            self._ends[marks] = pairs(self.text, marks)
+        return self._ends[marks].get(at, -1)
+
+    def argument(self, at: int) -> tuple[str, int] | None:
+        s, at = self.text, skip_space(self.text, at)
+        if at >= len(s):
+            return None
+        if s[at] == "{":
+            end = self.end(at)
+            return None if end < 0 else (s[at + 1 : end - 1], end)
+        m = _ARGUMENT.match(s, at)
+        return m[0], m.end()
+
+    def optional(self, at: int) -> tuple[str | None, int]:
+        start = skip_space(self.text, at)
+        if self.text[start : start + 1] == "[":
+            end = self.end(start, _BRACKETS)
+            if end > 0:
+                return self.text[start + 1 : end - 1], end
+        return None, at
 
 
 def group_end(s: str, at: int, opener: str = "{", closer: str = "}") -> int:
@@ -29,10 +75,11 @@ def group_end(s: str, at: int, opener: str = "{", closer: str = "}") -> int:
     return -1
 
 
+_SPACE, _ARGUMENT = re.compile(r"\s*"), re.compile(r"\\(?:[A-Za-z]+|.)|.", re.S)
+
+
 def skip_space(s: str, at: int) -> int:
-    while at < len(s) and s[at].isspace():
-        at += 1
-    return at
+    return _SPACE.match(s, at).end()
 
 
 def argument(s: str, at: int) -> tuple[str, int] | None:
@@ -43,7 +90,7 @@ def argument(s: str, at: int) -> tuple[str, int] | None:
     if s[at] == "{":
         end = group_end(s, at)
         return None if end < 0 else (s[at + 1 : end - 1], end)
-    m = re.compile(r"\\(?:[A-Za-z]+|.)|.", re.S).match(s, at)
+    m = _ARGUMENT.match(s, at)
     return m[0], m.end()
 
 
@@ -76,96 +123,117 @@ class Macro:
 
 
 class Expander:
-    """One pass from left to right: a definition holds from where it stands and stays in the text; comments are kept."""
+    """One pass from left to right: a definition holds from where it stands and stays in the text; comments are kept.
 
-    def __init__(self, depth: int = 8) -> None:
-        self.depth, self.macros, self.envs = depth, {}, {}
+    What a macro makes is read in turn before what follows it, from a stack, so macros may nest as deep as they like. The work
+    has a budget, of expansions and of characters that they make, both in proportion to the text: macros that never end
+    spend it, and what was still to be expanded then stays as it is and is counted in `left`.
+    """
 
-    def _define(self, s: str, name: str, at: int) -> int | None:
+    _DEFINE = ("newcommand", "renewcommand", "providecommand", "def", "gdef", "edef", "xdef", "DeclareMathOperator", "newenvironment", "renewenvironment")
+
+    def __init__(self, expansions: int = 1000, characters: int = 1_000_000) -> None:
+        self.least, self.macros, self.envs, self.left = (expansions, characters), {}, {}, 0
+
+    def _define(self, s: Source, name: str, at: int) -> int | None:
         """Read a definition command's arguments; where it ends, or none if it is malformed."""
         if name in ("def", "gdef", "edef", "xdef"):
-            m = re.compile(r"\s*\\([A-Za-z]+)((?:#\d)*)\s*").match(s, at)
-            body = argument(s, m.end()) if m and s[m.end() : m.end() + 1] == "{" else None
+            m = re.compile(r"\s*\\([A-Za-z]+)((?:#\d)*)\s*").match(s.text, at)
+            body = s.argument(m.end()) if m and s.text[m.end() : m.end() + 1] == "{" else None
             if body:
                 self.macros[m[1]] = Macro(m[2].count("#"), None, body[0])
                 return body[1]
             return None
         if name in ("newenvironment", "renewenvironment"):
-            who = argument(s, at)
+            who = s.argument(at)
             if not who:
                 return None
-            n, at = optional(s, who[1])
-            default, at = optional(s, at)
-            first = argument(s, at)
-            last = argument(s, first[1]) if first else None
+            n, at = s.optional(who[1])
+            default, at = s.optional(at)
+            first = s.argument(at)
+            last = s.argument(first[1]) if first else None
             if not last:
                 return None
             proof = re.search(r"\\endproof\b", last[0])
-            self.envs[who[0].strip()] = Macro(int(n or 0), default, "\\begin{proof}" if proof else first[0], "\\end{proof}" if proof else last[0])
+            self.envs[who[0].strip()] = Macro(int(n) if (n or "").isdigit() else 0, default, "\\begin{proof}" if proof else first[0], "\\end{proof}" if proof else last[0])
             return last[1]
-        who = argument(s, at)
+        who = s.argument(at)
         if not who or not re.fullmatch(r"\s*\\[A-Za-z]+\s*", who[0]):
             return None
         word = who[0].strip()[1:]
         if name == "DeclareMathOperator":
-            body = argument(s, who[1])
+            body = s.argument(who[1])
             if body:
                 self.macros[word] = Macro(0, None, f"\\operatorname{{{body[0]}}}")
             return body[1] if body else None
-        n, at = optional(s, who[1])
-        default, at = optional(s, at)
-        body = argument(s, at)
+        n, at = s.optional(who[1])
+        default, at = s.optional(at)
+        body = s.argument(at)
         if body:
             self.macros[word] = Macro(int(n) if (n or "").isdigit() else 0, default, body[0])
         return body[1] if body else None
 
-    def _values(self, m: Macro, s: str, at: int) -> tuple[list[str], int] | None:
+    def _values(self, m: Macro, s: Source, at: int) -> tuple[list[str], int] | None:
         values = []
         if m.default is not None:
-            own, at = optional(s, at)
+            own, at = s.optional(at)
             values.append(m.default if own is None else own)
         while len(values) < m.args:
-            got = argument(s, at)
+            got = s.argument(at)
             if not got:
                 return None
             values.append(got[0])
             at = got[1]
         return values, at
 
-    def expand(self, s: str, level: int = 0) -> str:
-        out, at = [], 0
-        defining = ("newcommand", "renewcommand", "providecommand", "def", "gdef", "edef", "xdef", "DeclareMathOperator", "newenvironment", "renewenvironment")
-        while m := _TOKENS.match(s, at):
-            token, name = m[0], m[0][1:].rstrip("*")
-            at = m.end()
-            if token[0] == "\\" and name in defining:
-                end = self._define(s, name, at)
-                if end is not None:
-                    out.append(s[m.start() : end])
-                    at = end
-                    continue
-            elif token in ("\\begin", "\\end"):
-                who = argument(s, at)
-                env = self.envs.get(who[0].strip()) if who and level < self.depth else None
-                if env:
-                    got = self._values(env, s, who[1]) if token == "\\begin" else ([], who[1])
-                    if got:
-                        out.append(self.expand(env.apply(got[0], env.body if token == "\\begin" else env.end), level + 1))
-                        at = got[1]
+    def _made(self, s: Source, token: str, at: int) -> tuple[str, int] | None:
+        """What a command at hand makes and where it ends, if it is a macro or belongs to an environment of its own."""
+        if token in ("\\begin", "\\end"):
+            who = s.argument(at) if self.envs else None
+            env = self.envs.get(who[0].strip()) if who else None
+            got = env and (self._values(env, s, who[1]) if token == "\\begin" else ([], who[1]))
+            return (env.apply(got[0], env.body if token == "\\begin" else env.end), got[1]) if got else None
+        macro = self.macros.get(token[1:]) if token[0] == "\\" else None
+        got = self._values(macro, s, at) if macro else None
+        return (macro.apply(got[0], macro.body), got[1]) if got else None
+
+    def expand(self, tex: str) -> str:
+        expansions, characters = self.least[0] + 8 * len(tex), self.least[1] + 64 * len(tex)
+        out, stack = [], [(Source(tex), 0)]
+        while stack:
+            s, at = stack.pop()
+            while m := _MARKUP.search(s.text, at):
+                token = m[0]
+                out.append(s.text[at : m.start()])
+                at = m.end()
+                if token[0] == "\\" and token[1:].rstrip("*") in self._DEFINE:
+                    end = self._define(s, token[1:].rstrip("*"), at)
+                    if end is not None:
+                        out.append(s.text[m.start() : end])
+                        at = end
                         continue
-            elif token[0] == "\\" and token[1:] in self.macros and level < self.depth:
-                macro = self.macros[token[1:]]
-                got = self._values(macro, s, at)
-                if got:
-                    out.append(self.expand(macro.apply(got[0], macro.body), level + 1))
-                    at = got[1]
-                    continue
-            out.append(token)
+                elif made := self._made(s, token, at):
+                    if expansions > 0 and characters >= len(made[0]):
+                        expansions, characters = expansions - 1, characters - len(made[0])
+                        stack += [(s, made[1]), (Source(made[0]), 0)]
+                        break
+                    self.left += 1
+                out.append(token)
+            else:
+                out.append(s.text[at:])
         return "".join(out)
 
 
-def expand_macros(tex: str | None, depth: int = 8) -> str | None:
-    return None if tex is None else Expander(depth).expand(tex)
+def expand_macros(tex: str | None) -> str | None:
+    return expansion(tex)[0]
+
+
+def expansion(tex: str | None) -> tuple[str | None, int]:
+    """The text with its macros expanded, and how many uses the budget of work left as they were."""
+    if tex is None or "\\" not in tex:
+        return tex, 0
+    e = Expander()
+    return e.expand(tex), e.left
 
 
 # Formatting commands by what becomes of them.
@@ -173,44 +241,101 @@ UNWRAP = "textbf textit texttt textrm textsf textsc textsl textup textmd textnor
 UNWRAP_LAST = {"textcolor": 2, "colorbox": 2, "fcolorbox": 3, "scalebox": 2, "resizebox": 3, "raisebox": 2, "parbox": 2, "href": 0}
 SWITCHES = "bfseries itshape ttfamily rmfamily sffamily scshape slshape upshape mdseries normalfont bf it tt rm sf sc sl em tiny scriptsize footnotesize small normalsize large Large LARGE huge Huge centering raggedright raggedleft noindent indent smallskip medskip bigskip newpage clearpage pagebreak linebreak newline par vfill hfill protect".split()
 SPACING = "vspace hspace setlength addtolength vskip hskip thispagestyle pagestyle setcounter addtocounter".split()
-_PROTECTED = re.compile(
-    r"(?<!\\)\$\$.*?(?<!\\)\$\$|(?<!\\)\$(?:[^$\\]|\\.)*\$|\\\(.*?\\\)|\\\[.*?\\\]"
-    r"|\\begin\{((?:equation|align|alignat|gather|multline|flalign|eqnarray|displaymath|math|verbatim|Verbatim|lstlisting|minted|alltt)\*?)\}.*?\\end\{\1\}|\\verb\*?([^A-Za-z\s]).*?\2",
-    re.S,
-)
+# Environments whose content is not text, apart from their starred forms.
+VERBATIM = "equation align alignat gather multline flalign eqnarray displaymath math verbatim Verbatim lstlisting minted alltt".split()
+_OPENS = re.compile(r"\\begin\{(" + "|".join(VERBATIM) + r")(\*?)\}|\\verb\*?([^A-Za-z\s])|\\[(\[]|\\.|\$\$?", re.S)
+_DOLLAR = re.compile(r"(?:[^$\\]|\\.)*\$", re.S)
+_WRAPPER = re.compile(r"\\(" + "|".join(map(re.escape, sorted([*UNWRAP, *(k for k, v in UNWRAP_LAST.items() if v)], key=len, reverse=True))) + r")\*?(?![A-Za-z])")
+_SPACING = re.compile(r"\\(?:" + "|".join(SPACING) + r")\*?(?:\s*\{[^{}]*\}|\s*\[[^\]]*\])+")
+_SWITCH = re.compile(r"\\(?:" + "|".join(sorted(SWITCHES, key=len, reverse=True)) + r")(?![A-Za-z])[ \t]?")
+
+
+def protected(s: str) -> list[tuple[int, int]]:
+    """The places of formulas and verbatim text, in order. What is not found behind one place is not looked for again."""
+    zones, at, absent = [], 0, set()
+
+    def ends(closer: str, start: int) -> int:
+        found = -1 if closer in absent else s.find(closer, start)
+        if found < 0:
+            absent.add(closer)
+        return found + len(closer) if found >= 0 else -1
+
+    while m := _OPENS.search(s, at):
+        token, end = m[0], -1
+        if m[1]:
+            end = ends(f"\\end{{{m[1]}{m[2]}}}", m.end())
+        elif m[3]:
+            end = ends(m[3], m.end())
+        elif token in ("\\(", "\\["):
+            end = ends({"\\(": "\\)", "\\[": "\\]"}[token], m.end())
+        elif token[0] == "$":
+            start = m.end()
+            while token == "$$" and (end := ends("$$", start)) > 0 and s[end - 3] == "\\":
+                start = end - 1
+            if end < 0 and "$" not in absent:
+                own = _DOLLAR.match(s, m.start() + 1)
+                end = own.end() if own else -1
+                absent |= {"$"} if end < 0 else set()
+        if end > 0:
+            zones.append((m.start(), end))
+        at = max(m.end(), end)
+    return zones
+
+
+def _unwrapped(s: str) -> str:
+    """Text without wrapping commands, their options and all arguments but the last, of which the content stays."""
+    src, kept, at, done = Source(s), [], 0, 0
+    closing: set[int] = set()
+    options: list[tuple[int, int]] = []  # behind last arguments, the next on top
+    while m := _WRAPPER.search(s, at):
+        while options and options[-1][0] <= m.start():
+            at = max(at, options.pop()[1])
+        if m.start() < at:
+            continue
+        last, end = -1, src.optional(m.end())[1]
+        for _ in range(UNWRAP_LAST.get(m[1], 1)):
+            last = skip_space(s, end)
+            close = src.end(last) if s[last : last + 1] == "{" else -1
+            if close < 0:
+                last = -1
+                break
+            end = src.optional(close)[1] if s[close : close + 1] == "[" else close
+        at = m.end()
+        if last >= 0:
+            # the braces of the last argument go with the command; an option behind it as well
+            kept.append((done, m.start()))
+            done = at = last + 1
+            closing.add(close - 1)
+            if end > close:
+                closing.add(close)
+                options.append((close, end))
+    kept.append((done, len(s)))
+    out = []
+    for a, b in kept:
+        for c in sorted(x for x in closing if a <= x < b) if len(closing) < 8 else _between(closing, a, b, s):
+            out.append(s[a:c])
+            a = c + 1 if s[c] == "}" else src.end(c, _BRACKETS)
+        out.append(s[a:b])
+    return "".join(out)
+
+
+def _between(places: set[int], a: int, b: int, s: str) -> list[int]:
+    return [m.start() for m in re.compile(r"[}\[]").finditer(s, a, b) if m.start() in places]
 
 
 def strip_formatting(tex: str | None) -> str | None:
     """Text without formatting: wrappers leave their content, switches and spacing go, forced line breaks become new lines; math and verbatim stay as they are."""
     if tex is None:
         return None
-    kept: list[str] = []
-
-    def hold(m: re.Match) -> str:
-        kept.append(m[0])
-        return f"\x00{len(kept) - 1}\x00"
-
-    s = _PROTECTED.sub(hold, tex)
-    wrappers = re.compile(r"\\(" + "|".join(map(re.escape, sorted([*UNWRAP, *(k for k, v in UNWRAP_LAST.items() if v)], key=len, reverse=True))) + r")\*?(?![A-Za-z])")
-    at = 0
-    while m := wrappers.search(s, at):
-        end, inside = m.end(), None
-        _, end = optional(s, end)
-        for _ in range(UNWRAP_LAST.get(m[1], 1)):
-            start = skip_space(s, end)
-            close = group_end(s, start) if s[start : start + 1] == "{" else -1
-            if close < 0:
-                inside = None
-                break
-            inside, end = s[start + 1 : close - 1], close
-            _, end = optional(s, end) if s[end : end + 1] == "[" else (None, end)
-        if inside is None:
-            at = m.end()
-        else:
-            s, at = s[: m.start()] + inside + s[end:], m.start()
-    s = re.sub(r"\\(?:" + "|".join(SPACING) + r")\*?(?:\s*\{[^{}]*\}|\s*\[[^\]]*\])+", "", s)
-    s = re.sub(r"\\(?:" + "|".join(sorted(SWITCHES, key=len, reverse=True)) + r")(?![A-Za-z])[ \t]?", "", s)
-    s = re.sub(r"\\\\\*?(?:\[[^\]]*\])?", "\n", s)
+    kept, bits, at = [], [], 0
+    for a, b in protected(tex):
+        kept.append(tex[a:b])
+        bits += [tex[at:a], f"\x00{len(kept) - 1}\x00"]
+        at = b
+    s = _unwrapped("".join([*bits, tex[at:]]))
+    s = _SWITCH.sub("", _SPACING.sub("", s))
+    closed = s.rfind("]") + 1  # no option ends behind it
+    s = re.sub(r"\\\\\*?(?:\[[^\]]*\])?", "\n", s[:closed]) + re.sub(r"\\\\\*?", "\n", s[closed:])
     before = None
     while before != s:  # groups that no command owns
         before, s = s, re.sub(r"(^|[\s(\x00])\{([^{}\\]*)\}", r"\1\2", s)

@@ -53,25 +53,28 @@ def preprocess(files: DataFrame, rules: Rules = Rules(), options: Options = Opti
     order = materialize(includes.expand_order(roots, edges))
     whole = includes.inlined(files, edges, order)
 
-    def clean(t: str | None) -> str | None:
-        t = latex.expand_macros(t) if options.expand_macros else t
-        return latex.strip_formatting(t) if options.strip_formatting else t
+    def clean(t: str | None) -> tuple[str | None, int]:
+        t, left = latex.expansion(t) if options.expand_macros else (t, 0)
+        return (latex.strip_formatting(t) if options.strip_formatting else t), left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([latex.title(t) for t in texts], pa.string()), pa.array([clean(t) for t in texts], pa.string())], ["doc_idx", "chapter", "title", "tex"])
+            done = [clean(t) for t in texts]
+            columns = [pa.array([latex.title(t) for t in texts], pa.string()), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_idx", "chapter", "title", "tex", "left"])
 
     # inlined and expanded once: everything below reads it more than once
-    docs = whole.select("folder", F.expr("try_cast(folder AS int) AS chapter"), "text").mapInArrow(run, "doc_idx string, chapter int, title string, tex string")
+    docs = whole.select("folder", F.expr("try_cast(folder AS int) AS chapter"), "text").mapInArrow(run, "doc_idx string, chapter int, title string, tex string, left int")
     docs = materialize(docs)
-    paragraphs = structure.chunk(docs, rules, options.keep_commands, options.split_on_linebreak).join(docs.select("doc_idx", "chapter"), "doc_idx")
+    paragraphs = structure.chunk(docs.drop("left"), rules, options.keep_commands, options.split_on_linebreak).join(docs.select("doc_idx", "chapter"), "doc_idx")
     issue = lambda level, stage, what: F.struct(F.lit(level).alias("level"), F.lit(stage).alias("stage"), what.alias("message"))
     no_body = docs.where(~F.coalesce(F.col("tex").rlike(r"(?s)\\begin\{document\}.*\\end\{document\}"), F.lit(False)))
     if options.strict:
         paragraphs = paragraphs.unionByName(no_body.select("doc_idx", F.raise_error(F.concat(F.lit("no document body in "), "doc_idx")).cast("int").alias("id"), "tex", "chapter").withColumnRenamed("tex", "text"))
     issues = (
         no_body.select(issue("ERROR", "chunk", F.concat(F.lit("no document body in "), "doc_idx")).alias("i"))
+        .unionByName(docs.where("left > 0").select(issue("WARNING", "macros", F.concat("left", F.lit(" uses of macros without end stay in "), "doc_idx")).alias("i")))
         .unionByName(order.where("cycle").select(issue("ERROR", "include", F.concat(F.lit("cycle at "), "folder", F.lit("/"), "name")).alias("i")))
         .unionByName(edges.where("dst IS NULL").select(issue("WARNING", "include", F.concat_ws(" ", F.lit("missing"), F.concat("folder", F.lit("/"), "src"), "wanted")).alias("i")))
         .select("i.*")

@@ -3,11 +3,13 @@
 import io
 import json
 import tarfile
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillet.functions import fragments
 from quillet.functions import latex as L
 from quillet.functions import text as T
 from quillet.functions.rules import Rules
@@ -108,6 +110,61 @@ def test_macros():
     assert L.expand_macros(None) is None
 
 
+def test_macros_of_any_depth():
+    d = "\\newcommand{\\q}[1]{<#1>}"
+    assert L.expansion(d + "\\q{" * 40 + "x" + "}" * 40) == (d + "<" * 40 + "x" + ">" * 40, 0)
+    chain = "\\def\\ma{end}" + "".join(f"\\def\\m{b}{{\\m{a}}}" for a, b in zip("abcdefghijklmnopqrstuvwxy", "bcdefghijklmnopqrstuvwxyz"))
+    assert L.expansion(chain + "\\mz") == (chain + "end", 0)
+    for body in ("\\r", "\\r\\r", "x\\r y"):  # without end: the budget is spent, the rest stays and is counted
+        out, left = L.expansion(f"\\def\\r{{{body}}} \\r")
+        assert left > 0 and out.count("\\r") == left + 2 - (body == "\\r\\r") * -1 and len(out) < 3_000_000
+
+
+def test_formatting_leaves_breaks_with_options():
+    assert L.strip_formatting("a\\\\[2pt]\\textbf{b} \\[x\\]") == "a\nb \\[x\\]"
+
+
+@pytest.mark.parametrize("text", ["\\textbf{a word " * 10_000, "\\begin{equation} x " * 10_000, "\\[ x " * 10_000, "\\textbf{" * 10_000 + "x" + "}" * 10_000, "a" + " " * 1_000_000 + "b", "$ x \\$ " * 10_001, "\\verb|a" * 10_001, "\\\\[ x" * 10_000])
+def test_long_texts_are_formatted_in_linear_time(text):
+    began = time.perf_counter()
+    L.strip_formatting(text)
+    assert time.perf_counter() - began < 1
+
+
+@pytest.mark.parametrize("text", ["\\newenvironment{v}{a}{b}" + "\\begin{ x " * 10_000, "\\newcommand{\\q}[1]{<#1>}" + "\\q{ x " * 10_000, "\\newcommand{\\q}[2][d]{<#1>}" + "\\q[ x " * 10_000, "\\q" + " " * 1_000_000])
+def test_long_texts_are_expanded_in_linear_time(text):
+    began = time.perf_counter()
+    L.expand_macros(text)
+    assert time.perf_counter() - began < 1
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n"])
+def test_runs_of_blanks_are_read_once(spark, blank):
+    """Every pattern over a text of a million blanks in a second or so."""
+    df = spark.createDataFrame([("a" + blank * 1_000_000 + "b",)], "t string").cache()
+    df.count()
+    c = F.col("t")
+    every = [
+        T.strip_labels, T.clean_cross_references, T.strip_outer_space, T.strip_macro_definitions, T.strip_cjk_spaces, T.drop_preamble, T.collapse_blank_lines, T.break_sections, T.is_noncontent,
+        T.strip_comments, fragments.clean_spaces, fragments.sanitize, fragments.strip_trailing_punctuation, fragments.clean_title, lambda t: F.size(T.label_keys(t)), lambda t: F.size(T.lost_tokens(t, t, Rules())),
+        *(lambda t, p=p: F.regexp_count(t, F.lit(p)) for p in (T.CITE, T.REF, T.HYPERREF)),
+    ]
+    for i, f in enumerate(every):
+        best = 9.0
+        for _ in range(2):
+            began = time.perf_counter()
+            df.select(f(c).alias("x")).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - began)
+        assert best < 2, i
+
+
+def test_many_lost_formulas(spark):
+    df = spark.createDataFrame([(" ".join(f"$x_{i}$" for i in range(10_000)), "none $a$ " + " ".join(f"$x_{i}$" for i in range(5000)))], "a string, b string")
+    began = time.perf_counter()
+    got = df.select(T.lost_tokens(F.col("a"), F.col("b"), Rules()).alias("x")).first().x
+    assert got == [f"$x_{i}$" for i in range(5000, 10_000)] and time.perf_counter() - began < 4
+
+
 def test_formatting():
     s = "\\textbf{a \\emph{b}} {\\bf c} \\vspace*{1cm}$\\textbf{m}$ \\textcolor{red}{d}\\\\ \\begin{verbatim}\\textbf{k}\\end{verbatim} \\Large e"
     out = L.strip_formatting(s)
