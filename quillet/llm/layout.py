@@ -10,8 +10,9 @@ cell, and of the others each holds a border between two cells of the order, so t
 
 Nothing that grows with the input is in one task, on the driver or broadcast. Values are counted, ranged by Spark over
 its partitions and summed up in each; the driver sees one sum for each partition, and of the values only the smallest
-of each coordinate, 64 at most. Rows are ranged by z and doc_id and numbered in the same way. A value, cell or doc_id that many rows
-share is split: ranges go on by a row number, and joins stand on written tables that Spark splits where they are skewed.
+of each coordinate, 64 at most. Rows are ranged by z and doc_id and numbered in the same way. A value, cell or doc_id that
+many rows share is split: ranges go on by a row number, and joins stand on written tables that Spark splits where they are
+skewed. What may be broadcast are tables of cells and of alike bounds, whose sizes are bounded above, if Spark finds them small.
 
 Defined cases: a null source, lang or doc_id (date) is smaller than any value; a null text has length -1; rows with equal z
 and doc_id, repeated ones or without doc_id, follow one another in no set order, and differ in position and file alone; an
@@ -107,7 +108,7 @@ def intervals(rows: DataFrame, file_rows: int) -> DataFrame:
     cells = stash(rows.groupBy("z", *DIMENSIONS).agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.shiftright("z", 8)))
     blocks = cells.groupBy("block").agg(F.sum("n").alias("b"))
     upto = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = blocks.select("block", upto(Window.orderBy("block"), "b").alias("start"))
+    start = blocks.select("block", upto(Window.orderBy("block"), "b").alias("start"))  # 256 rows at most
     placed = cells.join(start, "block").withColumn("start", F.col("start") + upto(Window.partitionBy("block").orderBy("z"), "n"))
     file = lambda p: F.expr(f"({p}) div {file_rows}")
     return placed.select("z", *DIMENSIONS, file("start").alias("low"), file("start + n - 1").alias("high"))
@@ -159,7 +160,8 @@ def clustered(docs: DataFrame, file_rows: int = FILE_ROWS, reach: int = REACH) -
     queries = stash(matching(cells, reach).join(touched(cells, files, reach), "z"))
     text = F.concat_ws(",", *(f"{c}_{x}" for c in DIMENSIONS for x in ("min", "max")))
     return (
-        numbered.select("doc_id", "z", "position", "file").join(queries, "z").join(files.select("file", text.alias("file_bounds")), "file")
+        # files grow with the rows: neither join is left to a broadcast, and both stand where Spark splits a hot cell
+        numbered.select("doc_id", "z", "position", "file").join(queries.hint("merge"), "z").join(files.select("file", text.alias("file_bounds")).hint("merge"), "file")
         .select("doc_id", "z", "position", "file", "files_touched", "files_matching", "file_bounds")
     )
 

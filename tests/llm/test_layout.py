@@ -79,4 +79,4 @@ def test_whole_table_equals_sql(spark):
 def test_nothing_that_grows_is_broadcast_or_in_one_task(spark):
     """Rows join on tables that Spark may split; the only windows over everything are over blocks of cells."""
     plan = layout.clustered(frame(spark, some(5, 300, lambda rng, n: range(n))), 20)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan and "SinglePartition" not in plan
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2 and "CartesianProduct" not in plan and "SinglePartition" not in plan
