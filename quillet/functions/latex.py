@@ -439,8 +439,8 @@ def cells(row: str) -> list[str]:
     return [*out, row[start:]]
 
 
-def table(tex: str | None) -> dict | None:
-    """caption, column count and alignments, rows of cells (as styled runs) of the first tabular of a text."""
+def _tabular(tex: str | None) -> tuple[list[str], list[tuple[str, str | None]]] | None:
+    """Alignments of the columns and the rows, each with its colour, of the first tabular of a text."""
     m = re.search(r"\\begin\{(tabular[xy*]?|longtable\*?|tabulary|tblr)\}", tex or "")
     if not m:
         return None
@@ -452,17 +452,26 @@ def table(tex: str | None) -> dict | None:
     end = tex.find(f"\\end{{{m[1]}}}", spec[1] if spec else at)
     if not spec or end < 0:
         return None
-    align = columns(spec[0])
     body = re.sub(r"\\(?:hline|toprule|midrule|bottomrule|endhead|endfirsthead|endfoot|centering)\b|\\c(?:line|midrule)(?:\([^)]*\))?\{[^}]*\}", "", tex[spec[1] : end])
     rows = []
     for raw in re.split(r"\\\\(?:\[[^\]]*\])?|\n\s*\n", body):
-        if not raw.strip():
-            continue
-        color = re.search(r"\\rowcolor(?:\[[^\]]*\])?\{([^}]*)\}", raw)
-        raw = re.sub(r"\\rowcolor(?:\[[^\]]*\])?\{[^}]*\}", "", raw)
+        if raw.strip():
+            color = re.search(r"\\rowcolor(?:\[[^\]]*\])?\{([^}]*)\}", raw)
+            rows.append((re.sub(r"\\rowcolor(?:\[[^\]]*\])?\{[^}]*\}", "", raw), color and color[1]))
+    return columns(spec[0]), rows
+
+
+def table(tex: str | None) -> dict | None:
+    """caption, column count and alignments, rows of cells (as styled runs) of the first tabular of a text."""
+    found = _tabular(tex)
+    if not found:
+        return None
+    align, raws = found
+    rows = []
+    for raw, color in raws:
         group = re.fullmatch(r"\s*\\multicolumn\{(\d+)\}\{[^}]*\}(\{.*\})\s*", raw, re.S)
         if group and int(group[1]) >= max(2, len(align)):
-            rows.append({"type": "group", "bg_color": color and color[1], "span": int(group[1]), "cells": [spans(group[2])]})
+            rows.append({"type": "group", "bg_color": color, "span": int(group[1]), "cells": [spans(group[2])]})
             continue
         own = []
         for c in cells(raw):
@@ -470,16 +479,110 @@ def table(tex: str | None) -> dict | None:
             own.append(spans(c[multi.end() :] if multi else re.sub(r"\\multirow\{[^}]*\}(?:\[[^\]]*\])?\{[^}]*\}", "", c)))
             own += [[]] * (int(multi[1]) - 1 if multi else 0)
         own = (own + [[]] * len(align))[: len(align) or len(own)]
-        rows.append({"type": "data" if any(r["type"] in ("header", "data", "group") for r in rows) else "header", "bg_color": color and color[1], "span": 1, "cells": own})
+        rows.append({"type": "data" if any(r["type"] in ("header", "data", "group") for r in rows) else "header", "bg_color": color, "span": 1, "cells": own})
     cap = re.search(r"\\caption\*?(?:\[[^\]]*\])?\{", tex)
     cap_end = group_end(tex, cap.end() - 1) if cap else -1
     return {"caption": tex[cap.end() : cap_end - 1] if cap_end > 0 else "", "col_count": len(align), "col_align": align, "rows": rows}
 
 
+def spanning(cell: str) -> tuple[str, int, int, str | None]:
+    """(content, columns, rows, alignment) of a cell: what multicolumn and multirow wrap, in either order."""
+    wide, high, align, s = 1, 1, None, Source(cell.strip())
+    while m := re.match(r"\\multi(column|row)(?![A-Za-z])", s.text):
+        at = s.optional(m.end())[1] if m[1] == "row" else m.end()
+        count = s.argument(at)
+        how = s.argument(s.optional(count[1])[1]) if count else None  # a specification, or a width behind an option
+        content = s.argument(s.optional(how[1])[1]) if how else None
+        if not content or not re.fullmatch(r"\s*-?\d+\s*", count[0]):
+            break
+        if m[1] == "column":
+            wide, align = max(1, int(count[0])), next(iter(columns(how[0])), None)
+        else:
+            high = int(count[0]) or 1
+        s = Source(content[0].strip())
+    return s.text, wide, high, align
+
+
+def grid(tex: str | None) -> list[dict] | None:
+    """The cells of the first tabular of a text, each with its place and the rows and columns that it spans.
+
+    Places are kept in a table of who holds them. A cell of several rows holds those below it, where a row writes nothing;
+    a row that does write there ends it. One that counts its rows upwards takes the empty cells above. What goes beyond the
+    table is cut off; places that a row leaves out are empty cells.
+    """
+    found = _tabular(tex)
+    if not found:
+        return None
+    align, rows = found
+    most = len(align) or max((sum(spanning(c)[1] for c in cells(raw)) for raw, _ in rows), default=0)
+    held: dict[tuple[int, int], dict] = {}
+    out: list[dict] = []
+
+    def place(row: int, col: int, wide: int, high: int, content: str, own: str | None, color: str | None) -> None:
+        cell = {
+            "row": row, "col": col, "row_span": high, "col_span": wide, "align": own or (align[col] if col < len(align) else "l"), "shade": color, "runs": spans(content),
+        }
+        out.append(cell)
+        for r in range(row, row + high):
+            for c in range(col, col + wide):
+                held[r, c] = cell
+
+    def cut(cell: dict, row: int) -> None:
+        """From this row on a cell holds nothing."""
+        for r in range(row, cell["row"] + cell["row_span"]):
+            for c in range(cell["col"], cell["col"] + cell["col_span"]):
+                held.pop((r, c), None)
+        cell["row_span"] = row - cell["row"]
+
+    for r, (raw, color) in enumerate(rows):
+        col = 0
+        for text in cells(raw):
+            content, wide, high, own = spanning(text)
+            wide = min(wide, most - col)
+            if wide <= 0:
+                break
+            if (r, col) in held and not content:
+                col += wide
+                continue
+            for c in range(col, col + wide):
+                if (r, c) in held:
+                    cut(held[r, c], r)
+            row = r
+            if high < 0:  # as far up as there are empty cells of this width
+                above = lambda k: held.get((k, col), {"runs": 1})
+                while row > 0 and r - row + 1 < -high and not above(row - 1)["runs"] and (above(row - 1)["row_span"], above(row - 1)["col_span"]) == (1, wide):
+                    row -= 1
+                    out.remove(above(row))
+                high = r - row + 1
+            place(row, col, wide, min(high, len(rows) - row), content, own, color)
+            col += wide
+        for c in range(most):
+            if (r, c) not in held:
+                place(r, c, 1, 1, "", None, color)
+    return sorted(out, key=lambda x: (x["row"], x["col"]))
+
+
+def footnotes(tex: str | None) -> tuple[str | None, list[str]]:
+    """The text with the mark STX n ETX for its n-th footnote command, from 1, and what the footnotes say."""
+    if tex is None or "\\footnote" not in tex:
+        return tex, []
+    s, out, notes, at = Source(tex), [], [], 0
+    for m in re.finditer(r"\\footnote(?![A-Za-z])(?:\s*\[[^\]]*\])?\s*(?=\{)", tex):
+        end = s.end(m.end()) if m.start() >= at else -1
+        if end > 0:
+            notes.append(tex[m.end() + 1 : end - 1].strip())
+            out += [tex[at : m.start()], f"\x02{len(notes)}\x03"]
+            at = end
+    return "".join([*out, tex[at:]]), notes
+
+
 SPAN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,superscript:boolean,subscript:boolean>"
 TABLE = f"struct<caption:string,col_count:int,col_align:array<string>,rows:array<struct<type:string,bg_color:string,span:int,cells:array<array<{SPAN}>>>>>"
 
 
+GRID = f"array<struct<row:int,col:int,row_span:int,col_span:int,align:string,shade:string,runs:array<{SPAN}>>>"
+
+
 def drop_arguments(s: str, count: int) -> str:
     """s without its first `count` groups."""
     for _ in range(count):

@@ -114,6 +114,73 @@ def render_rows(spark, sf_dir):
     return render.render_plan(df).select(F.col("id").alias("p_partkey"), "kind", "level", "prefix", "body")
 
 
+@query(r"""
+WITH p AS (SELECT p_partkey, p_name, p_size, 1 + p_size % 3 AS h FROM part),
+c AS (
+  SELECT p_partkey, 0 AS row, 0 AS col, 2 AS row_span, 1 AS col_span, 'l' AS align, p_name AS said FROM p
+  UNION ALL SELECT p_partkey, 0, 1, 1, 2, 'c', 'S' || p_size FROM p UNION ALL SELECT p_partkey, 1, 1, 1, 1, 'c', 'a' FROM p UNION ALL SELECT p_partkey, 1, 2, 1, 1, 'r', 'b' FROM p
+  UNION ALL SELECT p_partkey, 2, 0, h, 1, 'l', 'x' FROM p UNION ALL SELECT p_partkey, 2 + i, 1, 1, 1, 'c', 'v' || i FROM p, range(3) r(i)
+  UNION ALL SELECT p_partkey, 2 + i, 0, 1, 1, 'l', 'y' || i FROM p, range(3) r(i) WHERE i >= h UNION ALL SELECT p_partkey, 2, 2, 3, 1, 'r', 'w' || p_partkey FROM p)
+SELECT p_partkey, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(row_span AS INTEGER) AS row_span, CAST(col_span AS INTEGER) AS col_span, align, said FROM c""", True)
+def table_grid(spark, sf_dir):
+    """The cells of a table in the plan, with the rows and columns that they span: named above, counted up to, cut short."""
+    line = lambda i: F.concat(F.when(F.col("p_size") % 3 < i, f"y{i}").otherwise(""), F.lit(f" & v{i} & "))
+    t = glue(
+        "\\begin{table}\\begin{tabular}{lcr}\\multirow{2}{*}{", F.col("p_name"), "} & \\multicolumn{2}{c}{S", F.col("p_size"), "} \\\\ & a & b \\\\ \\multirow{3}{*}{x} & v0 & \\\\ ",
+        line(1), "\\\\ ", line(2), "\\multirow[t]{-3}{*}{w", part(), "}\\end{tabular}\\end{table}",
+    )
+    rows = read(spark, sf_dir, "part").select(F.lit(1).alias("doc_idx"), part().alias("id"), t.alias("text"), F.lit("表1-1").alias("env_label"))
+    cells = render.render_plan(rows, drawn=True).select(F.col("id").alias("p_partkey"), F.explode("grid").alias("c"))
+    return cells.select("p_partkey", "c.row", "c.col", "c.row_span", "c.col_span", "c.align", F.array_join(F.transform("c.runs", lambda r: r["text"]), "").alias("said"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, lang, trim(translate(text, '\{}', '')) AS c, doc_id % 3 AS k FROM documents),
+n AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY source ORDER BY lang, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, source, 'b' || c || CASE WHEN k > 0 THEN chr(2) || '1' || chr(3) ELSE '' END || CASE WHEN k > 1 THEN ' and' || chr(2) || '2' || chr(3) ELSE '' END AS body,
+  CASE k WHEN 0 THEN '' WHEN 1 THEN (before + 1)::BIGINT || ':one {x} ' || doc_id ELSE (before + 1)::BIGINT || ':one {x} ' || doc_id || ';' || (before + 2)::BIGINT || ':two' END AS notes FROM n""", True)
+def footnote_ids(spark, sf_dir):
+    """Footnotes of the documents of an output taken out of their texts, with ids that the output has once."""
+    k = doc() % 3
+    body = F.concat(F.lit("b"), F.trim(F.translate("text", "\\{}", "")), F.when(k > 0, glue("\\footnote{one {x} ", doc(), "}")).otherwise(""), F.when(k > 1, " and\\footnote[7]{ two }").otherwise(""))
+    plan = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", body.alias("body"))
+    notes = F.transform("notes", lambda n: F.concat(n["id"].cast("string"), F.lit(":"), n["body"]))
+    return render.with_notes(plan, ["source"], ["lang", "doc_id"]).select("doc_id", "source", "body", F.array_join(notes, ";").alias("notes"))
+
+
+@query(r"""
+WITH p AS (SELECT p_brand, p_partkey, p_size % 3 AS k FROM part)
+SELECT p_partkey, 0 AS panel, 'f' || p_partkey AS name, k > 0 AS shown, CASE WHEN k = 2 THEN '' ELSE 'left ' || p_partkey END AS caption, CASE WHEN k = 2 THEN 5.0::DOUBLE ELSE 2.7::DOUBLE END AS width FROM p
+UNION ALL SELECT p_partkey, 1, CASE WHEN k = 2 THEN 'h.png' ELSE 'none' END, true, '', CASE WHEN k = 2 THEN 5.0::DOUBLE ELSE 2.7::DOUBLE END FROM p""")
+def figure_panels(spark, sf_dir):
+    """The panels of figures with the first of their images that is there; figures without panels by image."""
+    p, k, brand = read(spark, sf_dir, "part"), F.col("p_size") % 3, F.col("p_brand")
+    side = lambda inside, cap: glue("\\begin{minipage}{1cm}", inside, *cap, "\\end{minipage}")
+    first = glue("\\includegraphics[w]{f", part(), "}")
+    text = F.when(k == 2, F.concat(first, F.lit("\\includegraphics{h.png}"))).otherwise(
+        F.concat(side(first, ("\\caption{left ", part(), "}")), side("\\includegraphics{none}\\includegraphics{h}", ()))
+    )
+    rows = p.select(brand.alias("doc_idx"), part().alias("id"), glue("\\begin{figure}", text, "\\end{figure}").alias("text"), F.lit("图1-1").alias("env_label"))
+    image = lambda name: glue("file:/in/", brand, "/", name).alias("path")
+    have = p.where(k > 0).select(brand.alias("folder"), image(glue("f", part(), ".jpg"))).unionByName(p.select(brand.alias("folder"), image("h.png")).distinct())
+    body = F.when(F.col("kind") == "figure", F.col("source"))
+    plan = render.render_plan(rows).join(rows.select("doc_idx", "id", F.col("text").alias("source")), ["doc_idx", "id"]).withColumn("source", body)
+    shown = render.with_panels(plan, have.withColumn("content", F.encode("path", "UTF-8")))
+    return shown.select(F.col("id").alias("p_partkey"), F.posexplode("panels").alias("panel", "x")).select("p_partkey", "panel", "x.name", F.col("x.image").isNotNull().alias("shown"), "x.caption", "x.width")
+
+
+@query(r"""
+SELECT source || '/' || lang AS document, (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1)::INTEGER AS pos, 'n' || doc_id AS note,
+  '图' || doc_id || ' ' || regexp_replace(trim(translate(text, '\{}', '')), '\r\n?', chr(10), 'g') AS said FROM documents""", True)
+def docx_store(spark, sf_dir):
+    """Documents written as .docx files by the tasks, one file for each source and language, and read back."""
+    body = F.concat(F.trim(F.translate("text", "\\{}", "")), glue("\\footnote{n", doc(), "}"))
+    plan = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("document"), doc().cast("int").alias("pos"), F.lit("paragraph").alias("kind"), glue("图", doc()).alias("prefix"), body.alias("body"))
+    path = f"{folder(spark)}/docx-{uuid.uuid4().hex}"
+    render.write_documents(render.with_notes(plan, ["document"], ["pos"]), path)
+    return spark.read.format("docx").load(path).select("document", "pos", F.col("text").alias("said"), F.get("notes", 0).alias("note"))
+
+
 # ---- bibliographies --------------------------------------------------------------------------------------------------
 
 _KINDS = ("Article", "InProceedings", "Book", "PhdThesis", "TechReport", "Misc")

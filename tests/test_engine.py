@@ -346,11 +346,10 @@ def test_render(spark, labelled, tmp_path):
     plan = render.render_plan(labelled)
     kinds = {r.kind for r in plan.collect()}
     assert {"abstract", "heading1", "heading2", "equation", "figure", "paragraph"} <= kinds
-    refs = spark.createDataFrame([(1, "A citation")], "id int, citation string")
-    n = render.write_docx(plan, str(tmp_path / "x.docx"), refs)
-    with zipfile.ZipFile(tmp_path / "x.docx") as z:
-        xml = z.read("word/document.xml").decode()
-    assert n == plan.count() + 1 and "3.1 Intro" in xml and "[1] A citation" in xml
+    drawn = render.with_notes(render.render_plan(labelled, drawn=True), ["doc_idx"], ["id"]).selectExpr("string(doc_idx) AS document", "id AS pos", "*")
+    render.write_documents(drawn, str(tmp_path))
+    got = spark.read.format("docx").load(str(tmp_path)).orderBy("pos").collect()
+    assert len(got) == plan.count() and got[1].text == "3.1 Intro" and got[1].level == 1
 
 
 def test_answers_in_any_order():
