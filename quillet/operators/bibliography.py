@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MONTHS = "jan january feb february mar march apr april may jun june jul july aug august sep sept september oct october nov november dec december".split()  # fixed values
+ET_AL = r"(?i)^et[~\s]+al\b\.?$"
 BIBITEM = r"\\bibitem(?:\[[^\]]*\])?\{([^}]+)\}"
 
 
@@ -48,10 +49,11 @@ def year_of(fields: Column) -> Column:
 def authors(t: Column, most: int = 3) -> Column:
     """Names as "Last First", the first ones and a tail."""
     names = F.filter(F.transform(F.split(t, " and "), squeeze), lambda a: a != "")
-    names = F.transform(names, lambda a: squeeze(F.regexp_replace(plain(a), r"^([^,]*),(.*)$", "$1 $2")))
+    more = F.exists(names, lambda a: a.rlike(ET_AL))
+    names = F.transform(F.filter(names, lambda a: ~a.rlike(ET_AL)), lambda a: squeeze(F.regexp_replace(plain(a), r"^([^,]*),(.*)$", "$1 $2")))
     chinese = F.exists(names, lambda a: a.rlike(r"[\x{4e00}-\x{9fff}]"))
     tail = F.when(chinese, "等").otherwise("et al")
-    return F.when(F.size(names) <= most, F.array_join(names, ", ")).otherwise(F.concat(F.array_join(F.slice(names, 1, most), ", "), F.lit(", "), tail))
+    return F.when((F.size(names) <= most) & ~(more & (F.size(names) > 0)), F.array_join(names, ", ")).otherwise(F.concat(F.array_join(F.slice(names, 1, most), ", "), F.lit(", "), tail))
 
 
 def _if(c: Column, *parts) -> Column:
@@ -134,23 +136,87 @@ def split_items(files: DataFrame, blocks: bool = False) -> DataFrame:
     return parts.select("path", F.posexplode(pairs).alias("pos", "item")).select("path", "pos", F.trim("item.key").alias("key"), F.trim("item.body").alias("body"))
 
 
+#: How much a sentence of an item looks like names, like a title and like a venue: pattern, and the points for each of the three.
+LOOKS = (
+    (r"(?<![A-Za-z])[A-Z]\.", (3, -2, 0)), (r"\band\b|&|\bet[~ ]al", (2, 0, 0)), (r"^[^,]*,[^,]*,", (1, 0, 0)), (r"(?:\b[a-z]{2,}[\s:,-]+){2}[a-z]{2,}", (-3, 3, -1)),
+    (r"\d", (-3, -1, 2)), (r"\b(?:1[89]\d\d|20[0-3]\d)\b", (-2, -1, 3)), (r"\d\s*[-–]+\s*\d|\bpp?\.|\bpages?\b", (-3, -3, 4)), (r"^In\b", (-2, -3, 6)), (r"\\(?:emph|textit|url|doi)\b|https?:", (-3, -2, 5)),
+    (r"\b(?:Journal|J\.|Proc|Proceedings|Conference|Workshop|Transactions|Trans\.|Press|University|arXiv|vol\.|Technical Report|PhD|Springer|Elsevier)", (-2, -2, 4)),
+)
+
+
+def segments(body: Column) -> Column:
+    """array of authors, title and venue of an item whose parts no \newblock tells apart.
+
+    The item is cut into sentences, each with points for what it looks like; the two cuts with the most points in all are
+    found in one pass, as the best ways to be within each of the three parts after each sentence.
+    """
+    sentences = F.filter(F.transform(F.split(squeeze(body), r"(?<=[.?!])(?<!(?<![A-Za-z])[A-Z]\.)\s+"), squeeze), lambda x: x != "")
+
+    def points(x: Column, part: int) -> Column:
+        out = F.lit(0)
+        for pattern, score in LOOKS:
+            if score[part]:
+                out = out + F.when(x.rlike(pattern), score[part]).otherwise(0)
+        return out
+
+    def step(acc: Column, x: Column) -> Column:
+        i = acc["i"]
+        in_title = F.when(acc["a"] >= acc["t"], F.struct(acc["a"].alias("s"), i.alias("c"))).otherwise(F.struct(acc["t"].alias("s"), acc["tc"].alias("c")))
+        in_venue = F.when(acc["t"] >= acc["v"], F.struct(acc["t"].alias("s"), acc["tc"].alias("c"), i.alias("d"))).otherwise(F.struct(acc["v"].alias("s"), acc["vc"].alias("c"), acc["vd"].alias("d")))
+        return F.struct(
+            (i + 1).alias("i"), (acc["a"] + points(x, 0)).alias("a"), (in_title["s"] + points(x, 1)).alias("t"), in_title["c"].alias("tc"),
+            (in_venue["s"] + points(x, 2)).alias("v"), in_venue["c"].alias("vc"), in_venue["d"].alias("vd"),
+        )
+
+    least = -(1 << 30)
+    zero = F.struct(*(F.lit(x).alias(n) for n, x in (("i", 0), ("a", 0), ("t", least), ("tc", 0), ("v", least), ("vc", 0), ("vd", 0))))
+
+    def cut(r: Column) -> Column:
+        # a title at least, if there is more than one sentence; the venue may be missing
+        first = F.when(r["i"] < 2, 0).when(r["v"] >= r["t"], r["vc"]).otherwise(r["tc"])
+        second = F.when((r["i"] < 2) | (r["v"] < r["t"]), r["i"]).otherwise(r["vd"])
+        piece = lambda a, n: F.array_join(F.slice(sentences, a + 1, n), " ")
+        return F.array(piece(F.lit(0), first), piece(first, second - first), piece(second, r["i"] - second))
+
+    return F.aggregate(sentences, zero, step, cut)
+
+
+def names_of(text: Column) -> Column:
+    """The names of an item's authors, joined as BibTeX does: parted by commas, semicolons, "and"; initials behind a last name stay with it."""
+    t = F.regexp_replace(F.regexp_replace(text, "~", " "), r"[.\s]+$", "")
+    alike = F.regexp_replace(t, r"(?i),?\s*\bet\s+al\b\.?", " and et al")
+    # "Last, F. M." keeps its comma where only initials follow
+    parts = F.split(alike, r"\s*;\s*|\s*,?\s+(?:and|&)\s+|\s*,\s*+(?!(?:[A-Z]\.[\s-]*)+(?:,|$|\s+and\s|;))")
+    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), " and ")
+
+
 def parse_item(body: Column) -> Column:
-    """struct of the fields of a \\newblock-separated item."""
+    """struct of the fields of an item: its parts are told by \newblock, or by what they look like where there is none."""
     clean = lambda t: squeeze(F.regexp_replace(F.regexp_replace(t, r"\{?\\natexlab\{[^}]*\}\}?", ""), r"\\penalty0\s*", ""))
-    blocks = F.transform(F.split(body, r"\\newblock"), clean)
-    venue = F.array_join(F.slice(blocks, 3, 1 << 30), " ")
-    strip = lambda t: F.regexp_replace(plain(t), r"[.\s]+$", "")
-    volume = lambda g: F.regexp_extract(venue, r"(\d+)(?:\s*\(([^)]*)\))?\s*[:,]\s*(?:pp?\.?\s*)?(\d+\s*[-–]+\s*\d+)", g)
-    return F.struct(
-        F.regexp_replace(plain(F.get(blocks, 0)), r"[.\s]+$", "").alias("authors"),
-        strip(F.coalesce(F.get(blocks, 1), F.lit(""))).alias("title"),
-        F.coalesce(F.nullif(F.regexp_extract(venue, r"\\emph\{([^}]+)\}", 1), F.lit("")), strip(venue)).alias("venue"),
-        volume(1).alias("volume"), volume(2).alias("number"), F.regexp_replace(volume(3), r"\s*[-–]+\s*", "-").alias("pages"),
-        F.regexp_extract(body, r"\b(1[89]\d\d|20[0-3]\d)\b", 1).alias("year"),
-        F.coalesce(F.nullif(F.regexp_extract(body, r"\\doi\{([^}]+)\}", 1), F.lit("")), F.regexp_extract(body, r"(10\.\d{4,}/[^\s}]+)", 1)).alias("doi"),
-        url_in(body).alias("url"),
-        F.when(venue.rlike(r"^\s*In\b"), "inproceedings").when(venue.rlike(r"\\emph"), "article").otherwise("misc").alias("entrytype"),
-    )
+    marked = F.transform(F.split(body, r"\\newblock"), clean)
+    blocks = F.when(body.contains("\\newblock"), F.concat(F.slice(marked, 1, 2), F.array(F.array_join(F.slice(marked, 3, 1 << 30), " ")))).otherwise(segments(clean(body)))
+
+    def fields(b: Column) -> Column:
+        lead, head, venue = (F.coalesce(F.get(b, i), F.lit("")) for i in range(3))
+        strip = lambda t: F.regexp_replace(plain(t), r"[.,\s]+$", "")
+        volume = lambda g: F.regexp_extract(venue, r"(\d+)(?:\s*\(([^)]*)\))?\s*[:,]\s*(?:pp?\.?\s*)?(\d+\s*[-–]+\s*\d+)", g)
+        pages = F.coalesce(F.nullif(volume(3), F.lit("")), F.regexp_extract(venue, r"(?i)\bpages?\s+(\d+\s*[-–]+\s*\d+)", 1))
+        number = r"\b(1[89]\d\d|20[0-3]\d)\b"
+        tail = r"[,.\s]+(1[89]\d\d|20[0-3]\d)[.\s]*$"
+        year = F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(venue, r"\d+\s*[-–]+\s*\d+", ""), number, 1), F.lit("")), F.nullif(F.regexp_extract(head, tail, 1), F.lit("")), F.regexp_extract(body, number, 1))
+        emphasised = F.nullif(F.regexp_extract(venue, r"\\emph\{([^}]+)\}", 1), F.lit(""))
+        named = F.nullif(strip(F.regexp_extract(venue, r"^\s*(?:In[:\s]+)?([^\d,(]+)", 1)), F.lit(""))
+        return F.struct(
+            F.regexp_replace(plain(lead), r"[.\s]+$", "").alias("authors"), names_of(lead).alias("author"), strip(F.regexp_replace(head, tail, "")).alias("title"),
+            F.coalesce(emphasised, named, strip(venue)).alias("venue"),
+            F.coalesce(F.nullif(volume(1), F.lit("")), F.regexp_extract(venue, r"(?i)\bvolume[~\s]*(\d+)", 1)).alias("volume"), volume(2).alias("number"), F.regexp_replace(pages, r"\s*[-–]+\s*", "-").alias("pages"),
+            year.alias("year"),
+            F.coalesce(F.nullif(F.regexp_replace(F.regexp_extract(body, r"\\doi\{([^}]+)\}", 1), r"^https?://doi\.org/", ""), F.lit("")), F.regexp_extract(body, r"(10\.\d{4,}/[^\s}]+)", 1)).alias("doi"),
+            url_in(body).alias("url"),
+            F.when(venue.rlike(r"^\s*In\b"), "inproceedings").when(emphasised.isNotNull() | (volume(1) != ""), "article").otherwise("misc").alias("entrytype"),
+        )
+
+    return F.get(F.transform(F.array(blocks), fields), 0)
 
 
 def dedup(entries: DataFrame, norm: Column, pos: str, key: str) -> DataFrame:

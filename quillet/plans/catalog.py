@@ -6,6 +6,7 @@ integer columns by one expression that both engines build alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pyspark.sql.window import Window
 from ..functions import fragments
 from ..functions import text as T
 from ..functions.rules import Rules
-from ..operators import bibliography, exchange, orders, references, render, structure
+from ..operators import bibliography, exchange, lifecycle, orders, references, render, structure
+from ..sources import events as events_source
+from ..sources.shared import folder
 from ..streaming import jobs
 from . import documents
 
@@ -684,7 +687,7 @@ def event_parse(spark, sf_dir):
     line = F.concat(F.lit('{"state":"'), "role", F.lit('","percent":'), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 2, "").otherwise("}"))
     from ..sources import events
 
-    return events._parsed(c.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("offset"), line.alias("line"))).select(F.col("job_id").alias("conv_id"), F.col("offset").alias("turn"), "state", "percent")
+    return events.parsed(c.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("offset"), line.alias("line"))).select(F.col("job_id").alias("conv_id"), F.col("offset").alias("turn"), "state", "percent")
 
 
 @query("""
@@ -708,3 +711,37 @@ def include_walk(spark, sf_dir):
     edges = p.select(F.lit("f").alias("folder"), F.col("p_partkey").cast("string").alias("src"), "pos", (F.col("p_partkey") * 3 + F.col("pos")).cast("string").alias("dst"))
     root = spark.range(1).select(F.lit("f").alias("folder"), F.col("id").cast("string").alias("name"))
     return includes.expand_order(root, edges).select("name", F.size("path").alias("depth"))
+
+
+@query("""
+WITH m AS (SELECT MAP {'>create': 'pending_payment', 'pending_payment>pay': 'paid', 'pending_payment>cancel': 'cancelled', 'pending_payment>expire': 'expired', 'paid>enqueue': 'queued', 'paid>refund': 'refunded',
+  'queued>start': 'running', 'queued>cancel': 'cancelled', 'running>finish': 'completed', 'running>fail': 'failed', 'running>cancel': 'cancelled', 'running>requeue': 'queued', 'failed>enqueue': 'queued', 'failed>refund': 'refunded'} AS next),
+e AS (SELECT user_id, event_id, ts, ['create', 'pay', 'enqueue', 'start', 'fail', 'finish', 'requeue', 'cancel', 'none'][1 + CASE WHEN event_id % 11 = 0 THEN event_id % 9 ELSE (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 6 END] AS op FROM events),
+l AS (SELECT user_id, list_prepend({'s': '', 'n': 0::BIGINT, 'op': ''}, list({'s': '', 'n': 0::BIGINT, 'op': op} ORDER BY ts, event_id)) AS ops FROM e GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(ops, lambda a, x: {'s': coalesce(next[a.s || '>' || x.op], a.s), 'n': a.n + (next[a.s || '>' || x.op] IS NULL)::BIGINT, 'op': ''}) AS r FROM l, m)
+SELECT user_id, r.s AS state, r.n AS refused FROM f""")
+def job_lifecycle(spark, sf_dir):
+    """The state of each order after its events and how many were refused, folded by day and then by order."""
+    e = read(spark, sf_dir, "events")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    ops = F.array(*map(F.lit, ("create", "pay", "enqueue", "start", "fail", "finish", "requeue", "cancel", "none")))
+    op = F.get(ops, F.when(F.col("event_id") % 11 == 0, F.col("event_id") % 9).otherwise(place % 6).cast("int"))
+    rows = e.select("user_id", "ts", "event_id", op.alias("event"))
+    return lifecycle.states(rows, ["user_id"], ["ts", "event_id"], lifecycle.ORDER, F.to_date("ts"))
+
+
+@query("""
+SELECT user_id % 16 AS job, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, count(DISTINCT event_id) AS once FROM events WHERE event_type <> 'error' GROUP BY ALL""")
+def log_lines(spark, sf_dir):
+    """Logs of all events, followed as a stream by bytes: every line that is whole, once."""
+    path = f"{folder(spark)}/logs-{uuid.uuid4().hex}"
+    e = read(spark, sf_dir, "events").withColumn("job", F.col("user_id") % 16)
+    line = F.concat(F.lit('{"state":"'), "event_type", F.lit('","current":'), F.col("event_id").cast("string"), F.when(F.col("event_type") == "error", "").otherwise("}"))
+    e.select("job", line.alias("value")).repartition("job").write.partitionBy("job").text(path)
+    out = f"{path}-read"
+    spark.dataSource.register(events_source.LogSource)
+    lines = spark.readStream.format("lines").option("pattern", "*.txt").load(path)
+    rows = events_source.parsed(lines.select(F.regexp_extract("path", r"job=(\d+)", 1).alias("job_id"), "offset", "line"))
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+    seen = spark.read.schema(rows.schema).parquet(out)
+    return seen.groupBy(F.col("job_id").cast("long").alias("job")).agg(F.count(F.lit(1)).alias("n"), F.sum("current").alias("ids"), F.countDistinct("current").alias("once"))

@@ -99,14 +99,17 @@ def paragraph_totals(paragraphs: DataFrame, by: tuple[str, ...] = ()) -> DataFra
 
 
 def citations(entries: DataFrame, options: Options = Options()) -> DataFrame:
-    """(key, id, citation) of bibliography entries(pos, id, entrytype, fields)."""
+    """(key, id, citation) of bibliography entries(pos, id, entrytype, fields), or of what bibtex.gathered gives, whose files
+    come one after another: kinds in order, paths in order. Numbers are given by ranges, so no task sees all entries."""
+    if "kind" in entries.columns:
+        entries = entries.withColumn("pos", F.struct("kind", "path", "pos")).withColumnRenamed("key", "id")
     df = entries.withColumn("citation", bibliography.citation(F.col("entrytype"), F.col("fields"))).withColumn("year", bibliography.year_of(F.col("fields")))
     df = df.withColumnRenamed("id", "key")
     title = F.lower(bibliography.field(F.col("fields"), "title"))
     norm = F.when(title != "", title).otherwise(F.coalesce(F.nullif(F.col("citation"), F.lit("")), F.concat(F.lit("\x00"), "key")))
     lean = df.select("key", "pos", "citation", "year", norm.alias("norm"))
     kept = bibliography.dedup(lean, F.col("norm"), "pos", "key") if options.dedup else bibliography.alone(lean, "key")
-    return bibliography.lookup(bibliography.number(kept, bibliography.order_columns(options.sort, "year", "key", "pos"), options.start), "citation")
+    return bibliography.lookup(structure.number_by_range(kept, [*bibliography.order_columns(options.sort, "year", "key", "pos"), F.col("key")], "id", options.start), "citation")
 
 
 def translate(

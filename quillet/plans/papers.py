@@ -230,10 +230,11 @@ _ITEM = "\\bibitem[a]{r"
 
 @query("""
 WITH i AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'bib' WHEN 1 THEN 'bbl' ELSE 'tex' END AS ext, p_name, p_size FROM part)
-SELECT p_partkey, 0 AS kind, 0 AS pos, 'k' || p_partkey AS key, 'article' AS entrytype, 'T ' || p_name AS title, CAST(p_size + 1950 AS VARCHAR) AS year FROM i WHERE ext = 'bib'
-UNION ALL SELECT p_partkey, 0, 1, 'b' || p_partkey, 'book', 'Two lines', '2000' FROM i WHERE ext = 'bib'
-UNION ALL SELECT p_partkey, CASE ext WHEN 'bbl' THEN 1 ELSE 2 END, 0, 'r' || p_partkey, 'article', 'On ' || p_name, '1999' FROM i WHERE ext <> 'bib'
-UNION ALL SELECT p_partkey, CASE ext WHEN 'bbl' THEN 1 ELSE 2 END, 1, 's', 'inproceedings', 'Two', '2001' FROM i WHERE ext <> 'bib'""", True)
+SELECT p_partkey, 0 AS kind, 0 AS pos, 'k' || p_partkey AS key, 'article' AS entrytype, 'T ' || p_name AS title, CAST(p_size + 1950 AS VARCHAR) AS year,
+  'A, B C. T ' || p_name || '[J]. Jour of X, ' || (p_size + 1950) || '.' AS citation FROM i WHERE ext = 'bib'
+UNION ALL SELECT p_partkey, 0, 1, 'b' || p_partkey, 'book', 'Two lines', '2000', 'Two lines[M]. 2000.' FROM i WHERE ext = 'bib'
+UNION ALL SELECT p_partkey, CASE ext WHEN 'bbl' THEN 1 ELSE 2 END, 0, 'r' || p_partkey, 'article', 'On ' || p_name, '1999', 'A. One. On ' || p_name || '[J]. Jour, 1999, 3(4): 10-20.' FROM i WHERE ext <> 'bib'
+UNION ALL SELECT p_partkey, CASE ext WHEN 'bbl' THEN 1 ELSE 2 END, 1, 's', 'inproceedings', 'Two', '2001', 'B. Two[C]//Proc. 2001.' FROM i WHERE ext <> 'bib'""", True)
 def bibliography_union(spark, sf_dir):
     """Entries of bib and bbl files and of the bibliographies in tex files, as one table."""
     items = glue(_ITEM, part(), "}\nA. One, {\\natexlab{x}}.\n\\newblock On ", F.col("p_name"), ".\n\\newblock \\emph{Jour}, 3(4):10--20, 1999.\n\\bibitem{s} B.\n\\newblock Two.\n\\newblock In \\emph{Proc}, 2001.\n")
@@ -241,7 +242,7 @@ def bibliography_union(spark, sf_dir):
     text = F.when(k == 0, _bib()).when(k == 1, items).otherwise(glue("\\bibitem{out} side\n\\begin{thebibliography}{9}\n", items, "\\end{thebibliography}"))
     ext = F.when(k == 0, "bib").when(k == 1, "bbl").otherwise("tex")
     g = bibtex.gathered(read(spark, sf_dir, "part").select(part().cast("string").alias("path"), ext.alias("ext"), F.encode(text, "UTF-8").alias("content")))
-    return g.select(F.col("path").cast("long").alias("p_partkey"), "kind", "pos", "key", "entrytype", F.col("fields")["title"].alias("title"), F.col("fields")["year"].alias("year"))
+    return g.select(F.col("path").cast("long").alias("p_partkey"), "kind", "pos", "key", "entrytype", F.col("fields")["title"].alias("title"), F.col("fields")["year"].alias("year"), bibliography.citation(F.col("entrytype"), F.col("fields")).alias("citation"))
 
 
 @query("""
@@ -256,6 +257,17 @@ def bibitem_parse(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", bibliography.parse_item(body).alias("i")).select("p_partkey", *(f"i.{c}" for c in ("authors", "title", "venue", "volume", "number", "pages", "year", "doi", "url")))
 
 
+@query("""
+SELECT p_partkey, ['One A., B. Two', 'A. One, B.-C. Two', 'Ann Lee, Bob Ray, C. Poe, et al'][p_partkey % 3 + 1] || '. On the ' || p_name || ' of things' || CASE WHEN p_partkey % 2 = 0 THEN '[J]. Jour of Odd, 1999, ' || p_size || '(4): 10-' || (p_size + 10) || '.' ELSE '[C]//Proceedings of X' || '. 2001.' END AS citation FROM part""")
+def bibitem_unmarked(spark, sf_dir):
+    """citations of items whose authors, titles and venues are told apart by what they look like."""
+    names = F.get(F.array(F.lit("One, A. and B. Two."), F.lit("A. One, and B.-C. Two."), F.lit("Ann Lee, Bob Ray, C. Poe, et al.")), (part() % 3).cast("int"))
+    venue = F.when(part() % 2 == 0, glue("Jour of Odd, ", F.col("p_size"), " (4): pp. 10--", F.col("p_size") + 10, ", 1999.")).otherwise("In Proceedings of X, 2001.")
+    item = glue("\\bibitem{k", part(), "} ", names, " On the ", F.col("p_name"), " of things. ", venue)
+    files = read(spark, sf_dir, "part").select(part().cast("string").alias("path"), F.lit("bbl").alias("ext"), F.encode(item, "UTF-8").alias("content"))
+    return bibtex.gathered(files).select(F.col("path").cast("long").alias("p_partkey"), bibliography.citation(F.col("entrytype"), F.col("fields")).alias("citation"))
+
+
 @query("SELECT p_partkey AS id, p_name AS citation FROM part")
 def reference_entries(spark, sf_dir):
     """Entries each under its own key, and one citation for each number."""

@@ -102,7 +102,7 @@ def entries(files: DataFrame) -> DataFrame:
 def gathered(files: DataFrame) -> DataFrame:
     """(path, kind, pos, key, entrytype, fields, body) of all entries of files(path, ext, content): those of bib files, the
     items of bbl files and of the thebibliography blocks of tex files, in this order of kinds. bib entries have fields,
-    items a body and the fields that can be read from it."""
+    items a body and the fields that can be read from it, under the names that BibTeX has for them."""
     decoded_files = files.select("path", "ext", decoded(F.col("content")).alias("content"))
     own = entries(files.where(F.col("ext") == "bib")).select(
         "path", F.lit(0).alias("kind"), "pos", F.col("id").alias("key"), "entrytype", "fields", F.lit(None).cast("string").alias("body")
@@ -110,8 +110,10 @@ def gathered(files: DataFrame) -> DataFrame:
 
     def items(ext: str, kind: int) -> DataFrame:
         parsed = split_items(decoded_files.where(F.col("ext") == ext), blocks=ext == "tex").withColumn("p", parse_item(F.col("body")))
-        names = ("authors", "title", "venue", "volume", "number", "pages", "year", "doi", "url")
-        fields = F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), F.col(f"p.{n}")))), lambda k, v: v.isNotNull() & (v != ""))
+        names = {n: F.col(f"p.{n}") for n in ("author", "title", "volume", "number", "pages", "year", "doi", "url")}
+        for kind_, name in (("inproceedings", "booktitle"), ("article", "journal"), ("misc", "howpublished")):
+            names[name] = F.when(F.col("p.entrytype") == kind_, F.col("p.venue"))
+        fields = F.map_filter(F.create_map(*(x for n, c in names.items() for x in (F.lit(n), c))), lambda k, v: v.isNotNull() & (v != ""))
         return parsed.select("path", F.lit(kind).alias("kind"), "pos", "key", F.col("p.entrytype").alias("entrytype"), fields.alias("fields"), "body")
 
     return own.unionByName(items("bbl", 1)).unionByName(items("tex", 2))

@@ -79,3 +79,28 @@ def follow(events: DataFrame, checkpoint: str, path: str, available_now: bool =
 
     writer = status(events, key, order).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+
+
+def tail_until(events: DataFrame, job: str, emit, checkpoint: str, deadline: float = 60.0, poll: float = 1.0, key: str = "job_id", order: str = "offset") -> str:
+    """Hand the events of one job to `emit`, in order, as they come, until one is of a terminal state or the time is over.
+
+    Returns that state, or an empty string. A later call with the same checkpoint goes on behind the last event handed out.
+    """
+    import time
+
+    ended: list[str] = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        for r in rows.orderBy(order).toLocalIterator():  # the events of one job
+            if not ended:
+                emit(r)
+                ended.extend([r["state"]] if r["state"] in TERMINAL else [])
+
+    query = events.where(F.col(key) == job).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(processingTime=f"{poll} seconds").start()
+    until = time.monotonic() + deadline
+    try:
+        while not ended and time.monotonic() < until and not query.awaitTermination(min(poll, 0.5)):
+            pass
+    finally:
+        query.stop()
+    return ended[0] if ended else ""

@@ -219,6 +219,20 @@ def test_items(spark):
     assert rows[1].p.entrytype == "inproceedings"
 
 
+def test_citations_of_items(spark):
+    """What a .bbl or a thebibliography says comes out in full, in the order of files."""
+    items = {
+        "a.bbl": "\\bibitem{x} A. One and B. Two. On things in the world. Jour, 3(4):10--20, 1999.\\bibitem{y} Li, M., Roe, J. P. et al. A study of graphs in 1984, 2022.",
+        "b.bbl": "\\bibitem{p} C. Poe.\n\\newblock Two.\n\\newblock In \\emph{Proc. of Z}, pages 563--587, 2001.",
+    }
+    fs = spark.createDataFrame([(k, k[2:], v.encode()) for k, v in items.items()], "path string, ext string, content binary")
+    got = {r.key: (r.id, r.citation) for r in documents.citations(bibtex.gathered(fs)).collect()}
+    assert got == {
+        "x": (1, "A. One, B. Two. On things in the world[J]. Jour, 1999, 3(4): 10-20."), "y": (2, "Li M., Roe J. P., et al. A study of graphs in 1984[M]. 2022."),
+        "p": (3, "C. Poe. Two[C]//Proc. of Z. 2001: 563-587."),
+    }
+
+
 def test_exchange(spark):
     rows = spark.createDataFrame(
         [(0, 1, "one \\cite{a}"), (0, 2, "\\begin{figure}\\includegraphics{x}\\caption{cap {y}}\\end{figure}"), (0, 3, "\\begin{equation}x\\end{equation}"), (1, 1, "two")], "doc_idx int, id int, text string"
@@ -316,7 +330,7 @@ def test_archives(spark, tmp_path):
 def test_events_and_stream(spark, tmp_path):
     (tmp_path / "ev").mkdir()
     lines = ['{"type":"state","state":"queued","time":"2024-01-01T00:00:00Z"}', "", "{bad", '{"type":"state","state":"running","percent":40.0}', '{"state":"completed"}']
-    (tmp_path / "ev" / "j1.ndjson").write_text("\n".join(lines))
+    (tmp_path / "ev" / "j1.ndjson").write_text("\n".join(lines) + "\n")
     got = events.load(spark, str(tmp_path / "ev"), after=1).orderBy("offset").collect()
     assert [(r.job_id, r.offset, r.state) for r in got] == [("j1", 3, "running"), ("j1", 4, "completed")]
     s = jobs.status(events.load(spark, str(tmp_path / "ev"))).first()
