@@ -87,18 +87,21 @@ def assign_chapters(papers: DataFrame, key: str, order: str, wanted: str, most:
 
 
 def archive_report(entries: DataFrame, max_entries: int = 12_000, max_bytes: int = 1 << 30) -> DataFrame:
-    """For each archive of entries(archive, name, size, is_dir): counts, common root, and the first guard that fails."""
-    files = entries.where(~F.col("is_dir") & ~F.col("name").startswith("__MACOSX/"))
+    """For each archive of entries(archive, name, size, is_dir): counts, common root, and the first guard that fails. An issue
+    that the listing gives comes first, so a damaged archive has its line as well."""
+    if "issue" not in entries.columns:
+        entries = entries.withColumn("issue", F.lit(None).cast("string"))
+    files = entries.where(F.col("issue").isNotNull() | (~F.col("is_dir") & ~F.col("name").startswith("__MACOSX/")))
     root = F.element_at(F.split("name", "/"), 1)
     agg = files.groupBy("archive").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bool_or(F.lower(F.col("name")).endswith(".tex")).alias("has_tex"),
+        F.count("name").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.min("issue").alias("listed"), F.bool_or(F.lower(F.col("name")).endswith(".tex")).alias("has_tex"),
         F.bool_or(F.col("name").rlike(r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:")).alias("escapes"),
         F.when((F.min(root) == F.max(root)) & F.bool_and(F.col("name").contains("/")), F.min(root)).alias("common_root"),
     )
     issue = (
-        F.when(F.col("escapes"), "path escapes").when(F.col("n") > max_entries, "too many entries").when(F.col("bytes") > max_bytes, "too large").when(~F.col("has_tex"), "no tex file")
+        F.when(F.col("listed").isNotNull(), F.col("listed")).when(F.col("escapes"), "path escapes").when(F.col("n") > max_entries, "too many entries").when(F.col("bytes") > max_bytes, "too large").when(~F.coalesce("has_tex", F.lit(False)), "no tex file")
     )
-    return agg.withColumn("issue", issue)
+    return agg.withColumn("issue", issue).drop("listed")
 
 
 def column_widths(cells: DataFrame, keys: list[str], column: str, text: str, total: float) -> DataFrame:

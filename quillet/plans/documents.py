@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import latex
+from ..functions import text as T
 from ..functions.rules import Rules
 from ..operators import bibliography, exchange, includes, references, render, structure
 from ..sources.shared import materialize
@@ -112,21 +113,30 @@ def citations(entries: DataFrame, options: Options = Options()) -> DataFrame:
     return bibliography.lookup(structure.number_by_range(kept, [*bibliography.order_columns(options.sort, "year", "key", "pos"), F.col("key")], "id", options.start), "citation")
 
 
-def translate(
+def sent(
     paragraphs: DataFrame, make_client: Callable, terms: DataFrame | None = None, done: DataFrame | None = None, base_prompt: str = "", rules: Rules = Rules(), options: Options = Options()
 ) -> DataFrame:
-    """paragraphs with translation and syntax_error; rows that `done` (doc_idx, id, translation) has are not sent again."""
-    spark = paragraphs.sparkSession
-    terms = terms if terms is not None else spark.createDataFrame([], "chapter int, term string, translation string")
+    """(doc_idx, id, translation) of the paragraphs that `done` does not have, as they come back."""
+    terms = terms if terms is not None else paragraphs.sparkSession.createDataFrame([], "chapter int, term string, translation string")
     todo = exchange.still_to_do(paragraphs, done, ["doc_idx", "id"]) if done is not None else paragraphs
-    from ..functions import text as T
-
     weighed = todo.withColumn("tokens", T.estimate_tokens(F.col("text")))
     batched = exchange.greedy_batches(weighed, ["doc_idx"], ["id"], "tokens", rules.max_batch_tokens).join(todo, ["doc_idx", "id"])
-    out = exchange.exchange(exchange.with_terms(batched, terms), make_client, base_prompt, rules, options.concurrency)
+    return exchange.exchange(exchange.with_terms(batched, terms), make_client, base_prompt, rules, options.concurrency)
+
+
+def checked(paragraphs: DataFrame, done: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """paragraphs with the translations that there are, and what markup they lost."""
+    return exchange.integrity(exchange.restore(paragraphs, done, ["doc_idx", "id"], "translation"), "text", "translation", rules)
+
+
+def translate(
+    paragraphs: DataFrame, make_client: Callable, terms: DataFrame | None = None, done: DataFrame | None = None, base_prompt: str = "", rules: Rules = Rules(), options: Options = Options()
+) -> DataFrame:
+    """paragraphs with translation and syntax_error; rows that `done` (doc_idx, id, translation) has are not sent again."""
+    out = sent(paragraphs, make_client, terms, done, base_prompt, rules, options)
     if done is not None:
         out = out.unionByName(done.select("doc_idx", F.col("id").cast("int").alias("id"), "translation"))
-    return exchange.integrity(exchange.restore(paragraphs, out, ["doc_idx", "id"], "translation"), "text", "translation", rules)
+    return checked(paragraphs, out, rules)
 
 
 def postprocess(paragraphs: DataFrame, citations_: DataFrame, rules: Rules = Rules(), options: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,8 +144,6 @@ def postprocess(paragraphs: DataFrame, citations_: DataFrame, rules: Rules = Rul
     labelled = materialize(structure.label(paragraphs, rules))
     rows = references.label_rows(labelled)
     refs = references.refmap(rows)
-    from ..functions import text as T
-
     columns = tuple(c for c in ("text", "translation") if c in labelled.columns)
     stripped = labelled
     for c in columns:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_idx int, id int, translation string, saved long"
+SCHEMA = "doc_idx {}, id int, translation string, saved long"
 
 
-def save(done: DataFrame, path: str, run: int = 0) -> None:
-    """Append done(doc_idx, id, translation); of rows saved for one paragraph that of the highest run counts."""
-    rows = done.select(F.col("doc_idx").cast("int"), F.col("id").cast("int"), "translation", F.lit(run).cast("long").alias("saved"))
+def save(done: DataFrame, path: str, run: int = 0, kind: str = "int") -> None:
+    """Append done(doc_idx, id, translation); of rows saved for one paragraph that of the highest run counts. kind: the type of doc_idx."""
+    rows = done.select(F.col("doc_idx").cast(kind), F.col("id").cast("int"), "translation", F.lit(run).cast("long").alias("saved"))
     rows.write.mode("append").parquet(path)
 
 
@@ -19,12 +19,12 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
+def load(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
     """(doc_idx, id, translation) of all that is saved; nothing where no store is."""
     where, files = _at(spark, path)
     if not files.exists(where):
-        return spark.createDataFrame([], SCHEMA).drop("saved")
-    rows = spark.read.schema(SCHEMA).parquet(path)
+        return spark.createDataFrame([], SCHEMA.format(kind)).drop("saved")
+    rows = spark.read.schema(SCHEMA.format(kind)).parquet(path)
     return rows.groupBy("doc_idx", "id").agg(F.max_by("translation", F.struct("saved", "translation")).alias("translation"))
 
 

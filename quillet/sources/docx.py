@@ -46,7 +46,7 @@ _TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml"
 _DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _NOT_XML = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
-_PIECES = re.compile("\x02(\\d+)\x03|(\t)|(\r\n|[\n\r])|([^\x02\x03\t\n\r]+)|.", re.S)
+_PIECES = re.compile(r"\x02(\d+)\x03|(\t)|(\r\n|[\n\r])|\\text(super|sub)script\{([^{}]*)\}|((?:[^\x02\x03\t\n\r\\]|\\(?!text(?:super|sub)script\{[^{}]*\}))+)|.", re.S)
 _EMU = 914_400  # English Metric Units of an inch
 #: Inches from which an image has a line for itself.
 WIDE = 5.0
@@ -61,7 +61,9 @@ def _run(text: str, props: str = "", ids: dict[int, int] | None = None) -> str:
             out.append(f'<w:r><w:rPr><w:vertAlign w:val="superscript"/></w:rPr><w:footnoteReference w:id="{own}"/></w:r>')
         elif m[2] or m[3]:
             out.append(f"<w:r>{props}<w:{'tab' if m[2] else 'br'}/></w:r>")
-        elif m[4] and (clean := _NOT_XML.sub("", m[4])):
+        elif m[4]:
+            out.append(_run(m[5], f'<w:rPr><w:vertAlign w:val="{m[4]}script"/></w:rPr>'))
+        elif m[6] and (clean := _NOT_XML.sub("", m[6])):
             out.append(f'<w:r>{props}<w:t xml:space="preserve">{escape(clean)}</w:t></w:r>')
     return "".join(out)
 

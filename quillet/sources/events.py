@@ -30,6 +30,23 @@ def load(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
     return parsed(whole.where(F.col("offset") >= after))
 
 
+def append(folder: str, job: str, event: dict) -> None:
+    """One event at the end of a job's log: from the driver, for the few that a run has. Where a file system cannot append, the
+    log is written anew."""
+    import json
+
+    files, top = _files(folder)
+    files.create_dir(top)
+    path, line = f"{top}/{job}.ndjson", (json.dumps(event, ensure_ascii=False) + "\n").encode()
+    try:
+        with files.open_append_stream(path) as f:
+            f.write(line)
+    except NotImplementedError:
+        before = files.open_input_file(path).readall() if files.get_file_info(path).is_file else b""
+        with files.open_output_stream(path) as f:
+            f.write(before + line)
+
+
 def stream(spark: SparkSession, path: str, pattern: str = "*.ndjson", most_bytes: int = 256 << 20) -> DataFrame:
     """The events of a folder's logs as they grow; `offset` is the byte at which a line begins. A trigger reads `most_bytes`
     at most, which is the back pressure."""
