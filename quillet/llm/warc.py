@@ -184,20 +184,17 @@ def write(pages: DataFrame, frame: int = FRAME, bundle: int = BUNDLE) -> DataFra
         from pyspark import TaskContext
 
         part, writer, made = TaskContext.get().partitionId(), Writer(frame), 0
-        seen: dict[tuple, int] = {}
 
         def out() -> pa.RecordBatch:
             nonlocal writer, made
             name = f"bundle-{part:06d}-{made:05d}"
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(writer.index)], pa.int64()), pa.array([writer.close()], pa.binary())], ["bundle_id", "n_records", "content"])
             writer, made = Writer(frame), made + 1
-            seen.clear()
             return row
 
         for b in batches:
-            for page_id, url, payload, ref, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k = seen[page_id, url] = seen.get((page_id, url), -1) + 1
-                name = record_id(page_id, url, k)
+            for rid, page_id, url, payload, ref, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                name = record_id(page_id, url, rid)  # a row's own, whatever other rows say
                 writer.add(name, record(page_id, url, payload, ref, first, name))
                 if writer.size >= bundle:
                     yield out()
@@ -207,7 +204,7 @@ def write(pages: DataFrame, frame: int = FRAME, bundle: int = BUNDLE) -> DataFra
     with in_place(pages.sparkSession):
         typed = rows.select("part", "rid", F.col("c0").alias("page_id"), F.col("c1").alias("url"), payload).join(dealt(named, buckets), ["part", "rid"], "left")
         first = F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
-        out = stash(typed.select("page_id", "url", "payload", "first_id", first.alias("first")).mapInArrow(run, "bundle_id string, n_records long, content binary"))
+        out = stash(typed.select("rid", "page_id", "url", "payload", "first_id", first.alias("first")).mapInArrow(run, "bundle_id string, n_records long, content binary"))
     drop(rows, twice)
     return out
 

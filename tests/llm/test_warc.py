@@ -68,3 +68,10 @@ def test_hot_payload_spreads(spark):
     sizes = [r.n_records for r in bundles.collect()]
     assert sum(sizes) == 4000 and max(sizes) < 1500  # half of all rows share one payload
     assert warc.read(bundles).where("record_type = 'revisit' and refers_to = 3998").count() == 1999
+
+
+def test_every_record_has_an_id_of_its_own(spark):
+    """Equal rows in many tasks are records each, and an index finds every one of them."""
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>")] * 40, "page_id long, url string, html string").repartition(4)
+    rows = warc.read(warc.write(pages, bundle=300)).collect()
+    assert len(rows) == 40 and len({r.record_id for r in rows}) == 40
