@@ -86,7 +86,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long) as (node, root), root the smallest node; nodes without edge are absent.
 
     Alternating large-star and small-star rounds: every step is a grouped minimum (combined before the
-    shuffle) and a join whose skew AQE can split, so a hub never has to fit one task. Self-loops are ignored.
+    shuffle), written as a table, and a join of two tables, whose skew AQE can split: a hub never has to fit one task. Tables
+    of rounds that are over are deleted. Self-loops are ignored.
     """
     e = stash(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -94,11 +95,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (
+        low = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = stash(
             both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stash(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(least, "a")
         small = (
             joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
@@ -106,7 +107,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        e = stash(small)
+        last, e = e, stash(small)
+        drop(last, low, large, least)
         now = e.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()

@@ -64,30 +64,35 @@ class _Forest:
     """Union-find over the points of one shard that keeps the links which merged something."""
 
     def __init__(self, n: int) -> None:
-        self.root, self.parent, self.links = np.arange(n), list(range(n)), []
+        self.parent, self.links = np.arange(n), []
 
-    def _find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
+    def _roots(self, points: np.ndarray) -> np.ndarray:
+        """The roots of some points; their ways there become short."""
+        root = self.parent[points]
+        while ((up := self.parent[root]) != root).any():
+            root = up
+        self.parent[points] = root
+        return root
 
     def add(self, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> None:
-        near &= self.root[left][:, None] != self.root[right][None, :]
-        while len(hit := np.argwhere(near)):
-            pairs = np.stack([left[hit[:, 0]], right[hit[:, 1]]], 1)
-            _, one = np.unique(self.root[pairs], axis=0, return_index=True)
-            for i, j in pairs[one]:
-                a, b = self._find(int(i)), self._find(int(j))
-                if a != b:
-                    self.parent[max(a, b)] = min(a, b)
-                    self.links.append((int(i), int(j)))
-            parent = np.array(self.parent)
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            self.root, self.parent = parent, parent.tolist()
-            near &= self.root[left][:, None] != self.root[right][None, :]
+        """Links of near pairs of left and right, one for each pair of trees that meet; only the points at hand are looked at."""
+        while True:
+            a, b = self._roots(left), self._roots(right)
+            near &= a[:, None] != b[None, :]
+            hit = np.argwhere(near)
+            if not len(hit):
+                return
+            _, one = np.unique(np.stack([a[hit[:, 0]], b[hit[:, 1]]], 1), axis=0, return_index=True)
+            met: dict[int, int] = {}  # of the roots at hand, those that have one now
+            for x, y, i, j in zip(*(v.tolist() for v in (a[hit[one, 0]], b[hit[one, 1]], left[hit[one, 0]], right[hit[one, 1]])), strict=True):
+                while x in met:
+                    x = met[x]
+                while y in met:
+                    y = met[y]
+                if x != y:
+                    x, y = min(x, y), max(x, y)
+                    self.parent[y] = met[y] = x
+                    self.links.append((i, j))
 
 
 def forest(points: np.ndarray, radius: int = RADIUS, leaf: int = 128) -> list[tuple[int, int]]:
@@ -194,10 +199,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     nodes = fps.groupBy("fp").agg(F.min(head).alias("head"))
     found = components(links(fps, radius))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select(
-        "fp", "head", F.coalesce("root", "fp").alias("root")
-    )
-    heads = named.groupBy("root").agg(F.min("head").alias("head"))
+    # tables of their own: a join right above an aggregation could not be split where one component is hot
+    named = stash(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root")))
+    heads = stash(named.groupBy("root").agg(F.min("head").alias("head")))
     per_fp = named.select("fp", "root").join(heads, "root").select("fp", "head")
     return fps.join(per_fp, "fp").select(
         "doc_id", "text_key", "fp", F.col("head.doc_id").alias("component_id"), F.col("head.text_key").alias("first_key")

@@ -98,3 +98,31 @@ def test_internal_names_stay_the_callers(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _row_key string, _text_key long, k1 string")
     got = sorted(simhash.keep_first(df).collect())
     assert [tuple(r) for r in got] == [rows[0], rows[3]]
+
+
+def test_trees_grow_with_the_points_they_meet():
+    """Links of many points in linear time, and the same components as by every pair."""
+    import time
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    points = np.unique(np.repeat(base, 40) ^ (np.uint64(1) << rng.integers(0, 60, 20_000).astype(np.uint64)))
+    began = time.process_time()
+    links = simhash.forest(points)
+    assert time.process_time() - began < 10
+    few = points[:600]
+    near = np.bitwise_count(few[:, None] ^ few[None, :]) <= simhash.RADIUS
+    root = np.arange(len(few))
+    for _ in range(60):
+        root = np.where(near, root[None, :], len(few)).min(axis=1)
+    found = simhash.forest(few)
+    own = np.arange(len(few))
+    for i, j in found * 1:
+        own[own == max(own[i], own[j])] = min(own[i], own[j])
+    assert len(set(own.tolist())) == len(set(root.tolist())) and len(found) == len(few) - len(set(own.tolist())) and len(links) < len(points)
+
+
+def test_hubs_are_joined_between_tables(spark):
+    """No aggregation stands right below the joins of the components' rounds and of the names, so Spark may split them."""
+    plan = simhash.groups(spark.createDataFrame([(i, f"a b c {i % 3}") for i in range(20)], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan
