@@ -16,10 +16,13 @@ def squeeze(t: Column) -> Column:
 
 
 def plain(t: Column) -> Column:
-    """Text of a field without braces, emphasis commands and backslashes; dashes as en dashes."""
-    t = squeeze(F.regexp_replace(F.coalesce(t, F.lit("")), r"[{}]", ""))
-    t = F.regexp_replace(F.regexp_replace(t, r"\\&", "&"), "---|--", "–")
-    return squeeze(F.regexp_replace(F.regexp_replace(t, r"\\(textit|emph|textbf)\s*", ""), r"\\", ""))
+    """Text of a field without braces, emphasis commands and backslashes; dashes as en dashes. Most fields have nothing of the
+    kind, which one look tells."""
+    t = F.coalesce(t, F.lit(""))
+    marked = squeeze(F.regexp_replace(t, r"[{}]", ""))
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\\&", "&"), "---|--", "–")
+    marked = squeeze(F.regexp_replace(F.regexp_replace(marked, r"\\(textit|emph|textbf)\s*", ""), r"\\", ""))
+    return F.when(t.rlike(r"[{}\\\t\n\x0b\f\r]|--|  "), marked).otherwise(F.trim(t))
 
 
 def url_in(t: Column) -> Column:

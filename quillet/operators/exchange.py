@@ -18,21 +18,22 @@ from ..functions.rules import Rules
 def greedy_batches(rows: DataFrame, keys: list[str], order: list[str], weight: str, most: int) -> DataFrame:
     """rows with batch_no: a batch of each key closes when the next weight would pass `most`; a heavier row is a batch of its own.
 
-    The reset depends on the data, so it is a fold over the ordered weights of one key, which are all that is collected.
+    The reset depends on the data, so it is a fold over the ordered weights of one key, which are all that is collected; the
+    fold notes where batches begin, and rows are dealt to them afterwards.
     """
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(weight).cast("long").alias("_w"))))
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["tot"] > 0) & (acc["tot"] + x["_w"] > most)
-        b = acc["b"] + new.cast("int")
-        return F.struct(F.when(new, x["_w"]).otherwise(acc["tot"] + x["_w"]).alias("tot"), b.alias("b"), F.concat(acc["ids"], F.array(b)).alias("ids"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("tot"), F.lit(0).alias("b"), F.array().cast("array<int>").alias("ids"))
-    folded = rows.groupBy(*keys).agg(items.alias("_items")).withColumn("_b", F.aggregate("_items", zero, step, lambda a: a["ids"]))
-    placed = folded.select(*keys, F.explode(F.arrays_zip("_items", "_b")).alias("_z")).select(
-        *keys, *(F.col(f"_z._items.{o}").alias(o) for o in order), F.col(f"_z._items._w").alias(weight), F.col("_z._b").alias("batch_no")
-    )
-    return placed
+        new = (acc["i"] == 0) | ((acc["tot"] > 0) & (acc["tot"] + x["_w"] > most))
+        return F.struct(
+            F.when(new, x["_w"]).otherwise(acc["tot"] + x["_w"]).alias("tot"), (acc["i"] + 1).alias("i"), F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts")
+        )
+
+    zero = F.struct(F.lit(0).cast("long").alias("tot"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+    folded = rows.groupBy(*keys).agg(items.alias("_items")).withColumn("_at", F.aggregate("_items", zero, step, lambda a: F.concat(a["starts"], F.array(a["i"]))))
+    cut = F.transform(F.sequence(F.lit(0), F.size("_at") - 2), lambda b: F.slice("_items", F.get("_at", b) + 1, F.get("_at", b + 1) - F.get("_at", b)))
+    batches = folded.select(*keys, F.posexplode(cut).alias("batch_no", "_rows")).select(*keys, "batch_no", F.explode("_rows").alias("_z"))
+    return batches.select(*keys, *(F.col(f"_z.{o}").alias(o) for o in order), F.col("_z._w").alias(weight), "batch_no")
 
 
 def glossary(raw: DataFrame, column: str = "value") -> DataFrame:

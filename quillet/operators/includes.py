@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
+from ..sources.shared import materialize, release
 
 INCLUDE = r"\\(?:input|include|subfile|import|subimport)\s*(?:\{([^}]*)\}\s*)?\{([^}]+)\}"
 #: A comment or an include command, whichever comes first: a command inside a comment is part of the comment.
@@ -30,20 +30,24 @@ def include_edges(files: DataFrame) -> DataFrame:
 def expand_order(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(folder, root, name, path, cycle): files reached from each root, depth first by path; a repeat on the way is a cycle.
 
-    One join for each level of nesting, each level a table of its own, so none is computed twice; the walk ends with the
-    deepest include, as no path goes beyond a repeat. An include below max_depth, where that is given, is an error.
+    One join for each level of nesting, each level a table of its own, so none is computed twice; the levels are put together
+    in one table in the end and deleted. The walk ends with the deepest include, as no path goes beyond a repeat. An include below
+    max_depth, where that is given, is an error.
     """
     level = roots.select("folder", F.col("name").alias("root"), "name", F.array().cast("array<int>").alias("path"), F.array("name").alias("seen"), F.lit(False).alias("cycle"))
     out = level
     live = materialize(edges.where("dst IS NOT NULL").select("folder", F.col("src").alias("name"), "pos", "dst"))
-    depth = 0
+    depth, made = 0, [live]
     while True:
         level = materialize(level.where("NOT cycle").join(live, ["folder", "name"]).select(
             "folder", "root", F.col("dst").alias("name"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"),
             F.concat("seen", F.array("dst")).alias("seen"), F.array_contains("seen", F.col("dst")).alias("cycle"),
         ))
+        made.append(level)
         if level.isEmpty():
-            return out.drop("seen")
+            whole = materialize(out.drop("seen"))
+            release(*made)
+            return whole
         depth += 1
         if max_depth is not None and depth > max_depth:
             raise ValueError(f"includes are nested more than {max_depth} deep")

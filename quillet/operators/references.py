@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.shared import materialize
 
 
 def label_rows(paragraphs: DataFrame) -> DataFrame:
@@ -33,8 +34,11 @@ def collisions(rows: DataFrame, keys: list[str], value: str, order: list[str]) -
 
 
 def two_tier(rows: DataFrame, own: DataFrame, key: str, scope: str, value: str, placeholder: str) -> DataFrame:
-    """rows with `value` looked up by (scope, key), else by key in the scope that sorts first as a string, else the placeholder."""
-    fallback = own.groupBy(key).agg(F.min_by(value, F.col(scope).cast("string")).alias("_any"))
+    """rows with `value` looked up by (scope, key), else by key in the scope that sorts first as a string, else the placeholder.
+
+    The second look is at a table: a join right above its aggregation could not be split where many rows have one key.
+    """
+    fallback = materialize(own.groupBy(key).agg(F.min_by(value, F.col(scope).cast("string")).alias("_any")))
     first = own.select(scope, key, F.col(value).alias("_own"))
     return (
         rows.join(first, [scope, key], "left").join(fallback, key, "left")

@@ -172,13 +172,24 @@ def suffix_repeats(df: DataFrame, keys: list[str], name: str, order: str) -> Dat
     return df.withColumn(name, F.when(n > 0, F.concat_ws(".", name, n.cast("string"))).otherwise(F.col(name)))
 
 
+def sum_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """What the rows before each sum up to in a total order, without one task for all: sorted ranges, their sums, then offsets."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sums = {r["_part"]: r["s"] for r in ranged.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
+    at = [0] * (max(sums, default=-1) + 1)
+    for p in range(1, len(at)):
+        at[p] = at[p - 1] + (sums.get(p - 1) or 0)
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn(name, (own + F.coalesce(F.get(F.array(*map(F.lit, at or [0])), F.col("_part")), F.lit(0))).cast("long")).drop("_part")
+
+
 def renumber(local: DataFrame, keys: list[str], old: str, start: int = 1) -> DataFrame:
     """Ids of each key's own as ids over all: keys in order, old ids in order, `start` first. Counts of keys move, not rows."""
     per = local.groupBy(*keys).agg(F.countDistinct(old).alias("_n"))
-    # one row for each document: the running offset is a window over those
-    offset = F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sum_before(per, [F.col(k) for k in keys], "_n", "_at")
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(old))
-    return local.withColumn("_r", rank).join(per.withColumn("_at", offset), keys).withColumn("new_id", (F.col("_at") + F.col("_r") + (start - 1)).cast("long")).drop("_r", "_n", "_at")
+    return local.withColumn("_r", rank).join(offsets, keys).withColumn("new_id", (F.col("_at") + F.col("_r") + (start - 1)).cast("long")).drop("_r", "_n", "_at")
 
 
 def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], order_left: str, order_right: str) -> DataFrame:

@@ -258,7 +258,7 @@ def bibitem_parse(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, ['One A., B. Two', 'A. One, B.-C. Two', 'Ann Lee, Bob Ray, C. Poe, et al'][p_partkey % 3 + 1] || '. On the ' || p_name || ' of things' || CASE WHEN p_partkey % 2 = 0 THEN '[J]. Jour of Odd, 1999, ' || p_size || '(4): 10-' || (p_size + 10) || '.' ELSE '[C]//Proceedings of X' || '. 2001.' END AS citation FROM part""")
+SELECT p_partkey, ['One A., B. Two', 'A. One, B.-C. Two', 'Ann Lee, Bob Ray, C. Poe, et al'][p_partkey % 3 + 1] || '. On the ' || p_name || ' of things' || CASE WHEN p_partkey % 2 = 0 THEN '[J]. Jour of Odd, 1999, ' || p_size || '(4): 10-' || (p_size + 10) || '.' ELSE '[C]//Proceedings of X' || '. 2001.' END AS citation FROM part""", True)
 def bibitem_unmarked(spark, sf_dir):
     """citations of items whose authors, titles and venues are told apart by what they look like."""
     names = F.get(F.array(F.lit("One, A. and B. Two."), F.lit("A. One, and B.-C. Two."), F.lit("Ann Lee, Bob Ray, C. Poe, et al.")), (part() % 3).cast("int"))

@@ -27,3 +27,11 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing will read again."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
-
 TERMINAL = ("completed", "failed", "cancelled")  # fixed values
 
 
@@ -58,24 +59,66 @@ def progress(batches: DataFrame, keys: list[str], order: list[str], size: str) -
     return batches.withColumn("done", F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum(size).over(w))
 
 
+def _pointer(spark, path: str):
+    """The file that says which version of each bucket counts, and what it says."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/current.json")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return {}
+    return json.loads("".join(r.value for r in spark.read.text(str(where.toString())).collect()))  # one line
+
+
+def _point(spark, path: str, versions: dict[str, str]) -> None:
+    """Puts a new pointer in the place of the old one, in one step."""
+    jvm, name = spark._jvm, f"{path}/_next-{uuid.uuid4().hex}"
+    where = jvm.org.apache.hadoop.fs.Path(name)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(json.dumps(versions).encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(where, jvm.org.apache.hadoop.fs.Path(f"{path}/current.json"), options)
+
+
+def status_table(spark, path: str) -> DataFrame | None:
+    """The table that `follow` keeps, or none before its first rows."""
+    pointer = _pointer(spark, path)
+    if not pointer:
+        return None
+    versions = sorted(set(pointer.values()))
+    rows = spark.read.option("basePath", f"{path}/data").parquet(*(f"{path}/data/version={v}" for v in versions))
+    live = F.concat_ws("@", F.col("bucket").cast("string"), F.col("version").cast("string")).isin(*(f"{b}@{v}" for b, v in pointer.items()))
+    return rows.where(live).drop("version")
+
+
 def follow(events: DataFrame, checkpoint: str, path: str, available_now: bool = True, key: str = "job_id", order: str = "offset", buckets: int = 64):
     """Keep the status table of a stream of events, one row for each job, in `buckets` folders by a hash of the job.
 
-    A micro-batch reads the folders of the jobs that it touches, takes the latest row of each job and replaces those
-    folders; a repeated micro-batch changes nothing.
+    A micro-batch reads the folders of the jobs that it touches, takes the latest row of each job and writes those folders as a
+    new version; a pointer is then moved to it in one step, and versions that no bucket points to are deleted. So a crash at
+    any place leaves the old table or the new one, and a repeated micro-batch changes nothing. Read it with status_table.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        here = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here):
-            touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` at most
-            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched) if touched else F.lit(False))
-            new = old.unionByName(new)
+        before = _pointer(spark, path)
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` at most
+        if not touched:
+            return
+        old = status_table(spark, path)
+        if old is not None:
+            new = old.where(F.col("bucket").isin(touched)).select(*new.columns).unionByName(new)
         last = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
-        # a table of its own before it takes the place of what it was made from
-        materialize(last).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        version = f"v{number:012d}-{uuid.uuid4().hex[:8]}"  # no number, whatever its digits
+        last.write.partitionBy("bucket").parquet(f"{path}/data/version={version}")
+        after = {**before, **{str(b): version for b in touched}}
+        _point(spark, path, after)
+        for gone in set(before.values()) - set(after.values()):
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/version={gone}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     writer = status(events, key, order).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()

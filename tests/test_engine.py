@@ -338,7 +338,7 @@ def test_events_and_stream(spark, tmp_path):
     assert jobs.merged_status(events.load(spark, str(tmp_path / "ev")), ("state", "percent")).first().percent == 40.0
     q = jobs.follow(events.stream(spark, str(tmp_path / "ev")), str(tmp_path / "cp"), str(tmp_path / "st"))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "st")).first().state == "completed"
+    assert jobs.status_table(spark, str(tmp_path / "st")).first().state == "completed"
 
 
 def test_queue(spark):
@@ -376,17 +376,36 @@ def test_status_table_over_two_batches(spark, tmp_path):
     folder = tmp_path / "ev"
     folder.mkdir()
     for name, lines in (("j1", ['{"state":"running"}']), ("j2", ['{"state":"queued"}'])):
-        (folder / f"{name}.ndjson").write_text("\n".join(lines))
-    table = lambda: {r.job_id: r.state for r in spark.read.parquet(str(tmp_path / "st")).collect()}
+        (folder / f"{name}.ndjson").write_text("\n".join(lines) + "\n")
+    table = lambda: {r.job_id: r.state for r in jobs.status_table(spark, str(tmp_path / "st")).collect()}
     follow = lambda: jobs.follow(events.stream(spark, str(folder)), str(tmp_path / "cp"), str(tmp_path / "st")).awaitTermination(90)
     follow()
     assert table() == {"j1": "running", "j2": "queued"}
-    (folder / "j1_more.ndjson").write_text('{"state":"other"}')
-    (folder / "j3.ndjson").write_text('{"state":"failed"}')
+    (folder / "j1_more.ndjson").write_text('{"state":"other"}\n')
+    (folder / "j3.ndjson").write_text('{"state":"failed"}\n')
     follow()
-    rows = spark.read.parquet(str(tmp_path / "st")).collect()
+    rows = jobs.status_table(spark, str(tmp_path / "st")).collect()
     assert len(rows) == len({r.job_id for r in rows}) == 4
     assert table()["j2"] == "queued" and table()["j3"] == "failed"
+    # a crash before the pointer is moved leaves the table as it was, and no version stays that nothing points to
+    (tmp_path / "st" / "data" / "version=crashed" / "bucket=1").mkdir(parents=True)
+    assert len(table()) == 4
+    assert {p.name for p in (tmp_path / "st" / "data").iterdir()} - {"version=crashed"} == {f"version={v}" for v in json.loads((tmp_path / "st" / "current.json").read_text()).values()}
+
+
+def test_sums_before_and_batches_over_ranges(spark):
+    rows = [(k, v) for k, v in zip(range(100), [3, 0, 5, 1] * 25, strict=True)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    got = {r.k: r.at for r in structure.sum_before(df, [F.col("k")], "v", "at").collect()}
+    assert got == {k: sum(v for j, v in rows if j < k) for k, _ in rows} and structure.sum_before(df.limit(0), [F.col("k")], "v", "at").count() == 0
+    weights = [(i % 3, i, (i * 7919) % 90) for i in range(400)]
+    want, state = {}, {}
+    for key, i, w in weights:
+        tot, b = state.get(key, (0, 0))
+        tot, b = (w, b + 1) if tot > 0 and tot + w > 100 else (tot + w, b)
+        state[key], want[i] = (tot, b), b
+    batched = exchange.greedy_batches(spark.createDataFrame(weights, "key int, i int, w int"), ["key"], ["i"], "w", 100)
+    assert {r.i: r.batch_no for r in batched.collect()} == want and batched.columns == ["key", "i", "w", "batch_no"]
 
 
 def test_deep_includes_and_cycles(spark):
