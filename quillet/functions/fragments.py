@@ -18,6 +18,8 @@ RENDERING = {"fonts": ("body", "heading", "caption", "code", "ascii"), "sizes":
 SHELLS = {"em": 0, "wraptable": 2, "tabular": 2, "tabular*": 2, "proof": 0}
 SWITCHES = ("bf", "toprule", "midrule", "bottomrule")
 UNMARKED_MATH = ("equation", "align", "gather", "multline", "flalign", "alignat")
+# Old font switches in formulas, and the commands that take their places.
+MATH_FONTS = {"rm": "mathrm", "bf": "mathbf", "it": "mathit", "sf": "mathsf", "tt": "mathtt", "cal": "mathcal"}
 # Commands that go with their arguments, and how many those are.
 BOXES = {"raisebox": 2, "includegraphics": 1}
 
@@ -149,6 +151,19 @@ def strip_trailing_punctuation(t: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda x, i: F.when(i < F.size(pieces) - 1, F.regexp_replace(x, r"[,.]\s*+$", "")).otherwise(x)), "")
 
 
+def math_fonts(t: Column) -> Column:
+    """Inline formulas with commands for old font switches that stand before a group or a blank; all other text as it is."""
+
+    def formula(inner: Column) -> Column:
+        names = F.regexp_extract_all(inner, F.lit(rf"\\({'|'.join(MATH_FONTS)})(?=[\s{{])"), F.lit(1))
+        new = F.create_map(*(F.lit(x) for pair in MATH_FONTS.items() for x in pair))
+        pieces = F.split(inner, rf"\\(?:{'|'.join(MATH_FONTS)})(?=[\s{{])", -1)
+        put = F.transform(names, lambda n: F.concat(F.lit("\\"), F.try_element_at(new, n)))
+        return F.concat(F.lit("$"), F.array_join(F.zip_with(pieces, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""), F.lit("$"))
+
+    return F.when(t.contains("$"), rewrite(t, r"(?<!\\)\$((?:[^$\\]++|\\.)++)\$", formula)).otherwise(t)
+
+
 def display_math(t: Column) -> Column:
     """The first display-math environment, else the text."""
     p = r"(?is)\\begin\{((?:equation|displaymath|align|alignat|gather|multline|flalign|eqnarray|dmath|IEEEeqnarray|math)\*?)\}.*?\\end\{\1\}"

@@ -584,14 +584,15 @@ GRID = f"array<struct<row:int,col:int,row_span:int,col_span:int,align:string,sha
 
 
 def drop_arguments(s: str, count: int) -> str:
-    """s without its first `count` groups."""
+    """s without its first `count` groups, an option before each with it."""
+    src, at = Source(s), 0
     for _ in range(count):
-        at = skip_space(s, 0)
-        end = group_end(s, at) if s[at : at + 1] == "{" else -1
+        start = skip_space(s, src.optional(at)[1])
+        end = src.end(start) if s[start : start + 1] == "{" else -1
         if end < 0:
-            return s
-        s = s[end:]
-    return s
+            break
+        at = end
+    return s[at:]
 
 
 def _udf(f: Callable, kind: str):

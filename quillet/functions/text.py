@@ -287,6 +287,25 @@ def chinese_number(n: Column) -> Column:
     return F.when((n >= 1) & (n <= 10), F.get(names, (n - 1).cast("int"))).otherwise(n.cast("string"))
 
 
+# Digits, and the units within a section of four digits and of sections.
+DIGITS, UNITS, SECTIONS = "零一二三四五六七八九", ("千", "百", "十", ""), ("万亿", "亿", "万", "")
+
+
+def chinese_numeral(n: Column) -> Column:
+    """A whole number from 0 on in Chinese, of up to sixteen digits; other numbers as they are."""
+    digits = F.lpad(n.cast("string"), 16, "0")
+
+    def section(i: int) -> Column:
+        own = F.substring(digits, 4 * i + 1, 4)
+        said = F.concat(*(
+            F.when(F.substring(own, k + 1, 1) == "0", DIGITS[0]).otherwise(F.concat(F.translate(F.substring(own, k + 1, 1), "0123456789", DIGITS), F.lit(u))) for k, u in enumerate(UNITS)
+        ))
+        return F.when(own == "0000", DIGITS[0]).otherwise(F.concat(F.regexp_replace(said, "零+$", ""), F.lit(SECTIONS[i])))
+
+    whole = F.regexp_replace(F.regexp_replace(F.concat(*(section(i) for i in range(4))), "零+", "零"), "^零|零$", "")
+    return F.when((n >= 0) & (n < 10**16), F.when(n == 0, DIGITS[0]).otherwise(F.regexp_replace(whole, "^一十", "十"))).otherwise(n.cast("string"))
+
+
 def fraction_done(stage: Column, current: Column, total: Column) -> Column:
     """Percentage of a job: the exchange stage runs from 25 to 83, all others are given by the caller; clamped to 0..100."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(stage == "translate", 25 + 58 * current / F.greatest(total, F.lit(1))).otherwise(current)))

@@ -59,6 +59,21 @@ def owners(jobs: DataFrame, orders: DataFrame) -> DataFrame:
     return jobs.select(F.col("id").alias("job_id"), "order_id").join(orders.select(F.col("id").alias("order_id"), "user_id"), "order_id").select("job_id", "user_id")
 
 
+def own_jobs(jobs: DataFrame, owners_: DataFrame, users: DataFrame) -> DataFrame:
+    """jobs(job_id, ...) of the given users(user_id): a semi-join, which no repeated owner or user makes more rows of."""
+    return jobs.join(owners_.join(users, "user_id", "left_semi"), "job_id", "left_semi")
+
+
+def request_issues(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """requests(provider, model, ...) with their names in the form of the catalog and `issue`: an unknown provider, no model, a model that the
+    provider does not have; null where a request may run. Two joins with what the catalog names, once each."""
+    clean = requests.withColumn("provider", F.lower(F.trim(F.coalesce("provider", F.lit(""))))).withColumn("model", F.trim(F.coalesce("model", F.lit(""))))
+    known = catalog.select("provider").distinct().withColumn("_p", F.lit(True))
+    models = catalog.select("provider", "model").distinct().withColumn("_m", F.lit(True))
+    issue = F.when(F.col("_p").isNull(), "unknown provider").when(F.col("model") == "", "no model").when(F.col("_m").isNull(), "unknown model")
+    return clean.join(known, "provider", "left").join(models, ["provider", "model"], "left").withColumn("issue", issue).drop("_p", "_m")
+
+
 def live_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     return sessions.where(F.to_timestamp("expires_at") > now).join(users.select(F.col("id").alias("user_id"), "email"), "user_id")
 

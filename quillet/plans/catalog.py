@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..functions.rules import Rules
 from ..operators import bibliography, exchange, lifecycle, orders, references, render, structure
 from ..sources import events as events_source
+from ..sources import files
 from ..sources.shared import folder
 from ..streaming import jobs
 from . import documents
@@ -745,3 +746,63 @@ def log_lines(spark, sf_dir):
     rows.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(out).awaitTermination()
     seen = spark.read.schema(rows.schema).parquet(out)
     return seen.groupBy(F.col("job_id").cast("long").alias("job")).agg(F.count(F.lit(1)).alias("n"), F.sum("current").alias("ids"), F.countDistinct("current").alias("once"))
+
+
+@query(r"""
+SELECT doc_id, '\rm a $\mathrm{b} \bfseries \mathcal c\$ \itx$ \$\rm d ' || translate(text, '\$', '') || ' $\mathbf{' || doc_id || '}' || '$' AS body FROM documents""")
+def math_font_upgrade(spark, sf_dir):
+    """font switches of inline formulas as commands, in whole texts; others and those outside of formulas stay."""
+    t = F.concat(F.lit("\\rm a $\\rm{b} \\bfseries \\cal c\\$ \\itx$ \\$\\rm d "), F.translate("text", "\\$", ""), F.lit(" $\\bf{"), F.col("doc_id").cast("string"), F.lit("}$"))
+    return read(spark, sf_dir, "documents").select("doc_id", fragments.math_fonts(t).alias("body"))
+
+
+@query("""
+WITH k AS (SELECT o_orderkey, (o_orderkey * 7919 * (CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 100 WHEN 2 THEN 100003 ELSE 0 END) + o_orderkey % 37)::BIGINT AS n FROM orders),
+d AS (SELECT o_orderkey, n, lpad(n::VARCHAR, 16, '0') AS p FROM k),
+s AS (SELECT o_orderkey, n, i, substr(p, 4 * i + 1, 4) AS q FROM d, range(4) r(i)),
+t AS (SELECT o_orderkey, n, i, CASE WHEN q = '0000' THEN '零' ELSE regexp_replace(
+    CASE WHEN q[1] = '0' THEN '零' ELSE translate(q[1], '123456789', '一二三四五六七八九') || '千' END || CASE WHEN q[2] = '0' THEN '零' ELSE translate(q[2], '123456789', '一二三四五六七八九') || '百' END
+    || CASE WHEN q[3] = '0' THEN '零' ELSE translate(q[3], '123456789', '一二三四五六七八九') || '十' END || CASE WHEN q[4] = '0' THEN '零' ELSE translate(q[4], '123456789', '一二三四五六七八九') END, '零+$', '') || ['万亿', '亿', '万', ''][i + 1] END AS w FROM s)
+SELECT o_orderkey, CASE n WHEN 0 THEN '零' ELSE regexp_replace(regexp_replace(regexp_replace(string_agg(w, '' ORDER BY i), '零+', '零', 'g'), '^零|零$', '', 'g'), '^一十', '十') END AS numeral FROM t GROUP BY o_orderkey, n""")
+def chinese_numerals(spark, sf_dir):
+    """numbers of any size in Chinese."""
+    k = F.col("o_orderkey")
+    by = F.when(k % 4 == 0, 1).when(k % 4 == 1, 100).when(k % 4 == 2, 100003).otherwise(0)
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.chinese_numeral(k * 7919 * by + k % 37).alias("numeral"))
+
+
+@query("SELECT o_orderkey AS job_id, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def own_jobs(spark, sf_dir):
+    """The jobs of some users, however often their owners are named."""
+    o = read(spark, sf_dir, "orders")
+    owner = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("user_id"))
+    users = read(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("user_id"))
+    return orders.own_jobs(o.select(F.col("o_orderkey").alias("job_id"), "o_totalprice"), owner.unionByName(owner), users.unionByName(users))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT lower(p_type) AS provider, p_brand AS model FROM part),
+r AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'none' ELSE lower(p_type) END AS provider, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN p_brand || 'x' ELSE p_brand END AS model FROM part)
+SELECT p_partkey, r.provider, r.model, CASE WHEN r.provider NOT IN (SELECT provider FROM c) THEN 'unknown provider' WHEN r.model = '' THEN 'no model' WHEN c.model IS NULL THEN 'unknown model' END AS issue
+FROM r LEFT JOIN c ON c.provider = r.provider AND c.model = r.model""")
+def request_issues(spark, sf_dir):
+    """What is wrong with the provider and the model that a request names."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_size")
+    provider = F.when(k % 7 == 0, "none").otherwise(F.concat(F.lit(" "), F.upper("p_type")))
+    model = F.when(k % 5 == 0, " ").when(k % 5 == 1, F.concat("p_brand", F.lit("x "))).otherwise(F.col("p_brand"))
+    catalog = p.select(F.lower("p_type").alias("provider"), F.col("p_brand").alias("model"))
+    return orders.request_issues(p.select("p_partkey", provider.alias("provider"), model.alias("model")), catalog)
+
+
+@query("""
+SELECT l_orderkey, 'k' || (l_linenumber % 3) AS key, arg_max(l_partkey || '=' || l_linestatus, (l_linenumber, l_partkey, l_linestatus)) AS value FROM lineitem WHERE l_linenumber % 4 <> 3 GROUP BY ALL""")
+def env_settings(spark, sf_dir):
+    """The settings of environment files of all orders, the last of a key; comments and broken lines go."""
+    n = F.col("l_linenumber")
+    said = F.concat(F.lit("k"), (n % 3).cast("string"), F.lit(' = "'), F.col("l_partkey").cast("string"), F.lit("="), F.col("l_linestatus"), F.lit('" '))
+    line = F.when(n % 4 == 3, F.concat(F.lit(" # "), said)).when(n % 4 == 2, F.concat(F.lit("export "), said)).otherwise(said)
+    place = lambda more: F.struct((n + more).alias("n"), "l_partkey", "l_linestatus").alias("pos")
+    rows = read(spark, sf_dir, "lineitem")
+    lines = rows.select("l_orderkey", place(0), line.alias("line"))
+    broken = rows.select("l_orderkey", place(100), F.lit("no sign").alias("line"))
+    return files.settings(lines.unionByName(broken), ["l_orderkey"])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import latex
@@ -39,6 +40,17 @@ class Options:
             raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
         return cls(**merged)
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, *paths: str, over: dict | None = None) -> Options:
+        """Files of JSON objects, a later one over those before it, and `over` over all; a file that is missing or no object raises."""
+        layers = []
+        for path in paths:
+            layer = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+            if not isinstance(layer, dict):
+                raise ValueError(f"{path} is not a JSON object")
+            layers.append(layer)
+        return cls.from_layers(*layers, over or {})
+
 
 def preprocess(files: DataFrame, rules: Rules = Rules(), options: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """files(folder, name, text) of LaTeX sources, one folder for each document, to paragraphs, titles and issues.

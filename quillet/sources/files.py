@@ -55,6 +55,25 @@ def image_of(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(best, ["doc", "rel"], "left")
 
 
+def settings(lines: DataFrame, by: list[str], line: str = "line", order: str = "pos") -> DataFrame:
+    """(by..., key, value) of KEY=VALUE lines(by..., order, line): comments and lines without a sign go, `export` and quotes come off, the last
+    of a key counts."""
+    t = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    t = F.regexp_replace(t, r"^export\s+", "")
+    cut = F.instr(t, "=")
+    value = F.trim(F.substring(t, cut + 1, F.length(t)))
+    for mark in ('"', "'"):
+        value = F.regexp_replace(value, f"^{mark}+|{mark}+$", "")
+    rows = lines.where(~t.startswith("#") & (cut > 0)).select(*by, order, F.trim(F.substring(t, F.lit(1), cut - 1)).alias("key"), value.alias("value"))
+    return rows.groupBy(*by, "key").agg(F.max_by("value", order).alias("value"))
+
+
+def env_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key, value) of environment files."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r\n|[\r\n]")).alias("pos", "line"))
+    return settings(whole, ["path"])
+
+
 def documents_json(spark: SparkSession, path: str) -> DataFrame:
     """Rows of {"documents": [...]} files: one for each paragraph, with the document's place and columns."""
     schema = "documents array<struct<tex:string,chapter:int,title:string,title_translation:string,paragraphs:array<struct<id:int,text:string,translation:string,env_label:string>>>>"

@@ -171,6 +171,23 @@ def test_formatting():
     assert "a b c" in out and "$\\textbf{m}$" in out and "d\n" in out and "\\begin{verbatim}\\textbf{k}\\end{verbatim}" in out and "vspace" not in out and "Large" not in out
 
 
+def test_numbers_arguments_and_files(spark, tmp_path):
+    want = {0: "零", 7: "七", 10: "十", 12: "十二", 110: "一百一十", 1010: "一千零一十", 10001: "一万零一", 20300: "二万零三百", 100000: "十万", 100010000: "一亿零一万", 1203000450: "十二亿零三百万零四百五十"}
+    df = spark.createDataFrame([(k,) for k in want], "n long")
+    assert {r.n: r.x for r in df.select("n", T.chinese_numeral(F.col("n")).alias("x")).collect()} == want
+    assert spark.range(1).select(T.chinese_numeral(F.lit(-3)).alias("x")).first().x == "-3"
+    assert L.drop_arguments(" [o]{a{b}} {c}rest{d}", 2) == "rest{d}" and L.drop_arguments("[o]x{a}", 1) == "[o]x{a}" and L.drop_arguments("{a}{open", 2) == "{open"
+    (tmp_path / "e.txt").write_text("# c\n\nexport A=1\nB = 'x=y' \nnone\nA=\"2\"\n")
+    assert {r.key: r.value for r in files.env_files(spark, str(tmp_path / "e.txt")).collect()} == {"A": "2", "B": "x=y"}
+    (tmp_path / "a.json").write_text('{"sort": "key", "start": 3}')
+    (tmp_path / "b.json").write_text('{"start": 4}')
+    (tmp_path / "c.json").write_text("[]")
+    o = documents.Options.from_files(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"), over={"strict": True})
+    assert (o.sort, o.start, o.strict) == ("key", 4, True)
+    with pytest.raises(ValueError):
+        documents.Options.from_files(spark, str(tmp_path / "c.json"))
+
+
 def test_title():
     assert L.title("% \\title{no}\n\\title[short]{A {B}\\\\ c}") == "A {B} c"
     assert L.title("none") is None and L.title(None) is None
