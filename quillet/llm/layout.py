@@ -12,7 +12,7 @@ Nothing that grows with the input is in one task, on the driver or broadcast. Va
 its partitions and summed up in each; the driver sees one sum for each partition, and of the values only the smallest
 of each coordinate, 64 at most. Rows are ranged by z and doc_id and numbered in the same way. A value, cell or doc_id that
 many rows share is split: ranges go on by a row number, and joins stand on written tables that Spark splits where they are
-skewed. What may be broadcast are tables of cells and of alike bounds, whose sizes are bounded above, if Spark finds them small.
+skewed. All joins are sort-merge joins, those of cells and bounds, whose sizes are bounded, as well: nothing is broadcast.
 
 Defined cases: a null source, lang or doc_id (date) is smaller than any value; a null text has length -1; rows with equal z
 and doc_id, repeated ones or without doc_id, follow one another in no set order, and differ in position and file alone; an
@@ -109,7 +109,7 @@ def intervals(rows: DataFrame, file_rows: int) -> DataFrame:
     blocks = cells.groupBy("block").agg(F.sum("n").alias("b"))
     upto = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = blocks.select("block", upto(Window.orderBy("block"), "b").alias("start"))  # 256 rows at most
-    placed = cells.join(start, "block").withColumn("start", F.col("start") + upto(Window.partitionBy("block").orderBy("z"), "n"))
+    placed = cells.join(start.hint("merge"), "block").withColumn("start", F.col("start") + upto(Window.partitionBy("block").orderBy("z"), "n"))
     file = lambda p: F.expr(f"({p}) div {file_rows}")
     return placed.select("z", *DIMENSIONS, file("start").alias("low"), file("start + n - 1").alias("high"))
 
@@ -118,7 +118,7 @@ def matching(cells: DataFrame, reach: int) -> DataFrame:
     """(z, files_matching): of each cell's query, the files in the union of its neighbours' intervals."""
     near = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - reach), F.least(F.lit(CELLS - 1), F.col(c) + reach)))
     asked = cells.select(F.col("z").alias("q"), "source", "lang", near("length").alias("length"), "date").withColumn("date", near("date"))
-    there = asked.join(cells, list(DIMENSIONS)).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    there = asked.join(cells.hint("merge"), list(DIMENSIONS)).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
     step = lambda acc, x: F.struct(
         (acc["n"] + x["high"] - x["low"] + F.when(x["low"] == acc["last"], 0).otherwise(1)).alias("n"), x["high"].alias("last")
     )
@@ -141,7 +141,7 @@ def touched(cells: DataFrame, files: DataFrame, reach: int) -> DataFrame:
     meets = lambda c: (F.col(c) + reach >= F.col(f"{c}_min")) & (F.col(c) - reach <= F.col(f"{c}_max"))
     a, b = cells.select("z", *DIMENSIONS).alias("a"), keyed.alias("b")
     on = (F.col("a.source") == F.col("b.source")) & (F.col("a.lang") == F.col("b.lang")) & meets("length") & meets("date")
-    return a.join(b, on).groupBy("z").agg(F.sum("files").alias("files_touched"))
+    return a.join(b.hint("merge"), on).groupBy("z").agg(F.sum("files").alias("files_touched"))
 
 
 def clustered(docs: DataFrame, file_rows: int = FILE_ROWS, reach: int = REACH) -> DataFrame:
@@ -157,7 +157,7 @@ def clustered(docs: DataFrame, file_rows: int = FILE_ROWS, reach: int = REACH) -
     position = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + _before(sums)
     numbered = stash(ranged.withColumn("position", position.cast("long")).withColumn("file", F.expr(f"position div {file_rows}")).drop("part", "row"))
     cells, files = stash(intervals(numbered, file_rows)), stash(bounds(numbered))
-    queries = stash(matching(cells, reach).join(touched(cells, files, reach), "z"))
+    queries = stash(matching(cells, reach).join(touched(cells, files, reach).hint("merge"), "z"))
     text = F.concat_ws(",", *(f"{c}_{x}" for c in DIMENSIONS for x in ("min", "max")))
     return (
         # files grow with the rows: neither join is left to a broadcast, and both stand where Spark splits a hot cell
