@@ -33,16 +33,24 @@ TITLES = {
     "future work": "未来工作", "limitations": "局限性", "acknowledgement": "致谢", "acknowledgements": "致谢", "acknowledgment": "致谢", "acknowledgments": "致谢",
     "references": "参考文献", "appendix": "附录", "supplementary material": "补充材料", "supplementary": "补充材料", "notation": "符号说明", "overview": "概述",
 }
-# Markup that has to survive a transformation, by category.
-SYNTAX = {
-    "cite": r"\\cite[a-zA-Z]*\*?\{[^}]+\}",
-    "inline_math": r"(?s)\$\$?.+?\$\$?",
-    "display_math": r"(?s)\\\[.+?\\\]",
-    "math_env": r"(?s)\\begin\{(?:equation|align|gather|multline|flalign|alignat)\*?\}.*?\\end\{(?:equation|align|gather|multline|flalign|alignat)\*?\}",
-    "ref": r"\\(?:ref|eqref|autoref|cref|Cref|hyperref|pageref)\*?\{[^}]+\}",
-    "label": r"\\label\{[^}]+\}",
-    "footnote": r"\\footnote\{",
-}
+# Environments of formulas, and commands that point, whose markup has to survive a transformation.
+FORMULAS = "equation align gather multline flalign alignat".split()
+REFERENCES = "ref eqref autoref cref Cref hyperref pageref".split()
+
+
+def _syntax() -> dict[str, str]:
+    """The pattern of each category of such markup: commands with a group, and what stands between a pair of marks."""
+    group, any_of = r"\{[^}]+\}", lambda names: f"(?:{'|'.join(names)})"
+    between = lambda a, b, least: f"(?s){a}.{'+' if least else '*'}?{b}"
+    formula = any_of(FORMULAS) + r"\*?\}"
+    return {
+        "cite": r"\\cite[a-zA-Z]*\*?" + group, "inline_math": between(r"\$\$?", r"\$\$?", 1), "display_math": between(r"\\\[", r"\\\]", 1),
+        "math_env": between(r"\\begin\{" + formula, r"\\end\{" + formula, 0), "ref": r"\\" + any_of(REFERENCES) + r"\*?" + group,
+        "label": r"\\label" + group, "footnote": r"\\footnote\{",
+    }
+
+
+SYNTAX = _syntax()
 
 
 @dataclass(frozen=True)

@@ -56,13 +56,13 @@ def chunk(docs: DataFrame, rules: Rules = Rules(), keep_commands: bool = True, s
     t = T.strip_outer_space(T.collapse_blank_lines(t))
     raw = (
         docs.select("doc_idx", F.posexplode(F.split(t, r"\n\s*\n")).alias("pos", "raw"))
-        .withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("raw <> ''")
+        .withColumn("raw", T.stripped(F.col("raw"))).where("raw <> ''")
     )
     whole = join_groups(merge_open(raw, ["doc_idx"], "pos", T.env_depth(F.col("raw"), rules)), ["doc_idx"], "pos", "raw", "\n\n")
     # a leading label is a token of its own, to be attached to what comes before
     leading = r"^((?:\s*\\label\{[^}]*\}\s*)+)"
     heads = F.filter(F.regexp_extract_all(F.regexp_extract("raw", leading, 1), F.lit(r"\\label\{[^}]*\}"), F.lit(0)), lambda x: x != "")
-    rest = F.regexp_replace(F.regexp_replace("raw", leading, ""), r"^\s+|\s+$", "")
+    rest = T.stripped(F.regexp_replace("raw", leading, ""))
     tokens = F.concat(
         F.transform(heads, lambda h: F.struct(F.lit(True).alias("lead"), h.alias("part"))),
         F.when(rest != "", F.array(F.struct(F.lit(False).alias("lead"), rest.alias("part")))).otherwise(F.array().cast("array<struct<lead:boolean,part:string>>")),
@@ -71,8 +71,10 @@ def chunk(docs: DataFrame, rules: Rules = Rules(), keep_commands: bool = True, s
         "doc_idx", F.struct("pos", "k").alias("at"), "tok.lead", F.col("tok.part").alias("text")
     )
     merged = join_groups(attach_leading(split, ["doc_idx"], "at", F.col("lead")), ["doc_idx"], "at", "text", "\n")
-    cleaned = F.regexp_replace(T.strip_macro_definitions(F.col("text")), r"^\s+|\s+$", "")
-    merged = merged.withColumn("text", F.when(cleaned != "", cleaned).otherwise(F.col("text"))).where(~T.is_noncontent(F.col("text")))
+    # one evaluation for each paragraph: a filter over the cleaned text would be pushed down to it, and clean it once for each mention
+    both = F.transform(F.array("text"), lambda x: F.struct(x.alias("text"), T.stripped(T.strip_macro_definitions(x)).alias("clean")))
+    kept = F.filter(F.transform(both, lambda s: F.when(s["clean"] != "", s["clean"]).otherwise(s["text"])), lambda x: ~T.is_noncontent(x))
+    merged = merged.select("doc_idx", "at", F.explode(kept).alias("text"))
     if not keep_commands:
         merged = merged.where(~F.col("text").rlike(r"^\\(part|chapter|section|subsection|subsubsection)\*?\{.*?\}$"))
     number = F.row_number().over(Window.partitionBy("doc_idx").orderBy("at"))
