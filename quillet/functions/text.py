@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ def _alternatives(names) -> str:
     return "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def normalize_newlines(t: Column) -> Column:
     return F.regexp_replace(t, "\r\n?", "\n")
 

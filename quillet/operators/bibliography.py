@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import once
+
 MONTHS = "jan january feb february mar march apr april may jun june jul july aug august sep sept september oct october nov november dec december".split()  # fixed values
 ET_AL = r"(?i)^et[~\s]+al\b\.?$"
 BIBITEM = r"\\bibitem(?:\[[^\]]*\])?\{([^}]+)\}"
@@ -49,14 +51,27 @@ def year_of(fields: Column) -> Column:
     return F.when(y.rlike(r"^\d{4}-"), F.substring(y, 1, 4)).otherwise(y)
 
 
+def people(t: Column) -> Column:
+    """struct(names, more): names as "Last First", and whether there are others that are not named."""
+    return once(
+        F.filter(F.transform(F.split(t, " and "), squeeze), lambda a: a != ""),
+        lambda every: F.struct(
+            F.transform(F.filter(every, lambda a: ~a.rlike(ET_AL)), lambda a: squeeze(F.regexp_replace(plain(a), r"^([^,]*),(.*)$", "$1 $2"))).alias("names"),
+            F.exists(every, lambda a: a.rlike(ET_AL)).alias("more"),
+        ),
+    )
+
+
+def shown_people(p: Column, most: int) -> Column:
+    """The first names of `people` and a tail."""
+    names = p["names"]
+    tail = F.when(F.exists(names, lambda a: a.rlike(r"[\x{4e00}-\x{9fff}]")), "等").otherwise("et al")
+    return F.when((F.size(names) <= most) & ~(p["more"] & (F.size(names) > 0)), F.array_join(names, ", ")).otherwise(F.concat(F.array_join(F.slice(names, 1, most), ", "), F.lit(", "), tail))
+
+
 def authors(t: Column, most: int = 3) -> Column:
     """Names as "Last First", the first ones and a tail."""
-    names = F.filter(F.transform(F.split(t, " and "), squeeze), lambda a: a != "")
-    more = F.exists(names, lambda a: a.rlike(ET_AL))
-    names = F.transform(F.filter(names, lambda a: ~a.rlike(ET_AL)), lambda a: squeeze(F.regexp_replace(plain(a), r"^([^,]*),(.*)$", "$1 $2")))
-    chinese = F.exists(names, lambda a: a.rlike(r"[\x{4e00}-\x{9fff}]"))
-    tail = F.when(chinese, "等").otherwise("et al")
-    return F.when((F.size(names) <= most) & ~(more & (F.size(names) > 0)), F.array_join(names, ", ")).otherwise(F.concat(F.array_join(F.slice(names, 1, most), ", "), F.lit(", "), tail))
+    return once(people(t), lambda p: shown_people(p, most))
 
 
 def _if(c: Column, *parts) -> Column:
@@ -75,22 +90,27 @@ def _doi_or(doi: Column, other: Column) -> Column:
 def citation(entrytype: Column, fields: Column) -> Column:
     """A GB/T 7714 style citation by type of entry.
 
-    The cleaned fields are made once, as one struct; the wording is an expression over that struct, so it stays small
-    however often it mentions a field.
+    The map of fields and the names of authors are made once, and the cleaned fields as one struct; the wording is an
+    expression over that struct, so it stays small however often it mentions a field.
     """
+    return once(fields, lambda given: once(people(field(given, "author")), lambda by: once(_cleaned(entrytype, given, by), _wording)))
+
+
+def _cleaned(entrytype: Column, fields: Column, by: Column) -> Column:
     f = lambda *names: field(fields, *names)
     explicit = f("url")
     how = F.try_element_at(fields, F.lit("howpublished"))
     url = F.when(explicit != "", explicit).otherwise(F.coalesce(F.nullif(url_in(how), F.lit("")), url_in(F.try_element_at(fields, F.lit("note")))))
+    named = F.coalesce(F.try_element_at(fields, F.lit("author")), F.lit("")) != ""
     parts = {
         "kind": F.lower(F.coalesce(entrytype, F.lit(""))), "title": f("title"), "year": year_of(fields), "doi": f("doi"), "url": url,
         "pages": F.regexp_replace(f("pages"), "--|–", "-"), "place": f("address", "location"), "journal": f("journal", "journaltitle"),
         "volume": f("volume"), "number": f("number", "issue"), "report": f("number"), "book_title": f("booktitle"), "organization": f("organization"),
         "publisher": f("publisher"), "edition": f("edition"), "type": f("type"), "institution": f("institution"), "school": f("school"),
         "how": F.when(url_in(how) == "", plain(how)).otherwise(F.lit("")), "note": f("note"),
-        "by": authors(f("author")), "all_by": authors(f("author"), 99), "maker": authors(f("author", "editor")),
+        "by": shown_people(by, 3), "all_by": shown_people(by, 99), "maker": F.when(named, shown_people(by, 3)).otherwise(authors(f("editor"))),
     }
-    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in parts.items()))), _wording), 0)
+    return F.struct(*(v.alias(k) for k, v in parts.items()))
 
 
 def _wording(s: Column) -> Column:
@@ -154,21 +174,23 @@ def segments(body: Column) -> Column:
     found in one pass, as the best ways to be within each of the three parts after each sentence.
     """
     sentences = F.filter(F.transform(F.split(squeeze(body), r"(?<=[.?!])(?<!(?<![A-Za-z])[A-Z]\.)\s+"), squeeze), lambda x: x != "")
+    return once(sentences, _segments)
+
 
-    def points(x: Column, part: int) -> Column:
-        out = F.lit(0)
-        for pattern, score in LOOKS:
-            if score[part]:
-                out = out + F.when(x.rlike(pattern), score[part]).otherwise(0)
-        return out
+def _segments(sentences: Column) -> Column:
+    def points(x: Column) -> Column:
+        """The points of a sentence for each of the three parts; each pattern is looked for once."""
+        hits = F.array(*(x.rlike(pattern) for pattern, _ in LOOKS))
+        total = lambda h, part: sum((F.when(F.get(h, k), score[part]).otherwise(0) for k, (_, score) in enumerate(LOOKS) if score[part]), F.lit(0))
+        return once(hits, lambda h: F.array(*(total(h, part) for part in range(3))))
 
     def step(acc: Column, x: Column) -> Column:
         i = acc["i"]
         in_title = F.when(acc["a"] >= acc["t"], F.struct(acc["a"].alias("s"), i.alias("c"))).otherwise(F.struct(acc["t"].alias("s"), acc["tc"].alias("c")))
         in_venue = F.when(acc["t"] >= acc["v"], F.struct(acc["t"].alias("s"), acc["tc"].alias("c"), i.alias("d"))).otherwise(F.struct(acc["v"].alias("s"), acc["vc"].alias("c"), acc["vd"].alias("d")))
         return F.struct(
-            (i + 1).alias("i"), (acc["a"] + points(x, 0)).alias("a"), (in_title["s"] + points(x, 1)).alias("t"), in_title["c"].alias("tc"),
-            (in_venue["s"] + points(x, 2)).alias("v"), in_venue["c"].alias("vc"), in_venue["d"].alias("vd"),
+            (i + 1).alias("i"), (acc["a"] + F.get(x, 0)).alias("a"), (in_title["s"] + F.get(x, 1)).alias("t"), in_title["c"].alias("tc"),
+            (in_venue["s"] + F.get(x, 2)).alias("v"), in_venue["c"].alias("vc"), in_venue["d"].alias("vd"),
         )
 
     least = -(1 << 30)
@@ -181,7 +203,7 @@ def segments(body: Column) -> Column:
         piece = lambda a, n: F.array_join(F.slice(sentences, a + 1, n), " ")
         return F.array(piece(F.lit(0), first), piece(first, second - first), piece(second, r["i"] - second))
 
-    return F.aggregate(sentences, zero, step, cut)
+    return F.aggregate(F.transform(sentences, points), zero, step, cut)
 
 
 def names_of(text: Column) -> Column:

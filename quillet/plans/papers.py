@@ -18,7 +18,7 @@ from ..sources import bibtex, checkpoints, files
 from ..sources.shared import folder
 from ..streaming import jobs
 from . import documents
-from .catalog import _cites, _keyed, plain_text, read
+from .catalog import _cites, _keyed, parts, plain_text, read
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -204,7 +204,7 @@ def citation_kinds(spark, sf_dir):
         "school": F.lit("Uni"), "type": F.lit("T"), "institution": F.lit("Inst"), "howpublished": glue("\\url{http://x.y/", part(), "}"), "note": F.lit("N \\& M"),
     }
     fields = F.map_from_arrays(F.array(*map(F.lit, given)), F.array(*given.values()))
-    return read(spark, sf_dir, "part").select("p_partkey", bibliography.citation(F.get(F.array(*map(F.lit, _KINDS)), (part() % 6).cast("int")), fields).alias("citation"))
+    return parts(spark, sf_dir).select("p_partkey", bibliography.citation(F.get(F.array(*map(F.lit, _KINDS)), (part() % 6).cast("int")), fields).alias("citation"))
 
 
 def _bib() -> Column:
