@@ -110,7 +110,7 @@ def render_rows(spark, sf_dir):
     text = F.when(k == 0, "\\section{H}").when(k == 1, glue("\\begin{equation}", F.col("p_size"), "\\end{equation}")).when(k == 2, glue("\\begin{figure}\\caption{C ", F.col("p_name"), "}\\end{figure}")).otherwise("plain")
     done = F.when(k == 0, glue("\\section{ 标题 {x} ", F.col("p_name"), "}")).when(k == 4, glue("见图 图1-2 ，", F.col("p_name"))).otherwise("")
     label = F.when(k == 1, "式1-1").when(k == 2, "图1-2").otherwise("1.2节")
-    df = read(spark, sf_dir, "part").select(F.lit(1).alias("doc_idx"), part().alias("id"), text.alias("text"), done.alias("translation"), label.alias("env_label"), (k == 3).alias("syntax_error"))
+    df = parts(spark, sf_dir).select(F.lit(1).alias("doc_idx"), part().alias("id"), text.alias("text"), done.alias("translation"), label.alias("env_label"), (k == 3).alias("syntax_error"))
     return render.render_plan(df).select(F.col("id").alias("p_partkey"), "kind", "level", "prefix", "body")
 
 
@@ -129,7 +129,7 @@ def table_grid(spark, sf_dir):
         "\\begin{table}\\begin{tabular}{lcr}\\multirow{2}{*}{", F.col("p_name"), "} & \\multicolumn{2}{c}{S", F.col("p_size"), "} \\\\ & a & b \\\\ \\multirow{3}{*}{x} & v0 & \\\\ ",
         line(1), "\\\\ ", line(2), "\\multirow[t]{-3}{*}{w", part(), "}\\end{tabular}\\end{table}",
     )
-    rows = read(spark, sf_dir, "part").select(F.lit(1).alias("doc_idx"), part().alias("id"), t.alias("text"), F.lit("表1-1").alias("env_label"))
+    rows = parts(spark, sf_dir).select(F.lit(1).alias("doc_idx"), part().alias("id"), t.alias("text"), F.lit("表1-1").alias("env_label"))
     cells = render.render_plan(rows, drawn=True).select(F.col("id").alias("p_partkey"), F.explode("grid").alias("c"))
     return cells.select("p_partkey", "c.row", "c.col", "c.row_span", "c.col_span", "c.align", F.array_join(F.transform("c.runs", lambda r: r["text"]), "").alias("said"))
 
