@@ -220,7 +220,7 @@ SELECT p_partkey, 0 AS pos, 'article' AS entrytype, 'k' || p_partkey AS id, 'aut
 UNION ALL SELECT p_partkey, 1, 'book', 'b' || p_partkey, 'title=Two lines;year=2000' FROM part""", True)
 def bibtex_read(spark, sf_dir):
     """Entries of BibTeX sources with their fields."""
-    e = bibtex.entries(read(spark, sf_dir, "part").select(part().cast("string").alias("path"), F.encode(_bib(), "UTF-8").alias("content")))
+    e = bibtex.entries(parts(spark, sf_dir).select(part().cast("string").alias("path"), F.encode(_bib(), "UTF-8").alias("content")))
     pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
     return e.select(F.col("path").cast("long").alias("p_partkey"), "pos", "entrytype", "id", F.array_join(pairs, ";").alias("fields"))
 
@@ -241,7 +241,7 @@ def bibliography_union(spark, sf_dir):
     k = part() % 3
     text = F.when(k == 0, _bib()).when(k == 1, items).otherwise(glue("\\bibitem{out} side\n\\begin{thebibliography}{9}\n", items, "\\end{thebibliography}"))
     ext = F.when(k == 0, "bib").when(k == 1, "bbl").otherwise("tex")
-    g = bibtex.gathered(read(spark, sf_dir, "part").select(part().cast("string").alias("path"), ext.alias("ext"), F.encode(text, "UTF-8").alias("content")))
+    g = bibtex.gathered(parts(spark, sf_dir).select(part().cast("string").alias("path"), ext.alias("ext"), F.encode(text, "UTF-8").alias("content")))
     return g.select(F.col("path").cast("long").alias("p_partkey"), "kind", "pos", "key", "entrytype", F.col("fields")["title"].alias("title"), F.col("fields")["year"].alias("year"), bibliography.citation(F.col("entrytype"), F.col("fields")).alias("citation"))
 
 
@@ -254,7 +254,7 @@ def bibitem_parse(spark, sf_dir):
         "A. One and B. Two.\n\\newblock {", F.col("p_name"), "}.\n\\newblock \\emph{Journal of ", F.col("p_type"), "}, ", F.col("p_size"), " (4): pp. 10--", F.col("p_size") + 10, ", 1999.\n\\newblock ",
         F.when(part() % 2 == 0, glue("\\doi{10.1234/x", part(), "}")).otherwise("see https://x.y/z)."),
     )
-    return read(spark, sf_dir, "part").select("p_partkey", bibliography.parse_item(body).alias("i")).select("p_partkey", *(f"i.{c}" for c in ("authors", "title", "venue", "volume", "number", "pages", "year", "doi", "url")))
+    return parts(spark, sf_dir).select("p_partkey", bibliography.parse_item(body).alias("i")).select("p_partkey", *(f"i.{c}" for c in ("authors", "title", "venue", "volume", "number", "pages", "year", "doi", "url")))
 
 
 @query("""
@@ -264,7 +264,7 @@ def bibitem_unmarked(spark, sf_dir):
     names = F.get(F.array(F.lit("One, A. and B. Two."), F.lit("A. One, and B.-C. Two."), F.lit("Ann Lee, Bob Ray, C. Poe, et al.")), (part() % 3).cast("int"))
     venue = F.when(part() % 2 == 0, glue("Jour of Odd, ", F.col("p_size"), " (4): pp. 10--", F.col("p_size") + 10, ", 1999.")).otherwise("In Proceedings of X, 2001.")
     item = glue("\\bibitem{k", part(), "} ", names, " On the ", F.col("p_name"), " of things. ", venue)
-    files = read(spark, sf_dir, "part").select(part().cast("string").alias("path"), F.lit("bbl").alias("ext"), F.encode(item, "UTF-8").alias("content"))
+    files = parts(spark, sf_dir).select(part().cast("string").alias("path"), F.lit("bbl").alias("ext"), F.encode(item, "UTF-8").alias("content"))
     return bibtex.gathered(files).select(F.col("path").cast("long").alias("p_partkey"), bibliography.citation(F.col("entrytype"), F.col("fields")).alias("citation"))
 
 
