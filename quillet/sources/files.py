@@ -48,11 +48,20 @@ def main_file(tex: DataFrame) -> DataFrame:
 
 
 def image_of(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """wanted(doc, rel) with the first existing of rel and rel with an image suffix."""
-    tries = F.posexplode(F.array(*(F.concat("rel", F.lit(s)) for s in ("", ".png", ".jpg", ".jpeg", ".pdf"))))
-    found = wanted.select("doc", "rel", tries.alias("rank", "name")).join(files.select(F.col("folder").alias("doc"), F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), r"^.*?/(?=[^/]+$)", "").alias("name"), "path"), ["doc", "name"])
-    best = found.groupBy("doc", "rel").agg(F.min_by("path", "rank").alias("path"))
-    return wanted.join(best, ["doc", "rel"], "left")
+    """wanted(doc, rel) with the first existing of rel and rel with an image suffix.
+
+    Each file is dealt to the names that it can be wanted by, its own and that without its suffix, and the first of each name is
+    chosen there: a task sorts its share of the names alone, however few files the tables lie in. The join is a merge, as the
+    chosen are as many as the files, which Spark may take for few.
+    """
+    name = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), r"^.*?/(?=[^/]+$)", "")
+    serves = [F.struct(F.lit(0).alias("rank"), F.col("name").alias("rel"))]
+    for rank, suffix in enumerate((".png", ".jpg", ".jpeg", ".pdf"), 1):
+        serves.append(F.when(F.col("name").endswith(suffix), F.struct(F.lit(rank).alias("rank"), F.expr(f"left(name, char_length(name) - {len(suffix)})").alias("rel"))))
+    named = files.select(F.col("folder").alias("doc"), name.alias("name"), "path")
+    each = named.select("doc", "path", F.explode(F.array_compact(F.array(*serves))).alias("s")).select("doc", "s.rel", "s.rank", "path")
+    best = each.repartition("doc", "rel").groupBy("doc", "rel").agg(F.min_by("path", "rank").alias("path"))
+    return wanted.join(best.hint("merge"), ["doc", "rel"], "left")
 
 
 def settings(lines: DataFrame, by: list[str], line: str = "line", order: str = "pos") -> DataFrame:

@@ -28,3 +28,15 @@ def test_editors_stand_for_authors_that_are_not_given(spark):
     fields = F.map_filter(F.create_map(*(x for n in df.columns for x in (F.lit(n), F.col(n)))), lambda k, v: v.isNotNull())
     said = [r.c for r in df.select(bibliography.citation(F.lit("book"), F.map_concat(fields, F.create_map(F.lit("title"), F.lit("T")))).alias("c")).collect()]
     assert said == ["Ed A, others. T[M].", "T[M].", "Ed A. T[M].", "Au B, C, D, et al. T[M].", "张三, 李四, 王五, 等. T[M]."]
+
+
+def test_images_are_chosen_where_their_names_are_dealt_to(spark):
+    from quillet.sources import files
+
+    images = spark.createDataFrame([("d", f"file:/in/d/{n}") for n in ("a.png", "a.pdf", "b.jpg", "b.jpg.png", "c", ".png", "e.jpeg")] + [("x", "file:/in/x/a.jpg")], "folder string, path string")
+    wanted = spark.createDataFrame([("d", r) for r in ("a", "b", "b.jpg", "c", "", "e", "a.pdf", "none", "a", None)] + [("x", "a")], "doc string, rel string")
+    found = files.image_of(wanted, images)
+    got = sorted((r.doc, r.rel or "", (r.path or "").rpartition("/")[2]) for r in found.collect())
+    assert got == sorted([("d", "", ".png"), ("d", "", ""), ("d", "a", "a.png"), ("d", "a", "a.png"), ("d", "a.pdf", "a.pdf"), ("d", "b", "b.jpg"), ("d", "b.jpg", "b.jpg"), ("d", "c", "c"), ("d", "e", "e.jpeg"), ("d", "none", ""), ("x", "a", "a.jpg")])
+    plan = papers.image_lookup(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # nothing of the files' size goes to every task
