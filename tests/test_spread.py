@@ -10,7 +10,7 @@ QUERIES = {**catalog.QUERIES, **papers.QUERIES}
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["citation_kinds", "table_grid", "bibitem_unmarked", "citation_format"])
+@pytest.mark.parametrize("name", ["citation_kinds", "table_grid", "bibitem_unmarked", "citation_format", "table_parse"])
 def test_one_file_is_the_work_of_many_tasks(spark, name):
     assert QUERIES[name](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() >= 4
 
@@ -30,6 +30,11 @@ def test_editors_stand_for_authors_that_are_not_given(spark):
     assert said == ["Ed A, others. T[M].", "T[M].", "Ed A. T[M].", "Au B, C, D, et al. T[M].", "张三, 李四, 王五, 等. T[M]."]
 
 
+def test_tables_are_parsed_once(spark):
+    plan = papers.table_parse(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_images_are_chosen_where_their_names_are_dealt_to(spark):
     from quillet.sources import files
 
