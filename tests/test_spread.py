@@ -10,7 +10,7 @@ QUERIES = {**catalog.QUERIES, **papers.QUERIES}
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["citation_kinds", "table_grid", "bibitem_unmarked", "citation_format", "table_parse"])
+@pytest.mark.parametrize("name", ["citation_kinds", "table_grid", "bibitem_unmarked", "citation_format", "table_parse", "fragment_scalars"])
 def test_one_file_is_the_work_of_many_tasks(spark, name):
     assert QUERIES[name](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() >= 4
 
