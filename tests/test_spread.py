@@ -45,3 +45,22 @@ def test_images_are_chosen_where_their_names_are_dealt_to(spark):
     assert got == sorted([("d", "", ".png"), ("d", "", ""), ("d", "a", "a.png"), ("d", "a", "a.png"), ("d", "a.pdf", "a.pdf"), ("d", "b", "b.jpg"), ("d", "b.jpg", "b.jpg"), ("d", "c", "c"), ("d", "e", "e.jpeg"), ("d", "none", ""), ("x", "a", "a.jpg")])
     plan = papers.image_lookup(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan  # nothing of the files' size goes to every task
+
+
+def test_documents_are_read_by_size(tmp_path):
+    from quillet.sources.docx import DocxSource
+
+    for k in range(6):
+        (tmp_path / f"d{k}.docx").write_bytes(b"x" * (700_000 if k < 3 else 10))
+    read = lambda **o: [len(p.value) for p in DocxSource({"path": str(tmp_path), **o}).reader(None).partitions()]
+    assert read() == [1, 1, 4] and read(bytes_per_partition="1") == [1] * 6 and read(files_per_partition="2", bytes_per_partition="9000000") == [2, 2, 2]
+
+
+def test_texts_are_given_back_in_pieces(spark):
+    import pyarrow as pa
+
+    from quillet.functions import latex
+
+    texts = ["a" * 700_000, None, "b" * 700_000, "", "c", "d" * 2_000_000, "e"]
+    got = [list(p.to_pylist()) for p in latex.text_udf(lambda x: x).func(iter([pa.array(texts, pa.string()), pa.array([], pa.string())]))]
+    assert [len(p) for p in got] == [3, 3, 1, 0] and sum(got, []) == texts
