@@ -67,14 +67,17 @@ def drop_preamble(t: Column) -> Column:
     return F.regexp_replace(t, r"(?m)^[^\S\n]*+\\(maketitle|tableofcontents)[^\S\n]*+$", "")
 
 
+_WHITE = " \t\n\x0b\f\r"  # what \s matches
+
+
 def stripped(t: Column) -> Column:
-    """t without white space around it."""
-    return F.regexp_replace(t, r"^\s++|(?<!\s)\s++\z", "")
+    """t without white space around it; only its ends are looked at."""
+    return F.btrim(t, F.lit(_WHITE))
 
 
 def strip_outer_space(t: Column) -> Column:
     # a run of blanks is entered at its beginning alone, here and below: else a long one is read once for each of its places
-    return F.regexp_replace(F.regexp_replace(t, r"(?m)(?<![ \t])[ \t]++$", ""), r"^\s++|(?<!\s)\s++$", "")
+    return stripped(F.regexp_replace(t, r"(?m)(?<![ \t])[ \t]++$", ""))
 
 
 def collapse_blank_lines(t: Column) -> Column:

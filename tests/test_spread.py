@@ -64,3 +64,13 @@ def test_texts_are_given_back_in_pieces(spark):
     texts = ["a" * 700_000, None, "b" * 700_000, "", "c", "d" * 2_000_000, "e"]
     got = [list(p.to_pylist()) for p in latex.text_udf(lambda x: x).func(iter([pa.array(texts, pa.string()), pa.array([], pa.string())]))]
     assert [len(p) for p in got] == [3, 3, 1, 0] and sum(got, []) == texts
+
+
+def test_ends_are_trimmed_without_reading_the_text(spark):
+    from quillet.functions import text as T
+
+    ends = ["", " \t\n\x0b\f\r", "\u3000", "\xa0 ", "\n\n", " 中"]
+    rows = [(a + m + b,) for a in ends for m in ("", "x", "x \n y", "中 é") for b in ends] + [(None,)]
+    df = spark.createDataFrame(rows, "t string").select(T.stripped(F.col("t")).alias("a"), F.regexp_replace("t", r"^\s++|(?<!\s)\s++\z", "").alias("b"))
+    assert all(r.a == r.b for r in df.collect())
+    assert "regexp_replace" not in spark.range(1).select(T.stripped(F.lit("x")))._jdf.queryExecution().analyzed().toString()
